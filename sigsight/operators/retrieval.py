@@ -91,12 +91,23 @@ def _buckets(q: DataFrame, qid: str, qvec: str, start: str, end: str, service: s
 def hybrid_search(q: DataFrame, events: DataFrame, k: int = C.RERANK_TOP_K, qid: str = "qid",
                   qvec: str = "qvec", start: str = "window_start", end: str = "window_end",
                   service: str = "service_filter", event_types: str | None = None,
-                  broadcast: bool | None = None) -> DataFrame:
+                  broadcast: bool | None = None, method: str = "auto") -> DataFrame:
     """Top-k events per question inside its window/service/type filter.
 
     Returns (qid, sim_rank, cos, similarity_score, *HIT_PAYLOAD).  Questions
     with no candidate (or an invalid window) have no rows.
+
+    ``method``: ``"arrow"``/``"auto"`` use the batch matmul path of
+    ``vector_search`` when the question side fits its budget (``auto`` falls
+    back to the join); ``"join"`` forces the bucket equi-join below.
     """
+    if method in ("auto", "arrow"):
+        from sigsight.operators.vector_search import arrow_topk
+        out = arrow_topk(q, events, k, qid, qvec, start, end, service, event_types, HIT_PAYLOAD)
+        if out is not None:
+            return out
+        if method == "arrow":
+            raise ValueError("question side exceeds the broadcast budget")
     b = _buckets(q, qid, qvec, start, end, service, event_types)
     if broadcast is None:
         dim = max(C.EMBEDDING_DIMENSION, 64)
