@@ -46,28 +46,23 @@ def _numeric_seconds(n: Column, unit: Column) -> Column:
     return F.try_multiply(n.try_cast("double"), unit_s.cast("double"))
 
 
-def _lit_seconds(s: int) -> Column:
-    return F.lit(s)
-
-
 def time_window_wide(question: Column, asked_at: Column) -> Column:
     """Struct(start, end, defaulted) by the wide rule table."""
     q = F.lower(question)
     m = F.regexp_extract(q, _WIDE_NUMERIC, 0)
     n = F.regexp_extract(q, _WIDE_NUMERIC, 1)
-    unit = F.lower(F.regexp_extract(q, _WIDE_NUMERIC, 2))
-    midnight = F.date_trunc("day", asked_at).cast("timestamp_ntz")
-    start = (F.when(m != "", _back(asked_at, _numeric_seconds(n, unit)))
-             .when(F.contains(q, F.lit("yesterday")), _back(asked_at, _lit_seconds(24 * _HOUR)))
-             .when(F.contains(q, F.lit("today")), midnight)
-             .when(_any(q, ["last hour", "past hour"]), _back(asked_at, _lit_seconds(_HOUR)))
-             .when(_any(q, ["last week", "past week"]), _back(asked_at, _lit_seconds(7 * _DAY)))
-             .when(_any(q, ["last month", "past month"]), _back(asked_at, _lit_seconds(30 * _DAY)))
-             .when(_any(q, ["last year", "past year"]), _back(asked_at, _lit_seconds(365 * _DAY)))
-             .otherwise(_back(asked_at, _lit_seconds(_HOUR))))
-    defaulted = ~((m != "") | _any(q, ["yesterday", "today", "last hour", "past hour", "last week",
-                                       "past week", "last month", "past month", "last year",
-                                       "past year"]))
+    unit = F.regexp_extract(q, _WIDE_NUMERIC, 2)
+    literals = [(["last hour", "past hour"], _HOUR), (["last week", "past week"], 7 * _DAY),
+                (["last month", "past month"], 30 * _DAY), (["last year", "past year"], 365 * _DAY)]
+    # Seconds to go back; the overflow guard and subtraction are applied once.
+    secs = (F.when(m != "", _numeric_seconds(n, unit))
+            .when(F.contains(q, F.lit("yesterday")), F.lit(24.0 * _HOUR)))
+    for phrases, sec in literals:
+        secs = secs.when(_any(q, phrases), F.lit(float(sec)))
+    secs = secs.otherwise(F.lit(float(_HOUR)))
+    is_today = (m == "") & ~F.contains(q, F.lit("yesterday")) & F.contains(q, F.lit("today"))
+    start = F.when(is_today, F.date_trunc("day", asked_at).cast("timestamp_ntz")).otherwise(_back(asked_at, secs))
+    defaulted = ~((m != "") | _any(q, ["yesterday", "today"] + [p for ps, _ in literals for p in ps]))
     return F.struct(start.alias("start"), asked_at.alias("end"), defaulted.alias("defaulted"))
 
 
@@ -76,9 +71,8 @@ def time_window_narrow(question: Column, asked_at: Column) -> Column:
     q = F.lower(question)
     m = F.regexp_extract(q, _NARROW_NUMERIC, 0)
     n = F.regexp_extract(q, _NARROW_NUMERIC, 1)
-    unit = F.lower(F.regexp_extract(q, _NARROW_NUMERIC, 2))
-    days = F.when(F.startswith(unit, F.lit("year")), F.lit(365)).otherwise(F.lit(30))
-    numeric = F.try_multiply(n.try_cast("double"), (days * _DAY).cast("double"))
+    unit = F.regexp_extract(q, _NARROW_NUMERIC, 2)
+    days = F.when(F.startswith(unit, F.lit("year")), F.lit(365.0)).otherwise(F.lit(30.0))
     rules = [
         (["last month", "past month"], 30 * _DAY),
         (["last year", "past year"], 365 * _DAY),
@@ -87,10 +81,10 @@ def time_window_narrow(question: Column, asked_at: Column) -> Column:
         (["last 6 hours", "past 6 hours"], 6 * _HOUR),
         (["last 2 hours", "past 2 hours", "last two hours"], 2 * _HOUR),
     ]
-    start = F.when(m != "", _back(asked_at, numeric))
+    secs = F.when(m != "", F.try_multiply(n.try_cast("double"), days * _DAY))
     matched = m != ""
-    for phrases, secs in rules:
-        start = start.when(_any(q, phrases), _back(asked_at, _lit_seconds(secs)))
+    for phrases, sec in rules:
+        secs = secs.when(_any(q, phrases), F.lit(float(sec)))
         matched = matched | _any(q, phrases)
-    start = start.otherwise(_back(asked_at, _lit_seconds(_HOUR)))
-    return F.struct(start.alias("start"), asked_at.alias("end"), (~matched).alias("defaulted"))
+    secs = secs.otherwise(F.lit(float(_HOUR)))
+    return F.struct(_back(asked_at, secs).alias("start"), asked_at.alias("end"), (~matched).alias("defaulted"))

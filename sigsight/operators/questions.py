@@ -81,7 +81,10 @@ def resolve_request(q: DataFrame, services: list[str], question_col: str = "ques
     start = F.coalesce(F.col(start_col), w["start"]) if start_col else w["start"]
     end = F.coalesce(F.col(end_col), w["end"]) if end_col else w["end"]
     explicit_svc = F.nullif(F.col(service_col), F.lit("")) if service_col else F.lit(None).cast("string")
-    parsed = extract_service_raw(text, services) if window_mode == "narrow" else extract_service(text, services)
+    # The ask path resolves with the raw-text matcher and falls back to the
+    # normalised one inside the pipeline, so both apply in that order.
+    parsed = (F.coalesce(extract_service_raw(text, services), extract_service(text, services))
+              if window_mode == "narrow" else extract_service(text, services))
     return q.select(
         "*",
         start.alias("window_start"),

@@ -55,7 +55,7 @@ def event_type_filter(events: DataFrame, event_types: list[str] | None) -> DataF
 
 def with_similarity(events: DataFrame, qvec: list[float], vec_col: str = "embedding") -> DataFrame:
     """R5 for one query vector: ``cos`` (unrounded) and ``similarity_score`` (rounded 4)."""
-    q = F.array(*[F.lit(float(x)).cast("float") for x in qvec])
+    q = F.array(*[F.lit(float(x)) for x in qvec])
     cos = cosine_from_parts(dot(q, F.col(vec_col)), norm(q), norm(F.col(vec_col)))
     return events.withColumn("cos", cos).withColumn("similarity_score", similarity_score(F.col("cos")))
 

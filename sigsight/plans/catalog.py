@@ -1,4 +1,9 @@
-"""Registered jobs: each takes (spark, sf_dir) and returns a DataFrame over the driver tables."""
+"""Registered jobs: each takes (spark, sf_dir) and returns a DataFrame over the driver tables.
+
+Every job reads whole tables (or frames Spark derives from them); nothing is
+sampled, capped or filtered by id.  Their SQL twins are in
+``sigsight.plans.oracle``.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigsight import config as C
+from sigsight.functions.judge import judge_prompt as judge_prompt_col
+from sigsight.functions.judge import low_groundedness, parse_judge
+from sigsight.functions.text import (incident_signal, is_no_data_answer, normalise_log, rewrite_query)
+from sigsight.operators import access as D
+from sigsight.operators import analytics as A
+from sigsight.operators import context as P
+from sigsight.operators import evaluation as M
+from sigsight.operators import ingest as I
 from sigsight.operators import questions as Q
+from sigsight.operators import rerank as K
 from sigsight.operators import retrieval as R
+from sigsight.plans.ask import ask
 from sigsight.sources import tables as T
 
 
@@ -20,22 +35,401 @@ def resolved_questions(spark: SparkSession, sf_dir: str, sig: DataFrame | None =
                        services: list[str] | None = None) -> DataFrame:
     if sig is None or services is None:
         sig, services = _services(spark, sf_dir)
-    q = T.questions(spark, sf_dir)
-    return Q.resolve_request(q, services, window_mode="narrow")
+    return Q.resolve_request(T.questions(spark, sf_dir), services, window_mode="narrow")
 
 
-def signals_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+# ── sources / ingestion ──────────────────────────────────────────────────────
+
+def signals_view(spark, sf_dir):
+    """S2 + I3: the event table with its 64-hex keys."""
     return T.signals(spark, sf_dir).drop("embedding")
 
 
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalise_log_q(spark, sf_dir):
+    """I4 over every stored content (whole texts)."""
+    sig = T.signals(spark, sf_dir)
+    return sig.select("id", normalise_log(F.col("content")).alias("normalised"))
+
+
+def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw three-source batch built from ``events``: each row goes to the source of its kind,
+    and critical error lines are re-sent as alert events (cross-source duplicates)."""
+    ev = T.table(spark, sf_dir, "events")
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_docs = docs.count()
+    j = ev.join(docs, F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
+    et = F.col("event_type")
+    svc = T.service_of(F.col("user_id"))
+    content = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z] pid="),
+                       F.col("user_id").cast("string"), F.lit(" "), F.col("text"))
+    base = j.select(
+        F.col("event_id").alias("pos"),
+        svc.alias("service"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at"),
+        content.alias("content"),
+        F.when(et == "purchase", F.lit("alert")).alias("event_type"),
+        F.when(et == "error", F.lit("error")).when(et == "purchase", F.lit("warn")).alias("severity"),
+        F.concat(F.lit("inc-"), F.col("user_id").cast("string")).alias("correlation_id"),
+        F.col("props").alias("metadata"),
+        F.when(et.isin("click", "error"), F.lit("logs")).when(et.isin("signup", "purchase"), F.lit("events"))
+         .otherwise(F.lit("metadata")).alias("source"),
+        ((et == "error") & (F.col("value") >= 100)).alias("_resend"),
+    )
+    resent = base.where("_resend").withColumn("source", F.lit("events")).withColumn("event_type", F.lit("alert"))
+    out = base.unionByName(resent).drop("_resend")
+    return out.withColumn("event_type", F.when(F.col("source") == "logs", F.lit(None).cast("string"))
+                          .otherwise(F.col("event_type")))
+
+
+def _stored(spark, sf_dir):
+    """Previously stored events: the first half of the month, keyed like the batch."""
+    raw = raw_batch(spark, sf_dir)
+    good, _ = I.validate(raw)
+    prep = I.prepare(good)
+    mid = T.table(spark, sf_dir, "events").agg(
+        (F.unix_micros(F.min("ts").cast("timestamp")) / 2 + F.unix_micros(F.max("ts").cast("timestamp")) / 2)
+        .alias("m"))
+    cut = F.timestamp_micros(F.lit(mid.first().m).cast("long")).cast("timestamp_ntz")
+    return I.dedup_first_wins(prep).where(F.col("occurred_at") < cut)
+
+
+def ingest_validate(spark, sf_dir):
+    """Accepted / rejected counts per source and reason."""
+    raw = raw_batch(spark, sf_dir)
+    good, bad = I.validate(raw)
+    g = good.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("reject_reason", F.lit("accepted"))
+    b = bad.groupBy("source", "reject_reason").agg(F.count(F.lit(1)).alias("n"))
+    return g.unionByName(b)
+
+
+def ingest_dedup(spark, sf_dir):
+    """I2 + I3 + I6: surviving row per event_id (first source, first position wins)."""
+    good, _ = I.validate(raw_batch(spark, sf_dir))
+    first = I.dedup_first_wins(I.prepare(good))
+    return first.select("event_id", "source", "pos", "event_type", "service", "occurred_at")
+
+
+def ingest_new_rows(spark, sf_dir):
+    """Rows not stored yet."""
+    good, _ = I.validate(raw_batch(spark, sf_dir))
+    first = I.dedup_first_wins(I.prepare(good))
+    new = I.anti_existing(first, _stored(spark, sf_dir))
+    return new.select("event_id", "source", "event_type", "event_date")
+
+
+def ingest_counts(spark, sf_dir):
+    """I8 + I9: ingested / skipped / total per source and overall."""
+    res = I.ingest(raw_batch(spark, sf_dir), _stored(spark, sf_dir), with_embedding=False)
+    return res["counts"].drop("_o")
+
+
+def embed_unit_norm(spark, sf_dir):
+    """Default encoder on the new rows' cleaned text — unit norm per row."""
+    res = I.ingest(raw_batch(spark, sf_dir), _stored(spark, sf_dir), with_embedding=True)
+    v = F.col("embedding")
+    return res["new"].select("event_id", F.size(v).alias("dim"),
+                             F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+
+
+# ── questions ────────────────────────────────────────────────────────────────
+
+def parse_questions(spark, sf_dir):
+    """Q1 + Q2 + Q3 + Q5 + Q7 + Q9."""
+    sig, services = _services(spark, sf_dir)
+    p = Q.parse_questions(T.questions(spark, sf_dir), services)
+    return p.select("qid", "normalized_query", "query_type", "wide_start", "wide_end", "wide_defaulted",
+                    "parsed_service")
+
+
+def resolve_request(spark, sf_dir):
+    """Q4 + Q5 + Q8 + Q11 (the ask path)."""
+    r = resolved_questions(spark, sf_dir)
+    return r.select("qid", "window_start", "window_end", "window_defaulted", "service_filter")
+
+
+def rewrite_query_q(spark, sf_dir):
+    """Q10."""
+    return T.questions(spark, sf_dir).select("qid", rewrite_query(F.col("question")).alias("rewritten_query"))
+
+
+def service_registry(spark, sf_dir):
+    """Q6."""
+    return Q.service_registry(T.signals(spark, sf_dir))
+
+
+def analytical_gate(spark, sf_dir):
+    """Q12: gated questions with their fixed answer."""
+    _, gated = Q.analytical_gate(T.questions(spark, sf_dir))
+    return gated.select("qid", "rewritten_query", "answer", "confidence")
+
+
+def incident_signal_q(spark, sf_dir):
+    """Q13."""
+    return T.questions(spark, sf_dir).select("qid", incident_signal(F.col("question")).alias("incident_signal"))
+
+
+# ── retrieval ────────────────────────────────────────────────────────────────
+
+def hybrid_search(spark, sf_dir):
+    """R1–R5 + R7: top-20 per question."""
     sig, services = _services(spark, sf_dir)
     q = resolved_questions(spark, sf_dir, sig, services)
     hits = R.hybrid_search(q, sig, k=C.RERANK_TOP_K)
     return hits.select("qid", "sim_rank", "event_id", "similarity_score")
 
 
+def vector_topk(spark, sf_dir):
+    """One query vector (the mean of all question vectors) over all events."""
+    sig = T.signals(spark, sf_dir)
+    qv = T.questions(spark, sf_dir).select(F.posexplode("qvec").alias("i", "x")).groupBy("i") \
+        .agg(F.avg("x").alias("x")).orderBy("i").collect()
+    vec = [r.x for r in qv]
+    return R.vector_topk(sig, vec, C.RERANK_TOP_K).select("sim_rank", "event_id", "similarity_score")
+
+
+def candidate_stats(spark, sf_dir):
+    """R8."""
+    sig, services = _services(spark, sf_dir)
+    q = resolved_questions(spark, sf_dir, sig, services)
+    return R.candidate_stats(q, R.hybrid_search(q, sig))
+
+
+def no_data_questions(spark, sf_dir):
+    """R1 + R9: questions with no candidate (invalid windows included)."""
+    sig, services = _services(spark, sf_dir)
+    q = resolved_questions(spark, sf_dir, sig, services)
+    return R.no_data_questions(q, R.hybrid_search(q, sig)).select("qid")
+
+
+# ── ask flow pieces ──────────────────────────────────────────────────────────
+
+def _ask(spark, sf_dir):
+    sig, services = _services(spark, sf_dir)
+    return ask(T.questions(spark, sf_dir), sig, services, answer_col="llm_answer")
+
+
+def rerank_scores(spark, sf_dir):
+    """K1 + K2: stand-in pair scores of every candidate."""
+    out = _ask(spark, sf_dir)
+    c = K.score_pairs(out["candidates"], "rewritten_query")
+    return c.select("qid", "event_id", "rerank_score")
+
+
+def rerank_topk(spark, sf_dir):
+    """K3: final five per question."""
+    return _ask(spark, sf_dir)["final"].select("qid", "rank", "event_id", "rerank_score", "similarity_score")
+
+
+def rerank_fallback(spark, sf_dir):
+    """K4: no scorer — first five by similarity, null scores."""
+    sig, services = _services(spark, sf_dir)
+    out = ask(T.questions(spark, sf_dir), sig, services, answer_col="llm_answer", scorer=None)
+    return out["final"].select("qid", "rank", "event_id", "rerank_score")
+
+
+def rerank_stats(spark, sf_dir):
+    """K5 + K6 + K7."""
+    fin = _ask(spark, sf_dir)["final"]
+    st = K.rerank_stats(fin)
+    return st.withColumn("confidence", K.confidence_tier(F.col("n_final"), F.col("n_scored"), F.col("avg_rerank")))
+
+
+def strong_weak(spark, sf_dir):
+    """K8."""
+    return K.strong_weak(_ask(spark, sf_dir)["final"]).select("qid", "event_id", "strong")
+
+
+def investigation_counts(spark, sf_dir):
+    """P1."""
+    return P.investigation_counts(_ask(spark, sf_dir)["final"])
+
+
+def key_signals(spark, sf_dir):
+    """P2 + P3 + P4."""
+    k = P.key_signals(_ask(spark, sf_dir)["final"])
+    return k.where(F.col("key_line").isNotNull()).select("qid", "key_order", "key_line")
+
+
+def section_timeline(spark, sf_dir):
+    """Numbered, budgeted blocks per section."""
+    s = P.section_events(_ask(spark, sf_dir)["final"])
+    return s.select("qid", "section", "section_pos", "block")
+
+
+def assemble_context(spark, sf_dir):
+    """P10: the full prompt text per question."""
+    return _ask(spark, sf_dir)["results"].select("qid", "prompt")
+
+
+def ask_answers(spark, sf_dir):
+    """Q12 + P11 + K7 end to end: routed answer and tier per question."""
+    r = _ask(spark, sf_dir)["results"]
+    return r.select("qid", "query_type", "confidence", "n_candidates", "avg_similarity", "n_final", "answer",
+                    is_no_data_answer(F.col("answer")).alias("no_data_answer"))
+
+
+def sources_array(spark, sf_dir):
+    """P13 (ids in rank order)."""
+    s = P.sources_array(_ask(spark, sf_dir)["final"])
+    return s.select("qid", F.transform("sources", lambda x: x["event_id"]).alias("source_ids"))
+
+
+# ── judge ────────────────────────────────────────────────────────────────────
+
+def judge_prompt(spark, sf_dir):
+    """Judge prompt per logged answer; the context list is the answer's lines."""
+    logs = T.query_logs(spark, sf_dir)
+    rep = T.judge_replies(spark, sf_dir).select("id", "expected_answer")
+    j = logs.join(rep, "id")
+    ctx = F.split(F.col("answer"), "\n")
+    return j.select("id", judge_prompt_col(F.col("query"), F.col("answer"), ctx, F.col("expected_answer"))
+                    .alias("judge_prompt"))
+
+
+def parse_judge_q(spark, sf_dir):
+    """E2 + E3 + E4."""
+    rep = T.judge_replies(spark, sf_dir)
+    p = rep.select("id", parse_judge(F.col("raw"), F.col("expected_answer").isNotNull()).alias("j"))
+    return p.select("id", "j.*", low_groundedness(F.col("j.groundedness_score")).alias("low_groundedness"))
+
+
+# ── analytics ────────────────────────────────────────────────────────────────
+
+def quality_summary(spark, sf_dir):
+    """A1 – A5."""
+    return A.quality_summary(T.query_logs(spark, sf_dir), T.feedback(spark, sf_dir))
+
+
+# ── evaluation ───────────────────────────────────────────────────────────────
+
+def _eval_inputs(spark, sf_dir):
+    sig, services = _services(spark, sf_dir)
+    q = T.questions(spark, sf_dir)
+    bounds = T.table(spark, sf_dir, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    ws, we = M.eval_window(F.col("category"), F.col("start_time"), F.col("end_time"),
+                           F.lit(bounds.lo), F.lit(bounds.hi))
+    eq = q.withColumn("route", M.route(F.col("category"), F.col("start_time"), F.col("end_time"))) \
+          .withColumn("start_time", ws).withColumn("end_time", we)
+    to_ask = eq.where(F.col("route") == "score")
+    out = ask(to_ask, sig, services, answer_col="llm_answer")
+    # Ground truth: events of the question's own (narrow) window and service sharing its vector label.
+    labels = T.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    rq = Q.resolve_request(q, services, window_mode="narrow", start_col=None, end_col=None)
+    qs = rq.join(labels, rq.qvec_id == labels.vec_id).select("qid", "window_start", "window_end",
+                                                            "service_filter", F.col("label").alias("qlabel"))
+    n_vecs = labels.count()
+    ev = sig.select("event_id", "service", "occurred_at", "event_date", F.col("id"))
+    ev = ev.join(labels, F.pmod(ev.id, F.lit(n_vecs)) == labels.vec_id).select(
+        "event_id", "service", "occurred_at", "event_date", F.col("label").alias("elabel"))
+    b = qs.where(R.valid_window(F.col("window_start"), F.col("window_end"))).select(
+        "*", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))).alias("event_date"))
+    gt = ev.join(b, [ev.event_date == b.event_date, ev.elabel == b.qlabel,
+                     ev.occurred_at.between(b.window_start, b.window_end),
+                     b.service_filter.isNull() | (ev.service == b.service_filter)]) \
+        .select("qid", F.concat(F.lit("evt_"), F.substring("event_id", 1, 12)).alias("gt_id"))
+    retrieved = out["final"].select("qid", "rank", "event_id")
+    answers = out["results"].select("qid", "confidence")
+    res = M.eval_results(eq.select("qid", "category", "route", "latency_ms"), retrieved, gt, answers)
+    return res
+
+
+def eval_results(spark, sf_dir):
+    """M1 – M8."""
+    return _eval_inputs(spark, sf_dir).drop("confidence")
+
+
+def eval_by_category(spark, sf_dir):
+    """M9."""
+    return M.eval_by_category(_eval_inputs(spark, sf_dir))
+
+
+def eval_overall(spark, sf_dir):
+    """M10 + M11."""
+    return M.eval_overall(_eval_inputs(spark, sf_dir))
+
+
+def eval_summary(spark, sf_dir):
+    """M12."""
+    return M.eval_summary(_eval_inputs(spark, sf_dir))
+
+
+def latency_percentiles(spark, sf_dir):
+    """M11 per category over every question's latency."""
+    q = T.questions(spark, sf_dir)
+    return M.latency_percentiles(q, "latency_ms", ["category"])
+
+
+# ── access patterns ──────────────────────────────────────────────────────────
+
+def events_before(spark, sf_dir):
+    """Events in the 30 minutes before each question, newest-first position."""
+    sig = T.signals(spark, sf_dir)
+    q = T.questions(spark, sf_dir)
+    j = D.events_before_each(q, sig.drop("embedding"), 30)
+    return j.select("qid", "event_id", "occurred_at")
+
+
+def service_timeline(spark, sf_dir):
+    """Every service's timeline."""
+    return D.service_timeline(T.signals(spark, sf_dir)).select("service", "occurred_at", "event_id")
+
+
+def deployments_in_window(spark, sf_dir):
+    """D3: deployments inside each question's resolved window."""
+    sig, services = _services(spark, sf_dir)
+    q = resolved_questions(spark, sf_dir, sig, services)
+    dep = sig.where(F.col("event_type") == "deployment").select("event_id", "occurred_at", "event_date")
+    b = q.where(R.valid_window(F.col("window_start"), F.col("window_end"))).select(
+        "qid", "window_start", "window_end",
+        F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))).alias("event_date"))
+    j = dep.join(b, [dep.event_date == b.event_date, dep.occurred_at.between(b.window_start, b.window_end)])
+    return j.select("qid", "event_id")
+
+
+def correlation_groups(spark, sf_dir):
+    """D4."""
+    return D.correlation_groups(T.signals(spark, sf_dir))
+
+
 REGISTERED = {
     "signals_view": signals_view,
+    "normalise_log": normalise_log_q,
+    "ingest_validate": ingest_validate,
+    "ingest_dedup": ingest_dedup,
+    "ingest_new_rows": ingest_new_rows,
+    "ingest_counts": ingest_counts,
+    "embed_unit_norm": embed_unit_norm,
+    "parse_questions": parse_questions,
+    "resolve_request": resolve_request,
+    "rewrite_query": rewrite_query_q,
+    "service_registry": service_registry,
+    "analytical_gate": analytical_gate,
+    "incident_signal": incident_signal_q,
     "hybrid_search": hybrid_search,
+    "vector_topk": vector_topk,
+    "candidate_stats": candidate_stats,
+    "no_data_questions": no_data_questions,
+    "rerank_scores": rerank_scores,
+    "rerank_topk": rerank_topk,
+    "rerank_fallback": rerank_fallback,
+    "rerank_stats": rerank_stats,
+    "strong_weak": strong_weak,
+    "investigation_counts": investigation_counts,
+    "key_signals": key_signals,
+    "section_timeline": section_timeline,
+    "assemble_context": assemble_context,
+    "ask_answers": ask_answers,
+    "sources_array": sources_array,
+    "judge_prompt": judge_prompt,
+    "parse_judge": parse_judge_q,
+    "quality_summary": quality_summary,
+    "eval_results": eval_results,
+    "eval_by_category": eval_by_category,
+    "eval_overall": eval_overall,
+    "eval_summary": eval_summary,
+    "latency_percentiles": latency_percentiles,
+    "events_before": events_before,
+    "service_timeline": service_timeline,
+    "deployments_in_window": deployments_in_window,
+    "correlation_groups": correlation_groups,
 }

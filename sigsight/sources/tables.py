@@ -104,8 +104,11 @@ EXPLICIT_WINDOW_PHRASES = [0, 6, 14]
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per user turn: (qid, question, category, asked_at, start_time?, end_time?, qvec_id, qvec)."""
-    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    ev = table(spark, sf_dir, "events").select("event_id", "ts")
+    allconv = table(spark, sf_dir, "conversations")
+    conv = allconv.where(F.col("role") == "user")
+    reply = allconv.where(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("r_conv"), (F.col("turn") - 1).alias("r_turn"), F.col("text").alias("reply"))
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "value")
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n_ev = ev.count()
     n_vecs = vecs.count()
@@ -116,6 +119,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.replace(F.replace(phrase, F.lit("{svc_sp}"), F.replace(svc, F.lit("-"), F.lit(" "))),
                                F.lit("{svc}"), svc), F.lit("{text}"), F.col("text"))
     q = conv.select(
+        "conv_id", "turn",
         (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
         text.alias("question"),
         _pick([c for _, c in QUESTION_PHRASES], idx).alias("category"),
@@ -124,6 +128,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(F.col("conv_id") * 31 + F.col("turn"), F.lit(n_vecs)).alias("qvec_id"),
     )
     q = (q.join(ev, q.ask_event == ev.event_id).join(vecs, q.qvec_id == vecs.vec_id)
+          .join(reply, (q.conv_id == reply.r_conv) & (q.turn == reply.r_turn), "left")
           .withColumnRenamed("ts", "asked_at").withColumnRenamed("embedding", "qvec"))
     explicit = F.col("phrase_idx").isin(EXPLICIT_WINDOW_PHRASES)
     return q.select(
@@ -131,6 +136,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(explicit, F.timestamp_add("MINUTE", F.lit(-90), F.col("asked_at"))).alias("start_time"),
         F.when(explicit, F.col("asked_at")).alias("end_time"),
         "qvec_id", "qvec",
+        F.coalesce(F.col("reply"), F.lit("")).alias("llm_answer"),
+        F.round(F.col("value") * 40.0, 1).alias("latency_ms"),
     )
 
 
