@@ -93,6 +93,11 @@ def section_events(final: DataFrame, qid: str = "qid") -> DataFrame:
     return ex.withColumn("block", block).drop("_budget")  # _first marks a hit's first section row
 
 
+def _in_section(idx: int):
+    # One-parameter lambda: PySpark reads a second parameter as the element index.
+    return lambda b: b["section"] == idx
+
+
 def assemble_context(q: DataFrame, final: DataFrame, qid: str = "qid", query_col: str = "rewritten_query",
                      confidence_col: str = "confidence") -> DataFrame:
     """P10: (qid, context, prompt) for every question of ``q``; fixed text when it has no hits."""
@@ -106,7 +111,7 @@ def assemble_context(q: DataFrame, final: DataFrame, qid: str = "qid", query_col
     )
     parts = []
     for idx, (heading, _) in enumerate(C.SECTIONS):
-        sel = F.transform(F.filter(F.col("_blocks"), lambda b, i=idx: b["section"] == i), lambda b: b["block"])
+        sel = F.transform(F.filter(F.col("_blocks"), _in_section(idx)), lambda b: b["block"])
         parts.append(F.when(F.size(sel) > 0, F.concat(F.lit(heading + "\n\n"), F.array_join(sel, "\n\n"))))
     context_section = F.concat_ws("\n\n", *parts)
     key_lines = F.transform(F.col("_keys"), lambda k: k["key_line"])

@@ -354,9 +354,10 @@ _akeys AS (
   FROM _akeys0 WHERE any_hi AND ((hi AND sev_pos <= 2) OR sem_pos = 1)
 ),
 _asec0 AS (
-  SELECT f.*, s.section, s.section = list_min(secs) AS first_sec,
-    greatest({C.MIN_CHARS_PER_EVENT}, {C.MAX_CONTEXT_CHARS} // count(*) OVER (PARTITION BY f.qid)) AS budget
-  FROM (SELECT f.*, list_filter([CASE WHEN {_high('f.severity')} THEN 0 END,
+  SELECT f.*, s.section, s.section = list_min(secs) AS first_sec
+  FROM (SELECT f.*,
+          greatest({C.MIN_CHARS_PER_EVENT}, {C.MAX_CONTEXT_CHARS} // count(*) OVER (PARTITION BY f.qid)) AS budget,
+          list_filter([CASE WHEN {_high('f.severity')} THEN 0 END,
                                  CASE WHEN coalesce(f.event_type = 'deployment', false) THEN 1 END,
                                  CASE WHEN NOT {_high('f.severity')} AND NOT coalesce(f.event_type = 'deployment', false)
                                       THEN 2 END], lambda x: x IS NOT NULL) AS secs
