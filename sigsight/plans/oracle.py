@@ -82,7 +82,7 @@ questions AS (
     CASE WHEN q.phrase_idx IN {_EXPLICIT} THEN e.ts END AS end_time,
     q.qvec_id, v.embedding AS qvec,
     coalesce(a.text, '') AS llm_answer,
-    round(e.value * 40.0, 1) AS latency_ms
+    e.value * 37.3 AS latency_ms
   FROM _q0 q JOIN events e ON e.event_id = q.ask_event
   JOIN embeddings v ON v.vec_id = q.qvec_id
   LEFT JOIN conversations a ON a.role = 'assistant' AND a.conv_id = q.conv_id AND a.turn = q.turn + 1

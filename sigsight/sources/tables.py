@@ -137,7 +137,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(explicit, F.col("asked_at")).alias("end_time"),
         "qvec_id", "qvec",
         F.coalesce(F.col("reply"), F.lit("")).alias("llm_answer"),
-        F.round(F.col("value") * 40.0, 1).alias("latency_ms"),
+        (F.col("value") * 37.3).alias("latency_ms"),
     )
 
 
