@@ -17,29 +17,75 @@ from sigsight import config as C
 
 # ── I4: log-line cleaning (8 ordered steps) ──────────────────────────────────
 
-_TS_BRACKETED = r"(?U)\[\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[^\]]*\]\s*"
+# Python's \s (str.isspace) = Java's (?U)\s plus \x1c-\x1f; \S is its complement.
+_S = r"[\s\x1c-\x1f]"
+_NS = r"[^\s\x1c-\x1f]"
+_TS_BRACKETED = r"(?U)\[\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[^\]]*\]" + _S + "*"
 # First bare timestamp anywhere (only the first occurrence is removed).
 _TS_BARE_FIRST = (r"(?sU)^(.*?)(?:\d{4}-\d{2}-\d{2}"
-                  r"(?:[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?)?\s*)")
-_LEVEL_PREFIX = r"(?iU)^\[?(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL|FATAL)\]?\s*"
-_PID = r"(?iU)\[?pid[=:\s]\d+\]?"
-_THREAD = r"(?iU)\[[\w.\-]+-\d+\]|\bthread[=:\s]\S+"
+                  r"(?:[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?)?" + _S + "*)")
+_LEVEL_PREFIX = r"(?iU)^\[?(TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|CRITICAL|FATAL)\]?" + _S + "*"
+_PID = r"(?iU)\[?pid[=:\s\x1c-\x1f]\d+\]?"
+_THREAD = r"(?iU)\[[\w.\-]+-\d+\]|\bthread[=:\s\x1c-\x1f]" + _NS + "+"
 _HEX_ADDR = r"(?U)\b0x[0-9a-fA-F]{4,}\b"
 _UUID = r"(?iU)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
-_SPACES = r"(?U)\s+"
+_SPACES = "(?U)" + _S + "+"
+
+
+def _guarded(t: Column, pattern: str, replacement: str, guard: Column) -> Column:
+    """``regexp_replace`` only where a cheap literal test says the pattern can match."""
+    return F.when(guard, F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+
+def _has(t: Column, s: str) -> Column:
+    return F.contains(t, F.lit(s))
+
+
+def _has_ci(t: Column, s: str) -> Column:
+    return F.contains(F.lower(t), F.lit(s))
+
+
+_STEPS = [
+    # (pattern, replacement, guard on the current text — implied by any match of the pattern)
+    (_TS_BRACKETED, "", lambda t: _has(t, "[")),
+    (_TS_BARE_FIRST, "$1", lambda t: _has(t, "-")),
+    (_LEVEL_PREFIX, "", None),
+    # The two letters that fold to "i" under Unicode case-insensitive matching are admitted too.
+    (_PID, "", lambda t: _has_ci(t, "pid") | _has(t, "\u0130") | _has(t, "\u0131")),
+    (_THREAD, "", lambda t: _has(t, "]") | _has_ci(t, "thread")),
+    (_HEX_ADDR, "", lambda t: _has(t, "0x")),
+    (_UUID, "", lambda t: _has(t, "-")),
+]
 
 
 def normalise_log(raw: Column) -> Column:
     """Strip timing noise from a log line; fall back to the raw text if nothing is left."""
-    t = F.regexp_replace(raw, _TS_BRACKETED, "")
-    t = F.regexp_replace(t, _TS_BARE_FIRST, "$1")
-    t = F.regexp_replace(t, _LEVEL_PREFIX, "")
-    for pattern in (_PID, _THREAD, _HEX_ADDR, _UUID):
-        t = F.regexp_replace(t, pattern, "")
+    t = raw
+    for pattern, rep, _ in _STEPS:
+        t = F.regexp_replace(t, pattern, rep)
     t = F.trim(F.regexp_replace(t, _SPACES, " "))
     return F.when(t == "", raw).otherwise(t)
 
 
+def with_normalised_log(df, src: str = "content", out: str = "normalised"):
+    """``normalise_log`` as chained projections, each pass skipped where its guard fails.
+
+    Same result as ``normalise_log``; one projection per step keeps the
+    expression tree linear (a non-cheap expression used twice is not inlined
+    by the optimizer), and most texts skip most regex passes.
+    """
+    prev = src
+    tmp = []
+    for i, (pattern, rep, guard) in enumerate(_STEPS):
+        name = f"_nl{i}"
+        c = F.col(prev)
+        df = df.withColumn(name, _guarded(c, pattern, rep, guard(c)) if guard else F.regexp_replace(c, pattern, rep))
+        tmp.append(name)
+        prev = name
+    t = F.trim(F.regexp_replace(F.col(prev), _SPACES, " "))
+    return df.withColumn(out, F.when(t == "", F.col(src)).otherwise(t)).drop(*tmp)
+
+
 # ── Q1: query normalisation ──────────────────────────────────────────────────
 
 _QUERY_PUNCT = r"""[?!.,;:()\[\]{}'"\\]"""
@@ -68,12 +114,12 @@ def classify_query(q: Column) -> Column:
 
 def _py_strip(c: Column) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, "(?U)^" + _S + "+|" + _S + "+$", "")
 
 
 def rewrite_query(q: Column) -> Column:
     s = _py_strip(q)
-    words = F.size(F.filter(F.split(s, r"(?U)\s+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(s, _SPACES), lambda w: w != ""))
     lowered = F.lower(s)
     has_marker = F.contains(s, F.lit("?")) | reduce(
         lambda a, b: a | b, [F.startswith(lowered, F.lit(p)) for p in C.REWRITE_PREFIXES])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sigsight import config as C
 from sigsight.functions.judge import judge_prompt as judge_prompt_col
 from sigsight.functions.judge import low_groundedness, parse_judge
-from sigsight.functions.text import (incident_signal, is_no_data_answer, normalise_log, rewrite_query)
+from sigsight.functions.text import incident_signal, is_no_data_answer, rewrite_query, with_normalised_log
 from sigsight.operators import access as D
 from sigsight.operators import analytics as A
 from sigsight.operators import context as P
@@ -47,8 +47,8 @@ def signals_view(spark, sf_dir):
 
 def normalise_log_q(spark, sf_dir):
     """I4 over every stored content (whole texts)."""
-    sig = T.signals(spark, sf_dir)
-    return sig.select("id", normalise_log(F.col("content")).alias("normalised"))
+    sig = T.signals(spark, sf_dir).select("id", "content")
+    return with_normalised_log(sig, "content", "normalised").select("id", "normalised")
 
 
 def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
