@@ -32,6 +32,15 @@ def registry_list(registry: DataFrame) -> list[str]:
     return [r.service for r in sorted(rows, key=lambda r: r.ord)]
 
 
+def registry_from_events(events: DataFrame) -> list[str]:
+    """Q6 in one job: distinct services (partial aggregate, size-checked), name order, static fallback."""
+    rows = (events.where(F.col("service").isNotNull()).select("service").distinct()
+            .limit(C.REGISTRY_LIMIT + 1).collect())
+    if len(rows) > C.REGISTRY_LIMIT:
+        raise ValueError(f"service registry exceeds {C.REGISTRY_LIMIT} names")
+    return sorted(r.service for r in rows) or list(C.STATIC_SERVICES)
+
+
 def extract_service(question: Column, services: list[str]) -> Column:
     """Q7: first registry service whose hyphen-free form occurs in the normalised question."""
     q = normalize_query(question)

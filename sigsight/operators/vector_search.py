@@ -11,13 +11,14 @@ computes similarities a batch at a time:
   ``mapInArrow``; each Arrow batch is matched only against the questions
   whose window overlaps the batch's time range, with one BLAS matmul per
   question chunk;
-* each batch emits, per question, its k best candidates plus every row
-  within ``MARGIN`` of the k-th (a superset: BLAS may order equal vectors
-  differently in the last bit);
-* for those survivors only, the exact cosine is recomputed JVM-side with the
-  same sequential expression the join path and the SQL oracle use, and the
-  final ``row_number()`` over ``(cos desc, event_id)`` picks the k;
-* payload columns are joined back for the survivors only.
+* BLAS selects, per question, the rows within ``MARGIN`` of the k-th best
+  (a superset: BLAS may order equal vectors differently in the last bit);
+* for those rows only the cosine is recomputed with the sequential
+  left-to-right sums of the SQL expression (``vectors.dot``/``norm``), which
+  gives bit-identical values, and the batch emits its k best plus every
+  exact tie with the k-th;
+* the final ``row_number()`` over ``(cos desc, event_id)`` picks the k and
+  payload columns are joined back for those rows only.
 
 Task memory is bounded by the Arrow batch size × question chunk, not by any
 group size, so a hot day or hot service does not concentrate work.
@@ -30,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigsight.functions.vectors import cosine_from_parts, dot, norm, similarity_score
+from sigsight.functions.vectors import similarity_score
 
 Q_CHUNK = 512
 MARGIN = 1e-9
 QUESTION_BYTES_BUDGET = 256 * 1024 * 1024
+MAX_DIM = 1024
 
 _OUT_SCHEMA = "qid long, event_id string, event_date date, cos double"
 
@@ -65,11 +67,11 @@ def _question_side(q: DataFrame, qid: str, qvec: str, start: str, end: str, serv
     n = side.count()
     if n == 0:
         return {"n": 0}
-    sample = side.select(F.size("qvec").alias("d")).first()
-    est = n * (max(sample.d or 0, 1) * 8 + 128)
-    if est > QUESTION_BYTES_BUDGET:
+    # Size bound before anything reaches the driver: vectors of at most MAX_DIM doubles.
+    if n * (MAX_DIM * 8 + 128) > QUESTION_BYTES_BUDGET:
         return None
     t = side.toArrow()
+    n = t.num_rows
     qids = t.column("qid").to_numpy()
     mat = _vectors(t.column("qvec"), n)
     norms = np.sqrt((mat * mat).sum(axis=1))
@@ -82,6 +84,22 @@ def _question_side(q: DataFrame, qid: str, qvec: str, start: str, end: str, serv
             "end": en[order], "service": [svc[i] for i in order], "types": [types[i] for i in order]}
 
 
+def _seq_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise dot products summed left to right (the order of the SQL ``aggregate``)."""
+    acc = np.zeros(a.shape[0])
+    for i in range(a.shape[1]):
+        acc = acc + a[:, i] * b[:, i]
+    return acc
+
+
+def _exact_cos(e: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosine of row pairs, bit-identical to ``cosine_from_parts(dot, norm, norm)``; NaN for zero norms."""
+    d = _seq_dot(e, q)
+    denom = np.sqrt(_seq_dot(q, q)) * np.sqrt(_seq_dot(e, e))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(denom > 0, np.maximum(-1.0, np.minimum(1.0, d / denom)), np.nan)
+
+
 def _make_batch_fn(bc, k: int):
     def fn(batches):
         side = bc.value
@@ -120,8 +138,12 @@ def _make_batch_fn(bc, k: int):
                     tl = side["types"][qj]
                     if tl:
                         ok[:, j] &= np.isin(e_type, np.array(tl, dtype=object))
-                for j, qj in enumerate(qi):
-                    rows = np.nonzero(ok[:, j])[0]
+                # Candidate rows per question from one nonzero over the transposed mask.
+                cols, rws = np.nonzero(ok.T)
+                bounds = np.searchsorted(cols, np.arange(len(qi) + 1))
+                pair_j, pair_r = [], []
+                for j in range(len(qi)):
+                    rows = rws[bounds[j]:bounds[j + 1]]
                     if rows.size == 0:
                         continue
                     c = cos[rows, j]
@@ -129,13 +151,31 @@ def _make_batch_fn(bc, k: int):
                     if valid.sum() > k:
                         cv = c[valid]
                         kth = np.partition(cv, cv.size - k)[cv.size - k]
-                        keep = rows[valid][cv >= kth - MARGIN]
+                        rows = rows[valid][cv >= kth - MARGIN]
+                    # else: fewer than k real scores — every row (null scores included) may rank.
+                    pair_j.append(np.full(rows.size, j))
+                    pair_r.append(rows)
+                if not pair_r:
+                    continue
+                pj, pr = np.concatenate(pair_j), np.concatenate(pair_r)
+                exact = _exact_cos(emb[pr], side["mat"][qi[pj]])
+                seg = np.searchsorted(pj, np.arange(len(qi) + 1))
+                for j in range(len(qi)):
+                    lo_i, hi_i = seg[j], seg[j + 1]
+                    if lo_i == hi_i:
+                        continue
+                    ex = exact[lo_i:hi_i]
+                    ev_ok = ~np.isnan(ex)
+                    if ev_ok.sum() > k:
+                        xv = ex[ev_ok]
+                        kth_x = np.partition(xv, xv.size - k)[xv.size - k]
+                        keep_mask = ev_ok & (ex >= kth_x)
                     else:
-                        # Fewer than k real scores: keep them all plus the null-score rows.
-                        keep = rows
-                    out_q.append(np.full(keep.size, side["qid"][qj], dtype=np.int64))
+                        keep_mask = np.ones(hi_i - lo_i, dtype=bool)
+                    keep = pr[lo_i:hi_i][keep_mask]
+                    out_q.append(np.full(keep.size, side["qid"][qi[j]], dtype=np.int64))
                     out_i.append(keep)
-                    out_c.append(cos[keep, j])
+                    out_c.append(ex[keep_mask])
             if not out_q:
                 continue
             idx = np.concatenate(out_i)
@@ -166,14 +206,10 @@ def arrow_topk(q: DataFrame, events: DataFrame, k: int, qid: str, qvec: str, sta
     # Static bounds from the question side: Parquet skips row groups / date partitions outside them.
     narrow = narrow.where(F.col("occurred_at").between(
         F.timestamp_micros(F.lit(lo)).cast("timestamp_ntz"), F.timestamp_micros(F.lit(hi)).cast("timestamp_ntz")))
-    partial = narrow.mapInArrow(_make_batch_fn(bc, k), _OUT_SCHEMA).drop("cos")
-    qv = q.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("_qvec"))
-    body = events.select(*payload, "event_date", "embedding")
-    exact = (partial.join(body, ["event_id", "event_date"]).join(qv, "qid")
-             .withColumn("cos", cosine_from_parts(dot(F.col("_qvec"), F.col("embedding")),
-                                                  norm(F.col("_qvec")), norm(F.col("embedding"))))
-             .drop("_qvec", "embedding"))
+    partial = narrow.mapInArrow(_make_batch_fn(bc, k), _OUT_SCHEMA)
     w = Window.partitionBy("qid").orderBy(F.col("cos").desc_nulls_last(), F.col("event_id"))
-    return (exact.withColumn("sim_rank", F.row_number().over(w)).where(F.col("sim_rank") <= k)
-                 .withColumn("similarity_score", similarity_score(F.col("cos")))
-                 .withColumnRenamed("qid", qid))
+    top = partial.withColumn("sim_rank", F.row_number().over(w)).where(F.col("sim_rank") <= k)
+    body = events.select(*payload, "event_date")
+    return (top.join(body, ["event_id", "event_date"])
+               .withColumn("similarity_score", similarity_score(F.col("cos")))
+               .withColumnRenamed("qid", qid))

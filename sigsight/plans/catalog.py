@@ -28,7 +28,7 @@ from sigsight.sources import tables as T
 
 def _services(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     sig = T.signals(spark, sf_dir)
-    return sig, Q.registry_list(Q.service_registry(sig))
+    return sig, Q.registry_from_events(sig)
 
 
 def resolved_questions(spark: SparkSession, sf_dir: str, sig: DataFrame | None = None,
@@ -308,8 +308,10 @@ def _eval_inputs(spark, sf_dir):
     bounds = T.table(spark, sf_dir, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     ws, we = M.eval_window(F.col("category"), F.col("start_time"), F.col("end_time"),
                            F.lit(bounds.lo), F.lit(bounds.hi))
-    eq = q.withColumn("route", M.route(F.col("category"), F.col("start_time"), F.col("end_time"))) \
-          .withColumn("start_time", ws).withColumn("end_time", we)
+    # One projection: both bounds must read the original start_time.
+    keep = [c for c in q.columns if c not in ("start_time", "end_time")]
+    eq = q.select(*keep, M.route(F.col("category"), F.col("start_time"), F.col("end_time")).alias("route"),
+                  ws.alias("start_time"), we.alias("end_time"))
     to_ask = eq.where(F.col("route") == "score")
     out = ask(to_ask, sig, services, answer_col="llm_answer")
     # Ground truth: events of the question's own (narrow) window and service sharing its vector label.
