@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigsight import config as C
 from sigsight.functions.text import classify_query, normalize_query, rewrite_query
 from sigsight.functions.windows import time_window_narrow, time_window_wide
+from sigsight.operators.ranking import ranked_within
 
 
 def service_registry(events: DataFrame) -> DataFrame:
@@ -18,7 +19,8 @@ def service_registry(events: DataFrame) -> DataFrame:
     """
     live = events.where(F.col("service").isNotNull()).select("service").distinct()
     if live.limit(1).count() > 0:
-        return live.select("service", F.rank().over(Window.orderBy("service")).alias("ord"))
+        # Distinct names are unique, so the scan-order rank is the name rank.
+        return ranked_within(live, "service", []).select("service", F.col("_rank").cast("int").alias("ord"))
     spark = events.sparkSession
     return spark.createDataFrame([(s, i + 1) for i, s in enumerate(C.STATIC_SERVICES)],
                                  "service string, ord int")

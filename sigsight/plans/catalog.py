@@ -57,7 +57,7 @@ def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = T.table(spark, sf_dir, "events")
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
     n_docs = docs.count()
-    j = ev.join(docs, F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
+    j = ev.join(docs.hint("shuffle_hash"), F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
     et = F.col("event_type")
     svc = T.service_of(F.col("user_id"))
     content = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z] pid="),

@@ -47,7 +47,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n_docs = docs.count()
     n_vecs = vecs.count()
-    j = (ev.join(docs, F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
+    # Both tables grow with the data: shuffle-join them on the document key (this also
+    # spreads the text work over all shuffle partitions instead of the input splits).
+    j = (ev.join(docs.hint("shuffle_hash"), F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
            .join(vecs, F.pmod(ev.event_id, F.lit(n_vecs)) == vecs.vec_id))
     et = F.col("event_type")
     event_type = (F.when(et == "signup", "deployment").when(et == "purchase", "alert")
