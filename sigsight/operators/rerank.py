@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigsight import config as C
+from sigsight.functions.numeric import exact_mean, exact_mean_parts
 
 _TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -96,12 +97,12 @@ def rerank_stats(final: DataFrame, qid: str = "qid") -> DataFrame:
     agg = final.groupBy(qid).agg(
         F.count(F.lit(1)).alias("n_final"),
         F.count(s).alias("n_scored"),
-        F.avg(s).alias("_avg"), F.min(s).alias("_min"), F.max(s).alias("_max"),
+        exact_mean_parts(s, 4)[0].alias("_u"), F.min(s).alias("_min"), F.max(s).alias("_max"),
         F.bool_and(F.coalesce(s <= C.RERANK_THRESHOLD, F.lit(False))).alias("all_below_threshold"),
     )
     return agg.select(
         qid, "n_final", "n_scored",
-        F.when(F.col("n_scored") > 0, F.round("_avg", 4)).otherwise(nan).alias("avg_rerank"),
+        F.when(F.col("n_scored") > 0, exact_mean("_u", "n_scored", 4)).otherwise(nan).alias("avg_rerank"),
         F.when(F.col("n_scored") > 0, F.round("_min", 4)).otherwise(nan).alias("min_rerank"),
         F.when(F.col("n_scored") > 0, F.round("_max", 4)).otherwise(nan).alias("max_rerank"),
         (F.col("all_below_threshold") & (F.col("n_scored") == F.col("n_final"))).alias("all_below_threshold"),

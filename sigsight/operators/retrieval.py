@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sigsight import config as C
 from sigsight.functions.vectors import cosine_from_parts, dot, norm, similarity_score
+from sigsight.functions.numeric import exact_mean, exact_mean_parts
 from sigsight.session import measured_rows
 
 HIT_PAYLOAD = ["id", "event_id", "content", "occurred_at", "service", "event_type", "severity", "metadata"]
@@ -144,8 +145,9 @@ def hybrid_search(q: DataFrame, events: DataFrame, k: int = C.RERANK_TOP_K, qid:
 
 def candidate_stats(q: DataFrame, hits: DataFrame, qid: str = "qid") -> DataFrame:
     """Per question, candidate count and mean similarity (round 4; 0.0 when none)."""
-    agg = hits.groupBy(qid).agg(F.count(F.lit(1)).alias("n_candidates"),
-                                F.round(F.avg("similarity_score"), 4).alias("avg_similarity"))
+    units, n = exact_mean_parts(F.col("similarity_score"), 4)
+    agg = hits.groupBy(qid).agg(F.count(F.lit(1)).alias("n_candidates"), units.alias("_u"), n.alias("_n"))
+    agg = agg.select(qid, "n_candidates", exact_mean("_u", "_n", 4).alias("avg_similarity"))
     return (q.select(qid).join(agg, qid, "left")
              .select(qid, F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
                      F.coalesce("avg_similarity", F.lit(0.0)).alias("avg_similarity")))

@@ -20,21 +20,31 @@ from sigsight.operators import context as P
 from sigsight.operators import questions as Q
 from sigsight.operators import rerank as K
 from sigsight.operators import retrieval as R
+from sigsight.session import cut_lineage
 
 
 def ask(q: DataFrame, events: DataFrame, services: list[str], answer_col: str | None = None,
         scorer: Callable[[Column, Column, Column], Column] | None = K.lexical_scorer,
-        qid: str = "qid", search_method: str = "auto") -> dict[str, DataFrame]:
-    """Run the ask flow; returns ``results`` (one row per question), ``final`` hits and ``candidates``."""
+        qid: str = "qid", search_method: str = "auto", materialize: bool = True) -> dict[str, DataFrame]:
+    """Run the ask flow; returns ``results`` (one row per question), ``final`` hits and ``candidates``.
+
+    ``materialize`` checkpoints the three small shared intermediates (resolved
+    questions, the ≤20 candidates and the ≤5 final hits per question) to the
+    session's shared checkpoint folder, so the search runs once although
+    several branches (stats, tiers, context, answers) read its output.  Their
+    size is bounded by the number of questions, not by the event table.
+    """
+    keep = cut_lineage if materialize else (lambda df: df)
     typed = q.withColumn("query_type", classify_query(F.col("question")))
     open_q = typed.where(F.col("query_type") != "analytical").withColumn(
         "rewritten_query", rewrite_query(F.col("question")))
     resolved = Q.resolve_request(open_q, services, window_mode="narrow")
-    resolved = resolved.withColumn("search_failed", ~R.valid_window(F.col("window_start"), F.col("window_end")))
+    resolved = keep(resolved.withColumn("search_failed",
+                                        ~R.valid_window(F.col("window_start"), F.col("window_end"))))
     cands = R.hybrid_search(resolved, events, k=C.RERANK_TOP_K, qid=qid, method=search_method)
-    cands = cands.join(resolved.select(qid, "rewritten_query"), qid)
+    cands = keep(cands.join(resolved.select(qid, "rewritten_query"), qid))
     stats = R.candidate_stats(resolved, cands, qid)
-    final = K.rerank_topk(K.score_pairs(cands, "rewritten_query", scorer), C.FINAL_TOP_K, qid)
+    final = keep(K.rerank_topk(K.score_pairs(cands, "rewritten_query", scorer), C.FINAL_TOP_K, qid))
     tiered = K.with_confidence(resolved, final, qid).join(stats, qid)
     tiered = tiered.withColumn("confidence", F.when(F.col("search_failed"), F.lit("unknown"))
                                .otherwise(F.col("confidence")))

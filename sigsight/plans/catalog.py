@@ -23,6 +23,7 @@ from sigsight.operators import questions as Q
 from sigsight.operators import rerank as K
 from sigsight.operators import retrieval as R
 from sigsight.plans.ask import ask
+from sigsight.session import cut_lineage
 from sigsight.sources import tables as T
 
 
@@ -332,7 +333,8 @@ def _eval_inputs(spark, sf_dir):
     retrieved = out["final"].select("qid", "rank", "event_id")
     answers = out["results"].select("qid", "confidence")
     res = M.eval_results(eq.select("qid", "category", "route", "latency_ms"), retrieved, gt, answers)
-    return res
+    # One row per question, read by several aggregates: materialise once.
+    return cut_lineage(res)
 
 
 def eval_results(spark, sf_dir):

@@ -314,7 +314,7 @@ _afinal AS (
 _afallback AS (SELECT *, CAST(NULL AS DOUBLE) AS rerank_score0, sim_rank AS rank0 FROM _acand WHERE sim_rank <= {C.FINAL_TOP_K}),
 _astats AS (
   SELECT qid, count(*) AS n_final, count(rerank_score) AS n_scored,
-    CASE WHEN count(rerank_score) > 0 THEN round(avg(rerank_score), 4) ELSE 'NaN'::DOUBLE END AS avg_rerank,
+    CASE WHEN count(rerank_score) > 0 THEN (CASE WHEN sum(CAST(round(rerank_score * 10000) AS BIGINT)) >= 0 THEN (2 * sum(CAST(round(rerank_score * 10000) AS BIGINT)) + count(rerank_score)) // (2 * count(rerank_score)) ELSE -((-2 * sum(CAST(round(rerank_score * 10000) AS BIGINT)) + count(rerank_score)) // (2 * count(rerank_score))) END / 10000.0) ELSE 'NaN'::DOUBLE END AS avg_rerank,
     CASE WHEN count(rerank_score) > 0 THEN round(min(rerank_score), 4) ELSE 'NaN'::DOUBLE END AS min_rerank,
     CASE WHEN count(rerank_score) > 0 THEN round(max(rerank_score), 4) ELSE 'NaN'::DOUBLE END AS max_rerank,
     coalesce(bool_and(coalesce(rerank_score <= {C.RERANK_THRESHOLD}, false)), false)
@@ -323,7 +323,7 @@ _astats AS (
 ),
 _acstats AS (
   SELECT r.qid, coalesce(c.n, 0) AS n_candidates, coalesce(c.a, 0.0) AS avg_similarity
-  FROM _ares r LEFT JOIN (SELECT qid, count(*) AS n, round(avg(similarity_score), 4) AS a FROM _acand GROUP BY qid) c
+  FROM _ares r LEFT JOIN (SELECT qid, count(*) AS n, (CASE WHEN sum(CAST(round(similarity_score * 10000) AS BIGINT)) >= 0 THEN (2 * sum(CAST(round(similarity_score * 10000) AS BIGINT)) + count(similarity_score)) // (2 * count(similarity_score)) ELSE -((-2 * sum(CAST(round(similarity_score * 10000) AS BIGINT)) + count(similarity_score)) // (2 * count(similarity_score))) END / 10000.0) AS a FROM _acand GROUP BY qid) c
   USING (qid)
 ),
 _atier AS (
@@ -682,7 +682,7 @@ ORACLE.update({
     "incident_signal": q(f"""SELECT qid, regexp_matches(question, {_sql_str(C.INCIDENT_WORD_PATTERN)}, 'i')
         OR regexp_matches(question, {_sql_str(C.TIME_WORD_PATTERN)}, 'i') AS incident_signal FROM questions"""),
     "candidate_stats": q("""SELECT r.qid, coalesce(c.n, 0) AS n_candidates, coalesce(c.a, 0.0) AS avg_similarity
-        FROM resolved r LEFT JOIN (SELECT qid, count(*) AS n, round(avg(similarity_score), 4) AS a FROM hits
+        FROM resolved r LEFT JOIN (SELECT qid, count(*) AS n, (CASE WHEN sum(CAST(round(similarity_score * 10000) AS BIGINT)) >= 0 THEN (2 * sum(CAST(round(similarity_score * 10000) AS BIGINT)) + count(similarity_score)) // (2 * count(similarity_score)) ELSE -((-2 * sum(CAST(round(similarity_score * 10000) AS BIGINT)) + count(similarity_score)) // (2 * count(similarity_score))) END / 10000.0) AS a FROM hits
         GROUP BY qid) c USING (qid)""", HITS_CTE),
     "no_data_questions": q("SELECT qid FROM resolved WHERE qid NOT IN (SELECT qid FROM hits)", HITS_CTE),
     "vector_topk": q("""SELECT sim_rank, event_id, similarity_score FROM (
@@ -719,7 +719,7 @@ ORACLE.update({
         "_nev AS (SELECT count(*) AS n FROM events)", QLOG_CTE, parse_judge_sql()),
     "quality_summary": with_views(
         """SELECT (SELECT count(*) FROM query_logs) AS total_queries,
-                  coalesce((SELECT round(avg(latency), 3) FROM query_logs), 0.0) AS avg_latency,
+                  coalesce((SELECT CASE WHEN count(latency) > 0 THEN (CASE WHEN sum(CAST(round(latency * 1000) AS BIGINT)) >= 0 THEN (2 * sum(CAST(round(latency * 1000) AS BIGINT)) + count(latency)) // (2 * count(latency)) ELSE -((-2 * sum(CAST(round(latency * 1000) AS BIGINT)) + count(latency)) // (2 * count(latency))) END / 1000.0) END FROM query_logs), 0.0) AS avg_latency,
                   (SELECT count(*) FROM query_logs WHERE groundedness_score IS NOT NULL AND groundedness_score < 0.5)
                     AS low_groundedness_count,
                   (SELECT count(*) FROM feedback WHERE rating = 'bad') AS bad_feedback_count""",
