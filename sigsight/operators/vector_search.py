@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigsight.config import BROADCAST_ROW_LIMIT
 from sigsight.functions.vectors import similarity_score
 
 Q_CHUNK = 512
@@ -209,6 +210,10 @@ def arrow_topk(q: DataFrame, events: DataFrame, k: int, qid: str, qvec: str, sta
     partial = narrow.mapInArrow(_make_batch_fn(bc, k), _OUT_SCHEMA)
     w = Window.partitionBy("qid").orderBy(F.col("cos").desc_nulls_last(), F.col("event_id"))
     top = partial.withColumn("sim_rank", F.row_number().over(w)).where(F.col("sim_rank") <= k)
+    # At most k rows per measured question: broadcast them so the event payload
+    # streams past without a shuffle (and date partitions of events can be pruned).
+    if side["n"] * k <= BROADCAST_ROW_LIMIT:
+        top = F.broadcast(top)
     body = events.select(*payload, "event_date")
     return (top.join(body, ["event_id", "event_date"])
                .withColumn("similarity_score", similarity_score(F.col("cos")))
