@@ -42,6 +42,14 @@ MAX_DIM = 1024
 _OUT_SCHEMA = "qid long, event_id string, event_date date, cos double"
 
 
+def _ntz_literal(micros: int):
+    """A ``timestamp_ntz`` literal from epoch microseconds, independent of the session time zone."""
+    import datetime as dt
+
+    text = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(micros))).isoformat()
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def _vectors(col: pa.Array, n: int) -> np.ndarray:
     """list<float> Arrow column → (n, d) float64 matrix (rows of unequal length are rejected)."""
     if isinstance(col, pa.ChunkedArray):
@@ -205,8 +213,7 @@ def arrow_topk(q: DataFrame, events: DataFrame, k: int, qid: str, qvec: str, sta
     hi = int(side["end"].max())
     narrow = events.select("event_id", "event_date", "occurred_at", "service", "event_type", "embedding")
     # Static bounds from the question side: Parquet skips row groups / date partitions outside them.
-    narrow = narrow.where(F.col("occurred_at").between(
-        F.timestamp_micros(F.lit(lo)).cast("timestamp_ntz"), F.timestamp_micros(F.lit(hi)).cast("timestamp_ntz")))
+    narrow = narrow.where(F.col("occurred_at").between(_ntz_literal(lo), _ntz_literal(hi)))
     partial = narrow.mapInArrow(_make_batch_fn(bc, k), _OUT_SCHEMA)
     w = Window.partitionBy("qid").orderBy(F.col("cos").desc_nulls_last(), F.col("event_id"))
     top = partial.withColumn("sim_rank", F.row_number().over(w)).where(F.col("sim_rank") <= k)

@@ -7,6 +7,10 @@ sampled, capped or filtered by id.  Their SQL twins are in
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,10 +91,10 @@ def _stored(spark, sf_dir):
     raw = raw_batch(spark, sf_dir)
     good, _ = I.validate(raw)
     prep = I.prepare(good)
-    mid = T.table(spark, sf_dir, "events").agg(
-        (F.unix_micros(F.min("ts").cast("timestamp")) / 2 + F.unix_micros(F.max("ts").cast("timestamp")) / 2)
-        .alias("m"))
-    cut = F.timestamp_micros(F.lit(mid.first().m).cast("long")).cast("timestamp_ntz")
+    b = T.table(spark, sf_dir, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    epoch = dt.datetime(1970, 1, 1)
+    half = ((b.lo - epoch) // dt.timedelta(microseconds=1)) / 2 + ((b.hi - epoch) // dt.timedelta(microseconds=1)) / 2
+    cut = F.lit((epoch + dt.timedelta(microseconds=math.floor(half))).isoformat()).cast("timestamp_ntz")
     return I.dedup_first_wins(prep).where(F.col("occurred_at") < cut)
 
 
@@ -308,7 +312,8 @@ def _eval_inputs(spark, sf_dir):
     q = T.questions(spark, sf_dir)
     bounds = T.table(spark, sf_dir, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     ws, we = M.eval_window(F.col("category"), F.col("start_time"), F.col("end_time"),
-                           F.lit(bounds.lo), F.lit(bounds.hi))
+                           F.lit(bounds.lo.isoformat()).cast("timestamp_ntz"),
+                           F.lit(bounds.hi.isoformat()).cast("timestamp_ntz"))
     # One projection: both bounds must read the original start_time.
     keep = [c for c in q.columns if c not in ("start_time", "end_time")]
     eq = q.select(*keep, M.route(F.col("category"), F.col("start_time"), F.col("end_time")).alias("route"),
@@ -395,6 +400,15 @@ def correlation_groups(spark, sf_dir):
     return D.correlation_groups(T.signals(spark, sf_dir))
 
 
+def utc(fn):
+    """All instants in this library are UTC: pin the session zone for the job."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    return run
+
+
 REGISTERED = {
     "signals_view": signals_view,
     "normalise_log": normalise_log_q,
@@ -437,3 +451,4 @@ REGISTERED = {
     "deployments_in_window": deployments_in_window,
     "correlation_groups": correlation_groups,
 }
+REGISTERED = {k: utc(v) for k, v in REGISTERED.items()}
