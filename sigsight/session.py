@@ -22,6 +22,21 @@ SESSION_DEFAULTS = {
 }
 
 
+# Cluster-mode sizing (not applied to local sessions).  Large shuffles (the
+# stored-table anti-join, the document join of the views, the fallback range
+# join) start from many partitions of ~256 MB; AQE coalesces the small,
+# question-sized shuffles and splits skewed ones.
+CLUSTER_DEFAULTS = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def get_spark(master: str | None = None, app: str = "sigsight",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -29,6 +44,9 @@ def get_spark(master: str | None = None, app: str = "sigsight",
         builder = builder.master(master)
     for k, v in SESSION_DEFAULTS.items():
         builder = builder.config(k, v)
+    if master and not master.startswith("local"):
+        for k, v in CLUSTER_DEFAULTS.items():
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
