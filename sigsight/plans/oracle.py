@@ -749,3 +749,8 @@ ORACLE.update({
             (SELECT {_MEASURES} FROM eval_res)""",
         *EVAL_BASE, _ask_over_eq(), eval_results_sql("")),
 })
+
+# The encoder is Python, but its contract is checkable: every new row gets a 384-dim unit vector.
+ORACLE["embed_unit_norm"] = with_views(
+    f"SELECT event_id, CAST({C.EMBEDDING_DIMENSION} AS INTEGER) AS dim, CAST(1.0 AS DOUBLE) AS norm FROM _new",
+    "_nd AS (SELECT count(*) AS n FROM documents)", RAW_CTE)
