@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from sigsight.config import BROADCAST_ROW_LIMIT
 from sigsight.functions.vectors import similarity_score
+from sigsight.session import cut_lineage
 
 Q_CHUNK = 512
 MARGIN = 1e-9
@@ -72,7 +73,8 @@ def _question_side(q: DataFrame, qid: str, qvec: str, start: str, end: str, serv
         cols.append(F.when(F.size(F.col(event_types)) > 0, F.col(event_types)).alias("types"))
     else:
         cols.append(F.lit(None).cast("array<string>").alias("types"))
-    side = q.where(F.coalesce(F.col(start) < F.col(end), F.lit(False))).select(*cols)
+    # Narrow question columns, computed once (sizing and collecting both read the checkpoint).
+    side = cut_lineage(q.where(F.coalesce(F.col(start) < F.col(end), F.lit(False))).select(*cols))
     n = side.count()
     if n == 0:
         return {"n": 0}
