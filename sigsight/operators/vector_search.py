@@ -215,7 +215,8 @@ def arrow_topk(q: DataFrame, events: DataFrame, k: int, qid: str, qvec: str, sta
     hi = int(side["end"].max())
     narrow = events.select("event_id", "event_date", "occurred_at", "service", "event_type", "embedding")
     # Static bounds from the question side: Parquet skips row groups / date partitions outside them.
-    narrow = narrow.where(F.col("occurred_at").between(_ntz_literal(lo), _ntz_literal(hi)))
+    narrow = narrow.where(F.col("event_date").between(F.to_date(_ntz_literal(lo)), F.to_date(_ntz_literal(hi)))
+                          & F.col("occurred_at").between(_ntz_literal(lo), _ntz_literal(hi)))
     partial = narrow.mapInArrow(_make_batch_fn(bc, k), _OUT_SCHEMA)
     w = Window.partitionBy("qid").orderBy(F.col("cos").desc_nulls_last(), F.col("event_id"))
     top = partial.withColumn("sim_rank", F.row_number().over(w)).where(F.col("sim_rank") <= k)
