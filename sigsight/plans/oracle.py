@@ -583,8 +583,8 @@ _gt AS (
 )"""
 
 
-def eval_results_sql(ask_sql: str) -> str:
-    """Eval rows; ``ask_sql`` is the ask CTE chain applied to the routed questions."""
+def eval_results_sql() -> str:
+    """Eval rows over the ask chain applied to the routed questions (``_ask_over_eq``)."""
     return f"""
 _er0 AS (
   SELECT e.qid, e.category, e.route, e.latency_ms, a.confidence,
@@ -735,19 +735,19 @@ ORACLE.update({
         max(occurred_at) AS last_at, count(DISTINCT service) AS n_services FROM signals
         WHERE correlation_id IS NOT NULL GROUP BY correlation_id"""),
     "eval_results": with_views("SELECT qid, category, status, recall_at_5, mrr, refusal_correct, latency_ms "
-                               "FROM eval_res", *EVAL_BASE, _ask_over_eq(), eval_results_sql("")),
+                               "FROM eval_res", *EVAL_BASE, _ask_over_eq(), eval_results_sql()),
     "eval_by_category": with_views(f"SELECT category, {_MEASURES} FROM eval_res GROUP BY category",
-                                   *EVAL_BASE, _ask_over_eq(), eval_results_sql("")),
+                                   *EVAL_BASE, _ask_over_eq(), eval_results_sql()),
     "eval_overall": with_views(
         f"SELECT * FROM (SELECT {_MEASURES} FROM eval_res) a, "
         f"({_pct_sql('(SELECT * FROM eval_res WHERE status = ' + chr(39) + 'scored' + chr(39) + ')', 'latency_ms', None)}) b",
-        *EVAL_BASE, _ask_over_eq(), eval_results_sql("")),
+        *EVAL_BASE, _ask_over_eq(), eval_results_sql()),
     "eval_summary": with_views(
         f"""SELECT category, total AS n, mean_recall_at_5, mean_mrr, refusal_accuracy FROM
             (SELECT category, {_MEASURES} FROM eval_res GROUP BY category)
             UNION ALL SELECT 'overall', scored, mean_recall_at_5, mean_mrr, refusal_accuracy FROM
             (SELECT {_MEASURES} FROM eval_res)""",
-        *EVAL_BASE, _ask_over_eq(), eval_results_sql("")),
+        *EVAL_BASE, _ask_over_eq(), eval_results_sql()),
 })
 
 # The encoder is Python, but its contract is checkable: every new row gets a 384-dim unit vector.
