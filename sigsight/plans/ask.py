@@ -25,7 +25,8 @@ from sigsight.session import cut_lineage
 
 def ask(q: DataFrame, events: DataFrame, services: list[str], answer_col: str | None = None,
         scorer: Callable[[Column, Column, Column], Column] | None = K.lexical_scorer,
-        qid: str = "qid", search_method: str = "auto", materialize: bool = True) -> dict[str, DataFrame]:
+        qid: str = "qid", search_method: str = "auto", materialize: bool = True,
+        event_types_col: str | None = None) -> dict[str, DataFrame]:
     """Run the ask flow; returns ``results`` (one row per question), ``final`` hits and ``candidates``.
 
     ``materialize`` checkpoints the three small shared intermediates (resolved
@@ -41,7 +42,9 @@ def ask(q: DataFrame, events: DataFrame, services: list[str], answer_col: str |
     resolved = Q.resolve_request(open_q, services, window_mode="narrow")
     resolved = keep(resolved.withColumn("search_failed",
                                         ~R.valid_window(F.col("window_start"), F.col("window_end"))))
-    cands = R.hybrid_search(resolved, events, k=C.RERANK_TOP_K, qid=qid, method=search_method)
+    # event_types_col: optional array<string> whitelist per question (empty or null = no filter).
+    cands = R.hybrid_search(resolved, events, k=C.RERANK_TOP_K, qid=qid, method=search_method,
+                            event_types=event_types_col)
     cands = keep(cands.join(resolved.select(qid, "rewritten_query"), qid))
     stats = R.candidate_stats(resolved, cands, qid)
     final = keep(K.rerank_topk(K.score_pairs(cands, "rewritten_query", scorer), C.FINAL_TOP_K, qid))

@@ -66,3 +66,17 @@ def test_event_type_whitelist(spark):
         hits = R.hybrid_search(q, sig, event_types="types", method=method).select("event_type").distinct().collect()
         assert {r.event_type for r in hits} <= {"alert", "deployment"}
     assert C.RERANK_TOP_K == 20
+
+
+def test_ask_with_event_type_whitelist(spark):
+    from sigsight.plans.ask import ask
+
+    sig, services = catalog._services(spark, SF_SMALL)
+    q = T.questions(spark, SF_SMALL).withColumn("types", F.array(F.lit("deployment")))
+    out = ask(q, sig, services, answer_col="llm_answer", event_types_col="types", materialize=False)
+    types = {r.event_type for r in out["final"].select("event_type").distinct().collect()}
+    assert types <= {"deployment"}
+    empty = T.questions(spark, SF_SMALL).withColumn("types", F.array().cast("array<string>"))
+    out2 = ask(empty, sig, services, answer_col="llm_answer", event_types_col="types", materialize=False)
+    base = ask(T.questions(spark, SF_SMALL), sig, services, answer_col="llm_answer", materialize=False)
+    assert out2["final"].count() == base["final"].count()  # an empty whitelist means no filter
