@@ -193,7 +193,7 @@ _pairs AS (
 ),
 hits AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC NULLS LAST, event_id) AS sim_rank,
+    SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY cos DESC NULLS LAST, event_id) AS INTEGER) AS sim_rank,
            round(1.0 - (1.0 - cos), 4) AS similarity_score
     FROM _pairs) WHERE sim_rank <= {C.RERANK_TOP_K}
 )"""
@@ -300,7 +300,7 @@ _apairs AS (
 ),
 _acand AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC NULLS LAST, event_id) AS sim_rank,
+    SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY cos DESC NULLS LAST, event_id) AS INTEGER) AS sim_rank,
            round(1.0 - (1.0 - cos), 4) AS similarity_score,
            '[' || upper(coalesce(nullif(severity, ''), event_type)) || '] ' || content AS pair_text
     FROM _apairs) WHERE sim_rank <= {C.RERANK_TOP_K}
@@ -308,7 +308,7 @@ _acand AS (
 _ascored AS (SELECT a.*, {_LEXICAL} AS rerank_score FROM _acand a),
 _afinal AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC NULLS LAST, sim_rank) AS rank
+    SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC NULLS LAST, sim_rank) AS INTEGER) AS rank
     FROM _ascored) WHERE rank <= {C.FINAL_TOP_K}
 ),
 _afallback AS (SELECT *, CAST(NULL AS DOUBLE) AS rerank_score0, sim_rank AS rank0 FROM _acand WHERE sim_rank <= {C.FINAL_TOP_K}),
@@ -347,7 +347,7 @@ _akeys0 AS (
 ),
 _akeys AS (
   SELECT qid, rank,
-    CASE WHEN hi AND sev_pos <= 2 THEN sev_pos WHEN sem_pos = 1 THEN 3 END AS key_order,
+    CAST(CASE WHEN hi AND sev_pos <= 2 THEN sev_pos WHEN sem_pos = 1 THEN 3 END AS INTEGER) AS key_order,
     CASE WHEN hi AND sev_pos <= 2 THEN '- [' || upper(severity) || '] '
          WHEN sem_pos = 1 THEN '- [TOP MATCH] ' END
       || service || ' @ ' || {utc_second_sql('occurred_at')} || ': ' || substring(content, 1, 120) AS key_line
@@ -365,7 +365,7 @@ _asec0 AS (
 ),
 _asec AS (
   SELECT qid, rank, section, first_sec,
-    row_number() OVER (PARTITION BY qid, section ORDER BY occurred_at, rank) AS section_pos,
+    CAST(row_number() OVER (PARTITION BY qid, section ORDER BY occurred_at, rank) AS INTEGER) AS section_pos,
     occurred_at, service, event_type, severity, content, budget,
     coalesce(rerank_score, similarity_score) AS score
   FROM _asec0
@@ -686,7 +686,7 @@ ORACLE.update({
         GROUP BY qid) c USING (qid)""", HITS_CTE),
     "no_data_questions": q("SELECT qid FROM resolved WHERE qid NOT IN (SELECT qid FROM hits)", HITS_CTE),
     "vector_topk": q("""SELECT sim_rank, event_id, similarity_score FROM (
-        SELECT s.event_id, row_number() OVER (ORDER BY c DESC NULLS LAST, s.event_id) AS sim_rank,
+        SELECT s.event_id, CAST(row_number() OVER (ORDER BY c DESC NULLS LAST, s.event_id) AS INTEGER) AS sim_rank,
                round(1.0 - (1.0 - c), 4) AS similarity_score FROM (
           SELECT s.*, CASE WHEN sqrt(list_dot_product(m.v, m.v))
                   * sqrt(list_dot_product(CAST(s.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[]))) > 0
