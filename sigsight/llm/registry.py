@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from sigsight.llm.langid import op10_language_id
+from sigsight.llm.secrets import op4_secret_scan
 
 QUERIES = {
+    "op4_secret_scan": op4_secret_scan,
     "op10_language_id": op10_language_id,
 }
 
