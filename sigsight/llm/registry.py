@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sigsight.llm.decontamination import op6_benchmark_decontamination
 from sigsight.llm.langid import op10_language_id
 from sigsight.llm.packing import op8_packing
 from sigsight.llm.secrets import op4_secret_scan
@@ -9,6 +10,7 @@ from sigsight.llm.simhash import op7_simhash_near_dups
 
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dups": op7_simhash_near_dups,
     "op8_packing": op8_packing,
     "op10_language_id": op10_language_id,
