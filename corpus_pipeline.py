@@ -14,8 +14,10 @@ from sigsight.llm import decontamination, langid, packing, secrets, simhash
 from sigsight.llm.common import DOC_COLUMNS, fold, table
 from sigsight.session import cut_lineage
 
-#: A document that no language explains to at least this share of its n-grams is rejected.
+#: A document is rejected if no language explains this share of its n-grams ...
 LEAST_LANGUAGE_SCORE = 0.2
+#: ... and it is long enough to tell: of at least so many characters.
+LEAST_LANGUAGE_CHARS = 40
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not filters.languages:
         return docs
     told = langid.identify(docs, filters, DOC_COLUMNS)
-    return told.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)) \
-        .select(*DOC_COLUMNS)
+    told_apart = (F.col("score") >= LEAST_LANGUAGE_SCORE) | (F.char_length("text") < LEAST_LANGUAGE_CHARS)
+    return told.filter((F.col("lang_pred") != langid.UNDETERMINED) & told_apart).select(*DOC_COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
