@@ -5,6 +5,7 @@ from __future__ import annotations
 from sigsight.llm.decontamination import op6_benchmark_decontamination
 from sigsight.llm.langid import op10_language_id
 from sigsight.llm.packing import op8_packing
+from sigsight.llm.quality import op9_quality_classifier
 from sigsight.llm.secrets import op4_secret_scan
 from sigsight.llm.simhash import op7_simhash_near_dups
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dups": op7_simhash_near_dups,
     "op8_packing": op8_packing,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
 
