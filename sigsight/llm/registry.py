@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sigsight.llm.decontamination import op6_benchmark_decontamination
+from sigsight.llm.fingerprints import op1_document_fingerprints
 from sigsight.llm.langid import op10_language_id
 from sigsight.llm.packing import op8_packing
 from sigsight.llm.quality import op9_quality_classifier
@@ -10,6 +11,7 @@ from sigsight.llm.secrets import op4_secret_scan
 from sigsight.llm.simhash import op7_simhash_near_dups
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op4_secret_scan": op4_secret_scan,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dups": op7_simhash_near_dups,
