@@ -9,10 +9,12 @@ from sigsight.llm.packing import op8_packing
 from sigsight.llm.quality import op9_quality_classifier
 from sigsight.llm.secrets import op4_secret_scan
 from sigsight.llm.simhash import op7_simhash_near_dups
+from sigsight.llm.warc import op5_warc_revisits
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op4_secret_scan": op4_secret_scan,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dups": op7_simhash_near_dups,
     "op8_packing": op8_packing,
