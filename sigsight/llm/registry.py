@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sigsight.llm.decontamination import op6_benchmark_decontamination
 from sigsight.llm.fingerprints import op1_document_fingerprints
+from sigsight.llm.html import op3_html_extraction
 from sigsight.llm.langid import op10_language_id
 from sigsight.llm.packing import op8_packing
 from sigsight.llm.quality import op9_quality_classifier
@@ -13,6 +14,7 @@ from sigsight.llm.warc import op5_warc_revisits
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op3_html_extraction": op3_html_extraction,
     "op4_secret_scan": op4_secret_scan,
     "op5_warc_revisits": op5_warc_revisits,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
