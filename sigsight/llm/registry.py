@@ -10,10 +10,12 @@ from sigsight.llm.packing import op8_packing
 from sigsight.llm.quality import op9_quality_classifier
 from sigsight.llm.secrets import op4_secret_scan
 from sigsight.llm.simhash import op7_simhash_near_dups
+from sigsight.llm.suffix_dedup import op2_suffix_dedup
 from sigsight.llm.warc import op5_warc_revisits
 
 QUERIES = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_secret_scan": op4_secret_scan,
     "op5_warc_revisits": op5_warc_revisits,
