@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -110,6 +109,7 @@ class Chunk:
         self.ranks = rows["rank"].to_numpy()
         self.texts = [bytes(t) for t in rows["text"]]
         self.slabs = list(slabs(self.texts, SLAB))
+        self.found = [anchors(blob, owner) for blob, _, owner in (self.slab(a, b) for a, b in self.slabs)]
 
     def slab(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The bytes of some documents, the begin of each, and the document of each byte."""
@@ -120,11 +120,10 @@ class Chunk:
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes, sorted, and whether several documents of the chunk hold each."""
         codes, docs = [], []
-        for a, b in self.slabs:
-            blob, _, owner = self.slab(a, b)
-            at, code = anchors(blob, owner)
+        for (a, b), (at, code) in zip(self.slabs, self.found, strict=True):
+            ends = np.cumsum([len(t) for t in self.texts[a:b]])
             codes.append(code)
-            docs.append(self.ranks[a:b][owner[at]])
+            docs.append(self.ranks[a:b][np.searchsorted(ends, at, side="right")])
         code, doc = np.concatenate([*codes, np.empty(0, np.uint64)]), np.concatenate([*docs, np.empty(0, np.int64)])
         if not len(code):
             return code, np.empty(0, dtype=bool)
@@ -138,10 +137,10 @@ class Chunk:
         """The suffixes at the anchors whose hash is among the sorted ``repeated``."""
         keys, where, whose = [], [], []
         for n, (a, b) in enumerate(self.slabs):
-            blob, begins, owner = self.slab(a, b)
-            at, code = anchors(blob, owner)
+            at, code = self.found[n]
             if not len(repeated) or not len(at):
                 continue
+            blob, begins, owner = self.slab(a, b)
             at = at[repeated[np.minimum(np.searchsorted(repeated, code), len(repeated) - 1)] == code]
             doc = owner[at]
             after = np.minimum(begins[doc + 1] - at, WINDOW)
@@ -251,21 +250,48 @@ def merge_runs(runs: list[tuple[list[bytes], bytes]]) -> Iterator[tuple[int, int
             node >>= 1
 
 
-def window_minima(keys: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For distinct keys of one anchor, the smallest document of every window (by bytes before the anchor); LAST if none."""
+def window_minima(keys: np.ndarray, group: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For distinct keys, grouped by anchor, the smallest document of every window (by bytes before the anchor).
+
+    LAST where a key has no such window.  Windows meet by a 64-bit hash; the
+    bytes are compared wherever that would remove something.
+    """
+    order = np.argsort(least, kind="stable")
+    keys, group, least = keys[order], group[order], least[order]
+    line = np.concatenate([keys[:, WINDOW : WINDOW + BEFORE][:, ::-1], keys[:, :WINDOW]], axis=1)
+    up, down = _powers(BEFORE + WINDOW)
+    sums = np.zeros((len(keys), line.shape[1] + 1), dtype=np.uint64)
+    np.cumsum((line.astype(np.uint64) + np.uint64(1)) * up, axis=1, out=sums[:, 1:])
+    offsets = np.arange(OFFSETS)
+    starts = BEFORE - offsets
+    code = (sums[:, starts + WINDOW] - sums[:, starts]) * down[starts]
+    code = (code ^ (group.astype(np.uint64) * np.uint64(_BASE))[:, None]) * _MIX + (offsets.astype(np.uint64) * np.uint64(_BASE))
+    code ^= code >> np.uint64(31)
+    after, before = (keys[:, c].astype(np.int64)[:, None] - 1 for c in (-2, -1))
+    row, o = np.nonzero((before >= offsets) & (after >= WINDOW - offsets))
+    code = code[row, o]
+    # Rows come by document, so the first of equal windows has the smallest one.
+    sort = np.argsort(code, kind="stable")
+    new = np.append(True, code[sort][1:] != code[sort][:-1]) if len(sort) else np.zeros(0, dtype=bool)
+    first = np.empty(len(sort), dtype=np.int64)
+    first[sort] = sort[np.flatnonzero(new)][np.cumsum(new) - 1]
+    best = row[first]
+    check = np.flatnonzero(least[best] < least[row])
+    same = (o[first[check]] == o[check]) & (group[best[check]] == group[row[check]])
+    window = np.lib.stride_tricks.sliding_window_view(line, WINDOW, axis=1)
+    for at in range(0, len(check), 1 << 16):
+        c = check[at : at + (1 << 16)]
+        same[at : at + (1 << 16)] &= (window[row[c], BEFORE - o[c]] == window[best[c], BEFORE - o[c]]).all(axis=1)
     out = np.full((len(keys), OFFSETS), LAST, dtype=np.int64)
-    after, before = keys[:, -2].astype(int) - 1, keys[:, -1].astype(int) - 1
-    for o in range(OFFSETS):
-        has = np.flatnonzero((before >= o) & (after >= WINDOW - o))
-        if not len(has):
-            continue
-        one = np.ones((len(has), 1), dtype=np.uint8)
-        window = np.ascontiguousarray(np.concatenate([keys[has, : WINDOW - o], keys[has, WINDOW : WINDOW + o], one], axis=1))
-        group = np.unique(window.view(f"S{WINDOW + 1}").reshape(-1), return_inverse=True)[1]
-        low = np.full(group.max() + 1, LAST, dtype=np.int64)
-        np.minimum.at(low, group, least[has])
-        out[has, o] = low[group]
-    return out
+    if same.all():
+        out[row, o] = least[best]
+    else:  # two different windows with one hash: compare all by their bytes
+        low: dict[tuple[int, int, bytes], int] = {}
+        for r, k in zip(row.tolist(), o.tolist(), strict=True):
+            out[r, k] = low.setdefault((int(group[r]), k, window[r, BEFORE - k].tobytes()), int(least[r]))
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def _bucket(code: np.ndarray, parts: int) -> np.ndarray:
@@ -340,43 +366,42 @@ def _merge_range(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("chunk")
     chunks = rows["chunk"].tolist()
     runs = [(front_decode(s, t), s) for s, t in zip(rows["shared"], rows["tails"], strict=True)]
-    least = [np.frombuffer(x, dtype=np.int64) for x in rows["least"]]
-    plain: list[list[tuple[int, int]]] = [[] for _ in chunks]
-    single: list[list[tuple[int, np.ndarray]]] = [[] for _ in chunks]
-    mark = 0
-
-    def anchored() -> Iterator[tuple[int, tuple[int, int, int]]]:
-        nonlocal mark
-        for item in merge_runs(runs):
-            mark += item[0] < GRAM
-            yield mark, item
-
-    for _, items in groupby(anchored(), key=lambda x: x[0]):
-        group = [item for _, item in items]
-        if len(group) == 1:
-            continue
-        # Equal keys of several runs are one; ``shared`` says so without a comparison.
-        number = np.cumsum([0, *(s < KEY for s, _, _ in group[1:])])
-        low = np.full(number[-1] + 1, LAST, dtype=np.int64)
-        own = np.array([least[r][i] for _, r, i in group])
-        np.minimum.at(low, number, own)
-        if len(low) == 1:
-            for (_, r, i), mine in zip(group, own.tolist(), strict=True):
-                if low[0] < mine:
-                    plain[r].append((i, int(low[0])))
-            continue
-        first = np.flatnonzero(np.append(True, np.diff(number) > 0))
-        keys = np.frombuffer(b"".join(runs[group[n][1]][0][group[n][2]] for n in first), dtype=np.uint8).reshape(-1, KEY)
-        minima = window_minima(keys, low)
-        for (_, r, i), n, mine in zip(group, number.tolist(), own.tolist(), strict=True):
-            if minima[n].min() < mine:
-                single[r].append((i, minima[n]))
+    least = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows["least"]])
+    begin = np.cumsum([0, *(len(keys) for keys, _ in runs)])
+    shared, run, index = np.array(list(merge_runs(runs)), dtype=np.int64).reshape(-1, 3).T
+    place = begin[run] + index
+    mine = least[place]
+    # Keys that share the anchor are one group, equal keys of several runs one number: no comparison is needed.
+    group, number = np.cumsum(shared < GRAM), np.cumsum(shared < KEY)
+    number -= number[0]
+    first = np.flatnonzero(np.append(True, np.diff(number) > 0))
+    low = np.minimum.reduceat(mine, first)
+    kinds = np.bincount(group[first])
+    alone = kinds[group] == 1
+    plain = alone & (low[number] < mine)
+
+    texts = np.frombuffer(b"".join(b"".join(keys) for keys, _ in runs), dtype=np.uint8).reshape(-1, KEY)
+    many = np.flatnonzero(kinds[group[first]] > 1)
+    minima, sought = [], np.full(len(low), -1)
+    sought[many] = np.arange(len(many))
+    at = 0
+    while at < len(many):
+        end = min(at + (1 << 14), len(many))
+        while end < len(many) and group[first[many[end]]] == group[first[many[end - 1]]]:
+            end += 1
+        part = many[at:end]
+        minima.append(window_minima(texts[place[first[part]]], group[first[part]], low[part]))
+        at = end
+    minima = np.concatenate([*minima, np.zeros((0, OFFSETS), dtype=np.int64)])
+    single = np.flatnonzero(~alone)
+    single = single[minima[sought[number[single]]].min(axis=1, initial=LAST) < mine[single]]
+    plain = np.flatnonzero(plain)
     out = []
     for r, chunk in enumerate(chunks):
-        if plain[r] or single[r]:
-            out.append((chunk, int(rows["range"].iloc[0]), np.array(plain[r], dtype=np.int64).tobytes(),
-                        np.array([i for i, _ in single[r]], dtype=np.int64).tobytes(),
-                        np.array([m for _, m in single[r]], dtype=np.int64).tobytes()))
+        p, q = plain[run[plain] == r], single[run[single] == r]
+        if len(p) or len(q):
+            out.append((chunk, int(rows["range"].iloc[0]), np.column_stack([index[p], low[number[p]]]).tobytes(),
+                        index[q].tobytes(), minima[sought[number[q]]].tobytes()))
     return pd.DataFrame(out, columns=["chunk", "part", "plain", "single", "minima"])
 
 
@@ -417,9 +442,8 @@ def _kept(chunk: Chunk, found: Suffixes, everywhere: np.ndarray, by_window: dict
         row, o = np.nonzero((low < mine) & (before >= offsets) & (after >= WINDOW - offsets))
         slab, start = found.where[part][row, 0], found.where[part][row, 1] - o
         for n in np.unique(slab):
-            own = start[slab == n]
-            np.add.at(cover[n], own, 1)
-            np.add.at(cover[n], own + WINDOW, -1)
+            own, size = start[slab == n], len(cover[n])
+            cover[n] += (np.bincount(own, minlength=size) - np.bincount(own + WINDOW, minlength=size)).astype(np.int32)
     for (a, b), marks in zip(chunk.slabs, cover, strict=True):
         gone = np.cumsum(marks[:-1]) > 0
         begin = 0
