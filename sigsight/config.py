@@ -7,16 +7,6 @@ above it is a knob of this library.
 
 from __future__ import annotations
 
-# ── Knobs of this library (not semantic) ─────────────────────────────────────
-
-# Largest number of rows we are willing to broadcast on an explicit hint.  The
-# row count is measured (count()) before the hint is applied; above it we let
-# Spark pick a shuffle join and let AQE re-plan / split skewed partitions.
-BROADCAST_ROW_LIMIT = 2_000_000
-
-# Largest service registry folded into a CASE expression (a bounded dimension).
-REGISTRY_LIMIT = 10_000
-
 # ── fixed values (must equal the reproduced behaviour) ───────────────────────
 
 # Retrieval sizes and thresholds.
@@ -50,7 +40,6 @@ INCIDENT_TERMS = [
 # Question words that stop the short-query rewrite.
 REWRITE_PREFIXES = ["what", "how", "why", "when", "where", "who", "explain", "describe",
                     "is", "are", "does", "do"]
-REWRITE_TEMPLATE = "Explain {q} in detail, including its key concepts and use cases."
 
 # Default event_type per ingest source, and the order sources are applied in.
 SOURCE_EVENT_TYPE = {"logs": "log", "events": "deployment", "metadata": "metadata"}
@@ -125,8 +114,6 @@ NO_DATA_PREFIXES = [
 # Evaluation harness.
 SCORED_CATEGORIES = ["lookup", "multi-hop", "no-answer"]
 WIDE_WINDOW_CATEGORIES = ["lookup", "multi-hop"]
-WIDE_WINDOW_START = "2026-01-01 00:00:00"
-WIDE_WINDOW_END = "2026-12-31 23:59:59"
 RECALL_K = 5
 
 # Judge prompt pieces (joined around the per-row parts).

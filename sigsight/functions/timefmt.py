@@ -32,6 +32,11 @@ def py_float4(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?[1-9])0+$", "$1"), r"\.0+$", ".0")
 
 
+# A full date and time of day, with or without an offset; anything looser would be completed from the clock.
+_FULL = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?$"
+
+
 def to_utc_ntz(ts_text: Column) -> Column:
-    """Parse ISO-8601 text (``Z`` or offset) to a UTC ``timestamp_ntz``; null when unparsable."""
-    return F.try_to_timestamp(ts_text).cast("timestamp_ntz")
+    """Parse ISO-8601 text of a date and time (``Z`` or offset) to a UTC ``timestamp_ntz``; null when it is not one."""
+    text = F.trim(ts_text)
+    return F.when(text.rlike(_FULL), F.try_to_timestamp(text)).cast("timestamp_ntz")

@@ -23,11 +23,6 @@ def cosine_from_parts(dot_ab: Column, norm_a: Column, norm_b: Column) -> Column:
     return F.when(denom > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot_ab / denom)))
 
 
-def cosine_similarity(a: Column, b: Column) -> Column:
-    """``1 - cosine_distance`` (unrounded)."""
-    return cosine_from_parts(dot(a, b), norm(a), norm(b))
-
-
 def similarity_score(cos: Column) -> Column:
     """The reported score: ``round(1 - distance, 4)``."""
     return F.round(F.lit(1.0) - (F.lit(1.0) - cos), 4)

@@ -2,71 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigsight import config as C
-from sigsight.functions.text import classify_query, normalize_query, rewrite_query
+from sigsight.functions.text import classify_query, normalize_query
 from sigsight.functions.windows import time_window_narrow, time_window_wide
 from sigsight.operators.ranking import ranked_within
+from sigsight.session import cut_lineage
+
+
+def registry_from_events(events: DataFrame) -> DataFrame:
+    """Q6: (service, ord) — distinct services, ``ord`` sorting them by name; the static list when there are none.
+
+    A dimension of any size that stays distributed; the distinct combines
+    map-side, so a service holding a third of all rows is one row per task.
+    """
+    live = cut_lineage(events.where(F.col("service").isNotNull()).select("service").distinct()
+                       .select("service", F.col("service").alias("ord")))
+    if not live.isEmpty():
+        return live
+    return events.sparkSession.createDataFrame(
+        [(s, f"{i:04d}") for i, s in enumerate(C.STATIC_SERVICES)], "service string, ord string")
 
 
 def service_registry(events: DataFrame) -> DataFrame:
-    """Q6: (service, ord) — distinct services in name order, or the static list when none.
+    """Q6 with 1-based positions: (service, ord)."""
+    # The sort keys are distinct, so counting the smaller ones is the position.
+    return ranked_within(registry_from_events(events), "ord").select("service", F.col("_rank").cast("int").alias("ord"))
+
 
-    The distinct is a partial+final hash aggregate, so a service holding a
-    third of all rows collapses map-side; the result is a small dimension.
+def extract_services(q: DataFrame, registry: DataFrame, question_col: str = "question",
+                     key: str = "qid") -> DataFrame:
+    """Q7 + Q8: (key, service_norm, service_raw) of the questions that name a service.
+
+    Q7: the first registry service whose lower-cased hyphen-free form occurs in
+    the normalised question; Q8: the first whose lower-cased form, with or
+    without hyphens, occurs in the lower-cased raw question.  A substring can
+    equal a name only at the name's length, so each text is exploded into its
+    substrings of the registry's name lengths, which meet the names by an
+    equi-join: no registry is too large, and none is gathered.
     """
-    live = events.where(F.col("service").isNotNull()).select("service").distinct()
-    if live.limit(1).count() > 0:
-        # Distinct names are unique, so the scan-order rank is the name rank.
-        return ranked_within(live, "service", []).select("service", F.col("_rank").cast("int").alias("ord"))
-    spark = events.sparkSession
-    return spark.createDataFrame([(s, i + 1) for i, s in enumerate(C.STATIC_SERVICES)],
-                                 "service string, ord int")
-
-
-def registry_list(registry: DataFrame) -> list[str]:
-    """The registry as a driver list in registry order (bounded, size-checked dimension)."""
-    rows = registry.limit(C.REGISTRY_LIMIT + 1).collect()
-    if len(rows) > C.REGISTRY_LIMIT:
-        raise ValueError(f"service registry exceeds {C.REGISTRY_LIMIT} names")
-    return [r.service for r in sorted(rows, key=lambda r: r.ord)]
-
-
-def registry_from_events(events: DataFrame) -> list[str]:
-    """Q6 in one job: distinct services (partial aggregate, size-checked), name order, static fallback."""
-    rows = (events.where(F.col("service").isNotNull()).select("service").distinct()
-            .limit(C.REGISTRY_LIMIT + 1).collect())
-    if len(rows) > C.REGISTRY_LIMIT:
-        raise ValueError(f"service registry exceeds {C.REGISTRY_LIMIT} names")
-    return sorted(r.service for r in rows) or list(C.STATIC_SERVICES)
-
-
-def extract_service(question: Column, services: list[str]) -> Column:
-    """Q7: first registry service whose hyphen-free form occurs in the normalised question."""
-    q = normalize_query(question)
-    out = F.lit(None).cast("string")
-    for s in reversed(services):
-        out = F.when(F.contains(q, F.lit(s.lower().replace("-", " "))), F.lit(s)).otherwise(out)
-    return out
-
-
-def extract_service_raw(question: Column, services: list[str]) -> Column:
-    """Q8: lower-cased raw question contains the service or its hyphen-to-space form."""
-    q = F.lower(question)
-    out = F.lit(None).cast("string")
-    for s in reversed(services):
-        low = s.lower()
-        hit = F.contains(q, F.lit(low)) | F.contains(q, F.lit(low.replace("-", " ")))
-        out = F.when(hit, F.lit(s)).otherwise(out)
-    return out
-
-
-def parse_questions(q: DataFrame, services: list[str], question_col: str = "question",
-                    asked_col: str = "asked_at") -> DataFrame:
+    low = F.lower(F.col("service"))
+    plain = F.replace(low, F.lit("-"), F.lit(" "))
+    forms = registry.select("service", "ord", F.explode(F.array(
+        *[F.struct(F.lit(kind).alias("kind"), form.alias("form")) for kind, form in
+          (("norm", plain), ("raw", low), ("raw", plain))])).alias("f")).select("service", "ord", "f.*")
+    forms = forms.groupBy("kind", "form").agg(F.min(F.struct("ord", "service")).alias("first"))
+    # One row: the distinct lengths of names, as few as a name has characters at most.
+    lengths = forms.agg(F.collect_set(F.char_length("form")).alias("lengths"))
+    texts = q.select(F.col(key).alias("_key"), F.explode(F.array(
+        F.struct(F.lit("norm").alias("kind"), normalize_query(F.col(question_col)).alias("text")),
+        F.struct(F.lit("raw").alias("kind"), F.lower(F.col(question_col)).alias("text")))).alias("t")).select("_key", "t.*")
+    sized = texts.join(F.broadcast(lengths)).select("_key", "kind", "text", F.explode("lengths").alias("size")) \
+        .where(F.char_length("text") >= F.col("size"))
+    parts = sized.select("_key", "kind", "size", "text", F.explode(
+        F.sequence(F.lit(1), F.char_length("text") - F.col("size") + 1)).alias("at"))
+    named = parts.select("_key", "kind", F.substring("text", F.col("at"), F.col("size")).alias("form")) \
+        .join(forms, ["kind", "form"])
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first")))["service"]
+    return named.groupBy(F.col("_key").alias(key)).agg(first("norm").alias("service_norm"), first("raw").alias("service_raw"))
+
+
+def parse_questions(q: DataFrame, registry: DataFrame, question_col: str = "question",
+                    asked_col: str = "asked_at", key: str = "qid") -> DataFrame:
     """Q9: normalised text, type, wide window and service as extra columns of ``q``."""
     w = time_window_wide(F.col(question_col), F.col(asked_col))
+    found = extract_services(q, registry, question_col, key).select(key, F.col("service_norm").alias("parsed_service"))
     return q.select(
         "*",
         normalize_query(F.col(question_col)).alias("normalized_query"),
@@ -74,14 +76,13 @@ def parse_questions(q: DataFrame, services: list[str], question_col: str = "ques
         w["start"].alias("wide_start"),
         w["end"].alias("wide_end"),
         w["defaulted"].alias("wide_defaulted"),
-        extract_service(F.col(question_col), services).alias("parsed_service"),
-    )
+    ).join(found, key, "left")
 
 
-def resolve_request(q: DataFrame, services: list[str], question_col: str = "question",
+def resolve_request(q: DataFrame, registry: DataFrame, question_col: str = "question",
                     asked_col: str = "asked_at", start_col: str | None = "start_time",
                     end_col: str | None = "end_time", service_col: str | None = None,
-                    window_mode: str = "narrow") -> DataFrame:
+                    window_mode: str = "narrow", key: str = "qid") -> DataFrame:
     """Q11 (+Q4/Q8 for the ask path): explicit start/end/service win, parsed values fill gaps.
 
     An empty service string counts as absent.  ``window_mode='narrow'`` is what
@@ -94,15 +95,16 @@ def resolve_request(q: DataFrame, services: list[str], question_col: str = "ques
     explicit_svc = F.nullif(F.col(service_col), F.lit("")) if service_col else F.lit(None).cast("string")
     # The ask path resolves with the raw-text matcher and falls back to the
     # normalised one inside the pipeline, so both apply in that order.
-    parsed = (F.coalesce(extract_service_raw(text, services), extract_service(text, services))
-              if window_mode == "narrow" else extract_service(text, services))
+    parsed = F.coalesce("service_raw", "service_norm") if window_mode == "narrow" else F.col("service_norm")
     return q.select(
         "*",
         start.alias("window_start"),
         end.alias("window_end"),
         w["defaulted"].alias("window_defaulted"),
-        F.coalesce(explicit_svc, parsed).alias("service_filter"),
-    )
+        explicit_svc.alias("_explicit"),
+    ).join(extract_services(q, registry, question_col, key), key, "left") \
+        .withColumn("service_filter", F.coalesce(F.col("_explicit"), parsed)) \
+        .drop("_explicit", "service_norm", "service_raw")
 
 
 def analytical_gate(q: DataFrame, question_col: str = "question") -> tuple[DataFrame, DataFrame]:
@@ -115,8 +117,3 @@ def analytical_gate(q: DataFrame, question_col: str = "question") -> tuple[DataF
         F.lit("unknown").alias("confidence"),
     )
     return typed.where(F.col("query_type") != "analytical"), gated
-
-
-def with_rewrite(q: DataFrame, question_col: str = "question") -> DataFrame:
-    """Q10 column added as ``rewritten_query``."""
-    return q.withColumn("rewritten_query", rewrite_query(F.col(question_col)))

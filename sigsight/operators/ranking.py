@@ -1,11 +1,9 @@
 """Global ranks without a single-task window.
 
 ``Window.orderBy(x)`` with no partition moves every row into one task.  Here
-the frame is range-partitioned by the sort key (a hot group spans several
-partitions), each row takes its partition id and a monotonically increasing
-id, the frame is reliably checkpointed (both uses below must see the same
-rows), and per-(partition, group) counts become rank offsets through a small
-broadcast table (its size is bounded by partitions × groups per partition).
+rows are first counted by value, which combines map-side however often a value
+repeats; the distinct values are range-partitioned, and a value's rank is the
+running count within its partition plus the count of the partitions before.
 """
 
 from __future__ import annotations
@@ -16,19 +14,24 @@ from pyspark.sql import functions as F
 from sigsight.session import cut_lineage
 
 
-def ranked_within(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    """Adds ``_rank`` (1-based position of ``value`` in its group, ties in scan order) and ``_n``."""
-    s = (df.where(F.col(value).isNotNull()).orderBy(*groups, value)
-           .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
-    s = cut_lineage(s)
-    per = s.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
-    w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    tot = per.groupBy(*groups).agg(F.sum("_c").alias("_n"))
-    per = per.join(tot, groups) if groups else per.withColumn("_k", F.lit(1)).join(
-        tot.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    out = s.join(F.broadcast(per), ["_pid", *groups])
-    return out.select(*df.columns, (F.col("_off") + (F.col("_mid") - F.col("_m0")) + 1).alias("_rank"),
-                      F.col("_n").alias("_n"))
-
-
+def value_counts(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
+    """(*groups, value, _before, _count, _n): rows of the group below the value, of it, and of the group."""
+    groups = groups or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_count"))
+    # Checkpointed: both uses below must see the same partitions.
+    counts = cut_lineage(counts.orderBy(*groups, value).withColumn("_pid", F.spark_partition_id()))
+    per = counts.groupBy("_pid", *groups).agg(F.sum("_count").alias("_sum"))
+    before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))) \
+        .withColumn("_n", F.sum("_sum").over(Window.partitionBy(*groups)))
+    same = [F.col("c._pid") == F.col("p._pid")] + [F.col(f"c.{g}").eqNullSafe(F.col(f"p.{g}")) for g in groups]
+    joined = counts.alias("c").join(per.alias("p"), same)
+    inside = Window.partitionBy("c._pid", *[f"c.{g}" for g in groups]).orderBy(F.col(f"c.{value}")) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select(*[F.col(f"c.{c}") for c in (*groups, value)],
+                         (F.col("_offset") + F.coalesce(F.sum("_count").over(inside), F.lit(0))).alias("_before"), "_count", "_n")
+
+
+def ranked_within(df: DataFrame, value: str) -> DataFrame:
+    """``df``, whose ``value`` is distinct, with its 1-based position ``_rank``."""
+    return df.join(value_counts(df, value).select(value, (F.col("_before") + 1).alias("_rank")), value)

@@ -1,21 +1,10 @@
 """time/service/type filtered vector search, for one or many questions.
 
-Physical shape of ``hybrid_search`` (many questions at once):
-
-1. Each valid question window is exploded into the calendar days it touches
-   (``event_date`` buckets).  Questions with a service filter join on
-   ``(event_date, service)``, the rest on ``event_date`` alone; the exact
-   window bounds and the type whitelist are residual predicates.  Both joins
-   are equi-joins, so neither side needs a nested loop, and when events are
-   stored partitioned by ``event_date`` dynamic partition pruning skips every
-   day no question touches.
-2. The bucket table is broadcast only when its measured size (rows × vector
-   bytes) fits the budget; otherwise Spark shuffles on the bucket key and AQE
-   splits a hot day or hot service.
-3. Only ``(qid, event_id, cos)`` plus the small payload leave the join; the
-   per-question top-k is a ``row_number() <= k`` filter, which Spark plans as
-   a partial ``WindowGroupLimit`` before the shuffle on ``qid`` and a final
-   one after it – at most k rows per question per map task cross the network.
+``hybrid_search`` runs one algorithm at every size, ``vector_search.search``:
+bounded question blocks against narrow event scans.  Only the winners' keys
+leave a scan; the per-question top-k is a ``row_number() <= k`` filter, which
+Spark plans as a partial ``WindowGroupLimit`` before the shuffle on ``qid`` and
+a final one after it.
 """
 
 from __future__ import annotations
@@ -26,13 +15,10 @@ from pyspark.sql import functions as F
 from sigsight import config as C
 from sigsight.functions.vectors import cosine_from_parts, dot, norm, similarity_score
 from sigsight.functions.numeric import exact_mean, exact_mean_parts
-from sigsight.session import measured_rows
+from sigsight.operators.vector_search import search
 
 HIT_PAYLOAD = ["id", "event_id", "content", "occurred_at", "service", "event_type", "severity", "metadata"]
 
-# Broadcast budget for the question-bucket side of the range join (bytes).
-BROADCAST_BYTES = 256 * 1024 * 1024
-
 
 def valid_window(start: Column, end: Column) -> Column:
     """A search window is usable only when start < end (null bounds are not)."""
@@ -75,72 +61,15 @@ def vector_topk(events: DataFrame, qvec: list[float], k: int = C.RERANK_TOP_K,
         Window.orderBy(F.col("cos").desc_nulls_last(), F.col("event_id"))))
 
 
-def _buckets(q: DataFrame, qid: str, qvec: str, start: str, end: str, service: str,
-             event_types: str | None) -> DataFrame:
-    days = F.sequence(F.to_date(F.col(start)), F.to_date(F.col(end)))
-    cols = [F.col(qid).alias("_qid"), F.col(qvec).alias("_qvec"), norm(F.col(qvec)).alias("_qnorm"),
-            F.col(start).alias("_start"), F.col(end).alias("_end"),
-            F.nullif(F.col(service), F.lit("")).alias("_service")]
-    if event_types:
-        cols.append(F.when(F.size(F.col(event_types)) > 0, F.col(event_types)).alias("_types"))
-    else:
-        cols.append(F.lit(None).cast("array<string>").alias("_types"))
-    return (q.where(valid_window(F.col(start), F.col(end)))
-             .select(*cols, F.explode(days).alias("event_date")))
-
-
 def hybrid_search(q: DataFrame, events: DataFrame, k: int = C.RERANK_TOP_K, qid: str = "qid",
                   qvec: str = "qvec", start: str = "window_start", end: str = "window_end",
-                  service: str = "service_filter", event_types: str | None = None,
-                  broadcast: bool | None = None, method: str = "auto") -> DataFrame:
+                  service: str = "service_filter", event_types: str | None = None) -> DataFrame:
     """Top-k events per question inside its window/service/type filter.
 
-    Returns (qid, sim_rank, cos, similarity_score, *HIT_PAYLOAD).  Questions
-    with no candidate (or an invalid window) have no rows.
-
-    ``method``: ``"arrow"``/``"auto"`` use the batch matmul path of
-    ``vector_search`` when the question side fits its budget (``auto`` falls
-    back to the join); ``"join"`` forces the bucket equi-join below.
+    Returns (qid, sim_rank, cos, similarity_score, *HIT_PAYLOAD), at most k rows a
+    question.  Questions with no candidate (or an invalid window) have no rows.
     """
-    if method in ("auto", "arrow"):
-        from sigsight.operators.vector_search import arrow_topk
-        out = arrow_topk(q, events, k, qid, qvec, start, end, service, event_types, HIT_PAYLOAD)
-        if out is not None:
-            return out
-        if method == "arrow":
-            raise ValueError("question side exceeds the broadcast budget")
-    b = _buckets(q, qid, qvec, start, end, service, event_types)
-    if broadcast is None:
-        dim = max(C.EMBEDDING_DIMENSION, 64)
-        broadcast = measured_rows(b) * (dim * 4 + 96) <= BROADCAST_BYTES
-    ev = events.select(*HIT_PAYLOAD, "event_date", "embedding",
-                       norm(F.col("embedding")).alias("_enorm"))
-
-    def join(side: DataFrame, keyed_on_service: bool | None) -> DataFrame:
-        side = F.broadcast(side) if broadcast else side
-        cond = [ev.event_date == side.event_date,
-                ev.occurred_at >= side._start, ev.occurred_at <= side._end,
-                side._types.isNull() | F.array_contains(side._types, ev.event_type)]
-        if keyed_on_service is None:
-            cond.append(side._service.isNull() | (ev.service == side._service))
-        elif keyed_on_service:
-            cond.append(ev.service == side._service)
-        return ev.join(side, cond, "inner").select(
-            F.col("_qid").alias(qid),
-            cosine_from_parts(dot(side._qvec, ev.embedding), side._qnorm, ev._enorm).alias("cos"),
-            *[ev[c] for c in HIT_PAYLOAD])
-
-    if broadcast:
-        # One scan of events; the service test is a residual on the broadcast side.
-        pairs = join(b, None)
-    else:
-        # Shuffle path: key service questions on (day, service) to spread hot days.
-        pairs = join(b.where(F.col("_service").isNotNull()), True).unionByName(
-            join(b.where(F.col("_service").isNull()), False))
-    w = Window.partitionBy(qid).orderBy(F.col("cos").desc_nulls_last(), F.col("event_id"))
-    return (pairs.withColumn("sim_rank", F.row_number().over(w))
-                 .where(F.col("sim_rank") <= k)
-                 .withColumn("similarity_score", similarity_score(F.col("cos"))))
+    return search(q, events, k, qid, qvec, start, end, service, event_types, HIT_PAYLOAD)
 
 
 def candidate_stats(q: DataFrame, hits: DataFrame, qid: str = "qid") -> DataFrame:

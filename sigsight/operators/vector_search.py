@@ -1,46 +1,50 @@
-"""Vectorised partial top-k for the many-question search (Arrow batches + numpy).
+"""Vectorised top-k for the many-question search (Arrow batches + numpy), the one algorithm at every size.
 
 Spark SQL has no vector functions, and a per-pair ``aggregate(zip_with(..))``
-runs as interpreted lambdas (~150 µs per 64-dim pair here).  This operator
-keeps the same logical result as the bucket join in ``retrieval`` but
-computes similarities a batch at a time:
-
-* the question side (id, vector, window, service, types) is broadcast only
-  after its size is measured against a byte budget;
-* events are scanned once with narrow columns (no content) by
-  ``mapInArrow``; each Arrow batch is matched only against the questions
-  whose window overlaps the batch's time range, with one BLAS matmul per
-  question chunk;
+runs as interpreted lambdas, so similarities are computed a batch at a time:
+
+* the questions are dealt by a hash into blocks of at most about
+  ``BLOCK_BYTES`` measured bytes, all vectors of a block equally long; however
+  many questions there are, a block and what is broadcast at once stay that
+  small, and each block is one more narrow scan of the events of its dates;
+* ``mapInArrow`` matches each Arrow batch of events with the block's questions
+  whose window overlaps the batch: those without a service filter against all
+  of its rows, those with one against the rows of that service alone;
 * BLAS selects, per question, the rows within ``MARGIN`` of the k-th best
   (a superset: BLAS may order equal vectors differently in the last bit);
 * for those rows only the cosine is recomputed with the sequential
   left-to-right sums of the SQL expression (``vectors.dot``/``norm``), which
   gives bit-identical values, and the batch emits its k best plus every
   exact tie with the k-th;
-* the final ``row_number()`` over ``(cos desc, event_id)`` picks the k and
-  payload columns are joined back for those rows only.
+* the final ``row_number()`` over ``(cos desc, event_id, id)`` picks the k, and
+  the payload is joined back for those rows, one payload row for each.
 
-Task memory is bounded by the Arrow batch size × question chunk, not by any
-group size, so a hot day or hot service does not concentrate work.
+A null vector, one of another length or of zero norm on either side has a null
+similarity and ranks last.  Task memory is bounded by the Arrow batch size x
+question chunk, not by any group, so a hot day or service is spread.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigsight.config import BROADCAST_ROW_LIMIT
 from sigsight.functions.vectors import similarity_score
 from sigsight.session import cut_lineage
 
 Q_CHUNK = 512
 MARGIN = 1e-9
-QUESTION_BYTES_BUDGET = 256 * 1024 * 1024
-MAX_DIM = 1024
+BLOCK_BYTES = 32 * 1024 * 1024
+ROW_BYTES = 128
+# The winners are broadcast to the payload scan only up to this measured size.
+WINNER_BYTES = 64 * 1024 * 1024
 
-_OUT_SCHEMA = "qid long, event_id string, event_date date, cos double"
+_OUT_SCHEMA = "qid long, event_id string, id long, event_date date, cos double"
 
 
 def _ntz_literal(micros: int):
@@ -51,48 +55,48 @@ def _ntz_literal(micros: int):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _vectors(col: pa.Array, n: int) -> np.ndarray:
-    """list<float> Arrow column → (n, d) float64 matrix (rows of unequal length are rejected)."""
+def _vectors(col: pa.Array, dim: int) -> np.ndarray:
+    """list<float> Arrow column → (n, dim) float64; null rows and rows of another length are NaN."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    if n == 0:
-        return np.zeros((0, 0))
-    flat = col.flatten().to_numpy(zero_copy_only=False)
-    d = len(flat) // n
-    if d * n != len(flat):
-        raise ValueError("vectors of unequal length")
-    return flat.reshape(n, d).astype(np.float64, copy=False)
-
-
-def _question_side(q: DataFrame, qid: str, qvec: str, start: str, end: str, service: str,
-                   event_types: str | None) -> dict | None:
-    cols = [F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"),
-            F.col(start).cast("timestamp_ntz").alias("start"), F.col(end).cast("timestamp_ntz").alias("end"),
-            F.nullif(F.col(service), F.lit("")).alias("service")]
-    if event_types:
-        cols.append(F.when(F.size(F.col(event_types)) > 0, F.col(event_types)).alias("types"))
-    else:
-        cols.append(F.lit(None).cast("array<string>").alias("types"))
-    # Narrow question columns, computed once (sizing and collecting both read the checkpoint).
-    side = cut_lineage(q.where(F.coalesce(F.col(start) < F.col(end), F.lit(False))).select(*cols))
-    n = side.count()
-    if n == 0:
-        return {"n": 0}
-    # Size bound before anything reaches the driver: vectors of at most MAX_DIM doubles.
-    if n * (MAX_DIM * 8 + 128) > QUESTION_BYTES_BUDGET:
-        return None
-    t = side.toArrow()
-    n = t.num_rows
-    qids = t.column("qid").to_numpy()
-    mat = _vectors(t.column("qvec"), n)
-    norms = np.sqrt((mat * mat).sum(axis=1))
-    st = t.column("start").cast(pa.int64()).to_numpy()
-    en = t.column("end").cast(pa.int64()).to_numpy()
-    svc = t.column("service").to_pylist()
-    types = t.column("types").to_pylist()
-    order = np.argsort(st, kind="stable")
-    return {"n": n, "qid": qids[order], "mat": mat[order], "norm": norms[order], "start": st[order],
-            "end": en[order], "service": [svc[i] for i in order], "types": [types[i] for i in order]}
+    fits = pc.fill_null(pc.equal(pc.list_value_length(col), dim), False)
+    kept = col.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    mask = fits.to_numpy(zero_copy_only=False)
+    if mask.all():
+        return kept.reshape(len(col), dim)
+    out = np.full((len(col), dim), np.nan)
+    out[mask] = kept.reshape(int(mask.sum()), dim)
+    return out
+
+
+def _questions(q: DataFrame, qid: str, qvec: str, start: str, end: str, service: str,
+               event_types: str | None) -> DataFrame:
+    """The usable questions' narrow columns, dealt into blocks; computed once."""
+    types = F.when(F.size(F.col(event_types)) > 0, F.col(event_types)) if event_types \
+        else F.lit(None).cast("array<string>")
+    side = q.where(F.coalesce(F.col(start) < F.col(end), F.lit(False))).select(
+        F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"),
+        F.col(start).cast("timestamp_ntz").alias("start"), F.col(end).cast("timestamp_ntz").alias("end"),
+        F.nullif(F.col(service), F.lit("")).alias("service"), types.alias("types"),
+        F.greatest(F.coalesce(F.size(F.col(qvec)), F.lit(0)), F.lit(0)).alias("dim"))
+    return cut_lineage(side)
+
+
+def _blocks(side: DataFrame):
+    """The questions block by block, as numpy arrays sorted by window start."""
+    sizes = side.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()
+    for dim, n in ((r.dim, r.n) for r in sizes):
+        parts = -(-n * (dim * 8 + ROW_BYTES) // BLOCK_BYTES)
+        for part in range(parts):
+            t = side.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)).toArrow()
+            if not t.num_rows:
+                continue
+            t = t.sort_by("start")
+            mat = _vectors(t.column("qvec"), dim)
+            yield {"n": t.num_rows, "dim": dim, "qid": t.column("qid").to_numpy(), "mat": mat,
+                   "norm": np.sqrt((mat * mat).sum(axis=1)), "start": t.column("start").cast(pa.int64()).to_numpy(),
+                   "end": t.column("end").cast(pa.int64()).to_numpy(), "service": t.column("service").to_pylist(),
+                   "types": t.column("types").to_pylist()}
 
 
 def _seq_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,120 +115,116 @@ def _exact_cos(e: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.where(denom > 0, np.maximum(-1.0, np.minimum(1.0, d / denom)), np.nan)
 
 
+def _best(side: dict, qi: np.ndarray, rows: np.ndarray, emb: np.ndarray, e_norm: np.ndarray, ts: np.ndarray,
+          e_type: np.ndarray, k: int, turn):
+    """(question, row, exact cosine) of every row that may rank among a question's k best of the batch.
+
+    Of rows without a similarity the first k by key are enough; ``turn()`` tells the rows' order by key.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        denom = e_norm[rows][:, None] * side["norm"][qi][None, :]
+        cos = np.where(denom > 0, np.clip(emb[rows] @ side["mat"][qi].T / denom, -1.0, 1.0), np.nan)
+    ok = (ts[rows][:, None] >= side["start"][qi][None, :]) & (ts[rows][:, None] <= side["end"][qi][None, :])
+    for j, one in enumerate(qi):
+        if side["types"][one]:
+            ok[:, j] &= np.isin(e_type[rows], np.array(side["types"][one], dtype=object))
+    for j in np.flatnonzero(ok.any(axis=0)):
+        some = np.flatnonzero(ok[:, j])
+        some = some[_leading(cos[some, j], k, MARGIN)]
+        exact = _exact_cos(emb[rows[some]], np.broadcast_to(side["mat"][qi[j]], (len(some), emb.shape[1])))
+        keep = _leading(exact, k, 0.0)
+        blank = np.flatnonzero(keep & np.isnan(exact))
+        if len(blank) > k:
+            keep[blank[np.argsort(turn()[rows[some[blank]]])[k:]]] = False
+        yield side["qid"][qi[j]], rows[some[keep]], exact[keep]
+
+
+def _leading(cos: np.ndarray, k: int, margin: float) -> np.ndarray:
+    """Mask of values within ``margin`` of the k-th best; all of them, nulls too, when k or fewer are real."""
+    real = ~np.isnan(cos)
+    if real.sum() <= k:
+        return np.ones(len(cos), dtype=bool)
+    kth = np.partition(cos[real], real.sum() - k)[real.sum() - k]
+    with np.errstate(invalid="ignore"):
+        return real & (cos >= kth - margin)
+
+
 def _make_batch_fn(bc, k: int):
     def fn(batches):
         side = bc.value
-        services = sorted({s for s in side["service"] if s is not None})
-        code = {s: i for i, s in enumerate(services)}
-        q_svc = np.array([-1 if s is None else code[s] for s in side["service"]], dtype=np.int64)
-        q_start, q_end = side["start"], side["end"]
+        q_svc = np.array(["" if s is None else s for s in side["service"]], dtype=object)
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
             ts = batch.column("occurred_at").cast(pa.int64()).to_numpy()
-            lo, hi = ts.min(), ts.max()
-            # Questions sorted by start: those starting after the batch ends are skipped cheaply.
-            upto = np.searchsorted(q_start, hi, side="right")
-            cand = np.nonzero(q_end[:upto] >= lo)[0]
-            if cand.size == 0:
+            # Questions are sorted by start: those starting after the batch ends are skipped cheaply.
+            upto = np.searchsorted(side["start"], ts.max(), side="right")
+            cand = np.flatnonzero(side["end"][:upto] >= ts.min())
+            if not cand.size:
                 continue
-            emb = _vectors(batch.column("embedding"), n)
+            emb = _vectors(batch.column("embedding"), side["dim"])
             e_norm = np.sqrt((emb * emb).sum(axis=1))
-            e_svc = np.array([code.get(s, -2) for s in batch.column("service").to_pylist()], dtype=np.int64)
+            e_svc = np.array(batch.column("service").to_pylist(), dtype=object)
             e_type = np.array(batch.column("event_type").to_pylist(), dtype=object)
-            e_ids = np.array(batch.column("event_id").to_pylist(), dtype=object)
-            e_date = batch.column("event_date")
-            out_q, out_i, out_c = [], [], []
-            for c0 in range(0, cand.size, Q_CHUNK):
-                qi = cand[c0:c0 + Q_CHUNK]
-                dots = emb @ side["mat"][qi].T
-                denom = e_norm[:, None] * side["norm"][qi][None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    cos = np.where(denom > 0, np.clip(dots / denom, -1.0, 1.0), np.nan)
-                ok = (ts[:, None] >= q_start[qi][None, :]) & (ts[:, None] <= q_end[qi][None, :])
-                qs = q_svc[qi]
-                ok &= (qs[None, :] == -1) | (e_svc[:, None] == qs[None, :])
-                for j, qj in enumerate(qi):
-                    tl = side["types"][qj]
-                    if tl:
-                        ok[:, j] &= np.isin(e_type, np.array(tl, dtype=object))
-                # Candidate rows per question from one nonzero over the transposed mask.
-                cols, rws = np.nonzero(ok.T)
-                bounds = np.searchsorted(cols, np.arange(len(qi) + 1))
-                pair_j, pair_r = [], []
-                for j in range(len(qi)):
-                    rows = rws[bounds[j]:bounds[j + 1]]
-                    if rows.size == 0:
-                        continue
-                    c = cos[rows, j]
-                    valid = ~np.isnan(c)
-                    if valid.sum() > k:
-                        cv = c[valid]
-                        kth = np.partition(cv, cv.size - k)[cv.size - k]
-                        rows = rows[valid][cv >= kth - MARGIN]
-                    # else: fewer than k real scores — every row (null scores included) may rank.
-                    pair_j.append(np.full(rows.size, j))
-                    pair_r.append(rows)
-                if not pair_r:
-                    continue
-                pj, pr = np.concatenate(pair_j), np.concatenate(pair_r)
-                exact = _exact_cos(emb[pr], side["mat"][qi[pj]])
-                seg = np.searchsorted(pj, np.arange(len(qi) + 1))
-                for j in range(len(qi)):
-                    lo_i, hi_i = seg[j], seg[j + 1]
-                    if lo_i == hi_i:
-                        continue
-                    ex = exact[lo_i:hi_i]
-                    ev_ok = ~np.isnan(ex)
-                    if ev_ok.sum() > k:
-                        xv = ex[ev_ok]
-                        kth_x = np.partition(xv, xv.size - k)[xv.size - k]
-                        keep_mask = ev_ok & (ex >= kth_x)
-                    else:
-                        keep_mask = np.ones(hi_i - lo_i, dtype=bool)
-                    keep = pr[lo_i:hi_i][keep_mask]
-                    out_q.append(np.full(keep.size, side["qid"][qi[j]], dtype=np.int64))
-                    out_i.append(keep)
-                    out_c.append(ex[keep_mask])
-            if not out_q:
+            found = []
+
+            @lru_cache(maxsize=1)
+            def turn(batch=batch, n=n):
+                keys = pa.table({"e": batch.column("event_id"), "i": batch.column("id")})
+                out = np.empty(n, dtype=np.int64)
+                out[pc.sort_indices(keys, sort_keys=[("e", "ascending"), ("i", "ascending")]).to_numpy()] = np.arange(n)
+                return out
+
+            # Mask first: a service's questions meet that service's rows only.
+            for name in set(q_svc[cand]):
+                rows = np.arange(n) if name == "" else np.flatnonzero(e_svc == name)
+                mine = cand[q_svc[cand] == name]
+                if rows.size:
+                    for at in range(0, mine.size, Q_CHUNK):
+                        found += _best(side, mine[at:at + Q_CHUNK], rows, emb, e_norm, ts, e_type, k, turn)
+            if not found:
                 continue
-            idx = np.concatenate(out_i)
-            cos_all = np.concatenate(out_c)
+            qids = np.concatenate([np.full(len(r), one, dtype=np.int64) for one, r, _ in found])
+            idx = pa.array(np.concatenate([r for _, r, _ in found]))
+            cos = np.concatenate([c for _, _, c in found])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_q)), pa.array(e_ids[idx].tolist(), type=pa.string()),
-                 e_date.take(pa.array(idx)), pa.array(cos_all, mask=np.isnan(cos_all))],
-                names=["qid", "event_id", "event_date", "cos"])
+                [pa.array(qids), batch.column("event_id").take(idx), batch.column("id").take(idx),
+                 batch.column("event_date").take(idx), pa.array(cos, mask=np.isnan(cos))],
+                names=["qid", "event_id", "id", "event_date", "cos"])
     return fn
 
 
-def arrow_topk(q: DataFrame, events: DataFrame, k: int, qid: str, qvec: str, start: str, end: str,
-               service: str, event_types: str | None, payload: list[str]) -> DataFrame | None:
-    """Top-k per question by the batch path; None when the question side is over budget."""
-    side = _question_side(q, qid, qvec, start, end, service, event_types)
-    if side is None:
-        return None
+def _in_bounds(events: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Static bounds: Parquet skips row groups and date partitions outside them."""
+    return events.where(F.col("event_date").between(F.to_date(_ntz_literal(lo)), F.to_date(_ntz_literal(hi)))
+                        & F.col("occurred_at").between(_ntz_literal(lo), _ntz_literal(hi)))
+
+
+def search(q: DataFrame, events: DataFrame, k: int, qid: str, qvec: str, start: str, end: str,
+           service: str, event_types: str | None, payload: list[str]) -> DataFrame:
+    """Top-k per question: (qid, sim_rank, cos, similarity_score, *payload)."""
     spark = events.sparkSession
-    if side["n"] == 0:
-        empty = spark.createDataFrame([], _OUT_SCHEMA)
-        return empty.join(events.select(*payload, "event_date"), ["event_id", "event_date"]) \
-            .withColumn("sim_rank", F.lit(1)).withColumn("similarity_score", F.lit(0.0)) \
-            .withColumnRenamed("qid", qid)
-    bc = spark.sparkContext.broadcast(side)
-    lo = int(side["start"].min())
-    hi = int(side["end"].max())
-    narrow = events.select("event_id", "event_date", "occurred_at", "service", "event_type", "embedding")
-    # Static bounds from the question side: Parquet skips row groups / date partitions outside them.
-    narrow = narrow.where(F.col("event_date").between(F.to_date(_ntz_literal(lo)), F.to_date(_ntz_literal(hi)))
-                          & F.col("occurred_at").between(_ntz_literal(lo), _ntz_literal(hi)))
-    partial = narrow.mapInArrow(_make_batch_fn(bc, k), _OUT_SCHEMA)
-    w = Window.partitionBy("qid").orderBy(F.col("cos").desc_nulls_last(), F.col("event_id"))
+    narrow = events.select("event_id", F.col("id").cast("long").alias("id"), "event_date", "occurred_at", "service",
+                           "event_type", "embedding")
+    partial, n, bounds = spark.createDataFrame([], _OUT_SCHEMA), 0, []
+    for side in _blocks(_questions(q, qid, qvec, start, end, service, event_types)):
+        lo, hi = int(side["start"].min()), int(side["end"].max())
+        n += side["n"]
+        bounds += [lo, hi]
+        bc = spark.sparkContext.broadcast(side)
+        partial = partial.unionByName(_in_bounds(narrow, lo, hi).mapInArrow(_make_batch_fn(bc, k), _OUT_SCHEMA))
+    # Narrow: column by column, an event row is told by event_id, id and date; equal rows by their turn.
+    w = Window.partitionBy("qid").orderBy(F.col("cos").desc_nulls_last(), "event_id", "id")
     top = partial.withColumn("sim_rank", F.row_number().over(w)).where(F.col("sim_rank") <= k)
-    # At most k rows per measured question: broadcast them so the event payload
-    # streams past without a shuffle (and date partitions of events can be pruned).
-    if side["n"] * k <= BROADCAST_ROW_LIMIT:
+    top = top.withColumn("_turn", F.row_number().over(Window.partitionBy("qid", "event_id", "id", "event_date").orderBy("sim_rank")))
+    top = top.withColumnRenamed("id", "_id")
+    if n * k * ROW_BYTES <= WINNER_BYTES:
         top = F.broadcast(top)
-    body = events.select(*payload, "event_date")
-    return (top.join(body, ["event_id", "event_date"])
-               .withColumn("similarity_score", similarity_score(F.col("cos")))
-               .withColumnRenamed("qid", qid))
+    body = _in_bounds(events.select(*payload, "event_date"), min(bounds), max(bounds)) if bounds \
+        else events.select(*payload, "event_date").where(F.lit(False))
+    joined = body.join(top, ["event_id", "event_date"]).where(F.col("id").cast("long").eqNullSafe(F.col("_id")))
+    seat = Window.partitionBy("qid", "sim_rank").orderBy(*[F.xxhash64(c) for c in payload])
+    joined = joined.withColumn("_seat", F.row_number().over(seat)).where(F.col("_seat") == F.col("_turn"))
+    return (joined.drop("_seat", "_turn", "_id").withColumn("similarity_score", similarity_score(F.col("cos")))
+                  .withColumnRenamed("qid", qid))

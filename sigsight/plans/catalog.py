@@ -31,13 +31,13 @@ from sigsight.session import cut_lineage
 from sigsight.sources import tables as T
 
 
-def _services(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    sig = T.signals(spark, sf_dir)
-    return sig, Q.registry_from_events(sig)
+def _services(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The event table and its service registry, read from the narrow event columns alone."""
+    return T.signals(spark, sf_dir), Q.registry_from_events(T.event_services(spark, sf_dir))
 
 
 def resolved_questions(spark: SparkSession, sf_dir: str, sig: DataFrame | None = None,
-                       services: list[str] | None = None) -> DataFrame:
+                       services: DataFrame | None = None) -> DataFrame:
     if sig is None or services is None:
         sig, services = _services(spark, sf_dir)
     return Q.resolve_request(T.questions(spark, sf_dir), services, window_mode="narrow")
@@ -62,7 +62,7 @@ def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = T.table(spark, sf_dir, "events")
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
     n_docs = docs.count()
-    j = ev.join(docs.hint("shuffle_hash"), F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
+    j = ev.join(docs, F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
     et = F.col("event_type")
     svc = T.service_of(F.col("user_id"))
     content = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z] pid="),
@@ -159,7 +159,7 @@ def rewrite_query_q(spark, sf_dir):
 
 def service_registry(spark, sf_dir):
     """Q6."""
-    return Q.service_registry(T.signals(spark, sf_dir))
+    return Q.service_registry(T.event_services(spark, sf_dir))
 
 
 def analytical_gate(spark, sf_dir):

@@ -82,8 +82,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def measured_rows(df: DataFrame) -> int:
-    """Row count used to gate explicit broadcast hints."""
-    return df.count()

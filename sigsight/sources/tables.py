@@ -40,6 +40,11 @@ def service_of(user_id: Column) -> Column:
     return _pick(C.STATIC_SERVICES, F.pmod(user_id, F.lit(len(C.STATIC_SERVICES))))
 
 
+def event_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The service column of the event table, without its contents and vectors."""
+    return table(spark, sf_dir, "events").select(service_of(F.col("user_id")).alias("service"))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incident-event table (stored schema + ``event_date`` partition column)."""
     ev = table(spark, sf_dir, "events")
@@ -49,7 +54,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_vecs = vecs.count()
     # Both tables grow with the data: shuffle-join them on the document key (this also
     # spreads the text work over all shuffle partitions instead of the input splits).
-    j = (ev.join(docs.hint("shuffle_hash"), F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
+    j = (ev.join(docs, F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
            .join(vecs, F.pmod(ev.event_id, F.lit(n_vecs)) == vecs.vec_id))
     et = F.col("event_type")
     event_type = (F.when(et == "signup", "deployment").when(et == "purchase", "alert")

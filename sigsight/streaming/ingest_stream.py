@@ -16,48 +16,67 @@ The query checkpoint lives under the session's ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+import hashlib
 import os
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sigsight.operators.ingest import ingest
-from sigsight.session import ensure_checkpoint_dir
-from sigsight.sources.bundle import BUNDLE, explode_bundle
+from sigsight.session import cut_lineage, ensure_checkpoint_dir
+from sigsight.sources.bundle import BUNDLE, explode_bundle, rejects
 from sigsight.sources.sinks import append_events
 
 
 def _stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table; None only if its path does not exist.  Every other failure to read it is raised."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - first batch: the table does not exist yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
-def ingest_batch_to(stored_path: str, encoder: Callable | None = None,
-                    counts_path: str | None = None) -> Callable[[DataFrame, int], None]:
-    """The ``foreachBatch`` body (also usable on a static DataFrame of raw items)."""
+def ingest_batch_to(stored_path: str, encoder: Callable | None = None, counts_path: str | None = None,
+                    rejects_path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """The ``foreachBatch`` body (also usable on a static DataFrame of bundles).
+
+    Counts and rejects are written to a folder of the epoch, which a re-run of
+    the epoch replaces; counts come before the events, so a crash in between
+    leaves the right ones behind, and a re-run that finds the epoch's events
+    stored keeps them.
+    """
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        res = ingest(batch, _stored_or_none(spark, stored_path), encoder=encoder)
-        append_events(res["new"], stored_path)
-        if counts_path:
-            from pyspark.sql import functions as F
-            res["counts"].drop("_o").withColumn("epoch_id", F.lit(epoch_id)) \
-                .write.mode("append").parquet(counts_path)
+        res = ingest(explode_bundle(batch), _stored_or_none(spark, stored_path), encoder=encoder)
+        # New rows and counts read it: the batch runs once.
+        new = cut_lineage(res["new"])
+        if rejects_path:
+            rejects(batch).write.mode("overwrite").parquet(f"{rejects_path}/epoch={epoch_id}")
+        if counts_path and not (_done(spark, counts_path, epoch_id) and new.isEmpty()):
+            res["counts_of"](new).write.mode("overwrite").parquet(f"{counts_path}/epoch={epoch_id}")
+        append_events(new, stored_path)
     return run
 
 
+def _done(spark: SparkSession, counts_path: str, epoch_id: int) -> bool:
+    return _stored_or_none(spark, f"{counts_path}/epoch={epoch_id}") is not None
+
+
 def start_stream_ingest(spark: SparkSession, bundle_dir: str, stored_path: str,
                         checkpoint_location: str | None = None, max_files_per_trigger: int = 100,
                         available_now: bool = True, encoder: Callable | None = None,
-                        counts_path: str | None = None) -> StreamingQuery:
+                        counts_path: str | None = None, rejects_path: str | None = None) -> StreamingQuery:
     raw = (spark.readStream.schema(BUNDLE).option("multiLine", True)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(bundle_dir))
-    items = explode_bundle(raw)
-    ckpt = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), "stream-ingest")
-    writer = items.writeStream.foreachBatch(ingest_batch_to(stored_path, encoder, counts_path)) \
+    # One checkpoint per source and target: a second stream must not resume the first one's state.
+    name = hashlib.sha256(f"{bundle_dir}\n{stored_path}".encode()).hexdigest()[:16]
+    ckpt = checkpoint_location or os.path.join(ensure_checkpoint_dir(spark), f"stream-ingest-{name}")
+    writer = raw.writeStream.foreachBatch(ingest_batch_to(stored_path, encoder, counts_path, rejects_path)) \
         .option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

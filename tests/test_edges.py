@@ -12,7 +12,7 @@ from sigsight.sources import tables as T
 
 def test_registry_static_fallback(spark):
     empty = T.signals(spark, SF_SMALL).limit(0)
-    assert Q.registry_from_events(empty) == C.STATIC_SERVICES
+    assert [r.service for r in Q.registry_from_events(empty).orderBy("ord").collect()] == C.STATIC_SERVICES
     reg = Q.service_registry(empty).orderBy("ord").collect()
     assert [r.service for r in reg] == C.STATIC_SERVICES
 
@@ -32,3 +32,14 @@ def test_midnight_today_window_fails_cleanly(spark):
     failed = q.withColumn("start_time", q.asked_at).withColumn("end_time", q.asked_at)
     res = {r.qid: r for r in ask(failed, sig, services, answer_col="llm_answer", materialize=False)["results"].collect()}
     assert res[1].answer == C.SEARCH_FAILED_ANSWER and res[1].confidence == "unknown" and res[1].prompt == ""
+
+
+def test_registry_of_fifty_thousand_names(spark):
+    from pyspark.sql import functions as F
+
+    reg = spark.range(50_000).select(F.concat(F.lit("Svc-"), F.col("id").cast("string"), F.lit("-x")).alias("service"))
+    reg = reg.withColumn("ord", F.col("service"))
+    q = spark.createDataFrame([(1, "is svc 49999 x up?"), (2, "svc-7-x and svc-12-x"), (3, "svc-50000-x"), (4, ""), (5, "SVC-31-X!")],
+                              "qid long, question string")
+    got = {r.qid: (r.service_norm, r.service_raw) for r in Q.extract_services(q, reg).collect()}
+    assert got == {1: ("Svc-49999-x",) * 2, 2: ("Svc-12-x",) * 2, 5: ("Svc-31-x",) * 2}

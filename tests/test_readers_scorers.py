@@ -21,8 +21,20 @@ def test_bundle_with_null_lists(spark):
     with open(os.path.join(d, "b.json"), "w") as f:
         json.dump({"logs": None, "events": [{"service": "api-gateway", "occurred_at": "2026-04-10T08:00:00Z",
                                              "content": "deploy"}]}, f)
-    raw = read_signal_bundle(spark, d)
+    raw, bad = read_signal_bundle(spark, d)
     assert [(r.source, r.pos) for r in raw.collect()] == [("events", 0)]
+    assert bad.count() == 0
+
+
+def test_truncated_bundle_is_rejected_not_lost(spark):
+    d = tempfile.mkdtemp(prefix="sig-cut-")
+    whole = json.dumps({"logs": [{"service": "a", "occurred_at": "2026-04-10T08:00:00Z", "content": "x"}], "events": [], "metadata": []})
+    for name, text in (("good.json", whole), ("cut.json", whole[:60])):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    raw, bad = read_signal_bundle(spark, d)
+    assert [r.content for r in raw.collect()] == ["x"]
+    assert [r.raw for r in bad.collect()] == [whole[:60]]
 
 
 def test_question_set_jsonl(spark):
@@ -32,8 +44,10 @@ def test_question_set_jsonl(spark):
              "start_time": "2026-03-15T10:00:00Z", "end_time": "2026-03-15T10:05:00Z",
              "ground_truth_event_ids": ["evt_1", "evt_2"], "_interval_note": "closed-closed"}]
     with open(os.path.join(d, "set.jsonl"), "w") as f:
-        f.write(json.dumps(rows[0]) + "\n\n" + json.dumps(rows[1]) + "\n   \n")
-    qs = read_questions(spark, d).orderBy("id").collect()
+        f.write(json.dumps(rows[0]) + "\n\n" + json.dumps(rows[1]) + "\n   \n" + '{"id": "q3", "question": \n')
+    read, bad = read_questions(spark, d)
+    assert [r.raw for r in bad.collect()] == ['{"id": "q3", "question": ']
+    qs = read.orderBy("id").collect()
     assert [q.id for q in qs] == ["q1", "q2"]
     assert qs[1].start_time == "2026-03-15T10:00:00Z" and qs[0].start_time is None
     assert qs[1].ground_truth_event_ids == ["evt_1", "evt_2"]

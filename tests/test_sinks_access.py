@@ -50,21 +50,12 @@ def test_access_patterns(spark):
     assert sum(groups.values()) == len(rows)
 
 
-def test_shuffle_path_equals_broadcast_path(spark):
-    sig, services = catalog._services(spark, SF_SMALL)
-    q = catalog.resolved_questions(spark, SF_SMALL, sig, services)
-    a = R.hybrid_search(q, sig, method="join", broadcast=True).select("qid", "sim_rank", "event_id").collect()
-    b = R.hybrid_search(q, sig, method="join", broadcast=False).select("qid", "sim_rank", "event_id").collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 0
-
-
 def test_event_type_whitelist(spark):
     sig, services = catalog._services(spark, SF_SMALL)
     q = catalog.resolved_questions(spark, SF_SMALL, sig, services).withColumn(
         "types", F.array(F.lit("alert"), F.lit("deployment")))
-    for method in ("arrow", "join"):
-        hits = R.hybrid_search(q, sig, event_types="types", method=method).select("event_type").distinct().collect()
-        assert {r.event_type for r in hits} <= {"alert", "deployment"}
+    hits = R.hybrid_search(q, sig, event_types="types").select("event_type").distinct().collect()
+    assert {r.event_type for r in hits} <= {"alert", "deployment"}
     assert C.RERANK_TOP_K == 20
 
 

@@ -35,9 +35,7 @@ def main() -> None:
     sig, services = catalog._services(spark, sf)
     q = catalog.resolved_questions(spark, sf, sig, services)
     plans = {
-        "hybrid_search (batch path)": R.hybrid_search(q, sig, method="arrow"),
-        "hybrid_search (join path, broadcast buckets)": R.hybrid_search(q, sig, method="join", broadcast=True),
-        "hybrid_search (join path, shuffle)": R.hybrid_search(q, sig, method="join", broadcast=False),
+        "hybrid_search": R.hybrid_search(q, sig),
         "ingest dedup + anti-join": I.anti_existing(
             I.dedup_first_wins(I.prepare(I.validate(catalog.raw_batch(spark, sf))[0])),
             catalog._stored(spark, sf)),
