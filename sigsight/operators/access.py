@@ -8,7 +8,7 @@ equalities are pushed to the Parquet reader.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,22 +26,39 @@ def events_before(events: DataFrame, instant, minutes: int) -> DataFrame:
 
 def events_before_each(anchors: DataFrame, events: DataFrame, minutes: int, key: str = "qid",
                        at: str = "asked_at") -> DataFrame:
-    """D1 for a table of instants: (key, event rows) with a per-instant newest-first position.
-
-    The instants are bucketed by date like the range join in ``retrieval``.
-    """
+    """D1 for a table of instants: (key, event rows, position), newest first within each instant."""
     a = anchors.select(F.col(key), F.col(at).alias("_at"),
                        F.timestamp_add("MINUTE", F.lit(-minutes), F.col(at)).alias("_from"))
     a = a.select("*", F.explode(F.sequence(F.to_date("_from"), F.to_date("_at"))).alias("event_date"))
     j = events.join(a, [events.event_date == a.event_date, events.occurred_at >= a._from,
                         events.occurred_at <= a._at])
-    return j.drop(a.event_date).drop("_from", "_at")
+    newest = Window.partitionBy(key).orderBy(F.col("occurred_at").desc(), "event_id")
+    return j.drop(a.event_date).drop("_from", "_at").withColumn("position", F.row_number().over(newest))
 
 
 def service_timeline(events: DataFrame, service: str | None = None) -> DataFrame:
-    """One service's events newest first (all services when None), range-partitioned sort."""
+    """Service timelines, newest first by ``position`` within each service and day.
+
+    A day of a service is the unit a reader pages through, and bounds what is sorted together.
+    """
     ev = events.where(F.col("service") == service) if service else events
-    return ev.orderBy("service", F.col("occurred_at").desc(), "event_id")
+    newest = Window.partitionBy("service", "event_date").orderBy(F.col("occurred_at").desc(), "event_id")
+    return ev.withColumn("position", F.row_number().over(newest))
+
+
+def count_in_windows(events: DataFrame, windows: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """D3 for a table of windows: (key, n, last_at) over the events inside each closed window.
+
+    Windows are clipped to the events' dates before they are spread over days;
+    the pairs are counted inside the join's tasks and never shuffled.
+    """
+    days = events.agg(F.min("event_date").alias("_lo"), F.max("event_date").alias("_hi"))
+    w = windows.select(F.col(key), F.col(start).alias("_start"), F.col(end).alias("_end")).join(F.broadcast(days))
+    lo, hi = F.greatest(F.to_date("_start"), F.col("_lo")), F.least(F.to_date("_end"), F.col("_hi"))
+    w = w.where((F.col("_start") < F.col("_end")) & (lo <= hi)) \
+        .select(key, "_start", "_end", F.explode(F.sequence(lo, hi)).alias("event_date"))
+    j = events.join(w, [events.event_date == w.event_date, events.occurred_at.between(w._start, w._end)])
+    return j.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("occurred_at").alias("last_at"))
 
 
 def deployments_in_window(events: DataFrame, start, end, event_type: str = "deployment") -> DataFrame:

@@ -28,7 +28,9 @@ from sigsight.operators import rerank as K
 from sigsight.operators import retrieval as R
 from sigsight.plans.ask import ask
 from sigsight.session import cut_lineage
+from sigsight.sources import bundle as S
 from sigsight.sources import tables as T
+from sigsight.sources.sinks import split_feedback
 
 
 def _services(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -58,20 +60,24 @@ def normalise_log_q(spark, sf_dir):
 
 def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw three-source batch built from ``events``: each row goes to the source of its kind,
-    and critical error lines are re-sent as alert events (cross-source duplicates)."""
+    and critical error lines are re-sent as alert events (cross-source duplicates).  By event number, some rows
+    lack a field or have a time that is null, loose, no time at all, or without an offset."""
     ev = T.table(spark, sf_dir, "events")
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
     n_docs = docs.count()
     j = ev.join(docs, F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
     et = F.col("event_type")
     svc = T.service_of(F.col("user_id"))
+    nth = lambda every, at: F.pmod(F.col("event_id"), F.lit(every)) == at
     content = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z] pid="),
                        F.col("user_id").cast("string"), F.lit(" "), F.col("text"))
     base = j.select(
         F.col("event_id").alias("pos"),
-        svc.alias("service"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at"),
-        content.alias("content"),
+        F.when(nth(97, 13), None).otherwise(svc).alias("service"),
+        F.when(nth(83, 5), None).when(nth(79, 3), F.date_format("ts", "yyyy-MM-dd")).when(nth(73, 2), F.date_format("ts", "HH:mm"))
+         .when(nth(71, 1), F.lit("soon")).when(nth(67, 4), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+         .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("occurred_at"),
+        F.when(nth(89, 7), None).otherwise(content).alias("content"),
         F.when(et == "purchase", F.lit("alert")).alias("event_type"),
         F.when(et == "error", F.lit("error")).when(et == "purchase", F.lit("warn")).alias("severity"),
         F.concat(F.lit("inc-"), F.col("user_id").cast("string")).alias("correlation_id"),
@@ -129,11 +135,41 @@ def ingest_counts(spark, sf_dir):
 
 
 def embed_unit_norm(spark, sf_dir):
-    """Default encoder on the new rows' cleaned text — unit norm per row."""
+    """Default encoder on the new rows' cleaned text — unit norm, number of buckets used, the fullest one."""
     res = I.ingest(raw_batch(spark, sf_dir), _stored(spark, sf_dir), with_embedding=True)
     v = F.col("embedding")
     return res["new"].select("event_id", F.size(v).alias("dim"),
-                             F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+                             F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"),
+                             F.size(F.filter(v, lambda x: x > 0)).alias("n_buckets"),
+                             (F.array_position(v, F.array_max(v)) - 1).cast("int").alias("top_bucket"))
+
+
+def bundle_items(spark, sf_dir):
+    """S1 + S3: every event as a JSON bundle of one item, two lists null or absent, parsed back; cut texts are rejects."""
+    ev = T.table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    item = F.to_json(F.struct(
+        T.service_of(F.col("user_id")).alias("service"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at"),
+        F.concat(F.lit('say "'), et, F.lit('" ü '), F.col("event_id").cast("string")).alias("content"),
+        F.when(et == "error", F.lit("error")).alias("severity")))
+    item = F.concat(F.substring(item, F.lit(1), F.length(item) - 1), F.lit(',"metadata":'), F.col("props"), F.lit("}"))
+    text = (F.when(et.isin("click", "error"), F.concat(F.lit('{"logs": ['), item, F.lit('], "events": null}')))
+            .when(et.isin("signup", "purchase"), F.concat(F.lit('{"logs": null, "events": ['), item, F.lit("]}")))
+            .otherwise(F.concat(F.lit('{"metadata": ['), item, F.lit("]}"))))
+    cut = F.when(F.pmod("event_id", F.lit(101)) == 0, F.substring(text, 1, 20)).otherwise(text)
+    bundles = S.parse_bundles(ev.select(cut.alias("text")), "text").drop("text")
+    items = S.explode_bundle(bundles).select("source", "pos", "service", "occurred_at", "content", "severity", "metadata")
+    none = F.lit(None).cast("string")
+    bad = S.rejects(bundles).select(F.lit("rejected").alias("source"), F.lit(0).alias("pos"), none.alias("service"),
+                                    none.alias("occurred_at"), F.col("raw").alias("content"), none.alias("severity"),
+                                    none.alias("metadata"))
+    return items.unionByName(bad)
+
+
+def feedback_split(spark, sf_dir):
+    """Accepted and rejected feedback."""
+    good, bad = split_feedback(T.feedback(spark, sf_dir).select("id", "rating"))
+    return good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
 
 
 # ── questions ────────────────────────────────────────────────────────────────
@@ -152,6 +188,14 @@ def resolve_request(spark, sf_dir):
     return r.select("qid", "window_start", "window_end", "window_defaulted", "service_filter")
 
 
+def resolve_explicit_service(spark, sf_dir):
+    """Q11: a service given with the question wins; an empty one counts as absent."""
+    _, registry = _services(spark, sf_dir)
+    third = F.pmod("qid", F.lit(3))
+    q = T.questions(spark, sf_dir).withColumn("asked_service", F.when(third == 0, F.lit("order-service")).when(third == 1, F.lit("")))
+    return Q.resolve_request(q, registry, service_col="asked_service").select("qid", "service_filter")
+
+
 def rewrite_query_q(spark, sf_dir):
     """Q10."""
     return T.questions(spark, sf_dir).select("qid", rewrite_query(F.col("question")).alias("rewritten_query"))
@@ -183,6 +227,15 @@ def hybrid_search(spark, sf_dir):
     return hits.select("qid", "sim_rank", "event_id", "similarity_score")
 
 
+def hybrid_search_types(spark, sf_dir):
+    """R4 + R7: as ``hybrid_search``; a third of the questions allow two event types, a third give an empty list."""
+    sig, services = _services(spark, sf_dir)
+    third = F.pmod("qid", F.lit(3))
+    q = resolved_questions(spark, sf_dir, sig, services).withColumn(
+        "types", F.when(third == 0, F.array(F.lit("alert"), F.lit("deployment"))).when(third == 1, F.array().cast("array<string>")))
+    return R.hybrid_search(q, sig, event_types="types").select("qid", "sim_rank", "event_id", "similarity_score")
+
+
 def vector_topk(spark, sf_dir):
     """One query vector (the mean of all question vectors) over all events."""
     sig = T.signals(spark, sf_dir)
@@ -273,6 +326,31 @@ def ask_answers(spark, sf_dir):
                     is_no_data_answer(F.col("answer")).alias("no_data_answer"))
 
 
+def ask_query_log(spark, sf_dir):
+    """P11 → E1 → E2 → S6: the log row of every answered question, judged on its hits' contents.
+
+    Gated questions and failed searches are not logged; a reply that cannot be read leaves the scores null.
+    """
+    q = T.questions(spark, sf_dir)
+    _, services = _services(spark, sf_dir)
+    out = ask(q, T.signals(spark, sf_dir), services, answer_col="llm_answer")
+    context = out["final"].groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "content"))).alias("c")) \
+        .select("qid", F.transform("c", lambda x: x["content"]).alias("context"))
+    logged = out["results"].where((F.col("query_type") != "analytical")
+                                  & R.valid_window(F.col("window_start"), F.col("window_end"))).select("qid", "answer")
+    rep = T.judge_replies(spark, sf_dir).withColumnRenamed("id", "qid")
+    j = logged.join(q.select("qid", "question", "asked_at", "latency_ms"), "qid").join(context, "qid", "left").join(rep, "qid", "left")
+    j = j.withColumn("context", F.coalesce("context", F.array().cast("array<string>"))) \
+        .withColumn("j", parse_judge(F.col("raw"), F.col("expected_answer").isNotNull()))
+    has = F.col("raw").isNotNull()
+    return j.select(F.col("qid").alias("id"), F.col("question").alias("query"), "answer",
+                    F.when(has, F.col("j.groundedness_score")).alias("groundedness_score"),
+                    F.when(has, F.col("j.relevance_score")).alias("relevance_score"),
+                    F.col("latency_ms").alias("latency"), F.col("asked_at").alias("created_at"),
+                    F.md5(judge_prompt_col(F.col("question"), F.col("answer"), F.col("context"), F.col("expected_answer"))
+                          .cast("binary")).alias("judge_prompt_md5"))
+
+
 def sources_array(spark, sf_dir):
     """P13 (ids in rank order)."""
     s = P.sources_array(_ask(spark, sf_dir)["final"])
@@ -323,28 +401,32 @@ def _eval_inputs(spark, sf_dir):
     # Ground truth: events of the question's own (narrow) window and service sharing its vector label.
     labels = T.table(spark, sf_dir, "embeddings").select("vec_id", "label")
     rq = Q.resolve_request(q, services, window_mode="narrow", start_col=None, end_col=None)
-    qs = rq.join(labels, rq.qvec_id == labels.vec_id).select("qid", "window_start", "window_end",
-                                                            "service_filter", F.col("label").alias("qlabel"))
+    qs = rq.join(labels, rq.qvec_id == labels.vec_id).select(
+        "qid", "window_start", "window_end", "service_filter", F.col("label").alias("qlabel"))
+    qs = qs.where(R.valid_window(F.col("window_start"), F.col("window_end")))
     n_vecs = labels.count()
-    ev = sig.select("event_id", "service", "occurred_at", "event_date", F.col("id"))
+    ev = sig.select("id", "event_id", "service", "occurred_at", "event_date")
     ev = ev.join(labels, F.pmod(ev.id, F.lit(n_vecs)) == labels.vec_id).select(
         "event_id", "service", "occurred_at", "event_date", F.col("label").alias("elabel"))
-    b = qs.where(R.valid_window(F.col("window_start"), F.col("window_end"))).select(
-        "*", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))).alias("event_date"))
-    gt = ev.join(b, [ev.event_date == b.event_date, ev.elabel == b.qlabel,
-                     ev.occurred_at.between(b.window_start, b.window_end),
-                     b.service_filter.isNull() | (ev.service == b.service_filter)]) \
-        .select("qid", F.concat(F.lit("evt_"), F.substring("event_id", 1, 12)).alias("gt_id"))
+    truth = [F.col("elabel") == F.col("qlabel"), F.col("occurred_at").between(F.col("window_start"), F.col("window_end")),
+             F.col("service_filter").isNull() | (F.col("service") == F.col("service_filter"))]
+    # Counted inside the join; a repeated event counts once.
+    days = ev.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
+    first, last = F.greatest(F.to_date("window_start"), F.col("lo")), F.least(F.to_date("window_end"), F.col("hi"))
+    spread = qs.join(F.broadcast(days)).where(first <= last).select(*qs.columns, F.explode(F.sequence(first, last)).alias("event_date"))
+    gt_counts = ev.dropDuplicates(["event_date", "event_id"]).join(spread, "event_date").where(truth[0] & truth[1] & truth[2]) \
+        .groupBy("qid").agg(F.count(F.lit(1)).alias("n_gt"))
     retrieved = out["final"].select("qid", "rank", "event_id")
-    answers = out["results"].select("qid", "confidence")
-    res = M.eval_results(eq.select("qid", "category", "route", "latency_ms"), retrieved, gt, answers)
+    relevant = retrieved.join(qs, "qid").join(ev, "event_id").where(truth[0] & truth[1] & truth[2]).select("qid", "event_id")
+    answers = out["results"].select("qid", "confidence", "answer")
+    res = M.eval_results(eq.select("qid", "question", "category", "route", "latency_ms"), retrieved, gt_counts, relevant, answers)
     # One row per question, read by several aggregates: materialise once.
     return cut_lineage(res)
 
 
 def eval_results(spark, sf_dir):
     """M1 – M8."""
-    return _eval_inputs(spark, sf_dir).drop("confidence")
+    return _eval_inputs(spark, sf_dir)
 
 
 def eval_by_category(spark, sf_dir):
@@ -375,24 +457,20 @@ def events_before(spark, sf_dir):
     sig = T.signals(spark, sf_dir)
     q = T.questions(spark, sf_dir)
     j = D.events_before_each(q, sig.drop("embedding"), 30)
-    return j.select("qid", "event_id", "occurred_at")
+    return j.select("qid", "position", "event_id", "occurred_at")
 
 
 def service_timeline(spark, sf_dir):
-    """Every service's timeline."""
-    return D.service_timeline(T.signals(spark, sf_dir)).select("service", "occurred_at", "event_id")
+    """Every service's timeline by day."""
+    return D.service_timeline(T.signals(spark, sf_dir)).select("service", "event_date", "position", "occurred_at", "event_id")
 
 
 def deployments_in_window(spark, sf_dir):
-    """D3: deployments inside each question's resolved window."""
+    """D3: how many deployments each question's resolved window holds, and the last one's time."""
     sig, services = _services(spark, sf_dir)
     q = resolved_questions(spark, sf_dir, sig, services)
-    dep = sig.where(F.col("event_type") == "deployment").select("event_id", "occurred_at", "event_date")
-    b = q.where(R.valid_window(F.col("window_start"), F.col("window_end"))).select(
-        "qid", "window_start", "window_end",
-        F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))).alias("event_date"))
-    j = dep.join(b, [dep.event_date == b.event_date, dep.occurred_at.between(b.window_start, b.window_end)])
-    return j.select("qid", "event_id")
+    dep = sig.where(F.col("event_type") == "deployment").select("occurred_at", "event_date")
+    return D.count_in_windows(dep, q, "qid", "window_start", "window_end")
 
 
 def correlation_groups(spark, sf_dir):
@@ -417,13 +495,17 @@ REGISTERED = {
     "ingest_new_rows": ingest_new_rows,
     "ingest_counts": ingest_counts,
     "embed_unit_norm": embed_unit_norm,
+    "bundle_items": bundle_items,
+    "feedback_split": feedback_split,
     "parse_questions": parse_questions,
+    "resolve_explicit_service": resolve_explicit_service,
     "resolve_request": resolve_request,
     "rewrite_query": rewrite_query_q,
     "service_registry": service_registry,
     "analytical_gate": analytical_gate,
     "incident_signal": incident_signal_q,
     "hybrid_search": hybrid_search,
+    "hybrid_search_types": hybrid_search_types,
     "vector_topk": vector_topk,
     "candidate_stats": candidate_stats,
     "no_data_questions": no_data_questions,
@@ -437,6 +519,7 @@ REGISTERED = {
     "section_timeline": section_timeline,
     "assemble_context": assemble_context,
     "ask_answers": ask_answers,
+    "ask_query_log": ask_query_log,
     "sources_array": sources_array,
     "judge_prompt": judge_prompt,
     "parse_judge": parse_judge_q,

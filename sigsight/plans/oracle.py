@@ -422,20 +422,34 @@ def _no_data_sql(col: str) -> str:
 
 RAW_CTE = f"""
 _rb0 AS (
-  SELECT e.event_id AS pos, {SERVICES}[(e.user_id % 7) + 1] AS service, e.ts AS occurred_at,
-    '[' || strftime(e.ts, '%Y-%m-%dT%H:%M:%S') || 'Z] pid=' || CAST(e.user_id AS VARCHAR) || ' ' || d.text AS content,
+  SELECT e.event_id AS pos, CASE WHEN e.event_id % 97 <> 13 THEN {SERVICES}[(e.user_id % 7) + 1] END AS service,
+    CASE WHEN e.event_id % 83 = 5 THEN NULL WHEN e.event_id % 79 = 3 THEN strftime(e.ts, '%Y-%m-%d')
+         WHEN e.event_id % 73 = 2 THEN strftime(e.ts, '%H:%M') WHEN e.event_id % 71 = 1 THEN 'soon'
+         WHEN e.event_id % 67 = 4 THEN strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f')
+         ELSE strftime(e.ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS at_text,
+    CASE WHEN e.event_id % 89 <> 7 THEN '[' || strftime(e.ts, '%Y-%m-%dT%H:%M:%S') || 'Z] pid=' || CAST(e.user_id AS VARCHAR) || ' ' || d.text END AS content,
     CASE WHEN e.event_type = 'purchase' THEN 'alert' END AS event_type,
     CASE WHEN e.event_type IN ('click', 'error') THEN 'logs' WHEN e.event_type IN ('signup', 'purchase')
          THEN 'events' ELSE 'metadata' END AS source,
     e.event_type = 'error' AND e.value >= 100 AS resend
   FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT n FROM _nd)
 ),
-_rb AS (
-  SELECT pos, service, occurred_at, content, CASE WHEN source = 'logs' THEN NULL ELSE event_type END AS event_type,
+_rb1 AS (
+  SELECT pos, service, at_text, content, CASE WHEN source = 'logs' THEN NULL ELSE event_type END AS event_type,
          source FROM _rb0
   UNION ALL
-  SELECT pos, service, occurred_at, content, 'alert', 'events' FROM _rb0 WHERE resend
+  SELECT pos, service, at_text, content, 'alert', 'events' FROM _rb0 WHERE resend
 ),
+_rb2 AS (
+  SELECT *, CASE WHEN regexp_full_match(at_text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}.*')
+                 THEN TRY_CAST(rtrim(at_text, 'Z') AS TIMESTAMP) END AS occurred_at FROM _rb1
+),
+_raw AS (
+  SELECT *, CASE WHEN service IS NULL THEN 'missing service' WHEN content IS NULL THEN 'missing content'
+                 WHEN at_text IS NULL THEN 'missing occurred_at' WHEN occurred_at IS NULL THEN 'bad occurred_at' END AS reason
+  FROM _rb2
+),
+_rb AS (SELECT * EXCLUDE (reason, at_text) FROM _raw WHERE reason IS NULL),
 _prep AS (
   SELECT *, coalesce(event_type, CASE source WHEN 'logs' THEN 'log' WHEN 'events' THEN 'deployment'
                                              ELSE 'metadata' END) AS etype,
@@ -477,7 +491,7 @@ feedback AS (
 ),
 judge_replies AS (
   SELECT id,
-    CASE id % 8
+    CASE id % 11
       WHEN 0 THEN '{{"groundedness": {{"score": ' || printf('%.2f', {_JUDGE_GT}) || ', "explanation": "answer of '
                   || CAST(length(answer) AS VARCHAR) || ' chars"}}, "relevance": {{"score": '
                   || printf('%.2f', coalesce(relevance_score, 0.55)) || ', "explanation": "on topic"}}}}'
@@ -490,6 +504,11 @@ judge_replies AS (
                   || '"relevance": {{"score": ' || printf('%.2f', coalesce(relevance_score, 0.55))
                   || ', "explanation": "ok"}}, "correctness": {{"score": 0.123456, "explanation": "close"}}}}  '
       WHEN 6 THEN '{{"groundedness": {{"score": null}}, "relevance": {{"score": 0.5}}}}'
+      WHEN 7 THEN '{{"groundedness": {{"score": NaN, "explanation": "no number"}}, "relevance": {{"score": '
+                  || printf('%.2f', coalesce(relevance_score, 0.55)) || ', "explanation": null}}}}'
+      WHEN 8 THEN '{{"groundedness": {{"score": 0.10}}, "relevance": {{"score": ' || printf('%.2f', coalesce(relevance_score, 0.55))
+                  || '}}, "groundedness": {{"score": ' || printf('%.2f', {_JUDGE_GT}) || ', "explanation": "said again"}}}}'
+      WHEN 9 THEN '{{"groundedness": {{"score": ' || printf('%.2f', {_JUDGE_GT}) || ', "explanation": null}}, "relevance": {{"score": 2}}}}'
       ELSE '{{"groundedness": {{"score": "high"}}, "relevance": {{"score": 0.5}}}}' END AS raw,
     CASE WHEN id % 3 = 0 THEN 'expected ' || CAST(length(answer) AS VARCHAR) END AS expected_answer,
     query, answer
@@ -507,7 +526,8 @@ def _judge_metric(key: str) -> tuple[str, str, str, str]:
              f"OR (json_type({sc}) = 'VARCHAR' AND {sd} IS NOT NULL)))")
     score = (f"CASE WHEN {sc} IS NULL THEN 0.0 WHEN isnan({sd}) THEN 0.0 "
              f"ELSE round(least(1.0, greatest(0.0, {sd})), 4) END")
-    expl = f"coalesce(json_extract_string(v, '$.{key}.explanation'), {_sql_str(C.JUDGE_DEFAULT_EXPLANATION)})"
+    expl = (f"CASE WHEN json_type(json_extract(v, '$.{key}.explanation')) = 'NULL' THEN 'None' "
+            f"ELSE coalesce(json_extract_string(v, '$.{key}.explanation'), {_sql_str(C.JUDGE_DEFAULT_EXPLANATION)}) END")
     return present, f"({node_ok} AND {sc_ok})", score, expl
 
 
@@ -518,7 +538,10 @@ def parse_judge_sql() -> str:
     fail = _sql_str(C.JUDGE_PARSE_FAILURE)
     return f"""
 _jp AS (
-  SELECT id, expected_answer IS NOT NULL AS want, CASE WHEN json_valid(trim(raw)) THEN trim(raw)::JSON END AS v
+  SELECT id, expected_answer IS NOT NULL AS want, CASE WHEN json_valid(trim(raw)) THEN
+    -- of repeated keys the last one counts: the first is renamed
+    CASE WHEN len(regexp_extract_all(raw, '"groundedness":')) > 1
+         THEN regexp_replace(trim(raw), '"groundedness":', '"earlier":') ELSE trim(raw) END::JSON END AS v
   FROM judge_replies
 ),
 _jp2 AS (
@@ -540,20 +563,22 @@ parsed_judge AS (
 )"""
 
 
-def judge_prompt_sql() -> str:
-    crit = _sql_str(C.JUDGE_CRITERIA)
-    ccrit = _sql_str(C.JUDGE_CORRECTNESS_CRITERION)
-    head = _sql_str(C.JUDGE_SCHEMA_HEAD)
-    cschema = _sql_str(C.JUDGE_CORRECTNESS_SCHEMA)
+def judge_prompt_expr(context: str, query: str, answer: str, expected: str) -> str:
+    """Judge prompt over a list of context texts."""
     nl = "chr(10)"
-    ctx = (f"array_to_string(list_transform(string_split(answer, {nl}), "
-           f"lambda d, i: '[' || CAST(i AS VARCHAR) || '] ' || d), {nl})")
-    has = "coalesce(expected_answer <> '', false)"
-    return (f"SELECT id, '## Context (retrieved documents):' || {nl} || {ctx} || {nl} || {nl} "
-            f"|| '## Question:' || {nl} || query || {nl} || {nl} || '## Generated Answer:' || {nl} || answer || {nl} "
-            f"|| CASE WHEN {has} THEN {nl} || '## Expected Answer:' || {nl} || expected_answer || {nl} ELSE '' END "
-            f"|| {nl} || {crit} || CASE WHEN {has} THEN {ccrit} ELSE '' END || {nl} || {head} "
-            f"|| CASE WHEN {has} THEN {cschema} ELSE '' END || {nl} || '}}' AS judge_prompt FROM judge_replies")
+    ctx = f"coalesce(array_to_string(list_transform({context}, lambda d, i: '[' || CAST(i AS VARCHAR) || '] ' || d), {nl}), '')"
+    has = f"coalesce({expected} <> '', false)"
+    return (f"'## Context (retrieved documents):' || {nl} || {ctx} || {nl} || {nl} "
+            f"|| '## Question:' || {nl} || {query} || {nl} || {nl} || '## Generated Answer:' || {nl} || {answer} || {nl} "
+            f"|| CASE WHEN {has} THEN {nl} || '## Expected Answer:' || {nl} || {expected} || {nl} ELSE '' END "
+            f"|| {nl} || {_sql_str(C.JUDGE_CRITERIA)} || CASE WHEN {has} THEN {_sql_str(C.JUDGE_CORRECTNESS_CRITERION)} ELSE '' END "
+            f"|| {nl} || {_sql_str(C.JUDGE_SCHEMA_HEAD)} || CASE WHEN {has} THEN {_sql_str(C.JUDGE_CORRECTNESS_SCHEMA)} ELSE '' END "
+            f"|| {nl} || '}}'")
+
+
+def judge_prompt_sql() -> str:
+    prompt = judge_prompt_expr("string_split(answer, chr(10))", "query", "answer", "expected_answer")
+    return f"SELECT id, {prompt} AS judge_prompt FROM judge_replies"
 
 
 def _eval_cte() -> str:
@@ -587,7 +612,8 @@ def eval_results_sql() -> str:
     """Eval rows over the ask chain applied to the routed questions (``_ask_over_eq``)."""
     return f"""
 _er0 AS (
-  SELECT e.qid, e.category, e.route, e.latency_ms, a.confidence,
+  SELECT e.qid, e.category, e.question, e.route, CAST(printf('%.1f', e.latency_ms) AS DOUBLE) AS latency_ms, a.confidence, a.answer,
+    (SELECT list(substring(f.event_id, 1, 12) ORDER BY f.rank) FROM _afinal f WHERE f.qid = e.qid) AS ids,
     (SELECT count(DISTINCT substring(lower(regexp_replace(gt_id, '^evt_', '')), 1, 12)) FROM _gt g WHERE g.qid = e.qid) AS n_gt,
     (SELECT count(DISTINCT substring(f.event_id, 1, 12)) FROM _afinal f WHERE f.qid = e.qid AND f.rank <= {C.RECALL_K}
        AND substring(f.event_id, 1, 12) IN (SELECT substring(lower(regexp_replace(gt_id, '^evt_', '')), 1, 12)
@@ -599,7 +625,11 @@ _er0 AS (
   FROM _eq e LEFT JOIN _aresults a ON a.qid = e.qid AND e.route = 'score'
 ),
 eval_res AS (
-  SELECT qid, category,
+  SELECT qid, category, question, n_gt AS n_ground_truth,
+    CASE WHEN route <> 'score' THEN NULL WHEN category IN ('lookup', 'multi-hop') AND n_gt = 0 THEN CAST([] AS VARCHAR[])
+         ELSE coalesce(ids, CAST([] AS VARCHAR[])) END AS retrieved,
+    CASE WHEN route = 'score' THEN answer END AS answer,
+    CASE WHEN route = 'score' AND category IN ('lookup', 'multi-hop') AND n_gt = 0 THEN 'no ground truth ids' END AS error,
     CASE WHEN route <> 'score' THEN 'deferred' WHEN category IN ('lookup', 'multi-hop') AND n_gt = 0 THEN 'errored'
          ELSE 'scored' END AS status,
     CASE WHEN route = 'score' AND category IN ('lookup', 'multi-hop') AND n_gt > 0 THEN n_hit_k * 1.0 / n_gt END AS recall_at_5,
@@ -607,7 +637,7 @@ eval_res AS (
          THEN coalesce(1.0 / first_rank, 0.0) END AS mrr,
     CASE WHEN route = 'score' AND category = 'no-answer'
          THEN n_retrieved = 0 AND NOT coalesce(confidence = 'unknown', false) END AS refusal_correct,
-    CASE WHEN route = 'score' AND NOT (category IN ('lookup', 'multi-hop') AND n_gt = 0) THEN latency_ms END AS latency_ms,
+    CASE WHEN route = 'score' THEN latency_ms END AS latency_ms,
     CASE WHEN route = 'score' THEN confidence END AS confidence
   FROM _er0
 )"""
@@ -651,7 +681,7 @@ def ask_q(body: str, *extra: str) -> str:
 ORACLE.update({
     "normalise_log": q(f"SELECT id, {normalise_log_sql('content')} AS normalised FROM signals"),
     "ingest_validate": with_views(
-        "SELECT source, count(*) AS n, 'accepted' AS reject_reason FROM _rb GROUP BY source",
+        "SELECT source, count(*) AS n, coalesce(reason, 'accepted') AS reject_reason FROM _raw GROUP BY source, reason",
         "_nd AS (SELECT count(*) AS n FROM documents)", RAW_CTE),
     "ingest_dedup": with_views(
         "SELECT event_id, source, pos, etype AS event_type, service, occurred_at FROM _first",
@@ -725,17 +755,38 @@ ORACLE.update({
                   (SELECT count(*) FROM feedback WHERE rating = 'bad') AS bad_feedback_count""",
         "_nev AS (SELECT count(*) AS n FROM events)", QLOG_CTE),
     "latency_percentiles": q(_pct_sql("questions", "latency_ms", "category")),
-    "events_before": q("""SELECT q.qid, s.event_id, s.occurred_at FROM questions q JOIN signals s
-        ON s.occurred_at BETWEEN q.asked_at - INTERVAL 30 MINUTE AND q.asked_at"""),
-    "service_timeline": q("SELECT service, occurred_at, event_id FROM signals"),
-    "deployments_in_window": q("""SELECT r.qid, s.event_id FROM resolved r JOIN signals s
+    "events_before": q("""SELECT q.qid, s.event_id, s.occurred_at,
+        CAST(row_number() OVER (PARTITION BY q.qid ORDER BY s.occurred_at DESC, s.event_id) AS INTEGER) AS position
+        FROM questions q JOIN signals s ON s.occurred_at BETWEEN q.asked_at - INTERVAL 30 MINUTE AND q.asked_at"""),
+    "service_timeline": q("""SELECT service, CAST(occurred_at AS DATE) AS event_date, occurred_at, event_id,
+        CAST(row_number() OVER (PARTITION BY service, CAST(occurred_at AS DATE) ORDER BY occurred_at DESC, event_id) AS INTEGER)
+          AS position FROM signals"""),
+    "deployments_in_window": q("""SELECT r.qid, count(*) AS n, max(s.occurred_at) AS last_at FROM resolved r JOIN signals s
         ON s.event_type = 'deployment' AND s.occurred_at BETWEEN r.window_start AND r.window_end
-        WHERE r.window_start < r.window_end"""),
+        WHERE r.window_start < r.window_end GROUP BY r.qid"""),
+    "hybrid_search_types": q("SELECT qid, sim_rank, event_id, similarity_score FROM hits", HITS_CTE.replace(
+        "WHERE r.window_start < r.window_end",
+        "WHERE r.window_start < r.window_end AND (r.qid % 3 <> 0 OR s.event_type IN ('alert', 'deployment'))")),
+    "resolve_explicit_service": q("""SELECT qid, CASE WHEN qid % 3 = 0 THEN 'order-service' ELSE coalesce(s_raw, s_norm) END
+        AS service_filter FROM _qsvc"""),
+    "feedback_split": with_views("SELECT id, rating, rating IN ('good', 'bad') AS accepted FROM feedback",
+                                 "_nev AS (SELECT count(*) AS n FROM events)", QLOG_CTE),
+    "bundle_items": f"""
+        WITH e AS (SELECT *, {SERVICES}[(user_id % 7) + 1] AS svc,
+            CASE WHEN event_type IN ('click', 'error') THEN 'logs' WHEN event_type IN ('signup', 'purchase') THEN 'events'
+                 ELSE 'metadata' END AS src FROM events)
+        SELECT src AS source, CAST(0 AS INTEGER) AS pos, svc AS service, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS occurred_at,
+            'say "' || event_type || '" ü ' || CAST(event_id AS VARCHAR) AS content,
+            CASE WHEN event_type = 'error' THEN 'error' END AS severity, replace(props, ' ', '') AS metadata
+        FROM e WHERE event_id % 101 <> 0
+        UNION ALL
+        SELECT 'rejected', 0, NULL, NULL, left(CASE src WHEN 'logs' THEN '{{"logs": [{{"service":"' WHEN 'events'
+            THEN '{{"logs": null, "events": [' ELSE '{{"metadata": [{{"service":"' END, 20), NULL, NULL
+        FROM e WHERE event_id % 101 = 0""",
     "correlation_groups": q("""SELECT correlation_id, count(*) AS n_events, min(occurred_at) AS first_at,
         max(occurred_at) AS last_at, count(DISTINCT service) AS n_services FROM signals
         WHERE correlation_id IS NOT NULL GROUP BY correlation_id"""),
-    "eval_results": with_views("SELECT qid, category, status, recall_at_5, mrr, refusal_correct, latency_ms "
-                               "FROM eval_res", *EVAL_BASE, _ask_over_eq(), eval_results_sql()),
+    "eval_results": with_views("SELECT * FROM eval_res", *EVAL_BASE, _ask_over_eq(), eval_results_sql()),
     "eval_by_category": with_views(f"SELECT category, {_MEASURES} FROM eval_res GROUP BY category",
                                    *EVAL_BASE, _ask_over_eq(), eval_results_sql()),
     "eval_overall": with_views(
@@ -743,14 +794,30 @@ ORACLE.update({
         f"({_pct_sql('(SELECT * FROM eval_res WHERE status = ' + chr(39) + 'scored' + chr(39) + ')', 'latency_ms', None)}) b",
         *EVAL_BASE, _ask_over_eq(), eval_results_sql()),
     "eval_summary": with_views(
-        f"""SELECT category, total AS n, mean_recall_at_5, mean_mrr, refusal_accuracy FROM
+        f"""SELECT CAST(row_number() OVER (ORDER BY category) AS INTEGER) AS position, category, total AS n,
+                   mean_recall_at_5, mean_mrr, refusal_accuracy FROM
             (SELECT category, {_MEASURES} FROM eval_res GROUP BY category)
-            UNION ALL SELECT 'overall', scored, mean_recall_at_5, mean_mrr, refusal_accuracy FROM
-            (SELECT {_MEASURES} FROM eval_res)""",
+            UNION ALL SELECT CAST(_categories + 1 AS INTEGER), 'overall', scored, mean_recall_at_5, mean_mrr, refusal_accuracy FROM
+            (SELECT {_MEASURES}, count(DISTINCT category) AS _categories FROM eval_res)""",
         *EVAL_BASE, _ask_over_eq(), eval_results_sql()),
 })
 
-# The encoder is Python, but its contract is checkable: every new row gets a 384-dim unit vector.
+# Hashed token counts, L2-normalised: bucket use and the fullest bucket follow from the text.
 ORACLE["embed_unit_norm"] = with_views(
-    f"SELECT event_id, CAST({C.EMBEDDING_DIMENSION} AS INTEGER) AS dim, CAST(1.0 AS DOUBLE) AS norm FROM _new",
+    f"""SELECT event_id, CAST({C.EMBEDDING_DIMENSION} AS INTEGER) AS dim,
+           CAST(count(b) > 0 AS DOUBLE) AS norm, CAST(count(b) AS INTEGER) AS n_buckets,
+           CAST(coalesce(arg_min(b, (-n, b)), 0) AS INTEGER) AS top_bucket
+        FROM (SELECT event_id, b, count(*) AS n FROM (
+                SELECT event_id, unnest(CASE WHEN len(tokens) = 0 THEN [NULL] ELSE list_transform(tokens,
+                  lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {C.EMBEDDING_DIMENSION}) END) AS b
+                FROM (SELECT event_id, regexp_extract_all(lower({normalise_log_sql('content')}), '[a-z0-9]+') AS tokens FROM _new))
+              GROUP BY event_id, b) GROUP BY event_id""",
     "_nd AS (SELECT count(*) AS n FROM documents)", RAW_CTE)
+ORACLE["ask_query_log"] = ask_q(
+    f"""SELECT r.qid AS id, q.question AS query, r.answer, p.groundedness_score, p.relevance_score, q.latency_ms AS latency,
+           q.asked_at AS created_at, md5({judge_prompt_expr('c.context', 'q.question', 'r.answer', 'j.expected_answer')}) AS judge_prompt_md5
+        FROM _aresults r JOIN questions q USING (qid)
+        LEFT JOIN (SELECT qid, list(content ORDER BY rank) AS context FROM _afinal GROUP BY qid) c USING (qid)
+        LEFT JOIN judge_replies j ON j.id = r.qid LEFT JOIN parsed_judge p ON p.id = r.qid
+        WHERE r.query_type <> 'analytical' AND r.window_start < r.window_end""",
+    QLOG_CTE, parse_judge_sql())

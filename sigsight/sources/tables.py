@@ -199,7 +199,7 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     (id, raw, expected_answer?) where the reply shape is chosen by ``id``.
     """
     logs = query_logs(spark, sf_dir)
-    kind = F.pmod(F.col("id"), F.lit(8))
+    kind = F.pmod(F.col("id"), F.lit(11))
     g = F.format_string("%.2f", F.coalesce(F.col("groundedness_score"), F.lit(0.45)))
     r = F.format_string("%.2f", F.coalesce(F.col("relevance_score"), F.lit(0.55)))
     n = F.length("answer").cast("string")
@@ -216,6 +216,11 @@ def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      '"relevance": {"score": '), r, F.lit(', "explanation": "ok"}, '
                                      '"correctness": {"score": 0.123456, "explanation": "close"}}  ')))
            .when(kind == 6, F.lit('{"groundedness": {"score": null}, "relevance": {"score": 0.5}}'))
+           .when(kind == 7, F.concat(F.lit('{"groundedness": {"score": NaN, "explanation": "no number"}, "relevance": {"score": '),
+                                     r, F.lit(', "explanation": null}}')))
+           .when(kind == 8, F.concat(F.lit('{"groundedness": {"score": 0.10}, "relevance": {"score": '), r,
+                                     F.lit('}, "groundedness": {"score": '), g, F.lit(', "explanation": "said again"}}')))
+           .when(kind == 9, F.concat(F.lit('{"groundedness": {"score": '), g, F.lit(', "explanation": null}, "relevance": {"score": 2}}')))
            .otherwise(F.lit('{"groundedness": {"score": "high"}, "relevance": {"score": 0.5}}')))
     expected = F.when(F.pmod(F.col("id"), F.lit(3)) == 0, F.concat(F.lit("expected "), n))
     return logs.select("id", raw.alias("raw"), expected.alias("expected_answer"))
