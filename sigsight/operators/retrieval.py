@@ -9,7 +9,9 @@ a final one after it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigsight import config as C
@@ -50,15 +52,12 @@ def with_similarity(events: DataFrame, qvec: list[float], vec_col: str = "embedd
 def vector_topk(events: DataFrame, qvec: list[float], k: int = C.RERANK_TOP_K,
                 start=None, end=None, service: str | None = None,
                 event_types: list[str] | None = None) -> DataFrame:
-    """One question – filter, rank by distance, keep k (TakeOrderedAndProject)."""
-    ev = events
-    if start is not None and end is not None:
-        ev = in_window(ev, F.lit(start), F.lit(end))
-    ev = event_type_filter(service_filter(ev, service), event_types)
-    ev = with_similarity(ev.select(*HIT_PAYLOAD, "embedding"), qvec).drop("embedding")
-    top = ev.orderBy(F.col("cos").desc_nulls_last(), F.col("event_id")).limit(k)
-    return top.withColumn("sim_rank", F.row_number().over(
-        Window.orderBy(F.col("cos").desc_nulls_last(), F.col("event_id"))))
+    """One question – the same search with a question table of one row; null bounds mean all times."""
+    row = (0, [float(x) for x in qvec], start or dt.datetime(1, 1, 1), end or dt.datetime(9999, 12, 31), service, event_types)
+    q = events.sparkSession.createDataFrame(
+        [row], "qid long, qvec array<double>, window_start timestamp_ntz, window_end timestamp_ntz, service_filter string, "
+               "types array<string>")
+    return hybrid_search(q, events, k, event_types="types").drop("qid")
 
 
 def hybrid_search(q: DataFrame, events: DataFrame, k: int = C.RERANK_TOP_K, qid: str = "qid",

@@ -27,8 +27,10 @@ def test_query_log_feedback_report_sinks(spark):
     assert rejected.count() == 1 and spark.read.parquet(os.path.join(root, "fb")).count() == 2
     res = spark.createDataFrame([("q1", "lookup", "scored")], "id string, category string, status string")
     S.write_report(res, res.groupBy("category").count(), res.agg(F.count("*").alias("total")),
-                   os.path.join(root, "report"))
+                   os.path.join(root, "report"), eval_set="set.jsonl", timestamp_utc="2024-01-01T00:00:00+00:00")
     assert spark.read.json(os.path.join(root, "report", "aggregates")).first().total == 1
+    meta = spark.read.json(os.path.join(root, "report", "run_metadata")).first()
+    assert (meta.eval_set, meta.total_questions, meta.timestamp_utc) == ("set.jsonl", 1, "2024-01-01T00:00:00+00:00")
 
 
 def test_access_patterns(spark):
