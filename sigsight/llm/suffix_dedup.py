@@ -298,12 +298,18 @@ def _bucket(code: np.ndarray, parts: int) -> np.ndarray:
     return ((code >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
 
+def _grouped(group: np.ndarray) -> dict[int, np.ndarray]:
+    """For each group the indices of its members, in order: one sort for all groups."""
+    order = np.argsort(group, kind="stable")
+    found, first = np.unique(group[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(order, first[1:]), strict=True)) if len(group) else {}
+
+
 def _send_hashes(parts: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         code, several = Chunk(rows).hashes()
-        bucket = _bucket(code, parts)
         out = [(k, int(rows["chunk"].iloc[0]), _five(code[own]), np.packbits(several[own]).tobytes())
-               for k in np.unique(bucket) for own in [bucket == k]]
+               for k, own in _grouped(_bucket(code, parts)).items()]
         return pd.DataFrame(out, columns=["bucket", "chunk", "codes", "several"])
 
     return run
@@ -325,7 +331,8 @@ def _find_repeated(rows: pd.DataFrame) -> pd.DataFrame:
     repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[c[s] for c, s in zip(sent, held, strict=True)]]))
     out = []
     for chunk, codes in zip(rows["chunk"], sent, strict=True):
-        mask = np.isin(codes, repeated)
+        at = np.searchsorted(repeated, codes)
+        mask = (at < len(repeated)) & (np.append(repeated, np.uint64(0))[at] == codes)
         if mask.any():
             out.append((chunk, int(rows["bucket"].iloc[0]), np.packbits(mask).tobytes()))
     return pd.DataFrame(out, columns=["chunk", "part", "mask"])
@@ -336,10 +343,10 @@ def _repeated(chunk: Chunk, masks: pd.DataFrame, parts: int) -> np.ndarray:
     if not len(masks):
         return np.empty(0, dtype=np.uint64)
     code, _ = chunk.hashes()
-    bucket = _bucket(code, parts)
+    by_bucket = _grouped(_bucket(code, parts))
     found = []
     for k, mask in zip(masks["part"], masks["mask"], strict=True):
-        own = code[bucket == k]
+        own = code[by_bucket[k]]
         found.append(own[np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=len(own)).astype(bool)])
     return np.sort(np.concatenate(found))
 
@@ -396,9 +403,11 @@ def _merge_range(rows: pd.DataFrame) -> pd.DataFrame:
     single = np.flatnonzero(~alone)
     single = single[minima[sought[number[single]]].min(axis=1, initial=LAST) < mine[single]]
     plain = np.flatnonzero(plain)
+    plain_of, single_of = _grouped(run[plain]), _grouped(run[single])
+    none = np.empty(0, dtype=np.int64)
     out = []
     for r, chunk in enumerate(chunks):
-        p, q = plain[run[plain] == r], single[run[single] == r]
+        p, q = plain[plain_of.get(r, none)], single[single_of.get(r, none)]
         if len(p) or len(q):
             out.append((chunk, int(rows["range"].iloc[0]), np.column_stack([index[p], low[number[p]]]).tobytes(),
                         index[q].tobytes(), minima[sought[number[q]]].tobytes()))
