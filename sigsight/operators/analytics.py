@@ -17,13 +17,13 @@ from sigsight.functions.numeric import exact_mean, exact_mean_parts
 def query_log_summary(logs: DataFrame) -> DataFrame:
     """A1–A3: total queries, mean latency (round 3, 0.0 when empty), low-groundedness count."""
     g = F.col("groundedness_score")
-    units, n = exact_mean_parts(F.col("latency"), 3)
+    units, n = exact_mean_parts(F.col("latency"), 6)
     agg = logs.agg(
         F.count(F.lit(1)).alias("total_queries"),
-        units.alias("_u"), n.alias("_n"),
+        units.alias("_u"), (n * 1000).alias("_n"),
         F.count_if(g.isNotNull() & (g < C.LOW_GROUNDEDNESS_THRESHOLD)).alias("low_groundedness_count"),
     )
-    # Latencies are stored rounded to 3 decimals; their mean is rounded exactly (0.0 when empty).
+    # Summed in whole microseconds, so the mean is rounded to 3 decimals exactly (0.0 when empty).
     return agg.select("total_queries",
                       F.coalesce(F.when(F.col("_n") > 0, exact_mean("_u", "_n", 3)), F.lit(0.0)).alias("avg_latency"),
                       "low_groundedness_count")

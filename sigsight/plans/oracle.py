@@ -749,7 +749,9 @@ ORACLE.update({
         "_nev AS (SELECT count(*) AS n FROM events)", QLOG_CTE, parse_judge_sql()),
     "quality_summary": with_views(
         """SELECT (SELECT count(*) FROM query_logs) AS total_queries,
-                  coalesce((SELECT CASE WHEN count(latency) > 0 THEN (CASE WHEN sum(CAST(round(latency * 1000) AS BIGINT)) >= 0 THEN (2 * sum(CAST(round(latency * 1000) AS BIGINT)) + count(latency)) // (2 * count(latency)) ELSE -((-2 * sum(CAST(round(latency * 1000) AS BIGINT)) + count(latency)) // (2 * count(latency))) END / 1000.0) END FROM query_logs), 0.0) AS avg_latency,
+                  coalesce((SELECT CAST((2 * sum(CAST(round(latency * 1000000) AS BIGINT)) + 1000 * count(latency))
+                                        // (2000 * count(latency)) AS DOUBLE) / 1000.0
+                            FROM query_logs HAVING count(latency) > 0), 0.0) AS avg_latency,
                   (SELECT count(*) FROM query_logs WHERE groundedness_score IS NOT NULL AND groundedness_score < 0.5)
                     AS low_groundedness_count,
                   (SELECT count(*) FROM feedback WHERE rating = 'bad') AS bad_feedback_count""",
