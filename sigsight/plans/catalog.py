@@ -352,9 +352,15 @@ def ask_query_log(spark, sf_dir):
 
 
 def sources_array(spark, sf_dir):
-    """P13 (ids in rank order)."""
+    """The ids in rank order, and all ten fields of each source as one line."""
     s = P.sources_array(_ask(spark, sf_dir)["final"])
-    return s.select("qid", F.transform("sources", lambda x: x["event_id"]).alias("source_ids"))
+    score = lambda x: F.format_string("%.4f", x)
+    line = lambda x: F.concat_ws(
+        "|", x["id"].cast("string"), x["event_id"], F.md5(x["content"].cast("binary")),
+        F.date_format(x["occurred_at"], "yyyy-MM-dd'T'HH:mm:ss"), x["service"], x["event_type"],
+        score(x["similarity_score"]), F.coalesce(x["severity"], F.lit("-")), score(x["rerank_score"]), x["metadata"])
+    return s.select("qid", F.transform("sources", lambda x: x["event_id"]).alias("source_ids"),
+                    F.transform("sources", line).alias("source_lines"))
 
 
 # ── judge ────────────────────────────────────────────────────────────────────

@@ -742,7 +742,10 @@ ORACLE.update({
     "assemble_context": ask_q("SELECT qid, prompt FROM _aresults"),
     "ask_answers": ask_q(f"""SELECT qid, query_type, confidence, n_candidates, avg_similarity, n_final, answer,
         {_no_data_sql('answer')} AS no_data_answer FROM _aresults"""),
-    "sources_array": ask_q("SELECT qid, list(event_id ORDER BY rank) AS source_ids FROM _afinal GROUP BY qid"),
+    "sources_array": ask_q("""SELECT qid, list(event_id ORDER BY rank) AS source_ids,
+        list(concat_ws('|', CAST(id AS VARCHAR), event_id, md5(content), strftime(occurred_at, '%Y-%m-%dT%H:%M:%S'), service,
+             event_type, printf('%.4f', similarity_score), coalesce(severity, '-'), printf('%.4f', rerank_score), metadata)
+             ORDER BY rank) AS source_lines FROM _afinal GROUP BY qid"""),
     "judge_prompt": with_views(judge_prompt_sql(), "_nev AS (SELECT count(*) AS n FROM events)", QLOG_CTE),
     "parse_judge": with_views(
         "SELECT *, coalesce(groundedness_score < 0.5, false) AS low_groundedness FROM parsed_judge",
