@@ -33,6 +33,8 @@ from sigsight.session import ensure_checkpoint_dir
 
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
+#: About what a record's headers take.
+HEADER_BYTES = 500
 #: WARC-Date of written records: pages carry no time, and the clock would make runs differ.
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
@@ -182,9 +184,8 @@ def op5_warc_revisits(spark, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read from deduplicated archives."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     shared = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    records = page_records(pages)
-    size = records.agg(F.avg(F.octet_length("record"))).first()[0] or 1.0
-    write_archives(records, f"{shared}/raw", size)
+    size = (pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0.0) + HEADER_BYTES
+    write_archives(page_records(pages), f"{shared}/raw", size)
     deduplicate(spark, f"{shared}/raw", f"{shared}/deduplicated", size)
     return read_archives(spark, f"{shared}/deduplicated").select(
         "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
