@@ -34,6 +34,8 @@ AT_ONCE = 8
 RANGE_ROWS = 1024
 #: Ranges whose guards are found by a broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Tasks at most; beyond it a task takes several ranges, one after the other.
+MOST_TASKS = 100_000
 #: Quantiles of doc_id; each range between two is divided evenly where it holds more than RANGE_ROWS.
 QUANTILES = 256
 _BITS = 25
@@ -41,26 +43,26 @@ _CODE = 0xFFFF
 _GAPS = "[ \\t\\r\\n]+"
 
 
-def ranges(docs: DataFrame) -> Column:
-    """A number of the range of doc_id, increasing with it; null ids are in range -1."""
+def ranges(docs: DataFrame) -> tuple[Column, int]:
+    """A number of the range of doc_id, increasing with it (null ids are in range -1), and about how many there are."""
     share = [i / QUANTILES for i in range(1, QUANTILES)]
     low, high, n, cuts = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"),
                                   F.percentile_approx("doc_id", share, 10_000)).first()
     if not n:
-        return F.lit(-1).cast("long")
+        return F.lit(-1).cast("long"), 1
     bounds = sorted({low, *cuts}) + [high + 1]
     parts = max(1, -(-n // (RANGE_ROWS * (len(bounds) - 1)))) if n > RANGE_ROWS else 1
     if n <= RANGE_ROWS:
         bounds = [low, high + 1]
     elif n <= RANGE_ROWS * QUANTILES:
-        step = -(-(len(bounds) - 1) * RANGE_ROWS // n)
+        step = max(1, (len(bounds) - 1) * RANGE_ROWS // n)
         bounds = bounds[:-1:step] + bounds[-1:]
     at = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
     index = F.size(F.filter(at, lambda b: b <= F.col("doc_id")))
     left, right = F.element_at(at, index), F.element_at(at, index + 1)
     inside = F.floor((F.col("doc_id") - left) / (right - left) * F.lit(parts))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")) \
-        .otherwise((index * F.lit(parts) + inside).cast("long"))
+    number = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise((index * F.lit(parts) + inside).cast("long"))
+    return number, (len(bounds) - 1) * parts
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -69,7 +71,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     The row after a range's last one, the first of the range below (below the
     lowest: of the highest), is repeated at its end as a guard.
     """
-    parted = docs.select(ranges(docs).alias("part"), "doc_id", whole_text().alias("text"))
+    part, n = ranges(docs)
+    parted = docs.select(part.alias("part"), "doc_id", whole_text().alias("text"))
     # One number a range: its largest id, which the range above needs as its guard.
     tops = parted.groupBy("part").agg(F.max("doc_id").alias("top"))
     down = Window.orderBy("part")
@@ -82,6 +85,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         .withColumn("_n", F.row_number().over(Window.partitionBy("above").orderBy(*order[1:]))).filter("_n = 1")
     rows = parted.withColumn("guard", F.lit(0)).unionByName(
         guards.select(F.col("above").alias("part"), "doc_id", "text", F.lit(1).alias("guard")))
+    # About one range a task: its words are sorted and counted in memory.
+    rows = rows.repartition(min(n, MOST_TASKS), "part")
     order = Window.partitionBy("part").orderBy("guard", *order)
     return rows.select("part", F.row_number().over(order).alias("at"), "guard", "doc_id", "text",
                        F.lead("text").over(order).alias("next_text"))
