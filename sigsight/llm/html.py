@@ -11,8 +11,10 @@ labels from common page layouts; training is deterministic and takes seconds.
 
 Defined cases: null html is empty and gives the empty text; markup without text
 gives the empty text; a page of one block is labelled by that block alone;
-unclosed or crossing tags are closed as browsers do in the common cases; equal
-pages get equal texts; texts are never cut.  A block's path keeps the nearest
+unclosed or crossing tags are closed as browsers do in the common cases; a quoted
+value may hold any sign; a quote that is never closed is no quote; an unclosed
+select, svg, object, canvas, math or template hides nothing; equal pages get
+equal texts; texts are never cut.  A block's path keeps the nearest
 ``PATH_TAGS`` tags, so that deep nesting costs no more than its length.  Columns
 other than page_id, url and html are ignored.
 """
@@ -52,7 +54,12 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
                      "ol p pre section table ul".split())
 CLOSES_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
                "th": ("tr", "table"), "option": ("select",)}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
+# What browsers read as raw text up to the end tag, or to the end of the page; other silent tags need their end tag.
+RAW = frozenset("script style title textarea iframe noscript".split())
+# Attributes as browsers read them: a quote counts only behind "=", and only if it is closed.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+"""
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+                  rf"<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -80,6 +87,32 @@ def _tokens(tag: str, attributes: str) -> tuple[int, ...]:
     return (_path_token("<" + tag), *(_path_token(x) for x in dict.fromkeys(_PART.findall(named))))
 
 
+def _raw_end(html: str, tag: str, at: int) -> int:
+    """Behind the end tag of a raw element whose content begins at ``at``; -1 without one."""
+    found = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
+    return html.find(">", found.start()) + 1 or -1 if found else -1
+
+
+def _silent_ends(html: str, at: int) -> dict[int, int]:
+    """From ``at`` on, for the silent elements that are not raw: begin of the content -> end, where an end tag is theirs."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {tag: [] for tag in SILENT - RAW - {"head"}}
+    endless = set()
+    while m := _TAG.search(html, at):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in begun and m[1]:
+            if begun[tag]:
+                ends[begun[tag].pop()] = at
+        elif tag in begun and not m[3].endswith("/"):
+            begun[tag].append(at)
+        elif tag in RAW - endless and not m[1] and not m[3].endswith("/") and not begun["svg"] and not begun["math"]:
+            end = _raw_end(html, tag, at)
+            at = max(at, end)
+            if end < 0:
+                endless.add(tag)
+    return ends
+
+
 def blocks(html: str) -> list[Block]:
     """The page's leaf blocks in order."""
     out: list[Block] = []
@@ -87,6 +120,7 @@ def blocks(html: str) -> list[Block]:
     parts: list[str] = []
     linked = in_link = 0
     at, n = 0, len(html)
+    silent: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -123,12 +157,6 @@ def blocks(html: str) -> list[Block]:
         if m[2] is None:
             continue
         tag, attributes = m[2].lower(), m[3]
-        while m[4] and (attributes.count('"') % 2 or attributes.count("'") % 2) and "=" in attributes:
-            # A ">" inside a quoted value: the tag goes on, if it ends at all.
-            end = html.find(">", at)
-            if end < 0 or end - m.start() > 4096:
-                break
-            attributes, at = attributes + html[at - 1 : end], end + 1
         if m[1]:
             if tag not in INLINE:
                 flush()
@@ -137,10 +165,13 @@ def blocks(html: str) -> list[Block]:
                 close(i)
             continue
         if tag in SILENT:
-            if tag != "head" and not attributes.endswith("/"):
-                found = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
-                end = html.find(">", found.start()) if found else -1
-                at = end + 1 if end >= 0 else n
+            if tag in RAW and not attributes.endswith("/"):
+                end = _raw_end(html, tag, at)
+                at = end if end >= 0 else n
+            elif tag != "head" and not attributes.endswith("/"):
+                if silent is None:
+                    silent = _silent_ends(html, m.start())
+                at = silent.get(at, at)
             if tag not in INLINE:
                 flush()
             continue

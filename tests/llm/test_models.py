@@ -86,6 +86,25 @@ def test_blocks(markup, texts):
     assert [b.text for b in html.blocks(markup)] == texts
 
 
+@pytest.mark.parametrize("markup, texts", [
+    ("""<img alt="Bob's dog"><p>one</p><p>two</p>""", ["one", "two"]),
+    ("""<p title="Reader's choice">one</p><p>two</p>""", ["one", "two"]),
+    ("""<p title='say "hi'>one</p>it's<p>two</p>""", ["one", "it's", "two"]),
+    ("""<p title=it's>one</p><p>Bob's</p>""", ["one", "Bob's"]),
+    ("""<p "odd' name>one</p><p>it's "two"</p>""", ["one", 'it\'s "two"']),
+    ("""<img src="data:image/svg+xml,""" + "<g>" * 3000 + """"><p>one</p>""", ["one"]),
+    ("""<p title="never closed>one</p><p>two</p>""", ["one", "two"]),
+    ("<p>one</p>" + "<p title='it" + "x" * 5000 + ">two</p>", ["one", "two"]),
+    *((f"<p>one</p><{tag}><p>two</p>", ["one", "two"]) for tag in ("select", "svg", "object", "canvas", "math", "template")),
+    ("<svg><p>one</p><svg><title>no</title></svg>two", ["one", "two"]),
+    ("<object>no<object>no</object>no</object>yes", ["yes"]),
+    ("<template><!-- <template> --><script>'<template>'</script>no</template>yes", ["yes"]),
+    ("<svg><title>no</svg>one<svg><title>no</title></svg>two", ["one", "two"]),
+])
+def test_blocks_drop_nothing_else(markup, texts):
+    assert [b.text for b in html.blocks(markup)] == texts
+
+
 def test_gradients_of_the_labeller():
     pages = [html.labelled(h, k) for h, k in sample_pages(3)]
     model = html.Labeller()
