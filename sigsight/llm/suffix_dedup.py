@@ -15,6 +15,9 @@ hash is its anchor, hence equal windows have their anchor at the same offset.
    compared again; the merge yields the shared prefixes of neighbours.  Suffixes
    that share the anchor stand together; for every window around the anchor the
    smallest document is found and answered to the chunks.
+   An anchor with more than ``HOT_CONTEXTS`` different contexts, as counted a
+   chunk in step 1, does not enter the sort: its windows are dealt by their bytes
+   to buckets, once a chunk, and a bucket answers the smallest document of each.
 4. Each chunk marks and cuts its documents.
 
 Sampled key ranges balance the load; they do not touch the result.  A bucket or
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -46,10 +50,18 @@ KEY = WINDOW + BEFORE + 2
 CHUNK_BYTES = 8 << 20
 #: Rows whose anchors are sampled for the key ranges.
 SAMPLE_ROWS = 2000
+#: Contexts of an anchor above which its windows are dealt out one by one.
+HOT_CONTEXTS = 1 << 15
+#: Fewer occurrences of an anchor in a chunk count as one context.
+MANY = 4
+#: Buckets of dealt windows to a chunk.
+SPREAD = 8
 LAST = (1 << 63) - 1
 SLAB = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+ANSWER = "chunk long, part long, piece long, plain binary, single binary, minima binary, windows binary"
+ANSWER_COLUMNS = [c.split()[0] for c in ANSWER.split(", ")]
 RESULT = "rank long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -80,6 +92,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def _rank(code: np.ndarray) -> np.ndarray:
+    """The order of strings as anchors; mixes their hashes in place."""
+    code ^= code >> np.uint64(32)
+    code *= _MIX
+    code ^= code >> np.uint64(29)
+    return (code >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
 def anchors(blob: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of all windows that lie in one document, and their hashes."""
     n = len(blob)
@@ -89,10 +109,7 @@ def anchors(blob: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     code = (sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1]
-    code ^= code >> np.uint64(32)
-    code *= _MIX
-    code ^= code >> np.uint64(29)
-    rank = (code >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    rank = _rank(code)
     least = _slide(rank, OFFSETS, np.minimum)
     least[owner[: len(least)] != owner[WINDOW - 1 : WINDOW - 1 + len(least)]] = 0
     edge = np.zeros(BEFORE, dtype=np.uint32)
@@ -133,15 +150,21 @@ class Chunk:
         several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         return code[first], several
 
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The anchor hashes with ``MANY`` occurrences or more, sorted, and the number of different contexts of each."""
+        code, n = np.unique(np.concatenate([*(c for _, c in self.found), np.empty(0, np.uint64)]), return_counts=True)
+        return np.unique(self.suffixes(code[n >= MANY]).code, return_counts=True)
+
     def suffixes(self, repeated: np.ndarray) -> Suffixes:
         """The suffixes at the anchors whose hash is among the sorted ``repeated``."""
-        keys, where, whose = [], [], []
+        keys, where, whose, codes = [], [], [], []
         for n, (a, b) in enumerate(self.slabs):
             at, code = self.found[n]
             if not len(repeated) or not len(at):
                 continue
             blob, begins, owner = self.slab(a, b)
-            at = at[repeated[np.minimum(np.searchsorted(repeated, code), len(repeated) - 1)] == code]
+            own = repeated[np.minimum(np.searchsorted(repeated, code), len(repeated) - 1)] == code
+            at = at[own]
             doc = owner[at]
             after = np.minimum(begins[doc + 1] - at, WINDOW)
             before = np.minimum(at - begins[doc], BEFORE)
@@ -155,21 +178,25 @@ class Chunk:
             keys.append(key)
             where.append(np.column_stack([np.full(len(at), n), at]))
             whose.append(doc + a)
+            codes.append(code[own])
         if not keys:
-            return Suffixes(np.zeros((0, KEY), np.uint8), np.zeros((0, 2), np.int64), np.zeros(0, np.int64), self.ranks)
-        return Suffixes(np.concatenate(keys), np.concatenate(where), np.concatenate(whose), self.ranks)
+            return Suffixes(np.zeros((0, KEY), np.uint8), np.zeros((0, 2), np.int64), np.zeros(0, np.int64), self.ranks,
+                            np.zeros(0, np.uint64))
+        return Suffixes(np.concatenate(keys), np.concatenate(where), np.concatenate(whose), self.ranks, np.concatenate(codes))
 
 
 class Suffixes:
-    """Sorted distinct keys of a chunk, the smallest document of each, and where they occur."""
+    """Sorted distinct keys of a chunk, the smallest document and anchor hash of each, and where they occur."""
 
-    def __init__(self, keys: np.ndarray, where: np.ndarray, doc: np.ndarray, ranks: np.ndarray):
+    def __init__(self, keys: np.ndarray, where: np.ndarray, doc: np.ndarray, ranks: np.ndarray, code: np.ndarray):
         strings = np.ascontiguousarray(keys).view(f"S{KEY}").reshape(-1)
         distinct, self.of = np.unique(strings, return_inverse=True)
         self.keys = np.ascontiguousarray(distinct).view(np.uint8).reshape(-1, KEY)
         self.where, self.doc = where, doc
         self.least = np.full(len(distinct), LAST, dtype=np.int64)
         np.minimum.at(self.least, self.of, ranks[doc])
+        self.code = np.zeros(len(distinct), dtype=np.uint64)
+        self.code[self.of] = code
 
     def first_eight(self) -> np.ndarray:
         return np.ascontiguousarray(self.keys[:, :8]).view(">u8").reshape(-1)
@@ -294,6 +321,46 @@ def window_minima(keys: np.ndarray, group: np.ndarray, least: np.ndarray) -> np.
     return back
 
 
+@dataclass
+class Windows:
+    """Distinct windows of some keys, each with its offset behind it, in the buckets of their bytes' hash."""
+
+    row: np.ndarray
+    offset: np.ndarray
+    of: np.ndarray
+    lines: np.ndarray
+    least: np.ndarray
+    by_bucket: dict[int, np.ndarray]
+
+
+def windows(found: Suffixes, parts: int) -> Iterator[Windows]:
+    """The windows around the anchors that are theirs, slice by slice of the keys.
+
+    Of all windows around an anchor only those in which no other string has a
+    lesser hash: the others have an anchor of their own, and are found there.
+    """
+    up, down = _powers(BEFORE + WINDOW)
+    offsets = np.arange(OFFSETS)
+    starts = BEFORE - offsets
+    for begin in range(0, len(found.keys), 1 << 13):
+        keys, least = found.keys[begin : begin + (1 << 13)], found.least[begin : begin + (1 << 13)]
+        line = np.concatenate([keys[:, WINDOW : WINDOW + BEFORE][:, ::-1], keys[:, :WINDOW]], axis=1)
+        sums = np.zeros((len(keys), line.shape[1] + 1), dtype=np.uint64)
+        np.cumsum((line.astype(np.uint64) + np.uint64(1)) * up, axis=1, out=sums[:, 1:])
+        rank = _rank((sums[:, GRAM:] - sums[:, :-GRAM]) * down[: line.shape[1] - GRAM + 1])
+        lowest = np.lib.stride_tricks.sliding_window_view(rank, OFFSETS, axis=1).min(axis=2)
+        after, before = (keys[:, c].astype(np.int64)[:, None] - 1 for c in (-2, -1))
+        row, o = np.nonzero((before >= offsets) & (after >= WINDOW - offsets) & (lowest[:, starts] == rank[:, [BEFORE]]))
+        code = (sums[:, starts + WINDOW] - sums[:, starts]) * down[starts]
+        code = (code ^ (code >> np.uint64(31))) * _MIX + (offsets.astype(np.uint64) * np.uint64(_BASE))
+        bytes_of = np.lib.stride_tricks.sliding_window_view(line, WINDOW, axis=1)[row, BEFORE - o]
+        whole = np.concatenate([bytes_of, (o + 1).astype(np.uint8)[:, None]], axis=1)
+        lines, first, of = np.unique(whole.view(f"S{WINDOW + 1}").reshape(-1), return_index=True, return_inverse=True)
+        low = np.full(len(lines), LAST, dtype=np.int64)
+        np.minimum.at(low, of, least[row])
+        yield Windows(row + begin, o, of, lines, low, _grouped(_bucket(code[row, o][first], parts * SPREAD)))
+
+
 def _bucket(code: np.ndarray, parts: int) -> np.ndarray:
     return ((code >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
 
@@ -307,10 +374,17 @@ def _grouped(group: np.ndarray) -> dict[int, np.ndarray]:
 
 def _send_hashes(parts: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        code, several = Chunk(rows).hashes()
-        out = [(k, int(rows["chunk"].iloc[0]), _five(code[own]), np.packbits(several[own]).tobytes())
-               for k, own in _grouped(_bucket(code, parts)).items()]
-        return pd.DataFrame(out, columns=["bucket", "chunk", "codes", "several"])
+        chunk = Chunk(rows)
+        code, several = chunk.hashes()
+        contexts = np.ones(len(code), dtype="<u4")
+        many, n = chunk.contexts()
+        contexts[np.searchsorted(code, many)] = n
+        out = []
+        for k, own in _grouped(_bucket(code, parts)).items():
+            more = np.flatnonzero(contexts[own] > 1)
+            out.append((k, int(rows["chunk"].iloc[0]), _five(code[own]), np.packbits(several[own]).tobytes(),
+                        np.column_stack([more, contexts[own][more]]).astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "chunk", "codes", "several", "contexts"])
 
     return run
 
@@ -320,56 +394,91 @@ def _five(code: np.ndarray) -> bytes:
     return np.ascontiguousarray(code.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def _find_repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    sent, held = [], []
-    for codes, several in zip(rows["codes"], rows["several"], strict=True):
-        wide = np.zeros((len(codes) // 5, 8), dtype=np.uint8)
-        wide[:, :5] = np.frombuffer(codes, dtype=np.uint8).reshape(-1, 5)
-        sent.append(wide.view("<u8").reshape(-1))
-        held.append(np.unpackbits(np.frombuffer(several, dtype=np.uint8), count=len(wide)).astype(bool))
-    every = np.sort(np.concatenate([np.unique(c) for c in sent]))
-    repeated = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[c[s] for c, s in zip(sent, held, strict=True)]]))
-    out = []
-    for chunk, codes in zip(rows["chunk"], sent, strict=True):
-        at = np.searchsorted(repeated, codes)
-        mask = (at < len(repeated)) & (np.append(repeated, np.uint64(0))[at] == codes)
-        if mask.any():
-            out.append((chunk, int(rows["bucket"].iloc[0]), np.packbits(mask).tobytes()))
-    return pd.DataFrame(out, columns=["chunk", "part", "mask"])
+def _find_repeated(hot_contexts: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sent, held = [], []
+        for codes, several in zip(rows["codes"], rows["several"], strict=True):
+            wide = np.zeros((len(codes) // 5, 8), dtype=np.uint8)
+            wide[:, :5] = np.frombuffer(codes, dtype=np.uint8).reshape(-1, 5)
+            sent.append(wide.view("<u8").reshape(-1))
+            held.append(np.unpackbits(np.frombuffer(several, dtype=np.uint8), count=len(wide)).astype(bool))
+        every, contexts = np.unique(np.concatenate([np.unique(c) for c in sent]), return_counts=True)
+        repeated = np.unique(np.concatenate([every[contexts > 1], *[c[s] for c, s in zip(sent, held, strict=True)]]))
+        for codes, more in zip(sent, rows["contexts"], strict=True):
+            index, n = np.frombuffer(more, dtype="<u4").reshape(-1, 2).astype(np.int64).T
+            np.add.at(contexts, np.searchsorted(every, codes[index]), n - 1)
+        hot = every[contexts > hot_contexts]
+        out = []
+        for chunk, codes in zip(rows["chunk"], sent, strict=True):
+            at = np.searchsorted(repeated, codes)
+            mask = (at < len(repeated)) & (np.append(repeated, np.uint64(0))[at] == codes)
+            if mask.any():
+                dealt = np.packbits(np.isin(codes[mask], hot)).tobytes() if len(hot) else None
+                out.append((chunk, int(rows["bucket"].iloc[0]), np.packbits(mask).tobytes(), dealt))
+        return pd.DataFrame(out, columns=["chunk", "part", "mask", "hot"])
+
+    return run
 
 
-def _repeated(chunk: Chunk, masks: pd.DataFrame, parts: int) -> np.ndarray:
-    """The chunk's anchor hashes that the buckets marked, sorted."""
-    if not len(masks):
-        return np.empty(0, dtype=np.uint64)
+def _repeated(chunk: Chunk, masks: pd.DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk's anchor hashes that the buckets marked, sorted: those to be sorted, and the hot ones."""
     code, _ = chunk.hashes()
     by_bucket = _grouped(_bucket(code, parts))
-    found = []
-    for k, mask in zip(masks["part"], masks["mask"], strict=True):
+    none = np.empty(0, dtype=np.uint64)
+    found, hot = [none], [none]
+    for k, mask, dealt in zip(masks["part"], masks["mask"], masks["hot"], strict=True):
         own = code[by_bucket[k]]
-        found.append(own[np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=len(own)).astype(bool)])
-    return np.sort(np.concatenate(found))
+        own = own[np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=len(own)).astype(bool)]
+        is_hot = np.zeros(len(own), dtype=bool)
+        if dealt is not None:
+            is_hot = np.unpackbits(np.frombuffer(dealt, dtype=np.uint8), count=len(own)).astype(bool)
+        found.append(own[~is_hot])
+        hot.append(own[is_hot])
+    return np.sort(np.concatenate(found)), np.sort(np.concatenate(hot))
 
 
 def _send_suffixes(parts: int, cuts: np.ndarray):
     def run(rows: pd.DataFrame, masks: pd.DataFrame) -> pd.DataFrame:
-        columns = ["range", "chunk", "shared", "tails", "least"]
+        columns = ["range", "chunk", "piece", "shared", "tails", "least"]
         if not len(rows) or not len(masks):
             return pd.DataFrame([], columns=columns)
         chunk = Chunk(rows)
-        run_of = chunk.suffixes(_repeated(chunk, masks, parts))
+        repeated, hot = _repeated(chunk, masks, parts)
+        run_of = chunk.suffixes(repeated)
         bounds = [0, *np.searchsorted(run_of.first_eight(), cuts).tolist(), len(run_of.keys)]
         out = []
         for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if b > a:
-                out.append((k, int(rows["chunk"].iloc[0]), *front_code(run_of.keys[a:b]), run_of.least[a:b].tobytes()))
+                out.append((k, int(rows["chunk"].iloc[0]), 0, *front_code(run_of.keys[a:b]), run_of.least[a:b].tobytes()))
+        for piece, x in enumerate(windows(chunk.suffixes(hot), parts)):
+            for k, own in x.by_bucket.items():
+                out.append((parts + k, int(rows["chunk"].iloc[0]), piece, b"", x.lines[own].tobytes(), x.least[own].tobytes()))
         return pd.DataFrame(out, columns=columns)
 
     return run
 
 
+def _least_of_windows(rows: pd.DataFrame) -> pd.DataFrame:
+    """Answers per piece of a chunk: which of its windows an earlier document holds, and the smallest one."""
+    lines = [np.frombuffer(t, dtype=f"S{WINDOW + 1}") for t in rows["tails"]]
+    least = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows["least"]])
+    distinct, of = np.unique(np.concatenate(lines), return_inverse=True)
+    low = np.full(len(distinct), LAST, dtype=np.int64)
+    np.minimum.at(low, of, least)
+    out, begin = [], 0
+    for chunk, part, piece, own in zip(rows["chunk"], rows["range"], rows["piece"], lines, strict=True):
+        best = low[of[begin : begin + len(own)]]
+        lower = np.flatnonzero(best < least[begin : begin + len(own)])
+        begin += len(own)
+        if len(lower):
+            out.append((chunk, part, piece, None, None, None, np.column_stack([lower, best[lower]]).tobytes()))
+    return pd.DataFrame(out, columns=ANSWER_COLUMNS)
+
+
 def _merge_range(rows: pd.DataFrame) -> pd.DataFrame:
     """Answers per chunk: for its suffixes of this range, the smallest document of all windows, or of each."""
+    if not rows["shared"].iloc[0]:
+        return _least_of_windows(rows)
     rows = rows.sort_values("chunk")
     chunks = rows["chunk"].tolist()
     runs = [(front_decode(s, t), s) for s, t in zip(rows["shared"], rows["tails"], strict=True)]
@@ -409,9 +518,9 @@ def _merge_range(rows: pd.DataFrame) -> pd.DataFrame:
     for r, chunk in enumerate(chunks):
         p, q = plain[plain_of.get(r, none)], single[single_of.get(r, none)]
         if len(p) or len(q):
-            out.append((chunk, int(rows["range"].iloc[0]), np.column_stack([index[p], low[number[p]]]).tobytes(),
-                        index[q].tobytes(), minima[sought[number[q]]].tobytes()))
-    return pd.DataFrame(out, columns=["chunk", "part", "plain", "single", "minima"])
+            out.append((chunk, int(rows["range"].iloc[0]), 0, np.column_stack([index[p], low[number[p]]]).tobytes(),
+                        index[q].tobytes(), minima[sought[number[q]]].tobytes(), None))
+    return pd.DataFrame(out, columns=ANSWER_COLUMNS)
 
 
 def _cut_chunk(parts: int, cuts: np.ndarray):
@@ -421,7 +530,8 @@ def _cut_chunk(parts: int, cuts: np.ndarray):
             return pd.DataFrame([], columns=columns)
         chunk = Chunk(rows)
         masks = answers[answers["mask"].notna()]
-        found = chunk.suffixes(_repeated(chunk, masks, parts))
+        repeated, hot = _repeated(chunk, masks, parts)
+        found = chunk.suffixes(repeated)
         bounds = np.array([0, *np.searchsorted(found.first_eight(), cuts)])
         everywhere = found.least.copy()
         by_window: dict[int, np.ndarray] = {}
@@ -432,27 +542,47 @@ def _cut_chunk(parts: int, cuts: np.ndarray):
             minima = np.frombuffer(x["minima"], dtype=np.int64).reshape(-1, OFFSETS)
             for i, low in zip(np.frombuffer(x["single"], dtype=np.int64), minima, strict=True):
                 by_window[int(base + i)] = low
-        return pd.DataFrame(list(_kept(chunk, found, everywhere, by_window)), columns=columns)
+        special = np.zeros(len(found.keys), dtype=np.int64)
+        special[list(by_window)] = np.arange(1, len(by_window) + 1)
+        minima = np.array([np.zeros(OFFSETS, dtype=np.int64), *by_window.values()])
+        cover = [np.zeros(sum(len(t) for t in chunk.texts[a:b]) + 1, dtype=np.int32) for a, b in chunk.slabs]
+        _mark(chunk, found, cover, lambda key: np.where(special[key][:, None] > 0, minima[special[key]], everywhere[key][:, None]))
+        if len(hot):
+            dealt = chunk.suffixes(hot)
+            lowest = _hot_minima(dealt, answers[answers["windows"].notna()], parts)
+            _mark(chunk, dealt, cover, lambda key: lowest[key])
+        return pd.DataFrame(list(_kept(chunk, cover)), columns=columns)
 
     return run
 
 
-def _kept(chunk: Chunk, found: Suffixes, everywhere: np.ndarray, by_window: dict[int, np.ndarray]) -> Iterator[tuple]:
-    special = np.zeros(len(found.keys), dtype=np.int64)
-    special[list(by_window)] = np.arange(1, len(by_window) + 1)
-    minima = np.array([np.zeros(OFFSETS, dtype=np.int64), *by_window.values()])
-    cover = [np.zeros(sum(len(t) for t in chunk.texts[a:b]) + 1, dtype=np.int32) for a, b in chunk.slabs]
+def _hot_minima(found: Suffixes, answers: pd.DataFrame, parts: int) -> np.ndarray:
+    """The smallest document of every window around the hot anchors; LAST where the window is another anchor's."""
+    told: dict[tuple[int, int], bytes] = {(x["piece"], x["part"] - parts): x["windows"] for _, x in answers.iterrows()}
+    out = np.full((len(found.keys), OFFSETS), LAST, dtype=np.int64)
+    for piece, x in enumerate(windows(found, parts)):
+        for k, own in x.by_bucket.items():
+            pairs = np.frombuffer(told.get((piece, k), b""), dtype=np.int64).reshape(-1, 2)
+            x.least[own[pairs[:, 0]]] = pairs[:, 1]
+        out[x.row, x.offset] = x.least[x.of]
+    return out
+
+
+def _mark(chunk: Chunk, found: Suffixes, cover: list[np.ndarray], lowest) -> None:
+    """Counts in ``cover``, as steps up and down, the windows of which ``lowest`` (of keys) tells an earlier document."""
     offsets = np.arange(OFFSETS)
     for at in range(0, len(found.of), 1 << 16):
         part = slice(at, at + (1 << 16))
         key, mine = found.of[part], chunk.ranks[found.doc[part]][:, None]
         after, before = (found.keys[key, c].astype(np.int64)[:, None] - 1 for c in (-2, -1))
-        low = np.where(special[key][:, None] > 0, minima[special[key]], everywhere[key][:, None])
-        row, o = np.nonzero((low < mine) & (before >= offsets) & (after >= WINDOW - offsets))
+        row, o = np.nonzero((lowest(key) < mine) & (before >= offsets) & (after >= WINDOW - offsets))
         slab, start = found.where[part][row, 0], found.where[part][row, 1] - o
         for n in np.unique(slab):
             own, size = start[slab == n], len(cover[n])
             cover[n] += (np.bincount(own, minlength=size) - np.bincount(own + WINDOW, minlength=size)).astype(np.int32)
+
+
+def _kept(chunk: Chunk, cover: list[np.ndarray]) -> Iterator[tuple]:
     for (a, b), marks in zip(chunk.slabs, cover, strict=True):
         gone = np.cumsum(marks[:-1]) > 0
         begin = 0
@@ -486,7 +616,7 @@ def _key_ranges(docs: DataFrame, rows: int, parts: int) -> np.ndarray:
     return np.unique(picked.view(np.uint64) ^ np.uint64(1 << 63))
 
 
-def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"),
                        F.encode(whole_text(), "UTF-8").alias("text"))
@@ -495,12 +625,12 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     cuts = _key_ranges(docs, rows, parts)
     chunk = F.pmod(F.xxhash64("rank", "text"), F.lit(parts)).alias("chunk")
     dealt = docs.select(chunk, "rank", "text").repartition(parts, "chunk")
-    sent = dealt.groupBy("chunk").applyInPandas(_send_hashes(parts), "bucket long, chunk long, codes binary, several binary")
-    masks = sent.groupBy("bucket").applyInPandas(_find_repeated, "chunk long, part long, mask binary")
+    sent = dealt.groupBy("chunk").applyInPandas(
+        _send_hashes(parts), "bucket long, chunk long, codes binary, several binary, contexts binary")
+    masks = sent.groupBy("bucket").applyInPandas(_find_repeated(hot_contexts), "chunk long, part long, mask binary, hot binary")
     runs = dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInPandas(
-        _send_suffixes(parts, cuts), "range long, chunk long, shared binary, tails binary, least binary")
-    merged = runs.groupBy("range").applyInPandas(
-        _merge_range, "chunk long, part long, plain binary, single binary, minima binary")
+        _send_suffixes(parts, cuts), "range long, chunk long, piece long, shared binary, tails binary, least binary")
+    merged = runs.groupBy("range").applyInPandas(_merge_range, ANSWER)
     answers = masks.unionByName(merged, allowMissingColumns=True)
     cut = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_cut_chunk(parts, cuts), RESULT)
     return cut.select(F.when(F.col("rank") != LAST, F.col("rank")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

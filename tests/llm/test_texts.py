@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -83,6 +84,34 @@ def test_suffix_dedup(spark, odd_tables, odd_documents, chunk_bytes):
     assert sum(r["n_removed"] for r in got) > 0
 
 
+@pytest.mark.parametrize("hot", [0, 20])
+def test_suffix_dedup_of_hot_anchors(spark, odd_documents, hot):
+    """A passage in many documents, each with its own surroundings; its anchors are dealt out by windows."""
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdefgh ", k=180))
+    docs = [(r[0], r[1]) for r in odd_documents]
+    docs += [(1000 + rng.randrange(150), "".join(rng.choices("xyz ", k=rng.randrange(90))) + passage[rng.choice([0, 0, 7]):]
+              + "".join(rng.choices("uvw", k=rng.randrange(90)))) for _ in range(200)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(table, 8_000, hot).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_removed([(d, (t or "").encode()) for d, t in docs]), key=str)
+
+
+def test_hot_anchors_do_not_meet_in_one_range():
+    """A third of the documents share a passage: no range gets more keys of an anchor than the limit allows."""
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=120)).encode()
+    texts = ["".join(rng.choices("xyz ", k=80)).encode() + passage + "".join(rng.choices("uvw ", k=80)).encode() for _ in range(900)]
+    rows = [pd.DataFrame({"chunk": c, "rank": np.arange(c, 900, 3), "text": texts[c::3]}) for c in range(3)]
+    none = np.empty(0, dtype=np.uint64)
+    sent = pd.concat([suffix_dedup._send_hashes(2)(r) for r in rows])
+    masks = pd.concat([suffix_dedup._find_repeated(100)(g.reset_index(drop=True)) for _, g in sent.groupby("bucket")])
+    runs = pd.concat([suffix_dedup._send_suffixes(2, none)(r, masks[masks["chunk"] == c]) for c, r in enumerate(rows)])
+    keys = {k for s, t in zip(runs["shared"], runs["tails"], strict=True) if s for k in suffix_dedup.front_decode(s, t)}
+    assert keys and max(Counter(k[: suffix_dedup.GRAM] for k in keys).values()) <= 100 * suffix_dedup.MANY
+    assert runs[runs["shared"] == b""]["range"].nunique() > 8
+
+
 def test_merge_never_compares_known_prefixes():
     rng = np.random.default_rng(2)
     shape = np.array([1] * 12 + [4] * (suffix_dedup.KEY - 12))
