@@ -30,6 +30,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from sigsight.llm.common import table
 
@@ -64,6 +65,23 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def encode(path: str, text: str) -> np.ndarray:
+    """The ids that ``tokenizers`` gives.
+
+    tiktoken is faster, but its regex engine gives up on white-space runs of
+    about a million characters; such a text is encoded by tokenizers itself.
+    """
+    try:
+        return encoder(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
 class Packer:
     """Packs the examples of one input split; examples wait in a bounded pool."""
 
@@ -155,12 +173,11 @@ class Packer:
 
 def _pack_split(path: str, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_to_numpy
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
         full = min(limits.tokens, limits.loss)
         for batch in batches:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(encode(text.as_py() or "", allowed_special="all"), END).astype("<u4")
+                ids = np.append(encode(path, text.as_py() or ""), END).astype("<u4")
                 whole = len(ids) // full * full
                 for at in range(0, whole, full):
                     packer.sequence([(key, at, ids[at : at + full], len(ids))])

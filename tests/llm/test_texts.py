@@ -285,6 +285,16 @@ def test_packing_of_special_strings_as_tokenizers_do():
         assert encoder(path).encode(text, allowed_special="all") == ids
 
 
+def test_packing_of_a_long_white_space_run(spark, write_tables):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "a" + " " * 2_000_000 + "b\n\n c"
+    ids = np.array([*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+    folder = write_tables(documents=[(1, text, "en", "s", len(text)), (2, "x", "en", "s", 1)])
+    pieces = sorted((p for p in rows_of(registry.QUERIES["op8_packing"](spark, folder)) if p["doc_id"] == 1), key=lambda p: p["start"])
+    assert sum(p["length"] for p in pieces) == len(ids)
+    assert all(p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in pieces)
+
+
 def test_packer_keeps_all_limits_for_whole_examples():
     rng = random.Random(3)
     packer = Packer(Limits(tokens=100, segments=4, loss=50), 0, cut=False)
