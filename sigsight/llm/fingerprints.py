@@ -2,7 +2,11 @@
 
 A document is a weighted set: its lower-cased words (between white space), each with the weight
 (occurrences x length squared), which makes long, rare words count more than
-short, common ones.  For each of ``SAMPLES`` samples a word draws, from hashes
+short, common ones.  A word of more than ``LONG`` characters, or of more than
+``LONG_UNSPACED`` with a letter of a script written without spaces, stands for
+its strings of ``SHINGLE`` characters, each with its occurrences as weight: near
+copies of texts without spaces stay alike, and no address or blob outweighs the
+words around it unless it is most of the text.  For each of ``SAMPLES`` samples a word draws, from hashes
 of itself alone, two gamma variables and a uniform one; with its weight they give
 a quantised weight step and a rank, and the word of least rank is the sample.
 Two documents agree in a sample with the probability of their generalised
@@ -38,9 +42,19 @@ BROADCAST_ROWS = 200_000
 MOST_TASKS = 100_000
 #: Quantiles of doc_id; each range between two is divided evenly where it holds more than RANGE_ROWS.
 QUANTILES = 256
+#: Words longer than this are told by their strings of SHINGLE characters.
+LONG = 32
+LONG_UNSPACED = 8
+SHINGLE = 5
+#: Such strings are listed from pieces of a word that begin so many characters apart.
+PIECE = 4096
 _BITS = 25
 _CODE = 0xFFFF
 _GAPS = "[ \\t\\r\\n]+"
+_UNSPACED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
+# A match moves on by what stands behind the group, which overlaps the next one.
+_PIECES = f"(?s)(?=(.{{{SHINGLE},{PIECE + SHINGLE - 1}}})).{{1,{PIECE}}}"
+_SHINGLES = f"(?s)(?=(.{{{SHINGLE}}}))."
 
 
 def ranges(docs: DataFrame) -> tuple[Column, int]:
@@ -135,12 +149,26 @@ def likeness(one: str, other: str) -> Column:
     return sum(same[1:], same[0]) / float(SAMPLES)
 
 
+def _is_long(word: str) -> Column:
+    size = F.char_length(word)
+    return (size > LONG) | ((size > LONG_UNSPACED) & (F.octet_length(word) > size) & F.col(word).rlike(_UNSPACED))
+
+
+def _parted(text: str, pattern: str) -> Column:
+    """What the pattern finds in the text if it is of a long word, else the text."""
+    return F.when(F.col("long"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array(text))
+
+
 def fingerprints(rows: DataFrame, key: list[str], texts: dict[str, str]) -> DataFrame:
     """``key`` with a fingerprint column, named by ``texts``, for each text column; rows lie by ``key[0]``."""
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(t).alias("t")) for i, t in enumerate(texts)]))
     # The empty word, which every wordless text has, gets no weight.
     words = rows.select(*key, sides.alias("s")).select(*key, "s.side", F.explode(F.split(F.lower("s.t"), _GAPS)).alias("w")) \
-        .select(*key, "side", F.xxhash64("w").alias("word"), F.char_length("w").alias("size"))
+        .select(*key, "side", "w", _is_long("w").alias("long")) \
+        .select(*key, "side", "long", F.explode(_parted("w", _PIECES)).alias("w")) \
+        .select(*key, "side", "long", F.explode(_parted("w", _SHINGLES)).alias("w")) \
+        .select(*key, "side", F.when(F.col("long"), F.xxhash64("w", F.lit(1))).otherwise(F.xxhash64("w")).alias("word"),
+                F.when(F.col("long"), 1).otherwise(F.char_length("w")).alias("size"))
     counts = words.groupBy(*key, "word", "size").agg(
         *[F.count(F.when(F.col("side") == i, 1)).alias(f"n{i}") for i in range(len(texts))])
     weights = [f"w{i}" for i in range(len(texts))]

@@ -61,6 +61,21 @@ def test_fingerprints(spark, odd_tables, odd_documents):
     assert checked > 20
 
 
+def test_fingerprints_of_long_words(spark, write_tables):
+    rng = random.Random(12)
+    signs = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(400))
+    line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=10_000))
+    some, other = ([" ".join("".join(rng.choices("abcdefghijkl", k=rng.randint(3, 8))) for _ in range(300))] for _ in range(2))
+    blobs = ["http://" + "".join(rng.choices("0123456789abcdef", k=2000)) for _ in range(2)]
+    pairs = [(signs, signs[:200] + "x" + signs[201:], 0.85, 1), (line, "x" + line[:5000] + "y" + line[5001:], 0.9, 1),
+             (some[0] + " " + blobs[0], some[0] + " " + blobs[1], 0.5, 0.95), (some[0] + " " + blobs[0], other[0] + " " + blobs[0], 0, 0.4),
+             ("\U0001f600" * 40 + signs, signs, 0.8, 1)]
+    rows = [(100 - 2 * i - j, t, "en", "s", len(t)) for i, p in enumerate(pairs) for j, t in enumerate(p[:2])]
+    got = {r["doc_id"]: r for r in rows_of(registry.QUERIES["op1_document_fingerprints"](spark, write_tables(documents=rows)))}
+    for i, (_, _, least, most) in enumerate(pairs):
+        assert least <= got[100 - 2 * i]["near_next"] <= most, i
+
+
 def brute_removed(docs):
     first = {}
     for d, t in docs:
