@@ -151,13 +151,8 @@ def _byte(position: int):
     return F.shiftrightunsigned("fp", 8 * position).bitwiseAND(F.lit(255))
 
 
-def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (u, v) between roots of ``classes`` (root, fp) that connect what links within ``distance``.
-
-    Needs ``distance`` of 4 at most: beyond it, four shared bytes are not guaranteed.
-    """
-    if distance > POSITIONS - 4:
-        raise ValueError("the index guarantees four shared bytes up to a distance of 4")
+def postings(classes: DataFrame) -> DataFrame:
+    """(key, fourth, fp, root): ``classes`` under their triples, in large postings under a fourth byte outside the triple."""
     keys = [
         sum((_byte(p) * F.lit(256**i) for i, p in enumerate(t)), F.lit(k << 24)) for k, t in enumerate(TRIPLES)
     ]
@@ -166,9 +161,20 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # The fourth byte, with its position; triples take three of the positions, so it is one of the other five.
     fourth = F.array(*[_byte(p) + F.lit(256 * (p + 1)) for p in range(POSITIONS)])
     listed = listed.withColumn("fourth", F.explode(F.when(F.col("n") > LARGE_POSTING, fourth).otherwise(F.array(F.lit(0).cast("long")))))
-    postings = listed.select("key", "fourth", "fp", "root").repartition("key", "fourth") \
-        .sortWithinPartitions("key", "fourth", "fp")
-    return postings.mapInPandas(_postings_to_edges(distance), "u long, v long")
+    others = F.array(*[F.array(F.lit(0), *[F.lit(p + 1) for p in range(POSITIONS) if p not in t]) for t in TRIPLES])
+    allowed = F.element_at(others, (F.shiftright("key", 24) + 1).cast("int"))
+    return listed.filter(F.array_contains(allowed, F.shiftright("fourth", 8).cast("int"))).select("key", "fourth", "fp", "root")
+
+
+def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges (u, v) between roots of ``classes`` (root, fp) that connect what links within ``distance``.
+
+    Needs ``distance`` of 4 at most: beyond it, four shared bytes are not guaranteed.
+    """
+    if distance > POSITIONS - 4:
+        raise ValueError("the index guarantees four shared bytes up to a distance of 4")
+    dealt = postings(classes).repartition("key", "fourth").sortWithinPartitions("key", "fourth", "fp")
+    return dealt.mapInPandas(_postings_to_edges(distance), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

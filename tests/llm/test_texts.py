@@ -258,6 +258,16 @@ def test_simhash_links_of_dense_fingerprints(spark, monkeypatch):
         assert {tuple(r) for r in simhash.components(simhash.links(classes)).collect()} == want
 
 
+def test_large_postings_are_divided(spark, monkeypatch):
+    """Prints that share one triple's bytes only: no list holds them all again."""
+    monkeypatch.setattr(simhash, "LARGE_POSTING", 100)
+    rng = random.Random(5)
+    shared = simhash.TRIPLES[3]
+    fps = [int.from_bytes(bytes(7 if p in shared else rng.randrange(256) for p in range(8)), "little", signed=True) for _ in range(500)]
+    lists = simhash.postings(spark.createDataFrame(list(enumerate(fps)), "root long, fp long")).groupBy("key", "fourth").count()
+    assert max(r["count"] for r in lists.collect()) < 50
+
+
 def test_triples_cover_all_choices_of_four():
     from itertools import combinations
 
