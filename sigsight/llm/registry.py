@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sigsight.llm import lexical
 from sigsight.llm.decontamination import op6_benchmark_decontamination
 from sigsight.llm.fingerprints import op1_document_fingerprints
 from sigsight.llm.html import op3_html_extraction
@@ -24,8 +25,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op12_ranked_lexical_search": lexical.op12_ranked_lexical_search,
 }
 
-#: None of the ten has one: each needs trained models, automata, hashes or
-#: tokenizers that SQL lacks, or is too slow in SQL on whole tables.
-ORACLES: dict[str, str] = {}
+#: The others need trained models, automata, hashes or tokenizers that SQL lacks,
+#: or are too slow in SQL on whole tables.
+ORACLES: dict[str, str] = {
+    "op12_ranked_lexical_search": lexical.ORACLE_SQL,
+}
