@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigsight.llm import lexical
+from sigsight.llm import lexical, spelling
 from sigsight.llm.decontamination import op6_benchmark_decontamination
 from sigsight.llm.fingerprints import op1_document_fingerprints
 from sigsight.llm.html import op3_html_extraction
@@ -26,6 +26,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
     "op12_ranked_lexical_search": lexical.op12_ranked_lexical_search,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 #: The others need trained models, automata, hashes or tokenizers that SQL lacks,
