@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigsight.llm import lexical, spelling
+from sigsight.llm import lexical, spelling, substrings
 from sigsight.llm.decontamination import op6_benchmark_decontamination
 from sigsight.llm.fingerprints import op1_document_fingerprints
 from sigsight.llm.html import op3_html_extraction
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op11_substring_dedup": substrings.op11_substring_dedup,
     "op12_ranked_lexical_search": lexical.op12_ranked_lexical_search,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
@@ -32,5 +33,6 @@ QUERIES = {
 #: The others need trained models, automata, hashes or tokenizers that SQL lacks,
 #: or are too slow in SQL on whole tables.
 ORACLES: dict[str, str] = {
+    "op11_substring_dedup": substrings.ORACLE_SQL,
     "op12_ranked_lexical_search": lexical.ORACLE_SQL,
 }
