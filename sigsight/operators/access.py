@@ -8,9 +8,11 @@ equalities are pushed to the Parquet reader.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigsight.operators.range_counts import count_in_ranges, timeline
+
 
 def _date_bounds(start: Column, end: Column) -> Column:
     return F.col("event_date").between(F.to_date(start), F.to_date(end))
@@ -24,41 +26,45 @@ def events_before(events: DataFrame, instant, minutes: int) -> DataFrame:
                   .orderBy(F.col("occurred_at").desc(), F.col("event_id")))
 
 
+def event_timeline(events: DataFrame, position: str = "position") -> DataFrame:
+    """All events with their 1-based position, oldest first; read backwards, equal times are in the order of event ids."""
+    return timeline(events, [F.col("occurred_at"), F.col("event_id").desc()], position=position)
+
+
+def events_before_runs(anchors: DataFrame, events: DataFrame, minutes: int, key: str = "qid", at: str = "asked_at") -> DataFrame:
+    """D1 for a table of instants, run-length: (key, n, first_position, last_position), one row an instant with events.
+
+    An instant's events are those positions of the ``event_timeline``, so the
+    output grows with the instants and not with the events near them.
+    """
+    a = anchors.select(F.col(key), F.col(at).alias("_at"), F.timestamp_add("MINUTE", F.lit(-minutes), F.col(at)).alias("_from"))
+    found = count_in_ranges(events, a, key, "_from", "_at")
+    return found.select(key, "n", (F.col("first") + 1).alias("first_position"), (F.col("first") + F.col("n")).alias("last_position"))
+
+
 def events_before_each(anchors: DataFrame, events: DataFrame, minutes: int, key: str = "qid",
                        at: str = "asked_at") -> DataFrame:
-    """D1 for a table of instants: (key, event rows, position), newest first within each instant."""
-    a = anchors.select(F.col(key), F.col(at).alias("_at"),
-                       F.timestamp_add("MINUTE", F.lit(-minutes), F.col(at)).alias("_from"))
-    a = a.select("*", F.explode(F.sequence(F.to_date("_from"), F.to_date("_at"))).alias("event_date"))
-    j = events.join(a, [events.event_date == a.event_date, events.occurred_at >= a._from,
-                        events.occurred_at <= a._at])
-    newest = Window.partitionBy(key).orderBy(F.col("occurred_at").desc(), "event_id")
-    return j.drop(a.event_date).drop("_from", "_at").withColumn("position", F.row_number().over(newest))
+    """D1 for a table of instants, each event listed: (key, event rows, position), newest first within each instant.
 
+    The runs are expanded to timeline positions, which meet the events one to one:
+    the work is the output, and no hot bucket of events meets a hot bucket of instants.
+    """
+    runs = events_before_runs(anchors, events, minutes, key, at)
+    wanted = runs.select(key, "last_position", F.explode(F.sequence("first_position", "last_position")).alias("_place"))
+    placed = event_timeline(events, "_place")
+    return placed.join(wanted, "_place").withColumn("position", (F.col("last_position") - F.col("_place") + 1).cast("int")) \
+        .select(key, *events.columns, "position")
 
-def service_timeline(events: DataFrame, service: str | None = None) -> DataFrame:
-    """Service timelines, newest first by ``position`` within each service and day.
 
-    A day of a service is the unit a reader pages through, and bounds what is sorted together.
-    """
+def service_timeline(events: DataFrame, service: str | None = None) -> DataFrame:
+    """Service timelines, newest first by ``position`` within each whole service."""
     ev = events.where(F.col("service") == service) if service else events
-    newest = Window.partitionBy("service", "event_date").orderBy(F.col("occurred_at").desc(), "event_id")
-    return ev.withColumn("position", F.row_number().over(newest))
+    return timeline(ev, [F.col("occurred_at").desc(), F.col("event_id")], ["service"])
 
 
 def count_in_windows(events: DataFrame, windows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """D3 for a table of windows: (key, n, last_at) over the events inside each closed window.
-
-    Windows are clipped to the events' dates before they are spread over days;
-    the pairs are counted inside the join's tasks and never shuffled.
-    """
-    days = events.agg(F.min("event_date").alias("_lo"), F.max("event_date").alias("_hi"))
-    w = windows.select(F.col(key), F.col(start).alias("_start"), F.col(end).alias("_end")).join(F.broadcast(days))
-    lo, hi = F.greatest(F.to_date("_start"), F.col("_lo")), F.least(F.to_date("_end"), F.col("_hi"))
-    w = w.where((F.col("_start") < F.col("_end")) & (lo <= hi)) \
-        .select(key, "_start", "_end", F.explode(F.sequence(lo, hi)).alias("event_date"))
-    j = events.join(w, [events.event_date == w.event_date, events.occurred_at.between(w._start, w._end)])
-    return j.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("occurred_at").alias("last_at"))
+    """D3 for a table of windows: (key, n, last_at) over the events inside each closed window that has some."""
+    return count_in_ranges(events, windows, key, start, end).select(key, "n", "last_at")
 
 
 def deployments_in_window(events: DataFrame, start, end, event_type: str = "deployment") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigsight import config as C
 from sigsight.functions.text import classify_query, normalize_query
 from sigsight.functions.windows import time_window_narrow, time_window_wide
+from sigsight.operators.name_matching import first_names
 from sigsight.operators.ranking import ranked_within
 from sigsight.session import cut_lineage
 
@@ -38,30 +39,21 @@ def extract_services(q: DataFrame, registry: DataFrame, question_col: str = "que
 
     Q7: the first registry service whose lower-cased hyphen-free form occurs in
     the normalised question; Q8: the first whose lower-cased form, with or
-    without hyphens, occurs in the lower-cased raw question.  A substring can
-    equal a name only at the name's length, so each text is exploded into its
-    substrings of the registry's name lengths, which meet the names by an
-    equi-join: no registry is too large, and none is gathered.
+    without hyphens, occurs in the lower-cased raw question.  All names are
+    matched in one pass over a text by an Aho-Corasick automaton
+    (``name_matching``), so a text's length and the number of names add up and
+    only questions that name a service leave the scan.
     """
     low = F.lower(F.col("service"))
     plain = F.replace(low, F.lit("-"), F.lit(" "))
     forms = registry.select("service", "ord", F.explode(F.array(
         *[F.struct(F.lit(kind).alias("kind"), form.alias("form")) for kind, form in
           (("norm", plain), ("raw", low), ("raw", plain))])).alias("f")).select("service", "ord", "f.*")
-    forms = forms.groupBy("kind", "form").agg(F.min(F.struct("ord", "service")).alias("first"))
-    # One row: the distinct lengths of names, as few as a name has characters at most.
-    lengths = forms.agg(F.collect_set(F.char_length("form")).alias("lengths"))
-    texts = q.select(F.col(key).alias("_key"), F.explode(F.array(
-        F.struct(F.lit("norm").alias("kind"), normalize_query(F.col(question_col)).alias("text")),
-        F.struct(F.lit("raw").alias("kind"), F.lower(F.col(question_col)).alias("text")))).alias("t")).select("_key", "t.*")
-    sized = texts.join(F.broadcast(lengths)).select("_key", "kind", "text", F.explode("lengths").alias("size")) \
-        .where(F.char_length("text") >= F.col("size"))
-    parts = sized.select("_key", "kind", "size", "text", F.explode(
-        F.sequence(F.lit(1), F.char_length("text") - F.col("size") + 1)).alias("at"))
-    named = parts.select("_key", "kind", F.substring("text", F.col("at"), F.col("size")).alias("form")) \
-        .join(forms, ["kind", "form"])
-    first = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first")))["service"]
-    return named.groupBy(F.col("_key").alias(key)).agg(first("norm").alias("service_norm"), first("raw").alias("service_raw"))
+    forms = forms.where("form is not null").groupBy("kind", "form").agg(F.min(F.struct("ord", "service")).alias("first"))
+    texts = q.select(F.col(key).alias("_key"), normalize_query(F.col(question_col)).alias("norm"), F.lower(F.col(question_col)).alias("raw"))
+    named = first_names(texts, forms.select("kind", "form", "first.ord", "first.service"))
+    first = lambda kind: F.min(F.when(F.col(f"{kind}_ord").isNotNull(), F.struct(f"{kind}_ord", f"{kind}_service")))
+    return named.groupBy(F.col("_key").alias(key)).agg(*[first(kind)[f"{kind}_service"].alias(f"service_{kind}") for kind in ("norm", "raw")])
 
 
 def parse_questions(q: DataFrame, registry: DataFrame, question_col: str = "question",

@@ -1,31 +1,33 @@
 """Vectorised top-k for the many-question search (Arrow batches + numpy), the one algorithm at every size.
 
 Spark SQL has no vector functions, and a per-pair ``aggregate(zip_with(..))``
-runs as interpreted lambdas, so similarities are computed a batch at a time:
-
-* the questions are dealt by a hash into blocks of at most about
-  ``BLOCK_BYTES`` measured bytes, all vectors of a block equally long; however
-  many questions there are, a block and what is broadcast at once stay that
-  small, and each block is one more narrow scan of the events of its dates;
-* ``mapInArrow`` matches each Arrow batch of events with the block's questions
-  whose window overlaps the batch: those without a service filter against all
-  of its rows, those with one against the rows of that service alone;
+runs as interpreted lambdas, so similarities are computed a cell at a time.
+Questions and events meet in a blocked theta-join:
+
+* a date's events are dealt into parts of about ``CELL_EVENTS`` and the
+  questions whose window touches the date into blocks of about
+  ``CELL_QUESTIONS``; every (date, part, block) is a cell, an event goes to each
+  block of its date and a question to each part of its dates.  A hot date is
+  more cells, not a larger one, and nothing passes through the driver but one
+  row of bounds and the number of cells;
+* ``cogroup`` brings a cell's events and questions together; questions without a
+  service filter meet all of its rows, those with one the rows of that service;
 * BLAS selects, per question, the rows within ``MARGIN`` of the k-th best
   (a superset: BLAS may order equal vectors differently in the last bit);
 * for those rows only the cosine is recomputed with the sequential
   left-to-right sums of the SQL expression (``vectors.dot``/``norm``), which
-  gives bit-identical values, and the batch emits its k best plus every
+  gives bit-identical values, and the cell emits its k best plus every
   exact tie with the k-th;
 * the final ``row_number()`` over ``(cos desc, event_id, id)`` picks the k, and
   the payload is joined back for those rows, one payload row for each.
 
 A null vector, one of another length or of zero norm on either side has a null
-similarity and ranks last.  Task memory is bounded by the Arrow batch size x
-question chunk, not by any group, so a hot day or service is spread.
+similarity and ranks last.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import lru_cache
 
 import numpy as np
@@ -39,20 +41,18 @@ from sigsight.session import cut_lineage
 
 Q_CHUNK = 512
 MARGIN = 1e-9
-BLOCK_BYTES = 32 * 1024 * 1024
-ROW_BYTES = 128
-# The winners are broadcast to the payload scan only up to this measured size.
+#: Events and questions of a cell, about.
+CELL_EVENTS = 8192
+CELL_QUESTIONS = 4096
+# The winners are broadcast to the payload scan only up to this size, measured on the finished winners.
 WINNER_BYTES = 64 * 1024 * 1024
 
 _OUT_SCHEMA = "qid long, event_id string, id long, event_date date, cos double"
 
 
-def _ntz_literal(micros: int):
-    """A ``timestamp_ntz`` literal from epoch microseconds, independent of the session time zone."""
-    import datetime as dt
-
-    text = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(micros))).isoformat()
-    return F.lit(text).cast("timestamp_ntz")
+def _ntz_literal(at: dt.datetime):
+    """A ``timestamp_ntz`` literal, independent of the session time zone."""
+    return F.lit(at.isoformat()).cast("timestamp_ntz")
 
 
 def _vectors(col: pa.Array, dim: int) -> np.ndarray:
@@ -71,7 +71,7 @@ def _vectors(col: pa.Array, dim: int) -> np.ndarray:
 
 def _questions(q: DataFrame, qid: str, qvec: str, start: str, end: str, service: str,
                event_types: str | None) -> DataFrame:
-    """The usable questions' narrow columns, dealt into blocks; computed once."""
+    """The usable questions' narrow columns; computed once."""
     types = F.when(F.size(F.col(event_types)) > 0, F.col(event_types)) if event_types \
         else F.lit(None).cast("array<string>")
     side = q.where(F.coalesce(F.col(start) < F.col(end), F.lit(False))).select(
@@ -82,21 +82,13 @@ def _questions(q: DataFrame, qid: str, qvec: str, start: str, end: str, service:
     return cut_lineage(side)
 
 
-def _blocks(side: DataFrame):
-    """The questions block by block, as numpy arrays sorted by window start."""
-    sizes = side.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()
-    for dim, n in ((r.dim, r.n) for r in sizes):
-        parts = -(-n * (dim * 8 + ROW_BYTES) // BLOCK_BYTES)
-        for part in range(parts):
-            t = side.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)).toArrow()
-            if not t.num_rows:
-                continue
-            t = t.sort_by("start")
-            mat = _vectors(t.column("qvec"), dim)
-            yield {"n": t.num_rows, "dim": dim, "qid": t.column("qid").to_numpy(), "mat": mat,
-                   "norm": np.sqrt((mat * mat).sum(axis=1)), "start": t.column("start").cast(pa.int64()).to_numpy(),
-                   "end": t.column("end").cast(pa.int64()).to_numpy(), "service": t.column("service").to_pylist(),
-                   "types": t.column("types").to_pylist()}
+def _side(t: pa.Table, dim: int) -> dict:
+    """Questions with vectors of one length, as numpy arrays sorted by window start."""
+    t = t.sort_by("start")
+    mat = _vectors(t.column("qvec"), dim)
+    return {"qid": t.column("qid").to_numpy(), "mat": mat, "dim": dim, "norm": np.sqrt((mat * mat).sum(axis=1)),
+            "start": t.column("start").cast(pa.int64()).to_numpy(), "end": t.column("end").cast(pa.int64()).to_numpy(),
+            "service": t.column("service").to_pylist(), "types": t.column("types").to_pylist()}
 
 
 def _seq_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,80 +141,110 @@ def _leading(cos: np.ndarray, k: int, margin: float) -> np.ndarray:
         return real & (cos >= kth - margin)
 
 
-def _make_batch_fn(bc, k: int):
-    def fn(batches):
-        side = bc.value
-        q_svc = np.array(["" if s is None else s for s in side["service"]], dtype=object)
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            ts = batch.column("occurred_at").cast(pa.int64()).to_numpy()
-            # Questions are sorted by start: those starting after the batch ends are skipped cheaply.
-            upto = np.searchsorted(side["start"], ts.max(), side="right")
-            cand = np.flatnonzero(side["end"][:upto] >= ts.min())
-            if not cand.size:
-                continue
-            emb = _vectors(batch.column("embedding"), side["dim"])
-            e_norm = np.sqrt((emb * emb).sum(axis=1))
-            e_svc = np.array(batch.column("service").to_pylist(), dtype=object)
-            e_type = np.array(batch.column("event_type").to_pylist(), dtype=object)
-            found = []
-
-            @lru_cache(maxsize=1)
-            def turn(batch=batch, n=n):
-                keys = pa.table({"e": batch.column("event_id"), "i": batch.column("id")})
-                out = np.empty(n, dtype=np.int64)
-                out[pc.sort_indices(keys, sort_keys=[("e", "ascending"), ("i", "ascending")]).to_numpy()] = np.arange(n)
-                return out
-
-            # Mask first: a service's questions meet that service's rows only.
-            for name in set(q_svc[cand]):
-                rows = np.arange(n) if name == "" else np.flatnonzero(e_svc == name)
-                mine = cand[q_svc[cand] == name]
-                if rows.size:
-                    for at in range(0, mine.size, Q_CHUNK):
-                        found += _best(side, mine[at:at + Q_CHUNK], rows, emb, e_norm, ts, e_type, k, turn)
-            if not found:
-                continue
-            qids = np.concatenate([np.full(len(r), one, dtype=np.int64) for one, r, _ in found])
-            idx = pa.array(np.concatenate([r for _, r, _ in found]))
-            cos = np.concatenate([c for _, _, c in found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qids), batch.column("event_id").take(idx), batch.column("id").take(idx),
-                 batch.column("event_date").take(idx), pa.array(cos, mask=np.isnan(cos))],
-                names=["qid", "event_id", "id", "event_date", "cos"])
+def _cell(k: int):
+    """The ``cogroup`` body: what may rank among the k best of a cell's questions."""
+    def fn(events: pa.Table, questions: pa.Table) -> pa.Table:
+        found = []
+        events = events.combine_chunks()
+        for dim in questions.column("dim").unique().to_pylist() if events.num_rows else []:
+            found += _matches(events, _side(questions.filter(pc.equal(questions.column("dim"), dim)), dim), k)
+        qids = np.concatenate([np.zeros(0, np.int64), *[np.full(len(r), one, dtype=np.int64) for one, r, _ in found]])
+        idx = pa.array(np.concatenate([np.zeros(0, np.int64), *[r for _, r, _ in found]]))
+        cos = np.concatenate([np.zeros(0), *[c for _, _, c in found]])
+        return pa.table([pa.array(qids), events.column("event_id").take(idx), events.column("id").take(idx),
+                         events.column("event_date").take(idx), pa.array(cos, mask=np.isnan(cos))],
+                        names=["qid", "event_id", "id", "event_date", "cos"])
     return fn
 
 
-def _in_bounds(events: DataFrame, lo: int, hi: int) -> DataFrame:
+def _matches(events: pa.Table, side: dict, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(question, rows, exact cosines) of the questions that meet some row."""
+    n = events.num_rows
+    ts = events.column("occurred_at").cast(pa.int64()).to_numpy()
+    # Questions are sorted by start: those starting after the last event are skipped cheaply.
+    upto = np.searchsorted(side["start"], ts.max(), side="right")
+    cand = np.flatnonzero(side["end"][:upto] >= ts.min())
+    if not cand.size:
+        return []
+    emb = _vectors(events.column("embedding"), side["dim"])
+    e_norm = np.sqrt((emb * emb).sum(axis=1))
+    e_svc = np.array(events.column("service").to_pylist(), dtype=object)
+    e_type = np.array(events.column("event_type").to_pylist(), dtype=object)
+    q_svc = np.array(["" if s is None else s for s in side["service"]], dtype=object)
+
+    @lru_cache(maxsize=1)
+    def turn():
+        keys = pa.table({"e": events.column("event_id"), "i": events.column("id")})
+        out = np.empty(n, dtype=np.int64)
+        out[pc.sort_indices(keys, sort_keys=[("e", "ascending"), ("i", "ascending")]).to_numpy()] = np.arange(n)
+        return out
+
+    found = []
+    # Mask first: a service's questions meet that service's rows only.
+    for name in set(q_svc[cand]):
+        rows = np.arange(n) if name == "" else np.flatnonzero(e_svc == name)
+        mine = cand[q_svc[cand] == name]
+        if rows.size:
+            for at in range(0, mine.size, Q_CHUNK):
+                found += _best(side, mine[at:at + Q_CHUNK], rows, emb, e_norm, ts, e_type, k, turn)
+    return found
+
+
+def _in_bounds(events: DataFrame, lo: dt.datetime, hi: dt.datetime) -> DataFrame:
     """Static bounds: Parquet skips row groups and date partitions outside them."""
     return events.where(F.col("event_date").between(F.to_date(_ntz_literal(lo)), F.to_date(_ntz_literal(hi)))
                         & F.col("occurred_at").between(_ntz_literal(lo), _ntz_literal(hi)))
 
 
+def _cells(side: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Questions and events dealt to their cells (event_date, part, block), and the number of cells."""
+    dates = cut_lineage(narrow.groupBy("event_date").agg(F.count(F.lit(1)).alias("n_events")))  # one row a date
+    reach = dates.agg(F.min("event_date").alias("_first"), F.max("event_date").alias("_last"))
+    first, last = F.greatest(F.to_date("start"), F.col("_first")), F.least(F.to_date("end"), F.col("_last"))
+    asked = side.join(F.broadcast(reach)).where(first <= last) \
+        .select(*side.columns, F.explode(F.sequence(first, last)).alias("event_date"))
+    counted = asked.groupBy("event_date").agg(F.count(F.lit(1)).alias("n_questions"))
+    plan = cut_lineage(dates.join(counted, "event_date").select(
+        "event_date", F.ceil(F.col("n_events") / CELL_EVENTS).cast("int").alias("parts"),
+        F.ceil(F.col("n_questions") / CELL_QUESTIONS).cast("int").alias("blocks")))
+    cells = plan.agg(F.sum(F.col("parts") * F.col("blocks"))).first()[0] or 0
+    plan = F.broadcast(plan)
+    # The partition tells rows with the same ids apart, so that they are dealt out too.
+    part = F.pmod(F.xxhash64("event_id", "id", F.spark_partition_id()), F.col("parts")).cast("int")
+    block = F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int")
+    whole = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    events = narrow.join(plan, "event_date") \
+        .withColumn("part", part).withColumn("block", whole("blocks")).drop("parts", "blocks")
+    questions = asked.join(plan, "event_date").withColumn("block", block).withColumn("part", whole("parts")).drop("parts", "blocks")
+    return questions, events, cells
+
+
 def search(q: DataFrame, events: DataFrame, k: int, qid: str, qvec: str, start: str, end: str,
            service: str, event_types: str | None, payload: list[str]) -> DataFrame:
     """Top-k per question: (qid, sim_rank, cos, similarity_score, *payload)."""
     spark = events.sparkSession
-    narrow = events.select("event_id", F.col("id").cast("long").alias("id"), "event_date", "occurred_at", "service",
-                           "event_type", "embedding")
-    partial, n, bounds = spark.createDataFrame([], _OUT_SCHEMA), 0, []
-    for side in _blocks(_questions(q, qid, qvec, start, end, service, event_types)):
-        lo, hi = int(side["start"].min()), int(side["end"].max())
-        n += side["n"]
-        bounds += [lo, hi]
-        bc = spark.sparkContext.broadcast(side)
-        partial = partial.unionByName(_in_bounds(narrow, lo, hi).mapInArrow(_make_batch_fn(bc, k), _OUT_SCHEMA))
+    side = _questions(q, qid, qvec, start, end, service, event_types)
+    lo, hi = side.agg(F.min("start"), F.max("end")).first()
+    if lo is None:
+        lo = hi = dt.datetime(1970, 1, 1)
+    narrow = _in_bounds(events.select("event_id", F.col("id").cast("long").alias("id"), "event_date", "occurred_at", "service",
+                                      "event_type", "embedding"), lo, hi)
+    asked, dealt, cells = _cells(side, narrow)
+    # A fixed number: cells are little data and much work, which sizes would put together into too few tasks.
+    tasks = max(1, min(cells, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
+    cell = ["event_date", "part", "block"]
+    partial = dealt.repartition(tasks, *cell).groupBy(*cell).cogroup(asked.repartition(tasks, *cell).groupBy(*cell)) \
+        .applyInArrow(_cell(k), _OUT_SCHEMA)
     # Narrow: column by column, an event row is told by event_id, id and date; equal rows by their turn.
     w = Window.partitionBy("qid").orderBy(F.col("cos").desc_nulls_last(), "event_id", "id")
     top = partial.withColumn("sim_rank", F.row_number().over(w)).where(F.col("sim_rank") <= k)
     top = top.withColumn("_turn", F.row_number().over(Window.partitionBy("qid", "event_id", "id", "event_date").orderBy("sim_rank")))
     top = top.withColumnRenamed("id", "_id")
-    if n * k * ROW_BYTES <= WINNER_BYTES:
+    top = cut_lineage(top)
+    size = top.agg(F.sum(F.coalesce(F.octet_length("event_id"), F.lit(0)) + 96)).first()[0] or 0
+    if size <= WINNER_BYTES:
         top = F.broadcast(top)
-    body = _in_bounds(events.select(*payload, "event_date"), min(bounds), max(bounds)) if bounds \
-        else events.select(*payload, "event_date").where(F.lit(False))
+    body = _in_bounds(events.select(*payload, "event_date"), lo, hi)
     joined = body.join(top, ["event_id", "event_date"]).where(F.col("id").cast("long").eqNullSafe(F.col("_id")))
     seat = Window.partitionBy("qid", "sim_rank").orderBy(*[F.xxhash64(c) for c in payload])
     joined = joined.withColumn("_seat", F.row_number().over(seat)).where(F.col("_seat") == F.col("_turn"))

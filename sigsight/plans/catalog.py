@@ -18,6 +18,7 @@ from sigsight import config as C
 from sigsight.functions.judge import judge_prompt as judge_prompt_col
 from sigsight.functions.judge import low_groundedness, parse_judge
 from sigsight.functions.text import incident_signal, is_no_data_answer, rewrite_query, with_normalised_log
+from sigsight.functions.timefmt import to_utc_ntz
 from sigsight.operators import access as D
 from sigsight.operators import analytics as A
 from sigsight.operators import context as P
@@ -26,9 +27,11 @@ from sigsight.operators import ingest as I
 from sigsight.operators import questions as Q
 from sigsight.operators import rerank as K
 from sigsight.operators import retrieval as R
+from sigsight.operators.range_counts import count_in_ranges
 from sigsight.plans.ask import ask
-from sigsight.session import cut_lineage
+from sigsight.session import cut_lineage, remove_folder, scratch_folder
 from sigsight.sources import bundle as S
+from sigsight.sources import event_store as E
 from sigsight.sources import tables as T
 from sigsight.sources.sinks import split_feedback
 
@@ -96,12 +99,15 @@ def _stored(spark, sf_dir):
     """Previously stored events: the first half of the month, keyed like the batch."""
     raw = raw_batch(spark, sf_dir)
     good, _ = I.validate(raw)
-    prep = I.prepare(good)
+    return I.dedup_first_wins(I.prepare(good)).where(F.col("occurred_at") < _half(spark, sf_dir))
+
+
+def _half(spark, sf_dir):
+    """The middle of the events' time range."""
     b = T.table(spark, sf_dir, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     epoch = dt.datetime(1970, 1, 1)
     half = ((b.lo - epoch) // dt.timedelta(microseconds=1)) / 2 + ((b.hi - epoch) // dt.timedelta(microseconds=1)) / 2
-    cut = F.lit((epoch + dt.timedelta(microseconds=math.floor(half))).isoformat()).cast("timestamp_ntz")
-    return I.dedup_first_wins(prep).where(F.col("occurred_at") < cut)
+    return F.lit((epoch + dt.timedelta(microseconds=math.floor(half))).isoformat()).cast("timestamp_ntz")
 
 
 def ingest_validate(spark, sf_dir):
@@ -134,6 +140,23 @@ def ingest_counts(spark, sf_dir):
     return res["counts"].drop("_o")
 
 
+def stored_search(spark, sf_dir):
+    """S5 + I7 + R7: the first half of the raw batch is ingested and appended, then the whole batch twice over
+    (its first half is a replay, then all of it is), and the questions are searched where the events are stored."""
+    vecs = T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n_vecs = vecs.count()
+    raw, folder = raw_batch(spark, sf_dir), scratch_folder(spark, "stored-search")
+    path = f"{folder}/events"
+    early = raw.where(to_utc_ntz(F.col("occurred_at")) < _half(spark, sf_dir))
+    for batch in (early, raw, raw):
+        new = I.ingest(batch, None, with_embedding=False, unseen=lambda rows: E.unseen(rows, path))["new"]
+        E.append_events(cut_lineage(new.join(vecs, F.pmod("pos", F.lit(n_vecs)) == F.col("vec_id"))), path)
+    q = resolved_questions(spark, sf_dir)
+    hits = cut_lineage(R.hybrid_search(q, spark.read.parquet(path)).select("qid", "sim_rank", "id", "event_id", "similarity_score"))
+    remove_folder(spark, folder)
+    return hits
+
+
 def embed_unit_norm(spark, sf_dir):
     """Default encoder on the new rows' cleaned text — unit norm, number of buckets used, the fullest one."""
     res = I.ingest(raw_batch(spark, sf_dir), _stored(spark, sf_dir), with_embedding=True)
@@ -416,12 +439,12 @@ def _eval_inputs(spark, sf_dir):
         "event_id", "service", "occurred_at", "event_date", F.col("label").alias("elabel"))
     truth = [F.col("elabel") == F.col("qlabel"), F.col("occurred_at").between(F.col("window_start"), F.col("window_end")),
              F.col("service_filter").isNull() | (F.col("service") == F.col("service_filter"))]
-    # Counted inside the join; a repeated event counts once.
-    days = ev.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
-    first, last = F.greatest(F.to_date("window_start"), F.col("lo")), F.least(F.to_date("window_end"), F.col("hi"))
-    spread = qs.join(F.broadcast(days)).where(first <= last).select(*qs.columns, F.explode(F.sequence(first, last)).alias("event_date"))
-    gt_counts = ev.dropDuplicates(["event_date", "event_id"]).join(spread, "event_date").where(truth[0] & truth[1] & truth[2]) \
-        .groupBy("qid").agg(F.count(F.lit(1)).alias("n_gt"))
+    # Counted by label and service, a null service standing for all of them; a repeated event counts once.
+    once = ev.dropDuplicates(["event_date", "event_id"]).select(
+        "occurred_at", F.col("elabel").alias("label"), F.explode(F.array_distinct(F.array(F.col("service"), F.lit(None).cast("string")))).alias("service"))
+    gt_counts = count_in_ranges(once, qs.select("qid", "window_start", "window_end", F.col("qlabel").alias("label"),
+                                                F.col("service_filter").alias("service")),
+                                "qid", "window_start", "window_end", ["label", "service"]).select("qid", F.col("n").alias("n_gt"))
     retrieved = out["final"].select("qid", "rank", "event_id")
     relevant = retrieved.join(qs, "qid").join(ev, "event_id").where(truth[0] & truth[1] & truth[2]).select("qid", "event_id")
     answers = out["results"].select("qid", "confidence", "answer")
@@ -466,8 +489,13 @@ def events_before(spark, sf_dir):
     return j.select("qid", "position", "event_id", "occurred_at")
 
 
+def events_before_runs(spark, sf_dir):
+    """D1 run-length: the stretch of the timeline of all events in the 30 minutes before each question."""
+    return D.events_before_runs(T.questions(spark, sf_dir), T.signals(spark, sf_dir).select("event_id", "occurred_at"), 30)
+
+
 def service_timeline(spark, sf_dir):
-    """Every service's timeline by day."""
+    """Every service's whole timeline."""
     return D.service_timeline(T.signals(spark, sf_dir)).select("service", "event_date", "position", "occurred_at", "event_id")
 
 
@@ -501,6 +529,7 @@ REGISTERED = {
     "ingest_new_rows": ingest_new_rows,
     "ingest_counts": ingest_counts,
     "embed_unit_norm": embed_unit_norm,
+    "stored_search": stored_search,
     "bundle_items": bundle_items,
     "feedback_split": feedback_split,
     "parse_questions": parse_questions,
@@ -536,6 +565,7 @@ REGISTERED = {
     "eval_summary": eval_summary,
     "latency_percentiles": latency_percentiles,
     "events_before": events_before,
+    "events_before_runs": events_before_runs,
     "service_timeline": service_timeline,
     "deployments_in_window": deployments_in_window,
     "correlation_groups": correlation_groups,

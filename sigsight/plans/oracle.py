@@ -763,12 +763,23 @@ ORACLE.update({
     "events_before": q("""SELECT q.qid, s.event_id, s.occurred_at,
         CAST(row_number() OVER (PARTITION BY q.qid ORDER BY s.occurred_at DESC, s.event_id) AS INTEGER) AS position
         FROM questions q JOIN signals s ON s.occurred_at BETWEEN q.asked_at - INTERVAL 30 MINUTE AND q.asked_at"""),
+    "events_before_runs": q("""SELECT q.qid, count(*) AS n, min(s.pos) AS first_position, max(s.pos) AS last_position
+        FROM questions q JOIN (SELECT occurred_at, row_number() OVER (ORDER BY occurred_at, event_id DESC) AS pos FROM signals) s
+          ON s.occurred_at BETWEEN q.asked_at - INTERVAL 30 MINUTE AND q.asked_at GROUP BY q.qid"""),
     "service_timeline": q("""SELECT service, CAST(occurred_at AS DATE) AS event_date, occurred_at, event_id,
-        CAST(row_number() OVER (PARTITION BY service, CAST(occurred_at AS DATE) ORDER BY occurred_at DESC, event_id) AS INTEGER)
-          AS position FROM signals"""),
+        row_number() OVER (PARTITION BY service ORDER BY occurred_at DESC, event_id) AS position FROM signals"""),
     "deployments_in_window": q("""SELECT r.qid, count(*) AS n, max(s.occurred_at) AS last_at FROM resolved r JOIN signals s
         ON s.event_type = 'deployment' AND s.occurred_at BETWEEN r.window_start AND r.window_end
         WHERE r.window_start < r.window_end GROUP BY r.qid"""),
+    "stored_search": q(
+        "SELECT qid, sim_rank, id, event_id, similarity_score FROM hits", RAW_CTE, f"""
+stored AS (
+  -- ids go on where the date's earlier append ended; appends are numbered in the order of event ids
+  SELECT f.event_id, f.etype AS event_type, f.service, f.occurred_at, v.embedding,
+    CAST(date_diff('day', DATE '1970-01-01', f.event_date) AS BIGINT) * {1 << 40}
+      + row_number() OVER (PARTITION BY f.event_date ORDER BY f.occurred_at >= (SELECT c FROM _cut), f.event_id) AS id
+  FROM _first f JOIN embeddings v ON v.vec_id = f.pos % (SELECT n FROM _nv))""",
+        HITS_CTE.replace("JOIN signals s", "JOIN stored s")),
     "hybrid_search_types": q("SELECT qid, sim_rank, event_id, similarity_score FROM hits", HITS_CTE.replace(
         "WHERE r.window_start < r.window_end",
         "WHERE r.window_start < r.window_end AND (r.qid % 3 <> 0 OR s.event_type IN ('alert', 'deployment'))")),

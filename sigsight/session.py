@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +79,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one job's tables, under the shared checkpoint folder; ``remove_folder`` deletes it."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file system, wherever it is."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at)
+
+
+def publish_folder(spark: SparkSession, staged: str, published: str) -> bool:
+    """Rename a finished folder to its final place; False, and the staged one goes, if that place is taken."""
+    fs, at = _files(spark, published)
+    fs.mkdirs(at.getParent())
+    if fs.exists(at) or not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), at):
+        remove_folder(spark, staged)
+        return False
+    return True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)

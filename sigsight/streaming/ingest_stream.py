@@ -6,7 +6,7 @@ batch ingest (validate, key, dedup, anti-join against what is stored,
 embed) and appending to the date-partitioned event table.
 
 Exactly-once effect: Spark may re-run a micro-batch after a failure; the
-anti-join against the stored table makes the re-run write nothing new, so the
+check against the stored keys makes the re-run write nothing new, so the
 uniqueness of ``event_id`` holds permanently (a bounded-state
 ``dropDuplicatesWithinWatermark`` alone could not promise that).
 
@@ -20,24 +20,14 @@ import hashlib
 import os
 from typing import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sigsight.operators.ingest import ingest
 from sigsight.session import cut_lineage, ensure_checkpoint_dir
 from sigsight.sources.bundle import BUNDLE, explode_bundle, rejects
-from sigsight.sources.sinks import append_events
-
-
-def _stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table; None only if its path does not exist.  Every other failure to read it is raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+from sigsight.sources.event_store import append_events, unseen
+from sigsight.sources.event_store import stored_or_none as _stored_or_none
 
 
 def ingest_batch_to(stored_path: str, encoder: Callable | None = None, counts_path: str | None = None,
@@ -51,7 +41,7 @@ def ingest_batch_to(stored_path: str, encoder: Callable | None = None, counts_pa
     """
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        res = ingest(explode_bundle(batch), _stored_or_none(spark, stored_path), encoder=encoder)
+        res = ingest(explode_bundle(batch), None, encoder=encoder, unseen=lambda rows: unseen(rows, stored_path))
         # New rows and counts read it: the batch runs once.
         new = cut_lineage(res["new"])
         if rejects_path:

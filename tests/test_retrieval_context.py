@@ -46,10 +46,12 @@ def _brute(ev, qs, k):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 20_000])
-def test_hybrid_search_equals_brute_force(spark, small, monkeypatch, block_bytes):
-    """Also with so small a block that the questions fill several."""
-    monkeypatch.setattr(vector_search, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize(("cell_events", "cell_questions", "winner_bytes"), [(8192, 4096, 1 << 26), (7, 4096, 0), (50, 3, 1 << 26)])
+def test_hybrid_search_equals_brute_force(spark, small, monkeypatch, cell_events, cell_questions, winner_bytes):
+    """Also with cells so small that dates fill many, and with winners that are not broadcast."""
+    monkeypatch.setattr(vector_search, "CELL_EVENTS", cell_events)
+    monkeypatch.setattr(vector_search, "CELL_QUESTIONS", cell_questions)
+    monkeypatch.setattr(vector_search, "WINNER_BYTES", winner_bytes)
     sig, q, ev, qs = small
     hits = R.hybrid_search(q, sig, k=C.RERANK_TOP_K).select("qid", "sim_rank", "event_id").collect()
     got = {}
