@@ -153,12 +153,12 @@ class Shard:
 RANKED = "item int, doc_id long, score long"
 
 
-def _answer(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(shared, batches: Iterator[pa.RecordBatch], shard_postings: int) -> Iterator[pa.RecordBatch]:
     plan: Plan = shared.value
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(len(b.column("terms").flatten()) for b in held) >= SHARD_POSTINGS:
+        if sum(len(b.column("terms").flatten()) for b in held) >= shard_postings:
             yield _shard_answers(held, plan)
             held = []
     if held:
@@ -188,7 +188,7 @@ def _best(ranked: DataFrame, top: int, *group: str) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
-def search_block(docs: DataFrame, texts: list[str], top: int = TOP) -> DataFrame:
+def search_block(docs: DataFrame, texts: list[str], top: int = TOP, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
     """(item, rank, doc_id, score): the ``top`` best documents for each of the texts, told by position."""
     spark = docs.sparkSession
     words = [list(dict.fromkeys(terms_of((t or "").encode()))) for t in texts]
@@ -200,12 +200,12 @@ def search_block(docs: DataFrame, texts: list[str], top: int = TOP) -> DataFrame
     weights = [weight(documents, df.get(i, 0)) for i in range(len(vocabulary))]
     rarest_first = [sorted((vocabulary[w] for w in ws), key=lambda i: (-weights[i], i)) for ws in words]
     shared = spark.sparkContext.broadcast(Plan(rarest_first, weights, documents, max(length, 1), top))
-    ranked = postings.filter(F.size("terms") > 0).mapInArrow(lambda batches: _answer(shared, batches), RANKED)
+    ranked = postings.filter(F.size("terms") > 0).mapInArrow(lambda batches: _answer(shared, batches, shard_postings), RANKED)
     ranked = ranked.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
     return _best(_best(ranked, top, "item", "group"), top, "item").select("item", "rank", "doc_id", "score")
 
 
-def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, top: int = TOP, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
     """(item_id, rank, doc_id, score) of the ``top`` best documents with a score above 0 for every item.
 
     Items (item_id, text) are answered in blocks, dealt by a hash; only one block's
@@ -220,7 +220,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         if rows:
             names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], "item int, item_id long")
-            answers.append(search_block(docs, [r["text"] for r in rows], top).join(F.broadcast(names), "item"))
+            answers.append(search_block(docs, [r["text"] for r in rows], top, shard_postings).join(F.broadcast(names), "item"))
     if not answers:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     whole = answers[0]

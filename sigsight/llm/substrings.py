@@ -260,13 +260,13 @@ class Shard:
                                           names=["chunk", "segment", "windows"])
 
 
-def _search_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search_shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[pa.RecordBatch]:
     """Step 3: rows come sorted by anchor and part; a shard takes whole ones."""
     shard, before = Shard(), None
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("anchor", "part", "chunk", "segment", "n", "text")]
         for anchor, part, *row in zip(*columns, strict=True):
-            if shard.words >= SHARD_WORDS and (anchor, part) != before:
+            if shard.words >= shard_words and (anchor, part) != before:
                 yield shard.answers()
                 shard = Shard()
             before = (anchor, part)
@@ -319,19 +319,19 @@ def _gone(found: Found, bits: np.ndarray, texts: list[bytes]) -> Iterator[tuple[
         at += n
 
 
-def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT_SEGMENTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT_SEGMENTS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept) of every row: removed word ranges (end exclusive) and what is left."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     # The partition tells repeated rows apart.
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)))
-    # Equal anchors meet once a chunk; the window adds up instead of a join back to the chunks.
-    marks = dealt.select("chunk", "text").groupBy("chunk").applyInArrow(_marks, MARK)
+    # All three steps read the same columns, so that the texts are shuffled once.  Equal anchors meet once a chunk; the window adds up instead of a join back to the chunks.
+    marks = dealt.groupBy("chunk").applyInArrow(_marks, MARK)
     marks = marks.withColumn("n", F.sum("n").over(Window.partitionBy("anchor"))).filter("n > 1")
-    segments = dealt.select("chunk", "text").groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_segments(hot), SEGMENT)
+    segments = dealt.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_segments(hot), SEGMENT)
     sorted_ = segments.repartition(chunks, "anchor", "part").sortWithinPartitions("anchor", "part")
-    answers = sorted_.mapInArrow(_search_shards, ANSWER)
+    answers = sorted_.mapInArrow(lambda batches: _search_shards(batches, shard_words), ANSWER)
     none = F.lit(None).cast("long")
     told = marks.select("chunk", "anchor", F.lit(None).cast("int").alias("segment"), "n") \
         .unionByName(answers.select("chunk", none.alias("anchor"), "segment", F.col("windows").alias("n")))
