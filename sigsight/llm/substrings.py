@@ -10,8 +10,8 @@ anchors, and a run of windows around one anchor is a segment of the text.
    the counts up, and those that occur once need no further step.
 2. Each chunk sends the segments of the other anchors, equal ones once with
    their number, to the shard of the anchor.  An anchor of more than
-   ``HOT_SEGMENTS`` segments is dealt out further by its windows' hashes, as
-   many shards as its count asks for.
+   ``HOT_SEGMENTS`` different segments, as counted a chunk in step 1, is dealt out
+   further by its windows' hashes, to as many shards as their number asks for.
 3. A shard builds a compressed FM-index of its different segments, weighted by
    their numbers, and streams them: backward search over the wavelet matrix
    yields for each position the longest match that occurs twice; the windows
@@ -57,7 +57,7 @@ SHARD_WORDS = 1_000_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
-MARK = "chunk long, anchor long, n long"
+MARK = "chunk long, anchor long, n long, different long"
 SEGMENT = "anchor long, part long, chunk long, segment int, n int, text binary"
 ANSWER = "chunk long, segment int, windows long"
 RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"
@@ -97,6 +97,10 @@ class Slab:
     anchor: np.ndarray
     window: np.ndarray  # hashes of all windows
 
+    def names(self) -> np.ndarray:
+        """Hashes of the segments: their first and last windows overlap, so these and the length tell the words."""
+        return _mixed(self.window[self.first] * BASES[0] + self.window[self.last] * BASES[1] + (self.last - self.first).astype(np.uint64))
+
     def text(self, first: int, last: int) -> bytes:
         return self.blob[self.starts[first] : self.ends[last + WINDOW - 1]]
 
@@ -142,10 +146,18 @@ def _slabs(texts: list[bytes]) -> Iterator[tuple[list[int], Slab | None]]:
 
 
 def _marks(key: tuple, rows: pa.Table) -> pa.Table:
-    """Step 1: the chunk's anchors and their segments' numbers."""
-    found = [slab.anchor for _, slab in _slabs(_texts(rows.column("text"))) if slab is not None]
-    anchors, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
-    return pa.table({"chunk": pa.array(np.full(len(anchors), key[0].as_py(), np.int64)), "anchor": anchors, "n": n.astype(np.int64)})
+    """Step 1: the chunk's anchors, their segments' numbers and how many of those differ."""
+    found = [(slab.anchor, slab.names()) for _, slab in _slabs(_texts(rows.column("text"))) if slab is not None]
+    anchor = np.concatenate([np.zeros(0, np.int64), *[a for a, _ in found]])
+    name = np.concatenate([np.zeros(0, np.uint64), *[s for _, s in found]])
+    order = np.lexsort((name, anchor))
+    anchor, name = anchor[order], name[order]
+    starts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1])) if len(anchor) else np.zeros(0, bool)
+    n = np.diff(np.append(starts, len(anchor)))
+    different = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else starts
+    return pa.table({"chunk": pa.array(np.full(len(starts), key[0].as_py(), np.int64)), "anchor": anchor[starts],
+                     "n": n.astype(np.int64), "different": different.astype(np.int64)})
 
 
 @dataclass
@@ -178,7 +190,9 @@ def _repeated(texts: list[bytes], anchors: np.ndarray, totals: np.ndarray, hot:
         first, last, anchor, total = slab.first[held], slab.last[held], slab.anchor[held], totals[at[held]]
         part = np.zeros(len(first), dtype=np.int64)
         if (total > hot).any():
-            first, last, anchor, part = _dealt(slab, first, last, anchor, -(-total // hot))
+            # Windows of a dealt anchor part from their neighbours, so shards are as many as the windows ask for.
+            parts = np.where(total > hot, -(-total * (WINDOW - GRAM + 1) // hot), 1)
+            first, last, anchor, part = _dealt(slab, first, last, anchor, parts)
         number = np.empty(len(first), dtype=np.int64)
         for i, (f, z, *key) in enumerate(zip(first.tolist(), last.tolist(), anchor.tolist(), part.tolist(), strict=True)):
             number[i] = known.setdefault((*key, slab.text(f, z)), len(known))
@@ -328,7 +342,9 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot: int = H
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)))
     # All three steps read the same columns, so that the texts are shuffled once.  Equal anchors meet once a chunk; the window adds up instead of a join back to the chunks.
     marks = dealt.groupBy("chunk").applyInArrow(_marks, MARK)
-    marks = marks.withColumn("n", F.sum("n").over(Window.partitionBy("anchor"))).filter("n > 1")
+    every = Window.partitionBy("anchor")
+    marks = marks.select("chunk", "anchor", F.sum("n").over(every).alias("_n"), F.sum("different").over(every).alias("n")) \
+        .filter("_n > 1").drop("_n")
     segments = dealt.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_segments(hot), SEGMENT)
     sorted_ = segments.repartition(chunks, "anchor", "part").sortWithinPartitions("anchor", "part")
     answers = sorted_.mapInArrow(lambda batches: _search_shards(batches, shard_words), ANSWER)
