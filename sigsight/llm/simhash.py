@@ -12,8 +12,9 @@ fourth byte.  Equal fingerprints are one entry from the start.
 Defined cases: a null or wordless text has fingerprint zero and links like any
 other; fewer words than the shingle length form one shingle; repeated rows
 share a fingerprint; very long texts are hashed whole; rows with a null doc_id
-keep a null component of their own unless linked to others; columns other than
-``doc_id`` and ``text`` are ignored; an empty table gives no rows.
+link like any other, and a component's id is the least one that is not null (null
+if there is none); columns other than ``doc_id`` and ``text`` are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 POSITIONS = 8
+#: Rows of one fingerprint that don't move to meet its component, and the share of all rows beyond which they don't:
+#: so at most HOT_SHARES fingerprints are broadcast.
+HOT_ROWS = 10_000
+HOT_SHARES = 10_000
 #: A posting of more fingerprints than this is listed again under a fourth byte.
 LARGE_POSTING = 4096
 
@@ -77,14 +82,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id or the columns ``keep``, fp): the fingerprint's bits as a signed long."""
 
     @F.pandas_udf("long")
     def simhash(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in utf8(text)], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", simhash("text").alias("fp"))
+    return docs.select(*(keep or ["doc_id"]), simhash("text").alias("fp"))
 
 
 def linked(one: np.uint64, others: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
@@ -177,14 +182,27 @@ def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.mapInPandas(_postings_to_edges(distance), "u long, v long")
 
 
+def grouped(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Rows with a fingerprint ``fp`` and their ``doc_id``, with their ``group`` (a fingerprint of the component) and ``component_id``.
+
+    Fingerprints are linked, whoever holds them; ids come in afterwards.
+    ``marked`` is read several times: hand over a checkpointed frame.
+    """
+    classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    found = components(links(classes.select(F.col("fp").alias("root"), "fp"), distance))
+    named = classes.join(found, F.col("fp") == F.col("node"), "left") \
+        .select("fp", "least", "n", F.coalesce("component", "fp").alias("group"))
+    ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = cut_lineage(named.join(ids, "group").select("fp", "n", "group", "component_id"))
+    # Fingerprints that many rows share are few: their rows stay where they are, and meet them in a broadcast.
+    rows = classes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(named.filter(F.col("n") > max(HOT_ROWS, rows // HOT_SHARES)).drop("n"))
+    return marked.join(hot, "fp").unionByName(marked.join(hot, "fp", "left_anti").join(named.drop("n"), "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
-    marked = cut_lineage(fingerprints(docs, shingle))
-    classes = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("root")))
-    found = components(links(classes.filter("root is not null"), distance))
-    named = classes.join(found, F.col("root") == F.col("node"), "left") \
-        .select("fp", F.coalesce("component", "root").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return grouped(cut_lineage(fingerprints(docs, shingle)), distance).select("doc_id", "fp", "component_id")
 
 
 def op7_simhash_near_dups(spark, sf_dir: str) -> DataFrame:

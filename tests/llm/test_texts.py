@@ -239,6 +239,19 @@ def test_simhash(spark, odd_tables, odd_documents):
     assert by_row(rows_of(registry.QUERIES["op7_simhash_near_dups"](spark, odd_tables))) == by_row(want)
 
 
+def test_simhash_links_through_rows_without_an_id(spark, monkeypatch):
+    """A and B differ by six bits, a row without an id stands between them; also with hot fingerprints."""
+    fps = [0b111, 0b111111, 0]
+    rows = [(5, fps[0]), (None, fps[0])] + [(4, 1 << 40), (None, (1 << 40) | 7), (2, (1 << 40) | 63), (None, 0xFF << 20), (None, 0xFF << 20)]
+    want = {(5, 5), (None, 5), (4, 2), (None, 2), (2, 2), (None, None)}
+    marked = spark.createDataFrame(rows, "doc_id long, fp long")
+    for hot in (10_000, 1):
+        monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+        monkeypatch.setattr(simhash, "HOT_SHARES", 1 << 40)
+        got = simhash.grouped(marked).select("doc_id", "component_id").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(rows)
+
+
 def test_simhash_links_of_dense_fingerprints(spark, monkeypatch):
     """Chains and balls of fingerprints, also where every posting counts as large."""
     rng = random.Random(8)
