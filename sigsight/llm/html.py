@@ -13,10 +13,11 @@ Defined cases: null html is empty and gives the empty text; markup without text
 gives the empty text; a page of one block is labelled by that block alone;
 unclosed or crossing tags are closed as browsers do in the common cases; a quoted
 value may hold any sign; a quote that is never closed is no quote; an unclosed
-select, svg, object, canvas, math or template hides nothing; equal pages get
-equal texts; texts are never cut.  A block's path keeps the nearest
-``PATH_TAGS`` tags, so that deep nesting costs no more than its length.  Columns
-other than page_id, url and html are ignored.
+select, svg, object, canvas, math or template hides nothing; a link that is never
+closed ends at the next one; equal pages get equal texts; texts are never cut.  A
+block's path is all of its tags, however deep: paths share their beginnings, so
+deep nesting costs no more than its length.  Columns other than page_id, url and
+html are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ from pyspark.sql import functions as F
 
 from sigsight.llm.common import table
 
-PATH_TAGS = 16
 PATH_BUCKETS = 2048
 WORD_BUCKETS = 2048
 PATH_WIDTH = 24
@@ -58,16 +58,27 @@ CLOSES_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": (
 RAW = frozenset("script style title textarea iframe noscript".split())
 # Attributes as browsers read them: a quote counts only behind "=", and only if it is closed.
 _ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+)*+"""
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
+# "<!-->" and "<!--->" are whole comments; "<![CDATA[" is one up to the next ">".
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|"
                   rf"<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
+_UNQUOTED_END = re.compile(r"""=\s*[^\s"'>][^\s>]*\Z""")
+
+
+class Node:
+    """An open tag's tokens, below those of the tags around it."""
+
+    __slots__ = ("parent", "tokens", "depth")
+
+    def __init__(self, parent: Node | None, tokens: tuple[int, ...]):
+        self.parent, self.tokens, self.depth = parent, tokens, parent.depth + 1 if parent else 0
 
 
 @dataclass
 class Block:
     text: str
-    path: list[int]
+    path: Node
     linked: int
 
 
@@ -87,6 +98,11 @@ def _tokens(tag: str, attributes: str) -> tuple[int, ...]:
     return (_path_token("<" + tag), *(_path_token(x) for x in dict.fromkeys(_PART.findall(named))))
 
 
+def _closes_itself(attributes: str) -> bool:
+    """Whether the tag ends in "/>"; a slash that ends an unquoted value is part of the value."""
+    return attributes.endswith("/") and not _UNQUOTED_END.search(attributes)
+
+
 def _raw_end(html: str, tag: str, at: int) -> int:
     """Behind the end tag of a raw element whose content begins at ``at``; -1 without one."""
     found = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
@@ -103,9 +119,9 @@ def _silent_ends(html: str, at: int) -> dict[int, int]:
         if tag in begun and m[1]:
             if begun[tag]:
                 ends[begun[tag].pop()] = at
-        elif tag in begun and not m[3].endswith("/"):
+        elif tag in begun and not _closes_itself(m[3]):
             begun[tag].append(at)
-        elif tag in RAW - endless and not m[1] and not m[3].endswith("/") and not begun["svg"] and not begun["math"]:
+        elif tag in RAW - endless and not m[1] and not _closes_itself(m[3]) and not begun["svg"] and not begun["math"]:
             end = _raw_end(html, tag, at)
             at = max(at, end)
             if end < 0:
@@ -116,9 +132,10 @@ def _silent_ends(html: str, at: int) -> dict[int, int]:
 def blocks(html: str) -> list[Block]:
     """The page's leaf blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[list] = []  # name, tokens, and the node once a block has asked for it
+    places: dict[str, list[int]] = {}  # where on the stack each name is open
     parts: list[str] = []
-    linked = in_link = 0
+    linked, link = 0, -1
     at, n = 0, len(html)
     silent: dict[int, int] | None = None
 
@@ -126,23 +143,35 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            tokens = [t for _, ts in stack[-PATH_TAGS:] for t in ts]
-            out.append(Block(text, tokens or [_path_token("<body")], min(linked, len(text))))
+            out.append(Block(text, path(), min(linked, len(text))))
         parts.clear()
         linked = 0
 
+    def path() -> Node:
+        known = len(stack)
+        while known and stack[known - 1][2] is None:
+            known -= 1
+        node = stack[known - 1][2] if known else None
+        for entry in stack[known:]:
+            node = entry[2] = Node(node, entry[1])
+        return node or Node(None, (_path_token("<body"),))
+
+    def begin(tag: str, attributes: str) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append([tag, _tokens(tag, attributes), None])
+
     def close(depth: int) -> None:
-        nonlocal in_link
-        in_link -= sum(name == "a" for name, _ in stack[depth:])
+        nonlocal link
+        for name, _, _ in reversed(stack[depth:]):
+            places[name].pop()
         del stack[depth:]
+        link = link if link < depth else -1
 
     def innermost(name: str, stops: tuple[str, ...] = ()) -> int:
-        for i in range(len(stack) - 1, max(-1, len(stack) - 1 - 64), -1):
-            if stack[i][0] == name:
-                return i
-            if stack[i][0] in stops:
-                break
-        return -1
+        at = places.get(name)
+        if not at or any(places.get(s) and places[s][-1] > at[-1] for s in stops):
+            return -1
+        return at[-1]
 
     while at < n:
         m = _TAG.search(html, at)
@@ -150,7 +179,7 @@ def blocks(html: str) -> list[Block]:
         if piece:
             piece = unescape(piece) if "&" in piece else piece
             parts.append(piece)
-            linked += len(piece) if in_link > 0 else 0
+            linked += len(piece) if link >= 0 else 0
         if not m:
             break
         at = m.end()
@@ -165,10 +194,10 @@ def blocks(html: str) -> list[Block]:
                 close(i)
             continue
         if tag in SILENT:
-            if tag in RAW and not attributes.endswith("/"):
+            if tag in RAW and not _closes_itself(attributes):
                 end = _raw_end(html, tag, at)
                 at = end if end >= 0 else n
-            elif tag != "head" and not attributes.endswith("/"):
+            elif tag != "head" and not _closes_itself(attributes):
                 if silent is None:
                     silent = _silent_ends(html, m.start())
                 at = silent.get(at, at)
@@ -177,8 +206,8 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in INLINE:
             if tag not in VOID:
-                stack.append((tag, _tokens(tag, attributes)))
-                in_link += tag == "a"
+                link = len(stack) if tag == "a" else link
+                begin(tag, attributes)
             continue
         if tag == "br":
             parts.append(" ")
@@ -193,17 +222,24 @@ def blocks(html: str) -> list[Block]:
             if i >= 0:
                 close(i)
         if tag not in VOID:
-            stack.append((tag, _tokens(tag, attributes)))
+            begin(tag, attributes)
     flush()
     return out
 
 
 @dataclass
 class Batch:
-    """Pages as padded sequences: bags of tokens, shape figures, and which places hold blocks."""
+    """Pages as padded sequences: bags of tokens, shape figures, and which places hold blocks.
+
+    Tags are a forest: ``path`` holds the tokens tag by tag, ``parent`` is -1 at a
+    root, ``levels`` lists the tags of each depth and ``node`` the blocks' own.
+    """
 
     path: np.ndarray
     path_at: np.ndarray
+    parent: np.ndarray
+    levels: list[np.ndarray]
+    node: np.ndarray
     word: np.ndarray
     word_at: np.ndarray
     shape: np.ndarray
@@ -214,22 +250,45 @@ class Batch:
     def of(cls, pages: list[list[Block]]) -> Batch:
         steps, width = max(len(p) for p in pages), len(pages)
         mask = np.zeros((steps, width), dtype=np.float32)
-        path, word, shape, place = [], [], [], []
+        word, shape, place, node = [], [], [], []
+        tags: list[Node] = []
+        number: dict[int, int] = {}
         for b, page in enumerate(pages):
             mask[: len(page), b] = 1
             for t, block in enumerate(page):
                 words = block.text.split(" ")
-                path.append(block.path)
+                new, tag = len(tags), block.path
+                while tag is not None and id(tag) not in number:
+                    number[id(tag)] = len(tags)
+                    tags.append(tag)
+                    tag = tag.parent
+                node.append(number[id(block.path)] if len(tags) == new else new)
                 word.append([_word_token(w) for w in words])
                 size = len(block.text)
                 ends = sum(block.text.count(c) for c in ".,;:!?")
                 shape.append((np.log1p(size) / 8, block.linked / size, ends / len(words), min(len(words), 20) / 20,
                               t / len(page), block.text[-1] in ".!?\"'"))
                 place.append(t * width + b)
-        return cls(np.concatenate(path), np.cumsum([0, *map(len, path)][:-1]), np.concatenate(word),
+        depth = np.array([tag.depth for tag in tags])
+        parent = np.array([-1 if tag.parent is None else number[id(tag.parent)] for tag in tags])
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
+        return cls(np.array([t for tag in tags for t in tag.tokens]), np.cumsum([0, *(len(tag.tokens) for tag in tags)][:-1]),
+                   parent, levels, np.array(node), np.concatenate(word),
                    np.cumsum([0, *map(len, word)][:-1]), np.array(shape, dtype=np.float32), np.array(place), mask)
 
 
+    def path_sizes(self) -> np.ndarray:
+        """Tokens on the whole path to each tag."""
+        sizes = np.diff(np.append(self.path_at, len(self.path)))
+        for level in self.levels[1:]:
+            sizes[level] += sizes[self.parent[level]]
+        return sizes
+
+    def word_sizes(self) -> np.ndarray:
+        return np.diff(np.append(self.word_at, len(self.word)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -253,9 +312,11 @@ class Labeller:
 
     def _input(self, b: Batch) -> np.ndarray:
         w = self.weights
-        sizes = [np.diff(np.append(at, len(tokens)))[:, None] for tokens, at in ((b.path, b.path_at), (b.word, b.word_at))]
-        rows = np.concatenate([np.add.reduceat(w["path"][b.path], b.path_at) / sizes[0],
-                               np.add.reduceat(w["word"][b.word], b.word_at) / sizes[1], b.shape], axis=1)
+        sums = np.add.reduceat(w["path"][b.path], b.path_at)
+        for level in b.levels[1:]:
+            sums[level] += sums[b.parent[level]]
+        rows = np.concatenate([sums[b.node] / b.path_sizes()[b.node][:, None],
+                               np.add.reduceat(w["word"][b.word], b.word_at) / b.word_sizes()[:, None], b.shape], axis=1)
         x = np.zeros((b.mask.size, rows.shape[1]), dtype=np.float32)
         x[b.place] = rows
         return x.reshape(*b.mask.shape, -1)
@@ -316,11 +377,15 @@ class Labeller:
             g[f"{d}_bias"] = flat.sum(axis=0)
             to_x += z_all @ w[f"{d}_in"].T
         rows = to_x.reshape(-1, x.shape[2])[b.place]
-        for name, tokens, at, part in (("path", b.path, b.path_at, rows[:, :PATH_WIDTH]),
-                                       ("word", b.word, b.word_at, rows[:, PATH_WIDTH : PATH_WIDTH + WORD_WIDTH])):
-            sizes = np.diff(np.append(at, len(tokens)))
+        to_tags = np.zeros((len(b.parent), PATH_WIDTH), dtype=rows.dtype)
+        np.add.at(to_tags, b.node, rows[:, :PATH_WIDTH] / b.path_sizes()[b.node][:, None])
+        for level in b.levels[:0:-1]:
+            np.add.at(to_tags, b.parent[level], to_tags[level])
+        to_words = rows[:, PATH_WIDTH : PATH_WIDTH + WORD_WIDTH] / b.word_sizes()[:, None]
+        for name, tokens, each, part in (("path", b.path, np.diff(np.append(b.path_at, len(b.path))), to_tags),
+                                         ("word", b.word, b.word_sizes(), to_words)):
             g[name] = np.zeros_like(w[name])
-            np.add.at(g[name], tokens, np.repeat(part / sizes[:, None], sizes, axis=0))
+            np.add.at(g[name], tokens, np.repeat(part, each, axis=0))
         return g
 
 

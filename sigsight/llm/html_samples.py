@@ -2,13 +2,18 @@
 
 A page is a random choice of common layouts: where the article stands, which
 menus, notices, adverts, sidebars, forms and comments surround it, how they are
-marked (by element, class, id or not at all), and how tidy the markup is.
+marked (by element, class, id or not at all), how deep they are wrapped, and how
+tidy the markup is.  Articles hold headings, lists, definition lists, quotes,
+tables, figures with captions, code and scripts, or are several in a row.  Words
+are drawn from random letters, anew for every page, so that no language's
+spelling is learned.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
+from html import escape, unescape
 
 # Fixed lists: names that pages commonly give to these parts.
 MENU = "nav navbar menu navigation topnav breadcrumb breadcrumbs mainmenu toolbar tabs skip pagination pager".split()
@@ -20,28 +25,34 @@ ADVERT = "ad ads advert advertisement sponsor sponsored promo promotion adbox ba
 COMMENTS = "comments comment discussion replies responses reply disqus thread".split()
 SHARE = "share social sharing buttons follow".split()
 CONTENT = "content article post entry story main body text page prose".split()
+WRAPPERS = "wrapper container row columns col grid inner outer layout region block section-1 js-app".split()
 MENU_WORDS = "home about contact login register search blog news products help terms privacy more menu".split()
-SYLLABLES = ("th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ung sch ich ein ver "
-             "keit lich eau oi que les ment tion ción ado mente ar os ñ é è ü ö").split()
+LETTERS = "abcdefghijklmnopqrstuvwxyz" + "àçéíîñöøüßżабвгдежиклмнопрстуαβγδεικλμνοπρσאבגדהמשابتدرسلم日本語中文学生한국"
 
 
 class _Page:
     def __init__(self, rng: random.Random):
         self.rng = rng
         self.kept: set[str] = set()
-        self.words = ["".join(rng.choices(SYLLABLES, k=rng.randint(1, 4))) for _ in range(150)]
+        # A page's script: mostly plain letters, some others, in proportions of its own.
+        weights = [rng.random() ** 2 * (1 if c.isascii() else rng.choice([0, 0, 0.3])) for c in LETTERS]
+        self.words = ["".join(rng.choices(LETTERS, weights, k=rng.randint(1, 11))) for _ in range(150)]
+        self.tidy = rng.random() < 0.7
         self.marked = rng.random() < 0.85
         self.lines = rng.random() < 0.3
 
     def sentence(self, least: int = 3, most: int = 20) -> str:
         words = self.rng.choices(self.words, k=self.rng.randint(least, most))
-        noise = self.rng.random()
-        if noise < 0.05:
-            words = [w + self.rng.choice(["***", "%%%", "!!", " |"]) for w in words]
-        elif noise < 0.1:
+        kind = self.rng.random()
+        if kind < 0.04:
             words = [w.upper() for w in words]
-        elif noise < 0.14:
-            words = words[:1] * len(words)
+        elif kind < 0.08:
+            words = [str(self.rng.randrange(10 ** self.rng.randint(1, 6))) if self.rng.random() < 0.5 else w for w in words]
+        elif kind < 0.14:
+            signs = self.rng.choices("!?#$%&*+-/:;=@^_|~()[]{}<>\"'", k=self.rng.randint(1, 4))
+            words = [w + self.rng.choice(["", ",", escape("".join(signs))]) for w in words]
+        elif kind < 0.17:
+            words = self.rng.choices(words[: self.rng.randint(1, 3)], k=len(words))
         return " ".join(words).capitalize() + self.rng.choice([".", ".", ".", "!", "?", ""])
 
     def prose(self) -> str:
@@ -63,7 +74,7 @@ class _Page:
         return f'<{tag} {self.rng.choice(["class", "class", "id"])}="{name}">{inner}</{tag}>'
 
     def keep(self, text: str) -> str:
-        self.kept.add(" ".join(text.split()))
+        self.kept.add(" ".join(unescape(text).split()))
         return text
 
     def link(self) -> str:
@@ -114,9 +125,9 @@ class _Page:
     def paragraph(self) -> str:
         text, kind = self.prose(), self.rng.random()
         if kind < 0.1:
-            a, b = self.sentence(), self.sentence()
+            a, b, tag = self.sentence(), self.sentence(), self.rng.choice(["b", "em", "i", "strong", "span"])
             self.keep(f"{a} {b}")
-            return f"<p>{a} <{self.rng.choice(['b', 'em', 'i'])}>{b}</p>"
+            return f"<p>{a} <{tag}>{b}{f'</{tag}>' if self.tidy else ''}</p>"
         if kind < 0.2:
             words = text.split(" ")
             self.keep(text)
@@ -124,7 +135,9 @@ class _Page:
             words[k] = f'<a href="/{k}">{words[k]}</a>'
             return "<p>" + " ".join(words) + "</p>"
         self.keep(text)
-        return f"<p>{text}</p>" if self.rng.random() < 0.85 else f"<p><b>{text}<br>"
+        if self.tidy or self.rng.random() < 0.5:
+            return f"<p>{text}</p>"
+        return self.rng.choice([f"<p>{text}", f"<p><span>{text}</p>", f"<div><p>{text}</div>", f"<p><em><strong>{text}<br></p>"])
 
     def part(self) -> str:
         kind = self.rng.random()
@@ -132,10 +145,21 @@ class _Page:
             return self.paragraph()
         if kind < 0.88:
             return f"<h2>{self.keep(self.phrase(6))}</h2>" + self.paragraph()
-        if kind < 0.94:
-            return "<ul>" + "".join(f"<li>{self.keep(self.sentence())}</li>" for _ in range(self.rng.randint(2, 5))) + "</ul>"
-        if kind < 0.97:
+        if kind < 0.91:
+            tag, end = self.rng.choice(["ul", "ol"]), "</li>" if self.tidy else ""
+            return f"<{tag}>" + "".join(f"<li>{self.keep(self.sentence())}{end}" for _ in range(self.rng.randint(2, 5))) + f"</{tag}>"
+        if kind < 0.93:
             return f"<blockquote>{self.keep(self.prose())}</blockquote>"
+        if kind < 0.945:
+            return "<dl>" + "".join(f"<dt>{self.keep(self.phrase(4))}<dd>{self.keep(self.sentence())}" for _ in range(3)) + "</dl>"
+        if kind < 0.96:
+            return f'<figure><img src="/x.jpg" alt="{self.phrase()}"><figcaption>{self.keep(self.sentence(3, 12))}</figcaption></figure>'
+        if kind < 0.975:
+            lines = [" ".join([*self.rng.choices(self.words, k=3), self.rng.choice(["= 1;", "()", "{ }"])]) for _ in range(self.rng.randint(1, 4))]
+            self.keep("\n".join(lines))
+            return "<pre><code>" + "\n".join(lines) + "</code></pre>"
+        if kind < 0.985:
+            return f"<script>track('{self.phrase()}', \"<p>{self.phrase()}</p>\");</script><style>.x{{color:red}}</style>" + self.paragraph()
         return "<table>" + "".join(f"<tr><td>{self.keep(self.sentence(2, 4))}</td></tr>" for _ in range(2)) + "</table>"
 
     def article(self) -> str:
@@ -147,6 +171,10 @@ class _Page:
                 parts.insert(self.rng.randint(0, len(parts)), make())
         inner = title + "".join(parts)
         kind = self.rng.random()
+        if kind < 0.06:
+            # Several in a row.
+            rest = "".join(f"<article><h2>{self.keep(self.phrase(6))}</h2>{self.paragraph()}</article>" for _ in range(self.rng.randint(1, 3)))
+            return f"<main><article>{inner}</article>{rest}</main>"
         if kind < 0.45:
             return f"<article>{inner}</article>"
         if kind < 0.6:
@@ -164,9 +192,15 @@ class _Page:
         below = [f() for f, p in ((self.share, 0.2), (self.advert, 0.3), (self.comments, 0.35), (self.side, 0.35), (self.form, 0.15),
                                   (self.notice, 0.15), (self.footer, 0.75)) if chance() < p]
         middle = self.article()
-        if chance() < 0.25:
-            middle = f"<div class=\"{self.rng.choice(['wrapper', 'container', 'row', 'columns'])}\">{''.join(left)}{middle}</div>"
+        if chance() < 0.05:
+            # A table for the layout.
+            middle = f"<table><tr>{''.join(f'<td>{x}</td>' for x in [*left, middle])}</tr></table>"
+            left = []
+        elif chance() < 0.25:
+            middle = f"<div class=\"{self.rng.choice(WRAPPERS)}\">{''.join(left)}{middle}</div>"
             left = []
+        for _ in range(self.rng.choice([0, 0, 0, 1, 2, 4, 8, 20])):
+            middle = f'<div class="{self.rng.choice(WRAPPERS)}">{middle}</div>' if chance() < 0.7 else f"<div>{middle}</div>"
         body = "".join([*above, *left, middle, *below])
         return f"<!DOCTYPE html><html><head><title>{self.phrase()}</title><script>var t = 1;</script></head><body>{body}</body></html>"
 

@@ -1,6 +1,7 @@
 """WARC archives, the pipeline and the entry's guard."""
 
 import hashlib
+import random
 import subprocess
 import sys
 from collections import Counter
@@ -46,11 +47,8 @@ def test_archives_are_wellformed(spark, tmp_path):
 def test_pipeline_against_brute_force(spark, odd_tables, odd_documents):
     items = [r.text for r in spark.read.parquet(f"{odd_tables}/benchmark.parquet").collect()]
     rows = [r for r in odd_documents if r[1] and any(c.isalpha() for c in r[1])]
-    named = [r for r in rows if r[0] is not None]
     root = brute_components([brute_fingerprint(r[1]) for r in rows])
-    least = {k: min((rows[j][0] for j in range(len(rows)) if root[j] == k and rows[j][0] is not None), default=None) for k in root}
-    keep = {r[0]: r for i, r in enumerate(rows) if r[0] is not None and r[0] == least[root[i]]}
-    nameless = {r[1]: r for r in rows if r[0] is None}
+    keep = [min((rows[j] for j in range(len(rows)) if root[j] == k), key=lambda r: (r[0] is None, r[0] or 0)) for k in set(root)]
     windows = set()
     for t in items:
         w = words_of(t)
@@ -59,8 +57,8 @@ def test_pipeline_against_brute_force(spark, odd_tables, odd_documents):
     def clean(t):
         w = words_of(t)
         return not any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w)))
-    want = Counter(r[0] for r in [*keep.values(), *nameless.values()] if clean(r[1]))
-    assert named and want
+    want = Counter(r[0] for r in keep if clean(r[1]))
+    assert want and any(r[0] is None for r in rows)
 
     docs = spark.read.parquet(f"{odd_tables}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -73,6 +71,29 @@ def test_pipeline_against_brute_force(spark, odd_tables, odd_documents):
     assert {p["doc_id"] for p in pieces} == set(want)
 
 
+def test_near_duplicate_stage_tells_rows_by_id_and_text(spark):
+    rng = random.Random(3)
+    some = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(200))
+    one, other, third, fourth = some(), some(), some(), some()
+    rows = [(7, one), (7, other), (7, one), (7, one), (None, third), (None, third + " "), (None, fourth), (3, other + " "), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    third_kept = next(t for i, t in kept if t in (third, third + " "))
+    assert kept == Counter([(7, one), (3, other + " "), (None, third_kept), (None, fourth), (9, None)])
+
+
+def test_language_stage_has_one_rule_for_all_lengths(spark, monkeypatch):
+    """Texts of no learned language go once their n-grams are many enough to be sure, short ones stay."""
+    rng = random.Random(1)
+    known = [" ".join(rng.choices(["hello", "world", "there", "where", "other"], k=60)) for _ in range(30)]
+    strange = "".join(rng.choices("qxzjkvw", k=20_000))
+    texts = [*known, *(strange[:n] for n in (1, 5, 39, 40, 41, 80, 300, 20_000)), "A.", "½", None]
+    docs = spark.createDataFrame([(i, t, "en" if i < 30 else None, "s", 0) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {*range(36), 38} - {39, 40}
+
+
 def test_pipeline_of_empty_tables(spark, empty_tables):
     assert corpus_pipeline.run(spark, empty_tables).count() == 0
 
@@ -81,5 +102,5 @@ def test_entry_without_this_subpackage():
     code = ("import sys\nfor m in ('sigsight.llm', 'corpus_pipeline'): sys.modules[m] = None\n"
             "import __spark_entry__ as e\nassert e.queries() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())")
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
-    code = "import __spark_entry__ as e\nassert len([k for k in e.queries() if k.startswith('op') or k == 'pipeline']) == 11"
+    code = "import __spark_entry__ as e\nassert len([k for k in e.queries() if k.startswith('op') or k == 'pipeline']) == 14"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0

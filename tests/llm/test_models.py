@@ -1,11 +1,12 @@
 """Language, quality and main text: held-out accuracy and odd rows."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 
-from sigsight.llm import html, quality, registry
+from sigsight.llm import html, langid, quality, registry
 from sigsight.llm.html_samples import sample_pages
 from sigsight.llm.langid import Filters, grams
 
@@ -30,6 +31,35 @@ def test_language_of_odd_rows(spark, odd_tables, odd_documents):
             assert r["lang_pred"] in (("en", "de") if lettered else ("und",))
 
 
+def test_numbers_are_no_letters():
+    filters = Filters.build({"en": np.unique(grams([b"hello world"])[0])}, "en")
+    names, scores, n = filters.decide(["\u00bd \u00b2 \u2460", "12", "_", "hello", "\u00bd a", ""])
+    assert names == ["und", "und", "und", "en", "en", "und"] and scores[3] > 0.9 and n[3] == 4
+
+
+def test_shares_match_a_plain_computation():
+    """Bloom answers and the corrected shares against dictionaries and loops."""
+    rng = random.Random(3)
+    texts = {k: [" ".join("".join(rng.choices(signs, k=rng.randint(1, 6))) for _ in range(40)).encode() for _ in range(20)]
+             for k, signs in (("a", "abcde"), ("b", "cdefg"), ("c", "xyz\u00e9"))}
+    held = {k: set(grams(v[:10])[0].tolist()) for k, v in texts.items()}
+    filters = Filters.build({k: np.array(sorted(v), dtype=np.uint64) for k, v in held.items()}, "a")
+    log2 = len(filters.slices[0]).bit_length() - 1
+    slots = lambda g: [(g * int(m) % 2**64) >> (64 - log2) for m in langid.MULTIPLIERS]
+    bits = {k: {s for g in v for s in slots(g)} for k, v in held.items()}
+    tried = [t for v in texts.values() for t in v[8:14]] + [b"", b"a", b"1 2"]
+    shares, total = filters.shares(tried)
+    for t, row, n in zip(tried, shares, total, strict=True):
+        padded = re.sub(rb"[\x00-\x20!-@\[-`{-\x7f]+", b" ", b" " + t.lower() + b" ")
+        mine = [int.from_bytes(padded[i : i + 4], "big") for i in range(len(padded) - 3)]
+        assert n == len(mine)
+        for k, share in zip(filters.languages, row, strict=True):
+            rate = (len(bits[k]) / 2**log2) ** 2
+            hits = sum(all(s in bits[k] for s in slots(g)) for g in mine)
+            want = (hits - len(mine) * rate) / (1 - rate) / max(len(mine), 1)
+            assert abs(share - min(max(want, 0), 1)) < 1e-9
+
+
 def test_more_languages_than_a_slice_holds():
     rng = random.Random(5)
     pools = {f"l{i:02d}": ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)] for i in range(70)}
@@ -100,11 +130,43 @@ def test_blocks(markup, texts):
     ("<object>no<object>no</object>no</object>yes", ["yes"]),
     ("<template><!-- <template> --><script>'<template>'</script>no</template>yes", ["yes"]),
     ("<svg><title>no</svg>one<svg><title>no</title></svg>two", ["one", "two"]),
+    ("<p>one<![CDATA[ never ended <p>two</p>", ["onetwo"]),
+    ("<p>one<!--><p>two<!---><p>three</p><!-- no -->four<!-- no --!>five", ["one", "two", "three", "fourfive"]),
+    ("one<iframe src=http://x/>no</iframe>two", ["one", "two"]),
 ])
 def test_blocks_drop_nothing_else(markup, texts):
     assert [b.text for b in html.blocks(markup)] == texts
 
 
+def test_end_tags_close_elements_at_any_depth():
+    made = html.blocks("<nav>" + "<div>" * 300 + "<p>in</p></nav><p>after</p>")
+    names = [{t for n in _path(b) for t in n.tokens} for b in made]
+    nav = html._path_token("<nav")
+    assert [b.text for b in made] == ["in", "after"] and nav in names[0] and nav not in names[1]
+
+
+def test_whole_path_reaches_the_labeller():
+    outer = html.blocks('<footer class="comments">' + "<div>" * 200 + "<p>deep")[0]
+    tokens = [t for n in _path(outer) for t in n.tokens]
+    assert {html._path_token("<footer"), html._path_token("comments")} < set(tokens) and len(tokens) == 203
+    batch = html.Batch.of([[outer], html.blocks("<p>x</p><div><p>y</p></div>")])
+    model = html.Labeller()
+    rows = model._input(batch).reshape(-1, html.PATH_WIDTH + html.WORD_WIDTH + html.SHAPE_WIDTH)[batch.place]
+    assert np.allclose(rows[0, : html.PATH_WIDTH], model.weights["path"][tokens].mean(axis=0), atol=1e-5)
+
+
+def _path(block):
+    node = block.path
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def test_links_end_at_the_next_link():
+    linked = {b.text: b.linked for b in html.blocks('<div><a href=1>aa<p>bb</p><a href=2>cc</a><p>dd</p></div><p>ee <a>f</a> gg</p>')}
+    assert linked == {"aa": 2, "bb": 2, "cc": 2, "dd": 0, "ee f gg": 1}
+
+
 def test_gradients_of_the_labeller():
     pages = [html.labelled(h, k) for h, k in sample_pages(3)]
     model = html.Labeller()
@@ -142,3 +204,71 @@ def test_main_text_of_composed_pages(spark, write_tables):
             page, kept = made[r["page_id"]]
             right += r["text"] == " ".join(b.text for b in html.blocks(page) if b.text in kept)
     assert right > 0.93 * len(made)
+
+
+# Pages written by hand, not by the generator, and their main texts.
+WRITTEN = [
+    ("""<!doctype html><html><head><title>Harbour bridge reopens - The Daily Gull</title><style>body{margin:0}</style></head><body>
+<header class="masthead"><a href="/">The Daily Gull</a><nav><ul><li><a href="/news">News</a><li><a href="/sport">Sport</a>
+<li><a href="/opinion">Opinion</a></ul></nav></header>
+<div id="cookie-consent"><p>We use cookies to improve your visit. <button>Accept all</button></p></div>
+<main><article><h1>Harbour bridge reopens after two years</h1>
+<p>The old bridge across the harbour opened to traffic again on Monday morning, ending two years of detours for the
+people of the northern shore.</p>
+<figure><img src="b.jpg" alt="bridge"><figcaption>Cyclists were the first to cross the repaired bridge.</figcaption></figure>
+<p>Repairs cost more than planned, because engineers found rust in <a href="/rust">several of the main cables</a>, and had to
+replace them one by one.</p>
+<p>&ldquo;We are glad to have it back,&rdquo; said the owner of a bakery near the southern ramp.</p></article>
+<aside class="related"><h3>Related</h3><ul><li><a href="/1">Ferry fares to rise</a><li><a href="/2">Tunnel plans shelved</a></ul></aside>
+<section id="comments"><h3>2 Comments</h3><div class="comment"><b>marta</b><p>Finally! I walked across it this morning.</p></div>
+<div class="comment"><b>old_salt</b><p>Let us see how long it lasts this time.</p></div></section></main>
+<footer><p>&copy; 2024 The Daily Gull. All rights reserved.</p><a href="/privacy">Privacy</a></footer></body></html>""",
+     "Harbour bridge reopens after two years The old bridge across the harbour opened to traffic again on Monday morning, ending two "
+     "years of detours for the people of the northern shore. Cyclists were the first to cross the repaired bridge. Repairs cost more "
+     "than planned, because engineers found rust in several of the main cables, and had to replace them one by one. \u201cWe are glad "
+     "to have it back,\u201d said the owner of a bakery near the southern ramp."),
+    ("""<html><body><div class="wrapper"><div class="container"><div id="navbar"><a href="/">Home</a> | <a href="/docs">Docs</a> |
+<a href="/blog">Blog</a></div><div class="row"><div class="content">
+<h1>Installing the client</h1><p>The client runs on any system with a recent interpreter. Fetch the archive, unpack it and run the
+setup script from the folder it makes.</p><pre><code>tar xf client.tar.gz
+./setup --prefix=/opt</code></pre><p>Afterwards the following commands are on your path:</p>
+<ul><li>client starts a session with the server named in the settings.</li><li>client-check tests the settings and says what is
+wrong with them.</li></ul><p>Settings are read once, when a session starts.</p></div>
+<div class="sidebar"><h4>Archive</h4><ul><li><a href="/a">January</a></li><li><a href="/b">February</a></li></ul></div></div></div></div>
+<div class="footer">Copyright the client authors | <a href="/terms">Terms</a></div></body></html>""",
+     "Installing the client The client runs on any system with a recent interpreter. Fetch the archive, unpack it and run the setup "
+     "script from the folder it makes. tar xf client.tar.gz ./setup --prefix=/opt Afterwards the following commands are on your path: "
+     "client starts a session with the server named in the settings. client-check tests the settings and says what is wrong with them. "
+     "Settings are read once, when a session starts."),
+    ("""<body><nav class="menu"><a href=/>Start</a><a href=/rezepte>Rezepte</a></nav><div class="ad">Jetzt zwei Pfannen zum Preis von
+einer!</div><div class="post"><h2>Kartoffelsuppe wie bei Oma</h2><p>Diese Suppe w\u00e4rmt an kalten Tagen und braucht nur wenige
+Zutaten, die fast immer im Haus sind.<p>Die Kartoffeln sch\u00e4len, w\u00fcrfeln und mit den Zwiebeln in etwas Butter
+anschwitzen. Dann mit Br\u00fche aufgie\u00dfen und eine halbe Stunde leise kochen lassen.<script>track("<p>post</p>")</script><p>Zum
+Schluss mit Muskat abschmecken und mit Schnittlauch bestreuen.</div><div class="newsletter">Jede Woche ein neues Rezept per Post.
+<form><input name=mail><button>Anmelden</button></form></div><div class="social"><a href=/s>Teilen</a> <a href=/f>Folgen</a></div>
+<footer>Impressum | Datenschutz</footer></body>""",
+     "Kartoffelsuppe wie bei Oma Diese Suppe w\u00e4rmt an kalten Tagen und braucht nur wenige Zutaten, die fast immer im Haus sind. Die "
+     "Kartoffeln sch\u00e4len, w\u00fcrfeln und mit den Zwiebeln in etwas Butter anschwitzen. Dann mit Br\u00fche aufgie\u00dfen und eine "
+     "halbe Stunde leise kochen lassen. Zum Schluss mit Muskat abschmecken und mit Schnittlauch bestreuen."),
+    ("""<html><body><table width=100%><tr><td class="menu"><a href=a.html>Index</a><br><a href=b.html>Links</a></td><td class="main">
+<h1>My stamp collection</h1><p>I have collected stamps since I was nine years old, when my uncle gave me an album from the estate of a
+sailor.</p><p>The oldest piece is a blue one from the islands. It is worth little, but nobody I know has seen another.</p></td></tr></table>
+<div id=bottom>Last changed in spring</div></body></html>""",
+     "My stamp collection I have collected stamps since I was nine years old, when my uncle gave me an album from the estate of a sailor. "
+     "The oldest piece is a blue one from the islands. It is worth little, but nobody I know has seen another."),
+]
+
+
+@pytest.mark.parametrize("page", range(len(WRITTEN)))
+def test_main_text_of_written_pages(page):
+    markup, text = WRITTEN[page]
+    assert html.extract([markup], html.trained()) == [text]
+
+
+def test_main_text_of_a_very_long_page():
+    """5 MB of paragraphs between a menu and a footer: nothing of it is cut."""
+    paragraphs = [f"Paragraph number {i} says that the committee met again and put off its decision." for i in range(55_000)]
+    page = ("<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><article><h1>Minutes of the committee</h1>"
+            + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article><footer>All rights reserved</footer></body>")
+    assert len(page) > 4_500_000
+    assert html.extract([page], html.trained()) == [" ".join(["Minutes of the committee", *paragraphs])]
