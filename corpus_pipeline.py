@@ -2,26 +2,35 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents`` (doc_id, text, lang, source, n_chars).
-Null, empty and repeated rows go through every stage as the operators define.
+
+Defined cases, stage by stage: language ID drops null and letterless texts and
+keeps repeated rows; near duplicates keep one row of each group, the one with the
+least doc_id (null last; ties by the text), whether rows share an id or not, so
+unrelated texts under one id all stay; decontamination judges each row by itself
+and keeps texts without a word; the secret scan keeps every row, a null text stays
+null; packing turns a null text into the end mark alone.  Very long texts go
+through whole, extra columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigsight.llm import decontamination, langid, packing, secrets, simhash
 from sigsight.llm.common import DOC_COLUMNS, fold, table
 from sigsight.session import cut_lineage
 
-#: A document is rejected if no language explains this share of its n-grams ...
+#: A document is rejected if no language explains this share of its n-grams, and that is sure: the share found in n
+#: n-grams is below it by more than chance leaves room for (Hoeffding's bound) but once in so many.
 LEAST_LANGUAGE_SCORE = 0.2
-#: ... and it is long enough to tell: of at least so many characters.
-LEAST_LANGUAGE_CHARS = 40
+SURE = 1000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or of no learned language; learns from the training folds.
+    """Drops documents without a letter or surely of no learned language; learns from the training folds.
 
     Without any row of known language nothing can be told, and all rows stay.
     """
@@ -30,21 +39,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not filters.languages:
         return docs
     told = langid.identify(docs, filters, DOC_COLUMNS)
-    told_apart = (F.col("score") >= LEAST_LANGUAGE_SCORE) | (F.char_length("text") < LEAST_LANGUAGE_CHARS)
-    return told.filter((F.col("lang_pred") != langid.UNDETERMINED) & told_apart).select(*DOC_COLUMNS)
+    room = F.sqrt(F.lit(math.log(SURE)) / (2 * F.greatest("n_grams", F.lit(1))))
+    some = F.col("score") + room >= LEAST_LANGUAGE_SCORE
+    return told.filter((F.col("lang_pred") != langid.UNDETERMINED) & some).select(*DOC_COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates.
+    """Keeps one row of each group of near duplicates: the one with the least doc_id, null last, ties by the text.
 
-    Of rows that share the doc_id one stays; rows without a doc_id stay once per text.
+    Rows are told apart by id and text: rows that only share an id are judged by
+    their texts, and so are rows without an id.
     """
     docs = docs.select(*DOC_COLUMNS)
-    first = simhash.near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*DOC_COLUMNS)
-    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    marked = cut_lineage(simhash.fingerprints(docs.withColumn("row_hash", F.xxhash64("text")), keep=["doc_id", "row_hash"]))
+    rows = simhash.grouped(marked).groupBy("group", "doc_id", "row_hash").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_hash", "n"))
+    kept = cut_lineage(rows.groupBy("group").agg(first.alias("r")).select(F.col("r.doc_id").alias("_id"), F.col("r.row_hash").alias("_hash"), "r.n"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    single = docs.join(kept.filter("n = 1"), same, "left_semi")
+    return single.unionByName(docs.join(kept.filter("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
