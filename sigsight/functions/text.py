@@ -20,6 +20,7 @@ from sigsight import config as C
 # Python's \s (str.isspace) = Java's (?U)\s plus \x1c-\x1f; \S is its complement.
 _S = r"[\s\x1c-\x1f]"
 _NS = r"[^\s\x1c-\x1f]"
+# Fixed patterns of the eight steps.
 _TS_BRACKETED = r"(?U)\[\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[^\]]*\]" + _S + "*"
 # First bare timestamp anywhere (only the first occurrence is removed).
 _TS_BARE_FIRST = (r"(?sU)^(.*?)(?:\d{4}-\d{2}-\d{2}"
@@ -30,6 +31,8 @@ _THREAD = r"(?iU)\[[\w.\-]+-\d+\]|\bthread[=:\s\x1c-\x1f]" + _NS + "+"
 _HEX_ADDR = r"(?U)\b0x[0-9a-fA-F]{4,}\b"
 _UUID = r"(?iU)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
 _SPACES = "(?U)" + _S + "+"
+# The same runs but for single spaces, which stay as they are.
+_OTHER_SPACES = r"(?U)[\s\x1c-\x1f&&[^ ]]" + _S + "*| " + _S + "+"
 
 
 def _guarded(t: Column, pattern: str, replacement: str, guard: Column) -> Column:
@@ -45,16 +48,21 @@ def _has_ci(t: Column, s: str) -> Column:
     return F.contains(F.lower(t), F.lit(s))
 
 
+def _finds(t: Column, pattern: str) -> Column:
+    """A search that stops at the first place: linear, unlike a lazy prefix tried at every one."""
+    return F.rlike(t, F.lit(pattern))
+
+
 _STEPS = [
     # (pattern, replacement, guard on the current text — implied by any match of the pattern)
-    (_TS_BRACKETED, "", lambda t: _has(t, "[")),
-    (_TS_BARE_FIRST, "$1", lambda t: _has(t, "-")),
+    (_TS_BRACKETED, "", lambda t: _has(t, "[") & _finds(t, r"(?U)\[\d{4}-\d{2}-\d{2}[T ]")),
+    (_TS_BARE_FIRST, "$1", lambda t: _has(t, "-") & _finds(t, r"(?U)\d{4}-\d{2}-\d{2}")),
     (_LEVEL_PREFIX, "", None),
     # The two letters that fold to "i" under Unicode case-insensitive matching are admitted too.
     (_PID, "", lambda t: _has_ci(t, "pid") | _has(t, "\u0130") | _has(t, "\u0131")),
-    (_THREAD, "", lambda t: _has(t, "]") | _has_ci(t, "thread")),
+    (_THREAD, "", lambda t: (_has(t, "]") & _finds(t, r"(?U)-\d+\]")) | _has_ci(t, "thread")),
     (_HEX_ADDR, "", lambda t: _has(t, "0x")),
-    (_UUID, "", lambda t: _has(t, "-")),
+    (_UUID, "", lambda t: _has(t, "-") & _finds(t, "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-")),
 ]
 
 
@@ -82,7 +90,7 @@ def with_normalised_log(df, src: str = "content", out: str = "normalised"):
         df = df.withColumn(name, _guarded(c, pattern, rep, guard(c)) if guard else F.regexp_replace(c, pattern, rep))
         tmp.append(name)
         prev = name
-    t = F.trim(F.regexp_replace(F.col(prev), _SPACES, " "))
+    t = F.trim(F.regexp_replace(F.col(prev), _OTHER_SPACES, " "))
     return df.withColumn(out, F.when(t == "", F.col(src)).otherwise(t)).drop(*tmp)
 
 
