@@ -11,7 +11,7 @@ import datetime as dt
 import functools
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigsight import config as C
@@ -24,6 +24,7 @@ from sigsight.operators import analytics as A
 from sigsight.operators import context as P
 from sigsight.operators import evaluation as M
 from sigsight.operators import ingest as I
+from sigsight.operators import pivot_search
 from sigsight.operators import questions as Q
 from sigsight.operators import rerank as K
 from sigsight.operators import retrieval as R
@@ -33,7 +34,7 @@ from sigsight.session import cut_lineage, remove_folder, scratch_folder
 from sigsight.sources import bundle as S
 from sigsight.sources import event_store as E
 from sigsight.sources import tables as T
-from sigsight.sources.sinks import split_feedback
+from sigsight.sources.sinks import append_query_log, split_feedback, write_report
 
 
 def _services(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -189,6 +190,38 @@ def bundle_items(spark, sf_dir):
     return items.unionByName(bad)
 
 
+def question_set(spark, sf_dir):
+    """Every question as a line of a question file, with blank lines and cut lines between, read back."""
+    q = T.questions(spark, sf_dir)
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(c)
+    line = F.to_json(F.struct(F.col("qid").cast("string").alias("id"), "category", "question",
+                              F.array(F.concat(F.lit("evt_"), F.col("qvec_id").cast("string"))).alias("ground_truth_event_ids"),
+                              at("start_time"), at("end_time")))
+    third = F.pmod("qid", F.lit(3))
+    more = F.when(third == 0, F.array(line, F.lit("  "))).when(third == 1, F.array(line, F.substring(line, 1, 12))).otherwise(F.array(line))
+    folder = scratch_folder(spark, "question-set")
+    q.select(F.explode(more).alias("value")).write.text(folder)
+    read, bad = S.read_questions(spark, folder)
+    none = F.lit(None).cast("string")
+    rows = read.select("id", "category", "question", F.concat_ws(",", "ground_truth_event_ids").alias("ground_truth"), "start_time", "end_time") \
+        .unionByName(bad.select(F.lit("rejected").alias("id"), none.alias("category"), F.col("raw").alias("question"),
+                                none.alias("ground_truth"), none.alias("start_time"), none.alias("end_time")))
+    rows = cut_lineage(rows)
+    remove_folder(spark, folder)
+    return rows
+
+
+def query_log_replay(spark, sf_dir):
+    """Two runs of log rows, each appended more than once, one of them again with other rows: each run counts once."""
+    logs, folder = T.query_logs(spark, sf_dir), scratch_folder(spark, "query-log")
+    half = {name: logs.where(F.pmod("id", F.lit(2)) == k) for k, name in enumerate(("even", "odd"))}
+    for rows, run in ((half["even"], "even"), (half["odd"], "odd"), (half["even"], "even"), (logs, "odd")):
+        append_query_log(rows, f"{folder}/logs", run)
+    rows = cut_lineage(spark.read.parquet(f"{folder}/logs"))
+    remove_folder(spark, folder)
+    return rows
+
+
 def feedback_split(spark, sf_dir):
     """Accepted and rejected feedback."""
     good, bad = split_feedback(T.feedback(spark, sf_dir).select("id", "rating"))
@@ -262,10 +295,24 @@ def hybrid_search_types(spark, sf_dir):
 def vector_topk(spark, sf_dir):
     """One query vector (the mean of all question vectors) over all events."""
     sig = T.signals(spark, sf_dir)
+    return R.vector_topk(sig, _mean_question(spark, sf_dir), C.RERANK_TOP_K).select("sim_rank", "event_id", "similarity_score")
+
+
+def _mean_question(spark, sf_dir):
     qv = T.questions(spark, sf_dir).select(F.posexplode("qvec").alias("i", "x")).groupBy("i") \
         .agg(F.avg("x").alias("x")).orderBy("i").collect()
-    vec = [r.x for r in qv]
-    return R.vector_topk(sig, vec, C.RERANK_TOP_K).select("sim_rank", "event_id", "similarity_score")
+    return [r.x for r in qv]
+
+
+def vector_topk_pruned(spark, sf_dir):
+    """R5 + R6 by pivots: the same rows as ``vector_topk``, from the clusters that the triangle inequality leaves."""
+    folder = scratch_folder(spark, "pivots")
+    pivot_search.build(T.signals(spark, sf_dir), folder)
+    top, _ = pivot_search.pruned_topk(spark, folder, _mean_question(spark, sf_dir), C.RERANK_TOP_K)
+    rank = F.row_number().over(Window.orderBy(F.col("cos").desc_nulls_last(), "event_id", "id"))  # k rows
+    top = cut_lineage(top.select(rank.alias("sim_rank"), "event_id", "similarity_score"))
+    remove_folder(spark, folder)
+    return top
 
 
 def candidate_stats(spark, sf_dir):
@@ -473,6 +520,16 @@ def eval_summary(spark, sf_dir):
     return M.eval_summary(_eval_inputs(spark, sf_dir))
 
 
+def report_by_category(spark, sf_dir):
+    """The evaluation report written as JSON, its per-category part read back."""
+    res, folder = _eval_inputs(spark, sf_dir), scratch_folder(spark, "report")
+    by_category = M.eval_by_category(res)
+    write_report(res, by_category, M.eval_overall(res), folder, "conversations", "2024-01-01T00:00:00+00:00")
+    rows = cut_lineage(spark.read.schema(by_category.schema).json(f"{folder}/per_category"))
+    remove_folder(spark, folder)
+    return rows
+
+
 def latency_percentiles(spark, sf_dir):
     """M11 per category over every question's latency."""
     q = T.questions(spark, sf_dir)
@@ -532,6 +589,8 @@ REGISTERED = {
     "stored_search": stored_search,
     "bundle_items": bundle_items,
     "feedback_split": feedback_split,
+    "question_set": question_set,
+    "query_log_replay": query_log_replay,
     "parse_questions": parse_questions,
     "resolve_explicit_service": resolve_explicit_service,
     "resolve_request": resolve_request,
@@ -542,6 +601,7 @@ REGISTERED = {
     "hybrid_search": hybrid_search,
     "hybrid_search_types": hybrid_search_types,
     "vector_topk": vector_topk,
+    "vector_topk_pruned": vector_topk_pruned,
     "candidate_stats": candidate_stats,
     "no_data_questions": no_data_questions,
     "rerank_scores": rerank_scores,
@@ -563,6 +623,7 @@ REGISTERED = {
     "eval_by_category": eval_by_category,
     "eval_overall": eval_overall,
     "eval_summary": eval_summary,
+    "report_by_category": report_by_category,
     "latency_percentiles": latency_percentiles,
     "events_before": events_before,
     "events_before_runs": events_before_runs,

@@ -785,6 +785,17 @@ stored AS (
         "WHERE r.window_start < r.window_end AND (r.qid % 3 <> 0 OR s.event_type IN ('alert', 'deployment'))")),
     "resolve_explicit_service": q("""SELECT qid, CASE WHEN qid % 3 = 0 THEN 'order-service' ELSE coalesce(s_raw, s_norm) END
         AS service_filter FROM _qsvc"""),
+    "question_set": q("""SELECT CAST(qid AS VARCHAR) AS id, category, question, 'evt_' || CAST(qvec_id AS VARCHAR) AS ground_truth,
+          strftime(start_time, '%Y-%m-%dT%H:%M:%S.%fZ') AS start_time, strftime(end_time, '%Y-%m-%dT%H:%M:%S.%fZ') AS end_time
+        FROM questions
+        UNION ALL SELECT 'rejected', NULL, left('{"id":"' || CAST(qid AS VARCHAR) || '","category":"', 12), NULL, NULL, NULL
+        FROM questions WHERE qid % 3 = 1"""),
+    "query_log_replay": with_views(
+        """SELECT * REPLACE (CAST(groundedness_score AS DOUBLE) AS groundedness_score, CAST(relevance_score AS DOUBLE) AS relevance_score),
+          CASE WHEN id % 2 = 0 THEN 'even' ELSE 'odd' END AS run_id FROM query_logs""",
+        "_nev AS (SELECT count(*) AS n FROM events)", QLOG_CTE),
+    "report_by_category": with_views(f"SELECT category, {_MEASURES} FROM eval_res GROUP BY category",
+                                     *EVAL_BASE, _ask_over_eq(), eval_results_sql()),
     "feedback_split": with_views("SELECT id, rating, rating IN ('good', 'bad') AS accepted FROM feedback",
                                  "_nev AS (SELECT count(*) AS n FROM events)", QLOG_CTE),
     "bundle_items": f"""
@@ -837,3 +848,6 @@ ORACLE["ask_query_log"] = ask_q(
         LEFT JOIN judge_replies j ON j.id = r.qid LEFT JOIN parsed_judge p ON p.id = r.qid
         WHERE r.query_type <> 'analytical' AND r.window_start < r.window_end""",
     QLOG_CTE, parse_judge_sql())
+
+# Pruning leaves the result as it is.
+ORACLE["vector_topk_pruned"] = ORACLE["vector_topk"]
