@@ -10,10 +10,19 @@ of its own input split, so nothing is shuffled and no group is gathered.
 A sequence that ends short (segment limit, end of the split) is divided into
 sequences whose lengths are powers of two, which need no padding.
 
+Of an example the last tokens are loss-bearing, as many as a column of ``pack``
+says (an answer behind its prompt; without the column all are); a cut example
+keeps them where they are.
+
+Token ids are those of ``tokenizers``.  tiktoken gives the same several times
+faster where the file is a plain byte-level BPE with merges in id order, which is
+checked; with any other file tokenizers does all of the work.
+
 Defined cases: a null or empty text is the end token alone; each of several
-equal rows is packed for itself; a null doc_id stays null; very long texts
-become many full sequences; other columns are ignored; an empty table gives no
-rows.  Sequence numbers are the input split's number and a counter within it.
+equal rows is packed for itself; a null doc_id stays null; a null loss count is
+0, one beyond the tokens all of them; very long texts become many full
+sequences; other columns are ignored; an empty table gives no rows.  Sequence
+numbers are the input split's number and a counter within it.
 """
 
 from __future__ import annotations
@@ -30,13 +39,14 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sigsight.llm.common import table
 
 END = 0
 POOL = 1024
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -54,11 +64,25 @@ def _byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def is_plain(spec: dict) -> bool:
+    """Whether tiktoken can stand in: byte-level BPE by the usual pattern, merges in the order of the ids they make."""
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    if not plain or spec["normalizer"] or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return False
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    special = {t["content"] for t in spec["added_tokens"]}
+    others = [t for t in model["vocab"] if len(t) > 1 and t not in special]
+    return None not in made and made == sorted(set(made)) and len(others) == len(made)
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE vocabulary of a tokenizers file, whose merges are in id order."""
+def encoder(path: str) -> tiktoken.Encoding | None:
+    """The vocabulary of a tokenizers file for tiktoken; None if that would not give the same ids."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if not is_plain(spec):
+        return None
     signs = _byte_of_sign()
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(signs[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
@@ -73,13 +97,21 @@ def _tokenizer(path: str) -> Tokenizer:
 def encode(path: str, text: str) -> np.ndarray:
     """The ids that ``tokenizers`` gives.
 
-    tiktoken is faster, but its regex engine gives up on white-space runs of
-    about a million characters; such a text is encoded by tokenizers itself.
+    tiktoken's regex engine gives up on white-space runs of about a million
+    characters; such a text is encoded by tokenizers itself.
     """
+    fast = encoder(path)
     try:
-        return encoder(path).encode_to_numpy(text, allowed_special="all")
+        if fast is not None:
+            return fast.encode_to_numpy(text, allowed_special="all")
     except ValueError:
-        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
+        pass
+    return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
+def head_of(loss: int, length: int, n: int) -> int:
+    """Loss-bearing tokens among the first ``n`` of ``length``, of which the last ``loss`` are loss-bearing."""
+    return max(0, n - (length - loss))
 
 
 class Packer:
@@ -107,14 +139,15 @@ class Packer:
             self.fill_one()
 
     def sequence(self, members: list[tuple]) -> None:
+        """Each member is (key, start, ids, total, loss)."""
         at = 0
-        for key, start, ids, total in members:
-            self.pieces.append((key, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next, at))
+        for key, start, ids, total, loss in members:
+            self.pieces.append((key, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next, at, int(loss)))
             at += len(ids)
         self.next += 1
 
     def _take(self, i: int) -> tuple:
-        taken = self.examples[i]
+        taken = (*self.examples[i], self.vectors[i, 2])
         last = len(self.examples) - 1
         self.examples[i], self.vectors[i] = self.examples[last], self.vectors[last]
         self.examples.pop()
@@ -123,33 +156,36 @@ class Packer:
 
     def fill_one(self) -> None:
         room, members = self.room_of.copy(), []
-        while len(self.examples) and room.min() > 0:
+        while len(self.examples) and room[:2].min() > 0:
             worth = (self.vectors / self.room_of) @ (room / self.room_of)
             fits = (self.vectors <= room).all(axis=1)
             if fits.any():
                 i = int(np.where(fits, worth, -1.0).argmax())
                 room -= self.vectors[i]
                 members.append(self._take(i))
-            elif self.cut:
-                members.append(self._cut(int(worth.argmax()), room))
+            elif self.cut and len(some := np.flatnonzero(self._heads(room))):
+                members.append(self._cut(int(some[worth[some].argmax()]), room))
             elif members:
                 break
             else:
                 raise ValueError("an example exceeds the limits and cutting is off")
         self._close(members)
 
+    def _heads(self, room: np.ndarray) -> np.ndarray:
+        """How many of each example's first tokens the room takes; the loss-bearing ones are its last."""
+        return np.minimum(np.minimum(self.vectors[:, 0], room[0]), self.vectors[:, 0] - self.vectors[:, 2] + room[2])
+
     def _cut(self, i: int, room: np.ndarray) -> tuple:
         """The head of example ``i`` that fills the room; its tail stays in the pool."""
         key, start, ids, total = self.examples[i]
-        n = int(min(len(ids), room[0], room[2]))
+        n, loss = int(self._heads(room)[i]), int(self.vectors[i, 2])
+        head_loss = head_of(loss, len(ids), n)
         self.examples[i] = (key, start + n, ids[n:], total)
-        loss = self.vectors[i, 2] - min(n, self.vectors[i, 2])
-        head_loss = self.vectors[i, 2] - loss
-        self.vectors[i] = (len(ids) - n, 1, loss)
+        self.vectors[i] = (len(ids) - n, 1, loss - head_loss)
         room -= np.array([n, 1, head_loss])
         if n == len(ids):
             self._take(i)
-        return key, start, ids[:n], total
+        return key, start, ids[:n], total, head_loss
 
     def _close(self, members: list[tuple]) -> None:
         left = sum(len(m[2]) for m in members)
@@ -161,11 +197,12 @@ class Packer:
             size = 1 << (left.bit_length() - 1)
             part, need = [], size
             while need:
-                key, start, ids, total = members.pop()
+                key, start, ids, total, loss = members.pop()
                 if len(ids) > need:
-                    members.append((key, start + need, ids[need:], total))
-                    ids = ids[:need]
-                part.append((key, start, ids, total))
+                    head_loss = head_of(loss, len(ids), need)
+                    members.append((key, start + need, ids[need:], total, loss - head_loss))
+                    ids, loss = ids[:need], head_loss
+                part.append((key, start, ids, total, loss))
                 need -= len(ids)
             self.sequence(part)
             left -= size
@@ -174,16 +211,17 @@ class Packer:
 def _pack_split(path: str, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
-        full = min(limits.tokens, limits.loss)
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            counts = batch.column("loss").to_pylist()
+            for key, text, count in zip(batch.column("doc_id").to_pylist(), batch.column("text"), counts, strict=True):
                 ids = np.append(encode(path, text.as_py() or ""), END).astype("<u4")
-                whole = len(ids) // full * full
-                for at in range(0, whole, full):
-                    packer.sequence([(key, at, ids[at : at + full], len(ids))])
-                if whole < len(ids):
-                    rest = ids[whole:]
-                    packer.add([(key, whole, rest, len(ids))], [(len(rest), 1, len(rest))])
+                loss = min(max(count or 0, 0), len(ids))
+                at, full = 0, limits.tokens
+                while len(ids) - at >= full and (head := head_of(loss, len(ids) - at, full)) <= limits.loss:
+                    packer.sequence([(key, at, ids[at : at + full], len(ids), head)])
+                    at, loss = at + full, loss - head
+                if at < len(ids):
+                    packer.add([(key, at, ids[at:], len(ids))], [(len(ids) - at, 1, loss)])
             yield _rows(packer)
         packer.flush()
         yield _rows(packer)
@@ -197,10 +235,16 @@ def _rows(packer: Packer) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=_COLUMNS)
 
 
-def pack(docs: DataFrame, path: str | None = None, limits: Limits = Limits()) -> DataFrame:
-    """The pieces of every row's token ids (all of them loss-bearing), packed within ``limits``."""
+def pack(docs: DataFrame, path: str | None = None, limits: Limits = Limits(), loss: str | None = None) -> DataFrame:
+    """The pieces of every row's token ids, packed within ``limits``.
+
+    ``loss`` names a column with the number of loss-bearing tokens at an example's
+    end, the end token included; without it all tokens are loss-bearing.
+    """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(_pack_split(path, limits), SCHEMA)
+    counted = docs[loss].cast("long") if loss else F.lit(1 << 60)
+    rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"), counted.alias("loss"))
+    return rows.mapInArrow(_pack_split(path, limits), SCHEMA)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints, suffix dedup, secrets, decontamination, SimHash and packing against brute force on odd texts."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from sigsight.llm import registry, secrets, simhash, suffix_dedup
-from sigsight.llm.packing import Limits, Packer
+from sigsight.llm.packing import Limits, Packer, pack
 
 
 def rows_of(df):
@@ -333,6 +334,50 @@ def test_packing_of_a_long_white_space_run(spark, write_tables):
     assert all(p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) for p in pieces)
 
 
+def test_packing_with_loss_bearing_tokens(spark):
+    """The third limit binds, also for cut examples and examples longer than a sequence; ids stay in one piece each."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["yes", "no", "maybe"], k=rng.randint(0, 300))), rng.choice([None, 0, 3, 40, 10_000])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, answer long").repartition(2)
+    limits = Limits(tokens=128, segments=6, loss=32)
+    pieces = rows_of(pack(docs, limits=limits, loss="answer"))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    sequences, by_doc = {}, {}
+    for p in pieces:
+        sequences.setdefault(p["sequence_id"], []).append(p)
+        by_doc.setdefault(p["doc_id"], []).append(p)
+    for members in sequences.values():
+        n = sum(p["length"] for p in members)
+        assert n <= 128 and len(members) <= 6 and sum(p["loss_tokens"] for p in members) <= 32
+        assert n == 128 or n & (n - 1) == 0
+    for i, text, answer in rows:
+        ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
+        bearing = len(ids) - min(answer or 0, len(ids))
+        at = 0
+        for p in sorted(by_doc[i], key=lambda p: p["start"]):
+            assert p["start"] == at
+            at += p["length"]
+            assert p["loss_tokens"] == max(0, at - max(bearing, p["start"]))
+        assert at == len(ids)
+
+
+def test_only_plain_tokenizer_files_are_read_by_tiktoken(tmp_path):
+    from sigsight.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.is_plain(spec)
+    prefix = {**spec, "pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}
+    swapped = {**spec, "model": {**spec["model"], "merges": [spec["model"]["merges"][1], spec["model"]["merges"][0], *spec["model"]["merges"][2:]]}}
+    for other in (prefix, swapped, {**spec, "normalizer": {"type": "Lowercase"}}):
+        assert not packing.is_plain(other)
+    (tmp_path / "other.json").write_text(json.dumps(prefix), encoding="utf-8")
+    other = str(tmp_path / "other.json")
+    assert packing.encode(other, "it is").tolist() == Tokenizer.from_file(other).encode("it is", add_special_tokens=False).ids
+    assert packing.encode(other, "it is").tolist() != packing.encode(path, "it is").tolist()
+
+
 def test_packer_keeps_all_limits_for_whole_examples():
     rng = random.Random(3)
     packer = Packer(Limits(tokens=100, segments=4, loss=50), 0, cut=False)
@@ -340,8 +385,8 @@ def test_packer_keeps_all_limits_for_whole_examples():
     packer.add([(i, 0, np.zeros(v[0], dtype="<u4"), v[0]) for i, v in enumerate(vectors)], vectors)
     packer.flush()
     bins = {}
-    for key, _, length, _, _, sequence, _ in packer.pieces:
-        assert length == vectors[key][0]
+    for key, _, length, _, _, sequence, _, loss in packer.pieces:
+        assert (length, loss) == (vectors[key][0], vectors[key][2])
         bins.setdefault(sequence, []).append(vectors[key])
     assert len(packer.pieces) == len(vectors)
     assert all((np.sum(v, axis=0) <= (100, 4, 50)).all() for v in bins.values())
