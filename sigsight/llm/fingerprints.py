@@ -1,12 +1,12 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A document is a weighted set: its lower-cased words (between white space), each with the weight
-(occurrences x length squared), which makes long, rare words count more than
-short, common ones.  A word of more than ``LONG`` characters, or of more than
-``LONG_UNSPACED`` with a letter of a script written without spaces, stands for
-its strings of ``SHINGLE`` characters, each with its occurrences as weight: near
-copies of texts without spaces stay alike, and no address or blob outweighs the
-words around it unless it is most of the text.  For each of ``SAMPLES`` samples a word draws, from hashes
+A document is a weighted set: its lower-cased words (between white space), each
+with its occurrences as weight.  A word of more than ``LONG`` characters, or of
+more than ``LONG_UNSPACED`` with a letter of a script written without spaces,
+stands for its strings of ``SHINGLE`` characters, each with its occurrences as
+weight, in shares of a word such that one just beyond the bound weighs as much as
+one at it.  So near copies of texts without spaces stay alike, and no address or
+blob outweighs the words around it unless it is most of the text.  For each of ``SAMPLES`` samples a word draws, from hashes
 of itself alone, two gamma variables and a uniform one; with its weight they give
 a quantised weight step and a rank, and the word of least rank is the sample.
 Two documents agree in a sample with the probability of their generalised
@@ -149,9 +149,11 @@ def likeness(one: str, other: str) -> Column:
     return sum(same[1:], same[0]) / float(SAMPLES)
 
 
-def _is_long(word: str) -> Column:
+def _share(word: str) -> Column:
+    """What a string of a long word weighs; null for the other words, which weigh 1."""
     size = F.char_length(word)
-    return (size > LONG) | ((size > LONG_UNSPACED) & (F.octet_length(word) > size) & F.col(word).rlike(_UNSPACED))
+    unspaced = (size > LONG_UNSPACED) & (F.octet_length(word) > size) & F.col(word).rlike(_UNSPACED)
+    return F.when(unspaced, 1 / (LONG_UNSPACED - SHINGLE + 1)).when(size > LONG, 1 / (LONG - SHINGLE + 1))
 
 
 def _parted(text: str, pattern: str) -> Column:
@@ -164,15 +166,16 @@ def fingerprints(rows: DataFrame, key: list[str], texts: dict[str, str]) -> Data
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(t).alias("t")) for i, t in enumerate(texts)]))
     # The empty word, which every wordless text has, gets no weight.
     words = rows.select(*key, sides.alias("s")).select(*key, "s.side", F.explode(F.split(F.lower("s.t"), _GAPS)).alias("w")) \
-        .select(*key, "side", "w", _is_long("w").alias("long")) \
-        .select(*key, "side", "long", F.explode(_parted("w", _PIECES)).alias("w")) \
-        .select(*key, "side", "long", F.explode(_parted("w", _SHINGLES)).alias("w")) \
+        .select(*key, "side", "w", _share("w").alias("share")).select("*", F.col("share").isNotNull().alias("long")) \
+        .select(*key, "side", "share", "long", F.explode(_parted("w", _PIECES)).alias("w")) \
+        .select(*key, "side", "share", "long", F.explode(_parted("w", _SHINGLES)).alias("w")) \
         .select(*key, "side", F.when(F.col("long"), F.xxhash64("w", F.lit(1))).otherwise(F.xxhash64("w")).alias("word"),
-                F.when(F.col("long"), 1).otherwise(F.char_length("w")).alias("size"))
+                F.when(F.char_length("w") == 0, 0.0)
+                 .otherwise(F.coalesce("share", F.lit(1.0))).alias("size"))
     counts = words.groupBy(*key, "word", "size").agg(
         *[F.count(F.when(F.col("side") == i, 1)).alias(f"n{i}") for i in range(len(texts))])
     weights = [f"w{i}" for i in range(len(texts))]
-    logs = [F.when((F.col(f"n{i}") > 0) & (F.col("size") > 0), F.log(F.col(f"n{i}") * F.col("size") * F.col("size"))).alias(w)
+    logs = [F.when((F.col(f"n{i}") > 0) & (F.col("size") > 0), F.log(F.col(f"n{i}") * F.col("size"))).alias(w)
             for i, w in enumerate(weights)]
     # A word's draws serve all documents of the range that hold it.
     holders = counts.select(key[0], "word", F.struct(*key[1:], *logs).alias("holder")) \
