@@ -198,8 +198,9 @@ class Suffixes:
         self.code = np.zeros(len(distinct), dtype=np.uint64)
         self.code[self.of] = code
 
-    def first_eight(self) -> np.ndarray:
-        return np.ascontiguousarray(self.keys[:, :8]).view(">u8").reshape(-1)
+    def anchors(self) -> np.ndarray:
+        """The anchor strings of the keys, sorted as they are."""
+        return np.ascontiguousarray(self.keys[:, :GRAM]).view(f"S{GRAM}").reshape(-1)
 
 
 def front_code(keys: np.ndarray) -> tuple[bytes, bytes]:
@@ -445,7 +446,7 @@ def _send_suffixes(parts: int, cuts: np.ndarray):
         chunk = Chunk(rows)
         repeated, hot = _repeated(chunk, masks, parts)
         run_of = chunk.suffixes(repeated)
-        bounds = [0, *np.searchsorted(run_of.first_eight(), cuts).tolist(), len(run_of.keys)]
+        bounds = [0, *np.searchsorted(run_of.anchors(), cuts).tolist(), len(run_of.keys)]
         out = []
         for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if b > a:
@@ -532,7 +533,7 @@ def _cut_chunk(parts: int, cuts: np.ndarray):
         masks = answers[answers["mask"].notna()]
         repeated, hot = _repeated(chunk, masks, parts)
         found = chunk.suffixes(repeated)
-        bounds = np.array([0, *np.searchsorted(found.first_eight(), cuts)])
+        bounds = np.array([0, *np.searchsorted(found.anchors(), cuts)])
         everywhere = found.least.copy()
         by_window: dict[int, np.ndarray] = {}
         for _, x in answers[answers["plain"].notna()].iterrows():
@@ -596,7 +597,7 @@ def _kept(chunk: Chunk, cover: list[np.ndarray]) -> Iterator[tuple]:
 
 
 def _key_ranges(docs: DataFrame, rows: int, parts: int) -> np.ndarray:
-    """First eight bytes at which the key ranges begin, from the anchors of a bounded sample."""
+    """The anchor strings at which the key ranges begin, from those of a bounded sample of rows, taken by rank and text."""
 
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -604,16 +605,16 @@ def _key_ranges(docs: DataFrame, rows: int, parts: int) -> np.ndarray:
                 blob = np.frombuffer(bytes(text), dtype=np.uint8)
                 at = anchors(blob, np.zeros(len(blob), dtype=np.int64))[0]
                 at = at[at + WINDOW <= len(blob)][:: max(1, len(at) // 16)]
-                heads = [int.from_bytes(blob[i : i + 8].tobytes(), "big", signed=False) for i in at]
-                yield pd.DataFrame({"head": [h - (1 << 63) for h in heads]}, dtype=np.int64)
+                yield pd.DataFrame({"head": [blob[i : i + GRAM].tobytes() for i in at]})
 
     share = max(1, rows // SAMPLE_ROWS)
-    some = docs.filter(F.pmod(F.xxhash64("rank"), F.lit(share)) == 0)
-    heads = np.sort(some.select("text").mapInPandas(sampled, "head long").toPandas()["head"].to_numpy().astype(np.int64))
+    some = docs.filter(F.pmod(F.xxhash64("rank", "text"), F.lit(share)) == 0)
+    # Equal rows count once, however many there are.
+    found = some.select("text").distinct().mapInPandas(sampled, "head binary").toPandas()["head"]
+    heads = np.sort(np.array([bytes(h) for h in found], dtype=f"S{GRAM}"))
     if not len(heads) or parts < 2:
-        return np.empty(0, dtype=np.uint64)
-    picked = heads[np.arange(1, parts) * len(heads) // parts]
-    return np.unique(picked.view(np.uint64) ^ np.uint64(1 << 63))
+        return np.empty(0, dtype=f"S{GRAM}")
+    return np.unique(heads[np.arange(1, parts) * len(heads) // parts])
 
 
 def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:

@@ -53,7 +53,7 @@ def test_fingerprints(spark, odd_tables, odd_documents):
             assert row["n_chars"] == len(a)
             assert row["edited_sha256"] == hashlib.sha256((a[: len(a) - k] + b[:k]).encode()).hexdigest()
             assert 0 <= row["near_edited"] <= 1 and 0 <= row["near_next"] <= 1
-            words = [Counter({w: n * len(w) ** 2 for w, n in Counter(re.split("[ \t\r\n]+", t.lower())).items() if w})
+            words = [Counter({w: n for w, n in Counter(re.split("[ \t\r\n]+", t.lower())).items() if w})
                      for t in (a, a[: len(a) - k] + b[:k])]
             if words[0] and words[1]:
                 likeness = sum((words[0] & words[1]).values()) / sum((words[0] | words[1]).values())
@@ -62,6 +62,19 @@ def test_fingerprints(spark, odd_tables, odd_documents):
     assert checked > 20
 
 
+def test_weights_go_on_evenly_over_the_lengths(spark, write_tables):
+    """A word beyond the bound for whole words moves the likeness about as much as one at it."""
+    rng = random.Random(2)
+    around = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(40))
+    word = lambda n: "".join(rng.choices("mnopqrstuv", k=n))
+    rows = []
+    for i, n in enumerate((31, 32, 33, 34)):
+        rows += [(100 - 2 * i, f"{around} {word(n)}", "en", "s", 0), (99 - 2 * i, f"{around} {word(n)}", "en", "s", 0)]
+    got = {r["doc_id"]: r for r in rows_of(registry.QUERIES["op1_document_fingerprints"](spark, write_tables(documents=rows)))}
+    for i, n in enumerate((31, 32, 33, 34)):
+        assert abs(got[100 - 2 * i]["near_next"] - 40 / 42) < 0.12, n
+
+
 def test_fingerprints_of_long_words(spark, write_tables):
     rng = random.Random(12)
     signs = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(400))
@@ -119,7 +132,7 @@ def test_hot_anchors_do_not_meet_in_one_range():
     passage = "".join(rng.choices("abcdefgh ", k=120)).encode()
     texts = ["".join(rng.choices("xyz ", k=80)).encode() + passage + "".join(rng.choices("uvw ", k=80)).encode() for _ in range(900)]
     rows = [pd.DataFrame({"chunk": c, "rank": np.arange(c, 900, 3), "text": texts[c::3]}) for c in range(3)]
-    none = np.empty(0, dtype=np.uint64)
+    none = np.empty(0, dtype=f"S{suffix_dedup.GRAM}")
     sent = pd.concat([suffix_dedup._send_hashes(2)(r) for r in rows])
     masks = pd.concat([suffix_dedup._find_repeated(100)(g.reset_index(drop=True)) for _, g in sent.groupby("bucket")])
     runs = pd.concat([suffix_dedup._send_suffixes(2, none)(r, masks[masks["chunk"] == c]) for c, r in enumerate(rows)])
