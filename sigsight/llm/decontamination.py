@@ -9,7 +9,9 @@ the window as a whole.
 
 The prefix table is broadcast only while its counted rows are at most
 ``BROADCAST_ROWS``; a larger one is joined by a shuffle on the word, carrying
-each word's neighbourhood, never the whole text.
+each word's neighbourhood, never the whole text.  Before that shuffle the
+documents' words pass a bit filter of the prefix words, of a fixed size, so that
+only words that may be prefixes move; and their counts are combined in the tasks.
 
 Defined cases: null texts have no words; documents or items without words have
 no windows; repeated document rows get equal answers, repeated items count once;
@@ -29,6 +31,8 @@ from sigsight.session import cut_lineage
 
 WINDOW = 10
 BROADCAST_ROWS = 200_000
+#: 64-bit words of the filter (8 MB).
+FILTER_SLOTS = 1 << 20
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ROW = ["doc_id", "row_hash"]
 
@@ -59,16 +63,33 @@ def _placed_words(docs: DataFrame, size: int) -> DataFrame:
                          F.slice("w", low + 1, F.lit(2 * size - 1)).alias("near"))
 
 
-def _sized(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+def _bit(word: str) -> tuple[Column, Column]:
+    """The filter word and the bit in it of a word."""
+    h = F.xxhash64(word)
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(FILTER_SLOTS - 1)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _passing(placed: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``placed`` whose word may be one of ``known``; never fewer than those whose word is."""
+    slot, bit = _bit("word")
+    one = F.lit(1).cast("long")
+    set_ = known.select(slot.alias("slot"), F.call_function("shiftleft", one, bit).alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("mask"))
+    every = known.sparkSession.range(FILTER_SLOTS).select(F.col("id").cast("int").alias("slot")).join(set_, "slot", "left")
+    masks = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))).alias("m"))
+    filter_ = masks.select(F.col("m.mask").alias("filter"))  # one row of a fixed size
+    held = F.getbit(F.element_at("filter", slot + 1), bit) == 1
+    return placed.join(F.broadcast(filter_), held).drop("filter")
 
 
 def prefixes(docs: DataFrame, wins: DataFrame, size: int = WINDOW) -> DataFrame:
     """(word, window, lead, length): each distinct window under its rarest word that documents hold."""
     parts = wins.select("window", F.size("parts").alias("length"), F.posexplode("parts").alias("lead", "word"))
     vocabulary = cut_lineage(parts.select("word").distinct())
-    seen = _placed_words(docs, size).select("word").join(_sized(vocabulary, vocabulary.count()), "word") \
-        .groupBy("word").agg(F.count("*").alias("n"))
+    n, every = vocabulary.count(), _placed_words(docs, size).select("word")
+    if n <= BROADCAST_ROWS:
+        seen = every.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    else:
+        seen = _passing(every, vocabulary).groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word")
     ranked = parts.distinct().join(seen, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = ranked.groupBy("window", "length").agg(F.min(F.struct("n", "word", "lead")).alias("best"))
     return best.filter("best.n > 0").select("best.word", "window", "best.lead", "length")
@@ -79,7 +100,10 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[
     wins = cut_lineage(windows(items, size))
     joined = cut_lineage(prefixes(docs, wins.select("window", "parts").distinct(), size))
     start = F.col("pos") - F.col("lead")
-    found = _placed_words(docs, size).join(_sized(joined, joined.count()), "word") \
+    n, placed = joined.count(), _placed_words(docs, size)
+    met = placed.join(F.broadcast(joined), "word") if n <= BROADCAST_ROWS \
+        else _passing(placed, joined.select("word").distinct()).join(joined, "word")
+    found = met \
         .filter((start >= 0) & (start + F.col("length") <= F.col("n_words"))) \
         .filter(F.array_join(F.slice("near", start - F.col("low") + 1, F.col("length")), " ") == F.col("window"))
     return found.select(*_ROW, "window", start.alias("start"), "length"), wins

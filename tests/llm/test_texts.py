@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from sigsight.llm import registry, secrets, simhash, suffix_dedup
+from sigsight.llm import decontamination, registry, secrets, simhash, suffix_dedup
 from sigsight.llm.packing import Limits, Packer, pack
 
 
@@ -198,7 +198,9 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def test_decontamination(spark, odd_tables, odd_documents):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_decontamination(spark, odd_tables, odd_documents, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", broadcast_rows)
     texts = [r[1] for r in odd_documents]
     items = [(0, texts[6][40:200]), (1, "the the the"), (4, texts[6][40:200]), (None, texts[20])]
     windows = {}
@@ -223,6 +225,18 @@ def test_decontamination(spark, odd_tables, odd_documents):
     assert sum(r["contaminated"] for r in got) > 3
 
 
+def test_decontamination_with_very_many_windows(spark):
+    """300,000 windows of another vocabulary and few of the documents': beyond the broadcast, hits are all found."""
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(2000)]
+    docs = [(i, " ".join(rng.choices(pool, k=60))) for i in range(200)]
+    items = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(19))) for i in range(30_000)]
+    items += [(30_000 + i, " ".join(docs[i * 7][1].split()[5:25])) for i in range(20)]
+    frames = [spark.createDataFrame(r, s) for r, s in ((docs, "doc_id long, text string"), (items, "item_id long, text string"))]
+    found = rows_of(decontamination.contamination(*frames))
+    assert {r["doc_id"]: r["n_hit"] for r in found if r["n_hit"]} == {i * 7: 20 for i in range(20)}
+
+
 def brute_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
