@@ -162,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return pd.Series([np.stack([np.flatnonzero(r), r[r > 0]]).ravel().tolist() for r in rows], dtype=object)
 
     counts = F.pandas_udf(counted, "array<double>")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id") \
-        .select("doc_id", "label", counts("text").alias("terms")).dropDuplicates(["doc_id"]).toPandas()
+    # Of rows that share an id the smallest text is learned from.
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")) \
+        .select("doc_id", "label", counts("text").alias("terms")).toPandas()
     rows = rows.sort_values("doc_id")
     matrix = np.zeros((len(rows), TERMS))
     for i, terms in enumerate(rows["terms"]):
