@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigsight.functions.vectors import cosine_from_parts, dot, norm, similarity_score
@@ -52,8 +52,8 @@ def build(events: DataFrame, path: str, pivots: int = PIVOTS) -> None:
     spark = events.sparkSession
     rows = events.select("event_id", F.col("id").cast("long").alias("id"), "event_date", F.col("embedding").cast("array<float>").alias("embedding"))
     # Pivots are rows taken by a hash of their keys, of the first such row's length.
-    chosen = rows.where((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0)).orderBy(F.xxhash64("event_id", "id"), "event_id", "id") \
-        .select("embedding").limit(pivots).collect()
+    chosen = _first(rows.where((F.size("embedding") > 0) & (norm(F.col("embedding")) > 0)), pivots, F.xxhash64("event_id", "id"), "event_id", "id") \
+        .orderBy("rank").select("embedding").collect()
     dim = len(chosen[0].embedding) if chosen else 1
     mat = np.array([r.embedding for r in chosen if len(r.embedding) == dim], dtype=np.float64).reshape(-1, dim)
     mat = mat / np.linalg.norm(mat, axis=1, keepdims=True) if len(mat) else np.ones((1, dim))
@@ -67,7 +67,7 @@ def build(events: DataFrame, path: str, pivots: int = PIVOTS) -> None:
 
 
 def pruned_topk(spark: SparkSession, path: str, qvec: list[float], k: int) -> tuple[DataFrame, float]:
-    """(event_id, id, event_date, cos, similarity_score) of the k nearest in rank order, and the share of rows never read."""
+    """(event_id, id, event_date, cos, similarity_score, rank) of the k nearest, and the share of rows never read."""
     clusters = spark.read.parquet(f"{path}/clusters").collect()  # one row a pivot
     q = np.array(qvec, dtype=np.float64)
     size = math.sqrt(q @ q)
@@ -84,7 +84,7 @@ def pruned_topk(spark: SparkSession, path: str, qvec: list[float], k: int) -> tu
         held += bounds[taken][1].n
         taken += 1
     first = _scan(spark, path, [c.cluster for _, c in bounds[:taken]], qvec, k)
-    kth = [r.cos for r in first.select("cos").collect()]
+    kth = [r.cos for r in first.orderBy("rank").select("cos").collect()]
     beyond = math.inf if len(kth) < k or kth[-1] is None else math.acos(max(-1.0, min(1.0, kth[-1]))) + ROOM
     read = [c for i, (bound, c) in enumerate(bounds) if i < taken or bound <= beyond]
     total = sum(c.n for c in clusters)
@@ -97,5 +97,10 @@ def _scan(spark: SparkSession, path: str, clusters: list[int], qvec: list[float]
     rows = spark.read.parquet(f"{path}/vectors").where(F.col("cluster").isin(clusters))
     fits = F.size("embedding") == len(qvec)
     cos = F.when(fits, cosine_from_parts(dot(q, F.col("embedding")), norm(q), norm(F.col("embedding"))))
-    return rows.select("event_id", "id", "event_date", cos.alias("cos")).withColumn("similarity_score", similarity_score(F.col("cos"))) \
-        .orderBy(F.col("cos").desc_nulls_last(), "event_id", "id").limit(k)
+    found = rows.select("event_id", "id", "event_date", cos.alias("cos")).withColumn("similarity_score", similarity_score(F.col("cos")))
+    return _first(found, k, F.col("cos").desc_nulls_last(), "event_id", "id")
+
+
+def _first(rows: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows with their ``rank``; each task hands on n at most."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= n)

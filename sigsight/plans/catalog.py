@@ -11,7 +11,7 @@ import datetime as dt
 import functools
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigsight import config as C
@@ -309,8 +309,7 @@ def vector_topk_pruned(spark, sf_dir):
     folder = scratch_folder(spark, "pivots")
     pivot_search.build(T.signals(spark, sf_dir), folder)
     top, _ = pivot_search.pruned_topk(spark, folder, _mean_question(spark, sf_dir), C.RERANK_TOP_K)
-    rank = F.row_number().over(Window.orderBy(F.col("cos").desc_nulls_last(), "event_id", "id"))  # k rows
-    top = cut_lineage(top.select(rank.alias("sim_rank"), "event_id", "similarity_score"))
+    top = cut_lineage(top.select(F.col("rank").alias("sim_rank"), "event_id", "similarity_score"))
     remove_folder(spark, folder)
     return top
 
