@@ -69,6 +69,7 @@ def raw_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = T.table(spark, sf_dir, "events")
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "text")
     n_docs = docs.count()
+    ev, docs = T.spread(ev, docs, n_docs)
     j = ev.join(docs, F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
     et = F.col("event_type")
     svc = T.service_of(F.col("user_id"))
@@ -539,9 +540,9 @@ def latency_percentiles(spark, sf_dir):
 
 def events_before(spark, sf_dir):
     """Events in the 30 minutes before each question, newest-first position."""
-    sig = T.signals(spark, sf_dir)
+    sig = T.signals(spark, sf_dir).select("event_id", "occurred_at")
     q = T.questions(spark, sf_dir)
-    j = D.events_before_each(q, sig.drop("embedding"), 30)
+    j = D.events_before_each(q, sig, 30)
     return j.select("qid", "position", "event_id", "occurred_at")
 
 
@@ -552,7 +553,8 @@ def events_before_runs(spark, sf_dir):
 
 def service_timeline(spark, sf_dir):
     """Every service's whole timeline."""
-    return D.service_timeline(T.signals(spark, sf_dir)).select("service", "event_date", "position", "occurred_at", "event_id")
+    narrow = T.signals(spark, sf_dir).select("service", "event_date", "occurred_at", "event_id")
+    return D.service_timeline(narrow).select("service", "event_date", "position", "occurred_at", "event_id")
 
 
 def deployments_in_window(spark, sf_dir):

@@ -45,6 +45,18 @@ def event_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(service_of(F.col("user_id")).alias("service"))
 
 
+def spread(ev: DataFrame, docs: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Events and documents by the key that joins them, each over the same fixed number of partitions.
+
+    Both grow with the data, and the joined texts are many times the shuffled bytes,
+    by which Spark would put them into too few tasks: into as many as the document
+    file has splits if it broadcasts the events.
+    """
+    spark = ev.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return ev.repartition(tasks, F.pmod("event_id", F.lit(n_docs))), docs.repartition(tasks, "doc_id")
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incident-event table (stored schema + ``event_date`` partition column)."""
     ev = table(spark, sf_dir, "events")
@@ -52,8 +64,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n_docs = docs.count()
     n_vecs = vecs.count()
-    # Both tables grow with the data: shuffle-join them on the document key (this also
-    # spreads the text work over all shuffle partitions instead of the input splits).
+    ev, docs = spread(ev, docs, n_docs)
     j = (ev.join(docs, F.pmod(ev.event_id, F.lit(n_docs)) == docs.doc_id)
            .join(vecs, F.pmod(ev.event_id, F.lit(n_vecs)) == vecs.vec_id))
     et = F.col("event_type")
