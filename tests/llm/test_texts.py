@@ -269,8 +269,7 @@ def test_simhash(spark, odd_tables, odd_documents):
 
 def test_simhash_links_through_rows_without_an_id(spark, monkeypatch):
     """A and B differ by six bits, a row without an id stands between them; also with hot fingerprints."""
-    fps = [0b111, 0b111111, 0]
-    rows = [(5, fps[0]), (None, fps[0])] + [(4, 1 << 40), (None, (1 << 40) | 7), (2, (1 << 40) | 63), (None, 0xFF << 20), (None, 0xFF << 20)]
+    rows = [(5, 0x3FFF), (None, 0x3FFF)] + [(4, 1 << 40), (None, (1 << 40) | 7), (2, (1 << 40) | 63), (None, 0xFF << 20), (None, 0xFF << 20)]
     want = {(5, 5), (None, 5), (4, 2), (None, 2), (2, 2), (None, None)}
     marked = spark.createDataFrame(rows, "doc_id long, fp long")
     for hot in (10_000, 1):
