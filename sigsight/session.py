@@ -20,6 +20,8 @@ SESSION_DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # A checkpoint that no frame refers to any more is deleted.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
