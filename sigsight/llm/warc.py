@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigsight.llm.common import table
-from sigsight.session import ensure_checkpoint_dir
+from sigsight.session import ensure_checkpoint_dir, remove_folder
 
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -187,5 +187,6 @@ def op5_warc_revisits(spark, sf_dir: str) -> DataFrame:
     size = (pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0.0) + HEADER_BYTES
     write_archives(page_records(pages), f"{shared}/raw", size)
     deduplicate(spark, f"{shared}/raw", f"{shared}/deduplicated", size)
+    remove_folder(spark, f"{shared}/raw")
     return read_archives(spark, f"{shared}/deduplicated").select(
         "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
