@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from sigsight.operators.range_counts import count_in_ranges, timeline
 
+#: Timeline positions of a block.
+BLOCK = 64
+
 
 def _date_bounds(start: Column, end: Column) -> Column:
     return F.col("event_date").between(F.to_date(start), F.to_date(end))
@@ -46,14 +49,20 @@ def events_before_each(anchors: DataFrame, events: DataFrame, minutes: int, key:
                        at: str = "asked_at") -> DataFrame:
     """D1 for a table of instants, each event listed: (key, event rows, position), newest first within each instant.
 
-    The runs are expanded to timeline positions, which meet the events one to one:
-    the work is the output, and no hot bucket of events meets a hot bucket of instants.
+    The runs are cut at blocks of ``BLOCK`` timeline positions, which meet the blocks'
+    events: a run sends a row a block, and the work is the output.
     """
     runs = events_before_runs(anchors, events, minutes, key, at)
-    wanted = runs.select(key, "last_position", F.explode(F.sequence("first_position", "last_position")).alias("_place"))
-    placed = event_timeline(events, "_place")
-    return placed.join(wanted, "_place").withColumn("position", (F.col("last_position") - F.col("_place") + 1).cast("int")) \
-        .select(key, *events.columns, "position")
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("long")
+    wanted = runs.select(key, "first_position", "last_position", F.explode(F.sequence(block("first_position"), block("last_position"))).alias("_block"))
+    placed = event_timeline(events, "_place").withColumn("_block", block("_place"))
+    # Both sides by a fixed number and merged: sizes before the explosion would broadcast what comes out of it, and
+    # put the joined rows, which are many times the shuffled ones, into too few tasks.
+    spark = events.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    met = placed.repartition(tasks, "_block").join(wanted.repartition(tasks, "_block").hint("merge"), "_block")
+    return met.where(F.col("_place").between(F.col("first_position"), F.col("last_position"))) \
+        .withColumn("position", (F.col("last_position") - F.col("_place") + 1).cast("int")).select(key, *events.columns, "position")
 
 
 def service_timeline(events: DataFrame, service: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import os
 import random
+import re
 import statistics
 import tempfile
 
@@ -51,6 +52,18 @@ def test_counts_in_ranges(spark, groups):
     assert got == want and len(want) > 20
 
 
+def test_members_of_runs_are_not_broadcast(spark):
+    """What a run's positions explode to is not the size of the runs."""
+    events = spark.createDataFrame([(f"e{i:04d}", DAY + dt.timedelta(seconds=i % 500)) for i in range(1000)], "event_id string, occurred_at timestamp_ntz")
+    asked = spark.createDataFrame([(i, DAY + dt.timedelta(seconds=400 + i)) for i in range(50)], "qid long, asked_at timestamp_ntz")
+    found = D.events_before_each(asked, events, 30)
+    rows = found.collect()
+    assert len(rows) == sum(2 * (401 + i) for i in range(50))
+    assert sorted(r.position for r in rows if r.qid == 7) == list(range(1, 2 * 408 + 1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[_\w+", plan) and not re.search(r"BroadcastHashJoin \[_(place|block)", plan)
+
+
 def test_runs_and_their_members(spark):
     rng = random.Random(4)
     events, frame = _events(spark, rng, 200)
