@@ -94,6 +94,60 @@ def test_search_ranks_null_uneven_and_zero_vectors_last(spark):
     assert got[8:] == [(2, "e", 1.0), (2, "a", None), (2, "b", None), (2, "c", None)]
 
 
+def test_contents_are_fetched_for_hits_only(spark, small, monkeypatch):
+    """Winners too many to broadcast are told by id before the view joins its texts; keys need the texts' heads alone."""
+    monkeypatch.setattr(vector_search, "WINNER_BYTES", 0)
+    sig, q, _, _ = small
+    asked = []
+
+    def by_id(ids):
+        asked.append(ids.count())
+        return T.signals(spark, SF_SMALL, ids)
+
+    cols = ["qid", "sim_rank", "event_id", "id", "content"]
+    got = R.hybrid_search(q, sig, k=3, by_id=by_id).select(cols)
+    assert sorted(got.collect()) == sorted(R.hybrid_search(q, sig, k=3).select(cols).collect())
+    assert asked == [got.select("id").distinct().count()]
+    plan = sig.select("event_id", "embedding")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Project [doc_id" in plan and not any("Project [doc_id" in line and ", text#" in line for line in plan.splitlines())
+
+
+def test_search_of_windows_and_types_by_runs(spark):
+    """Many questions with windows inside a cell, service and type filters, and rows without a similarity."""
+    import datetime as dt
+    import random
+
+    rng, day = random.Random(5), dt.datetime(2024, 1, 2)
+    rows = []
+    for i in range(3000):
+        at = day + dt.timedelta(seconds=rng.randrange(86_400))
+        vec = rng.choice([None, [0.0, 0.0]]) if i % 50 == 0 else [rng.choice([-1.0, 0.5, 1.0]), rng.choice([-1.0, 0.25, 2.0])]
+        rows.append((i, f"e{rng.randrange(10**6):06d}", "x", at, rng.choice("ab"), rng.choice(["log", "alert", "deployment"]), None, None, at.date(), vec))
+    asked = []
+    for n in range(300):
+        start = day + dt.timedelta(seconds=rng.randrange(-3600, 86_400))
+        asked.append((n, [rng.random(), rng.random()], start, start + dt.timedelta(seconds=rng.choice([60, 3600, 200_000])), rng.choice(["", "a"]),
+                      rng.choice([None, [], ["log"], ["alert", "log"]])))
+    q = spark.createDataFrame(asked, QUESTION + ", types array<string>")
+    hits = R.hybrid_search(q, spark.createDataFrame(rows, EVENT), k=5, event_types="types").collect()
+    got = {}
+    for h in sorted(hits, key=lambda h: (h.qid, h.sim_rank)):
+        got.setdefault(h.qid, []).append(h.event_id)
+
+    def cos(u, v):
+        size = math.sqrt(u[0] * u[0] + u[1] * u[1]) * math.sqrt(v[0] * v[0] + v[1] * v[1]) if v else 0
+        return max(-1.0, min(1.0, (0.0 + u[0] * v[0] + u[1] * v[1]) / size)) if size else -2.0
+
+    want = {}
+    for n, u, start, end, service, types in asked:
+        mine = [r for r in rows if start <= r[3] <= end and service in ("", r[4]) and (not types or r[5] in types)]
+        vec = lambda r: [float(np.float32(x)) for x in r[9]] if r[9] else None
+        best = sorted(mine, key=lambda r: (-cos([float(np.float32(x)) for x in u], vec(r)), r[1], r[0]))[:5]
+        if best:
+            want[n] = [r[1] for r in best]
+    assert got == want and len(want) > 200
+
+
 def test_vector_topk_single_question(spark, small):
     from types import SimpleNamespace
 
