@@ -10,6 +10,7 @@ from conftest import SF_SMALL
 from sigsight import config as C
 from sigsight.operators import context as P
 from sigsight.operators import retrieval as R
+from sigsight.operators import questions as Q
 from sigsight.operators import vector_search
 from sigsight.plans import catalog
 from sigsight.sources import tables as T
@@ -112,6 +113,36 @@ def test_contents_are_fetched_for_hits_only(spark, small, monkeypatch):
     assert "Project [doc_id" in plan and not any("Project [doc_id" in line and ", text#" in line for line in plan.splitlines())
 
 
+def test_hits_of_keys_alone_need_no_second_scan(spark, small):
+    """The keys that a search holds are its result; no event or document is read again for them."""
+    sig, q, _, _ = small
+    cols = ["qid", "sim_rank", "event_id", "id", "event_date", "similarity_score"]
+    got = R.hybrid_search(q, sig, k=5, payload=vector_search.KEYS).select(cols)
+    assert sorted(got.collect()) == sorted(R.hybrid_search(q, sig, k=5, payload=[*vector_search.KEYS, "service"]).select(cols).collect())
+    assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_cell_gives_k_rows_whatever_ties(spark):
+    """Of rows that tie with the k-th best, the first by key (null keys before others) leave a cell."""
+    import datetime as dt
+
+    import pyarrow as pa
+
+    at, n = dt.datetime(2024, 1, 2, 3), 500
+    ids = [None if i == 77 else f"e{(i * 37) % n:03d}" for i in range(n)]
+    vecs = [[0.0, 0.0] if i == 3 else [1.0, 0.0] if i < 490 else [1.0, 1.0] for i in range(n)]
+    events = pa.table({"event_id": ids, "id": list(range(n)), "event_date": [at.date()] * n, "occurred_at": pa.array([at] * n, pa.timestamp("us")),
+                       "service": ["cart"] * n, "event_type": ["log"] * n, "embedding": pa.array(vecs, pa.list_(pa.float32()))})
+    asked = pa.table({"qid": [1, 2], "qvec": pa.array([[1.0, 0.1], [0.1, 1.0]], pa.list_(pa.float32())), "start": pa.array([at] * 2, pa.timestamp("us")),
+                      "end": pa.array([at + dt.timedelta(hours=1)] * 2, pa.timestamp("us")), "service": pa.array([None, ""], pa.string()),
+                      "types": pa.array([None, []], pa.list_(pa.string())), "dim": [2, 2]})
+    got = vector_search._cell(20)(events, asked).to_pylist()
+    ties = sorted((e for i, e in enumerate(ids) if i < 490 and i != 3), key=lambda e: (e is not None, e or ""))
+    assert sorted((r["event_id"] for r in got if r["qid"] == 1), key=lambda e: (e is not None, e or "")) == ties[:20]
+    second = {r["event_id"] for r in got if r["qid"] == 2}
+    assert second == set(ids[490:]) | set(ties[:10]) and len(got) == 40
+
+
 def test_search_of_windows_and_types_by_runs(spark):
     """Many questions with windows inside a cell, service and type filters, and rows without a similarity."""
     import datetime as dt
@@ -232,6 +263,42 @@ def test_prompts_of_the_ask_flow_hold_its_hits(spark):
         assert (f"[Signal context: {n} event(s) | confidence: {r.confidence}]" in r.prompt) == (n > 0)
 
 
+def test_contents_stay_where_candidates_are_scored(spark):
+    """The flow goes on without contents, which are read again where needed; events that repeat their keys too."""
+    import datetime as dt
+
+    from sigsight.operators import rerank as K
+    from sigsight.plans.ask import ask
+
+    day, rows = dt.datetime(2024, 1, 2), []
+    for i in range(60):
+        at = day + dt.timedelta(minutes=i)
+        sev = [None, "error", "info"][i % 3]
+        rows.append((i % 50, f"e{i % 50:02d}", f"cart text {i} " + "timeout " * (i % 4), at, "cart-service", ["log", "deployment"][i % 2], sev, None,
+                     at.date(), [1.0, float(i % 7)]))
+    rows += [rows[4], rows[9][:2] + ("another text",) + rows[9][3:]]
+    asked = spark.createDataFrame([(n, "timeout of cart-service in the last 2 hours", day + dt.timedelta(hours=1), None, None, [1.0, float(n)], "llm")
+                                   for n in range(4)], "qid long, question string, asked_at timestamp_ntz, start_time timestamp_ntz, "
+                                                       "end_time timestamp_ntz, qvec array<float>, llm string")
+    services = spark.createDataFrame([("cart-service", "cart-service")], "service string, ord string")
+    cols = ["qid", "rank", "sim_rank", "id", "event_id", "content", "severity", "rerank_score", "similarity_score"]
+    for events in (spark.createDataFrame(rows, EVENT), spark.createDataFrame(rows[:50], EVENT)):
+        out = ask(asked, events, services, answer_col="llm")
+        assert "content" not in out["scored"].columns and "content" not in out["ranked"].columns
+        resolved = Q.resolve_request(asked, services).select("*", F.col("question").alias("q"))
+        pairs = R.hybrid_search(resolved, events, k=C.RERANK_TOP_K)
+        rewritten = out["candidates"].select("qid", "rewritten_query").distinct()
+        whole = K.rerank_topk(K.score_pairs(pairs.join(rewritten, "qid"), "rewritten_query"))
+        assert sorted(out["final"].select(cols).collect(), key=str) == sorted(whole.select(cols).collect(), key=str)
+        lines = ["qid", "rank", "section", "section_pos", "block"]
+        assert sorted(P.section_events(out["ranked"], contents=out["contents"]).select(lines).collect()) == sorted(P.section_events(whole).select(lines).collect())
+        keyed = ["qid", "rank", "key_order", "key_line"]
+        assert sorted(P.key_signals(out["ranked"], contents=out["contents"]).select(keyed).collect(), key=str) == \
+            sorted(P.key_signals(whole).select(keyed).collect(), key=str)
+        answers = {r.qid: r.answer for r in out["answers"].collect()}
+        assert answers == {r.qid: r.answer for r in out["results"].collect()} and len(answers) == 4
+
+
 def test_route_answer(spark):
     df = spark.createDataFrame([("ans", 0, "none", False), ("ans", 3, "low", False), ("ans", 5, "high", False),
                                 ("ans", 0, "unknown", True)], "a string, n int, c string, f boolean")
