@@ -86,5 +86,5 @@ def ask(q: DataFrame, events: DataFrame, services: DataFrame, answer_col: str |
     # A repeated question has as many answers as results.
     answers = answered.drop("search_failed").join(tiered.select(qid), qid)
     return {"results": prompted.unionByName(gated), "answers": answers.unionByName(gated.drop("prompt")),
-            "final": contents(final).drop(*R.HELD), "candidates": contents(cands).join(queries, [qid, "_copy"]).drop(*R.HELD),
+            "final": contents(final).drop(*R.HELD), "candidates": contents(cands).join(queries, [qid, "_copy"]).drop(*R.HELD, "rerank_score"),
             "ranked": final, "scored": cands, "contents": contents}
