@@ -78,26 +78,31 @@ def hybrid_search(q: DataFrame, events: DataFrame, k: int = C.RERANK_TOP_K, qid:
     return search(q, events, k, qid, qvec, start, end, service, event_types, payload, by_id)
 
 
-def hit_payload(hits: DataFrame, events: DataFrame, with_hits: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Hits of ``KEYS`` with the rest of ``HIT_PAYLOAD``, and ``_row``, by which a hit's equal events are told.
+def hit_payload(hits: DataFrame, events: DataFrame, with_hits: Callable[[DataFrame], DataFrame] | None = None,
+                content: bool = True) -> DataFrame:
+    """Hits of ``KEYS`` with the rest of ``HIT_PAYLOAD``, and ``_row``, the hash of the content, by which a hit's equal events are told.
 
     A hit whose event is there repeatedly has a row for each: ``own_events`` leaves one.
+    Without ``content`` no content is read, and there is no ``_row``.
     """
-    met = meet(hits, events, HIT_PAYLOAD, with_hits)
-    return met.withColumn("_row", F.array(*[F.xxhash64(c) for c in HIT_PAYLOAD]))
+    if not content:
+        return meet(hits, events, [c for c in HIT_PAYLOAD if c != "content"], with_hits)
+    return meet(hits, events, HIT_PAYLOAD, with_hits).withColumn("_row", F.xxhash64("content"))
 
 
 def own_events(met: DataFrame, qid: str = "qid") -> DataFrame:
     """Of a hit's equal events (repeated keys) the one of its turn; a repeated question's copies (``_copy``) each have theirs."""
-    seat = Window.partitionBy(qid, "sim_rank", "_copy").orderBy("_row")
+    row = [F.col("_row") if c == "content" else F.xxhash64(c) for c in HIT_PAYLOAD]
+    seat = Window.partitionBy(qid, "sim_rank", "_copy").orderBy(*row)
     return met.withColumn("_seat", F.row_number().over(seat)).where(F.col("_seat") == F.col("_turn")).drop("_seat")
 
 
 def contents(hits: DataFrame, events: DataFrame, with_hits: Callable[[DataFrame], DataFrame] | None = None,
              repeated: bool = True) -> DataFrame:
     """Hits that went through ``hit_payload`` with their contents again; ``repeated``: events may repeat their keys."""
-    at = HIT_PAYLOAD.index("content")
-    found = meet(hits, events, ["content"], with_hits).where(F.xxhash64("content") == F.col("_row")[at])
+    found = meet(hits, events, ["content"], with_hits)
+    if "_row" in hits.columns:
+        found = found.where(F.xxhash64("content") == F.col("_row"))
     return found.dropDuplicates(hits.columns) if repeated else found
 
 

@@ -21,7 +21,7 @@ from sigsight.operators import context as P
 from sigsight.operators import questions as Q
 from sigsight.operators import rerank as K
 from sigsight.operators import retrieval as R
-from sigsight.session import cut_lineage
+from sigsight.session import cut_lineage, free_shuffles
 
 
 def ask(q: DataFrame, events: DataFrame, services: DataFrame, answer_col: str | None = None,
@@ -37,7 +37,8 @@ def ask(q: DataFrame, events: DataFrame, services: DataFrame, answer_col: str |
     several branches (stats, tiers, context, answers) read its output.  Their
     size is bounded by the number of questions, not by the event table.
 
-    The candidates go to the contents, are scored there, and go on without them:
+    The candidates go to the contents, are scored there, and go on without them (without a
+    scorer contents are only read to tell equal events apart, if there are any):
     ``scored`` and ``ranked`` are the candidates and the final hits without contents,
     ``answers`` are the results without prompts.  ``contents`` adds the contents to rows
     of either (all columns kept); ``final`` and ``candidates`` are read through it.
@@ -54,10 +55,19 @@ def ask(q: DataFrame, events: DataFrame, services: DataFrame, answer_col: str |
     # event_types_col: optional array<string> whitelist per question (empty or null = no filter).
     hits = R.hybrid_search(resolved, events, k=C.RERANK_TOP_K, qid=qid, event_types=event_types_col, payload=None)
     queries = resolved.select(qid, "rewritten_query", F.row_number().over(Window.partitionBy(qid).orderBy("rewritten_query")).alias("_copy"))
-    pairs = R.hit_payload(hits.join(queries, qid), events, by_id)
-    met = keep(K.score_pairs(pairs, "rewritten_query", scorer).drop("content", "rewritten_query"))
+    asked = hits.join(queries, qid)
+
+    def meet(content: bool) -> DataFrame:
+        pairs = R.hit_payload(asked, events, by_id, content)
+        return keep(K.score_pairs(pairs, "rewritten_query", scorer).drop("content", "rewritten_query"))
+    with_content = scorer is not None or not materialize
+    met = meet(with_content)
     # Without repeated questions or events every hit met its one event.
     repeated = not materialize or not met.where("_turn > 1 or _copy > 1").isEmpty() or met.count() > hits.count()
+    if repeated and not with_content:
+        met = meet(True)
+    if materialize:
+        free_shuffles(q.sparkSession)
     cands = R.own_events(met, qid) if repeated else met
     stats = R.candidate_stats(resolved, cands, qid)
     final = keep(K.rerank_topk(cands, C.FINAL_TOP_K, qid))

@@ -312,3 +312,45 @@ def test_confidence_tiers(spark):
     df = spark.createDataFrame(rows, "n long, s long, a double")
     got = [r[0] for r in df.select(confidence_tier(F.col("n"), F.col("s"), F.round(F.col("a"), 4))).collect()]
     assert got == ["none", "unknown", "high", "medium", "low", "medium"]
+
+
+def test_events_without_vectors_are_the_same_events(spark):
+    """Readers of no vectors get the same events, and the vectors' ids meet them without a shuffle of the rows."""
+    want = T.signals(spark, SF_SMALL).drop("embedding")
+    got = T.signals(spark, SF_SMALL, embedding=False)
+    assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_fallback_reads_no_contents(spark, small):
+    """Without a scorer the five best by similarity are found without reading a content."""
+    from sigsight.plans.ask import ask
+
+    sig, _, _, _ = small
+    unread = sig.withColumn("content", F.when(F.col("content").isNotNull(), F.raise_error(F.lit("read")).cast("string")))
+    _, services = catalog._services(spark, SF_SMALL)
+    q = T.questions(spark, SF_SMALL)
+    cols = ["qid", "rank", "event_id", "rerank_score"]
+    got = ask(q, unread, services, scorer=None)["ranked"].select(cols).collect()
+    assert got and sorted(got) == sorted(ask(q, sig, services, scorer=None, materialize=False)["ranked"].select(cols).collect())
+
+
+def test_shuffle_files_go_after_a_checkpoint(spark):
+    """The files of a plan that is checkpointed and not referred to any more are deleted when asked for."""
+    import time
+
+    from sigsight.session import cut_lineage, free_shuffles
+
+    def files():
+        at = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (at.apply(i).getName() for i in range(at.size())) if name.startswith("shuffle_")}
+
+    free_shuffles(spark)
+    before = files()
+    kept = cut_lineage(spark.range(1000).repartition(4, F.col("id") % 7))
+    mine = files() - before
+    assert mine
+    free_shuffles(spark)
+    until = time.time() + 20
+    while mine & files() and time.time() < until:
+        time.sleep(0.2)
+    assert not mine & files() and kept.count() == 1000
