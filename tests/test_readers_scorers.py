@@ -91,3 +91,15 @@ def test_injected_encoder(spark):
     row = res["new"].select("normalised", "embedding").first()
     assert row.normalised == "boom" and row.embedding == [1.0, 0.0, 0.0]
     assert res["new"].select(F.col("event_type")).first()[0] == "log"
+
+
+def test_tokens_are_found_as_the_split_finds_them(spark):
+    """The scorer counts the distinct tokens of a query that its text holds: any script, few tokens or many, null texts."""
+    texts = ["Der Käse—ist „gut“, order_service: 12½ ok", "", None, "ΑΣ ΟΔΟΣ İstanbul 　東京、大阪 x\x00y z\x1fw", "a" * 50 + " b-c", "näive café", "bar foobar barfoo"]
+    queries = ["gut KÄSE order service kase 12½ — _", "東京 大阪 y w x οδος", "bar foo", " ".join(f"w{i}" for i in range(60)) + " b c café y 大阪", None, "!!"]
+    df = spark.createDataFrame([(q, t, 0.25) for q in queries for t in texts], "q string, t string, cos double")
+    split = lambda c: F.array_remove(F.array_distinct(F.split(F.lower(c), K._TOKEN_SPLIT)), "")
+    want = F.round(F.size(F.array_intersect(split("q"), split("t"))) / F.greatest(F.size(split("q")), F.lit(1)) * 6.0 + F.col("cos") * 4.0 - 3.0, 4)
+    rows = df.select("q", "t", want.alias("want"), K.lexical_scorer(F.col("q"), F.col("t"), F.col("cos")).alias("got")).collect()
+    assert [r for r in rows if r.want != r.got] == [] and len({r.got for r in rows}) > 4
+    assert K.count_tokens(["b", "foo"], b"a-b foobar") == 1
