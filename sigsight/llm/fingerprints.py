@@ -117,25 +117,25 @@ def _uniform(bits: Column, shift: int, width: int = _BITS) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + 0.5) / float(1 << width)
 
 
-def draws(words: DataFrame) -> DataFrame:
-    """Each row of ``words`` (one per ``word``, a hash) once per turn with the draws of ``AT_ONCE`` samples."""
+def samples(words: DataFrame) -> DataFrame:
+    """Each row of ``words`` (a ``word``, a hash, with a ``weight``, a logarithm or null) once per turn with ``AT_ONCE`` samples.
+
+    A sample is the rank of the word, and below it the code of the word and its step: the least long of a document is
+    its sample.
+    """
     out = words.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(SAMPLES // AT_ONCE)])))
+    drawn = []
     for j in range(AT_ONCE):
         one = F.xxhash64("word", F.col("turn") * 2 * AT_ONCE + 2 * j)
         two = F.xxhash64("word", F.col("turn") * 2 * AT_ONCE + 2 * j + 1)
         r = -F.log(_uniform(one, 0) * _uniform(one, _BITS))
         c = F.log(-F.log(_uniform(two, 0) * _uniform(two, _BITS)))
         b = (F.shiftrightunsigned(one, 50) * 16384 + F.shiftrightunsigned(two, 50) + 0.5) / float(1 << 28)
-        out = out.withColumns({f"r{j}": r, f"c{j}": c, f"b{j}": b, f"h{j}": one})
-    return out
-
-
-def _sample(weight: str, j: int) -> Column:
-    """The rank of a word in a sample, and below it the code of the word and its step: the least long is the sample."""
-    step = F.floor(F.col(weight) / F.col(f"r{j}") + F.col(f"b{j}"))
-    rank = F.col(f"c{j}") - F.col(f"r{j}") * (step - F.col(f"b{j}") + 1)
-    code = F.col(f"h{j}").bitwiseXOR(step * 40503).bitwiseAND(F.lit(_CODE))
-    return F.shiftleft(((rank + 128) * float(1 << 31)).cast("long"), 16).bitwiseOR(code)
+        step = F.floor(F.col("weight") / r + b)
+        rank = c - r * (step - b + 1)
+        code = one.bitwiseXOR(step * 40503).bitwiseAND(F.lit(_CODE))
+        drawn.append(F.shiftleft(((rank + 128) * float(1 << 31)).cast("long"), 16).bitwiseOR(code).alias(f"s{j}"))
+    return out.select("*", *drawn)
 
 
 def _hex(columns: list[str]) -> Column:
@@ -145,8 +145,9 @@ def _hex(columns: list[str]) -> Column:
 
 def likeness(one: str, other: str) -> Column:
     """Share of equal samples of two fingerprints."""
-    same = [(F.substring(one, 1 + 4 * i, 4) == F.substring(other, 1 + 4 * i, 4)).cast("int") for i in range(SAMPLES)]
-    return sum(same[1:], same[0]) / float(SAMPLES)
+    codes = [F.regexp_extract_all(x, F.lit("...."), F.lit(0)) for x in (one, other)]
+    same = F.zip_with(*codes, lambda a, b: (a == b).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda n, x: n + x) / float(SAMPLES)
 
 
 def _share(word: str) -> Column:
@@ -174,15 +175,21 @@ def fingerprints(rows: DataFrame, key: list[str], texts: dict[str, str]) -> Data
                  .otherwise(F.coalesce("share", F.lit(1.0))).alias("size"))
     counts = words.groupBy(*key, "word", "size").agg(
         *[F.count(F.when(F.col("side") == i, 1)).alias(f"n{i}") for i in range(len(texts))])
-    weights = [f"w{i}" for i in range(len(texts))]
-    logs = [F.when((F.col(f"n{i}") > 0) & (F.col("size") > 0), F.log(F.col(f"n{i}") * F.col("size"))).alias(w)
-            for i, w in enumerate(weights)]
-    # A word's draws serve all documents of the range that hold it.
-    holders = counts.select(key[0], "word", F.struct(*key[1:], *logs).alias("holder")) \
-        .groupBy(key[0], "word").agg(F.collect_list("holder").alias("holders"))
-    every = draws(holders).withColumn("held", F.explode("holders")).drop("holders").select("*", "held.*")
-    drawn = every.groupBy(*key, "turn").agg(
-        *[F.min(_sample(w, j)).alias(f"{w}_{j}") for w in weights for j in range(AT_ONCE)])
+    # One row for all texts of a document that hold the word equally often; ``sides`` has their bits.
+    ns = [F.col(f"n{i}") for i in range(len(texts))]
+    first = [n if not i else F.when(n.isin(ns[:i]), F.lit(0)).otherwise(n) for i, n in enumerate(ns)]
+    sides = [F.when(n == F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate(ns)]
+    entries = counts.select("*", F.explode(F.array(*first)).alias("n")).filter("n > 0") \
+        .select(*key, "word", "size", "n", sum(sides[1:], sides[0]).alias("sides"))
+    # A word's samples at a weight serve all documents of the range that hold it so often. The groups are sorted by
+    # the first column first, which must not be the range: it is the same in all rows of a task.
+    holders = entries.groupBy("word", "n", "size", key[0]).agg(F.collect_list(F.struct(*key[1:], "sides")).alias("holders"))
+    every = samples(holders.withColumn("weight", F.when(F.col("size") > 0, F.log(F.col("n") * F.col("size"))))) \
+        .withColumn("held", F.explode("holders")).drop("holders").select("*", "held.*")
+    least = every.groupBy(*key, "sides", "turn").agg(*[F.min(f"s{j}").alias(f"s{j}") for j in range(AT_ONCE)])
+    drawn = least.groupBy(*key, "turn").agg(
+        *[F.min(F.when(F.col("sides").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"s{j}"))).alias(f"w{i}_{j}")
+          for i in range(len(texts)) for j in range(AT_ONCE)])
     parts = drawn.select(*key, "turn", *[_hex([f"w{i}_{j}" for j in range(AT_ONCE)]).alias(f"f{i}") for i in range(len(texts))])
     ordered = parts.groupBy(*key).agg(
         *[F.array_sort(F.collect_list(F.struct("turn", f"f{i}"))).alias(f"f{i}") for i in range(len(texts))])

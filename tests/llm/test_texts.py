@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from sigsight.llm import decontamination, registry, secrets, simhash, suffix_dedup
+from sigsight.llm import decontamination, fingerprints, registry, secrets, simhash, suffix_dedup
 from sigsight.llm.packing import Limits, Packer, pack
 
 
@@ -90,6 +90,31 @@ def test_fingerprints_of_long_words(spark, write_tables):
         assert least <= got[100 - 2 * i]["near_next"] <= most, i
 
 
+def test_fingerprints_sample_a_word_once_a_count(spark, write_tables, monkeypatch):
+    """Samples are drawn for a word at a weight, not for every document and version that holds it so often."""
+    seen, whole = [], fingerprints.samples
+    monkeypatch.setattr(fingerprints, "samples", lambda words: seen.append(words) or whole(words))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words + words[:20] + [f"own{i}"]), "en", "s", 0) for i in range(9)]
+    got = rows_of(registry.QUERIES["op1_document_fingerprints"](spark, write_tables(documents=rows)))
+    assert len(got) == 9 and all(r["near_next"] > 0.8 for r in got)
+    sampled = seen[0].selectExpr("word", "n", "size(holders) AS held", "size(array_distinct(holders.at)) AS docs").collect()
+    assert len(sampled) == len({(r["word"], r["n"]) for r in sampled})
+    # Ten rows, one of them a guard: a document with both versions alike is held once.
+    assert max(r["held"] for r in sampled) == max(r["docs"] for r in sampled) == 10
+    assert all(r["held"] == r["docs"] for r in sampled)
+
+
+def test_likeness_counts_equal_codes(spark):
+    rng = random.Random(5)
+    code = lambda: f"{rng.choice((0, 1, 0xABCD, 0x1000)):04x}"
+    pairs = [["".join(code() for _ in range(fingerprints.SAMPLES)) for _ in range(2)] for _ in range(50)] + [["0" * 256, None]]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fingerprints.likeness("a", "b").alias("l")).collect()
+    for a, b, like in got:
+        want = None if b is None else sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 256, 4)) / 64
+        assert like == want
+
+
 def brute_removed(docs):
     first = {}
     for d, t in docs:
