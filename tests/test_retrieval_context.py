@@ -61,6 +61,31 @@ def test_hybrid_search_equals_brute_force(spark, small, monkeypatch, cell_events
     assert got == _brute(ev, qs, C.RERANK_TOP_K)
 
 
+@pytest.mark.parametrize(("cell_events", "winner_bytes", "rounds"), [(8192, 1 << 26, 4), (40, 0, 16)])
+def test_search_in_rounds_equals_brute_force(spark, small, monkeypatch, cell_events, winner_bytes, rounds):
+    """A round holds a part of the events; later rounds give only what reaches a question's k-th best so far."""
+    monkeypatch.setattr(vector_search, "CELL_EVENTS", cell_events)
+    monkeypatch.setattr(vector_search, "WINNER_BYTES", winner_bytes)
+    monkeypatch.setattr(vector_search, "ROUND_ROWS", 1)
+    monkeypatch.setattr(vector_search, "ROUNDS", rounds)
+    dealt, cells = [], vector_search._cells
+
+    def counted(*frames):
+        asked, events = cells(*frames)
+        dealt.append((events.count(), asked.where("floor is not null").count()))
+        return asked, events
+
+    monkeypatch.setattr(vector_search, "_cells", counted)
+    sig, q, ev, qs = small
+    hits = R.hybrid_search(q, sig, k=5).select("qid", "sim_rank", "event_id").collect()
+    got = {}
+    for h in sorted(hits, key=lambda h: (h.qid, h.sim_rank)):
+        got.setdefault(h.qid, []).append(h.event_id)
+    assert got == _brute(ev, qs, 5)
+    assert rounds / 2 < len(dealt) <= rounds + 1 and max(n for n, _ in dealt) < 3 * len(ev) / rounds
+    assert dealt[0][1] == 0 and all(floors for _, floors in dealt[len(dealt) // 2:])
+
+
 EVENT = ("id long, event_id string, content string, occurred_at timestamp_ntz, service string, event_type string, "
          "severity string, metadata string, event_date date, embedding array<float>")
 QUESTION = "qid long, qvec array<float>, window_start timestamp_ntz, window_end timestamp_ntz, service_filter string"
@@ -95,6 +120,20 @@ def test_search_ranks_null_uneven_and_zero_vectors_last(spark):
     assert got[8:] == [(2, "e", 1.0), (2, "a", None), (2, "b", None), (2, "c", None)]
 
 
+def test_rounds_of_one_date_keep_ties_nulls_and_repeated_keys(spark, monkeypatch):
+    """A date larger than a round goes in slices; ties, missing vectors and repeated rows are ranked over all of them."""
+    same = [("t", 7, [0.0, 1.0])] * 3 + [(f"t{i:02d}", i, [0.0, 2.0]) for i in range(20, 40)]
+    rows = same + [("n", 1, None), ("z", 2, [0.0, 0.0]), ("y", 4, [1.0, 2.0])]
+    ev, q = _events(spark, rows), _ask(spark, [0.0, 1.0], [1.0, 0.0], None)
+    q = q.unionByName(q.where("qid = 0"))
+    find = lambda k: sorted(map(tuple, R.hybrid_search(q, ev, k=k, payload=["id", "event_id", "event_date", "content"])
+                                .select("qid", "sim_rank", "event_id", "id", "similarity_score").collect()))
+    want = [find(k) for k in (4, 9, 27)]
+    monkeypatch.setattr(vector_search, "ROUND_ROWS", 1)
+    monkeypatch.setattr(vector_search, "ROUNDS", 5)
+    assert [find(k) for k in (4, 9, 27)] == want and len(want[1]) > 20
+
+
 def test_contents_are_fetched_for_hits_only(spark, small, monkeypatch):
     """Winners too many to broadcast are told by id before the view joins its texts; keys need the texts' heads alone."""
     monkeypatch.setattr(vector_search, "WINNER_BYTES", 0)
